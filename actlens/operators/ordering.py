@@ -114,8 +114,11 @@ def row_cap(df: DataFrame, n: int, batch_col: str = "batch_id") -> DataFrame:
 
 
 def seeded_key(cols: Sequence[ColLike], seed: int) -> Column:
-    """SHF3: stable pseudo-random key; never ``rand()`` (not stable on retry)."""
-    return F.xxhash64(*[_c(c) for c in cols], F.lit(seed))
+    """SHF3: stable pseudo-random key; never ``rand()`` (not stable on retry).
+
+    Hex MD5 of ``seed:key...``: the same text on any engine, uniform prefixes.
+    """
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_c(c).cast("string") for c in cols]))
 
 
 def shuffle_rows(df: DataFrame, key_cols: Sequence[ColLike], seed: int, *,
@@ -144,8 +147,8 @@ def shuffle_batches(df: DataFrame, key_cols: Sequence[ColLike], seed: int, batch
         out = rebatch(keyed, batch_rows, order, keep_tail=keep_tail, bucket=F.col("_win"))
         return out.drop("_win")
     keyed = df.withColumn("shuffle_key", seeded_key(key_cols, seed))
-    # the hash is spread uniformly: buckets on its top bits are balanced
-    bucket = F.shiftright(F.col("shuffle_key"), 44)
+    # the hash is uniform: its 4-hex-digit prefix gives 65,536 balanced buckets
+    bucket = F.substring("shuffle_key", 1, 4)
     return rebatch(keyed, batch_rows, ["shuffle_key", *key_cols], keep_tail=keep_tail, bucket=bucket)
 
 

@@ -191,9 +191,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("run"), "ts", "event_id",
         F.col("event_type").alias("event"), "value",
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        (F.unix_micros("ts") / F.lit(1e6)).alias("timestamp"))
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp"))
     # step = row number per run by time; a busy run is split by day
-    day = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).cast("bigint")
+    day = F.floor(F.col("timestamp") / F.lit(86_400)).cast("bigint")
     return ordering.running_index(x, ["ts"], group_cols=["run"], bucket=day, name="step", base=1)
 
 
@@ -228,7 +228,7 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_TOKENS_SQL = ("SELECT doc_id, CAST(u.i - 1 AS INTEGER) AS pos, t.parts[u.i] AS token FROM ("
-                  "SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '') AS parts "
+                  "SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS parts "
                   "FROM documents) t, LATERAL (SELECT unnest(range(1, len(t.parts) + 1)) AS i) u")
 
 VOCAB_SQL = (f"SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGINT) AS token_id "

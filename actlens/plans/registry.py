@@ -31,4 +31,5 @@ def load_all() -> None:
     # importing the modules registers their queries
     from actlens.plans import (  # noqa: F401
         q_interpret,
+        q_relational,
     )

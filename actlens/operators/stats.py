@@ -14,3 +14,214 @@ def topk_dims(long: DataFrame, k: int, *, largest: bool = True, key_cols: Sequen
     order = F.col(value_col).desc() if largest else F.col(value_col).asc()
     w = Window.partitionBy(*key_cols).orderBy(order, F.col(dim_col))
     return long.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
+def batch_stats(long: DataFrame, group_cols: Sequence[str] = ("batch_id",), value_col: str = "x") -> DataFrame:
+    """AGG1: mean, min, max, std (n-1) of all values of each batch, and its count."""
+    v = F.col(value_col).cast("double")
+    return long.groupBy(*group_cols).agg(
+        F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.stddev_samp(v).alias("std"), F.count(F.lit(1)).alias("n_values"))
+
+
+def sample_dim_stats(long: DataFrame, n_dims: int = 64, *, sample_col: str = "sample_id",
+                     dim_col: str = "dim", value_col: str = "x") -> DataFrame:
+    """AGG2: per sample and dimension mean / max / min over positions, first n dims."""
+    v = F.col(value_col)
+    return long.where(F.col(dim_col) < n_dims).groupBy(sample_col, dim_col).agg(
+        F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"))
+
+
+def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[str] = ()) -> DataFrame:
+    """AGG3/AGG4: equal-width counts between min and max (last edge closed).
+
+    Bin b (1-based) covers [lo + (b-1)w, lo + b w); empty bins report 0.
+    With lo = hi every value falls in the middle bin of [lo-0.5, hi+0.5]
+    (the convention of numpy.histogram). Bounds are one row per group, so
+    the join to them is a broadcast of a group-sized table.
+    """
+    g = list(group_cols)
+    spark = df.sparkSession
+    v = F.col(value_col).cast("double")
+    bounds = df.groupBy(*g).agg(F.min(v).alias("_lo0"), F.max(v).alias("_hi0"))
+    bounds = bounds.select(*g,
+                           F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
+                           F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
+    # one row per group (few groups: parameters, experts): broadcast by key
+    keys = g if g else ["_one"]
+    if not g:
+        bounds = bounds.withColumn("_one", F.lit(0))
+        vals = df.select(v.alias("_v"), F.lit(0).alias("_one"))
+    else:
+        vals = df.select(*g, v.alias("_v"))
+    x = vals.join(F.broadcast(bounds), on=keys, how="inner")
+    raw = F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
+    x = x.withColumn("bin", (F.least(raw, F.lit(bins - 1)) + 1).cast("int"))
+    grid = bounds.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    counts = x.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"))
+    out = grid.join(counts, on=[*keys, "bin"], how="left")
+    width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
+    return out.select(*g, "bin", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
+                      (F.col("lo") + (F.col("bin") - 1) * width).alias("edge_lo"),
+                      (F.col("lo") + F.col("bin") * width).alias("edge_hi"))
+
+
+def histogram_event(hist: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """FN14: nested ``{counts, edges}`` struct per group (edges = bins + 1 values)."""
+    g = list(group_cols)
+    agg = hist.groupBy(*g).agg(
+        F.array_sort(F.collect_list(F.struct("bin", "count", "edge_lo", "edge_hi"))).alias("_h"))
+    counts = F.transform("_h", lambda s: s["count"].cast("double"))
+    edges = F.concat(F.transform("_h", lambda s: s["edge_lo"]), F.array(F.element_at("_h", -1)["edge_hi"]))
+    return agg.select(*g, F.struct(counts.alias("counts"), edges.alias("edges")).alias("hist"))
+
+
+def batch_norm(long: DataFrame, *, group_cols: Sequence[str] = ("batch_id",), dim_col: str = "dim",
+               value_col: str = "x", eps: float = 1e-6) -> DataFrame:
+    """AGG5: per batch and dimension (x - mean) / (std_{n-1} + eps)."""
+    w = Window.partitionBy(*group_cols, dim_col)
+    v = F.col(value_col)
+    return long.withColumn("z", (v - F.avg(v).over(w)) / (F.stddev_samp(v).over(w) + F.lit(eps)))
+
+
+def unit_norm(df: DataFrame, vec_col: str = "vec", eps: float = 1e-5) -> DataFrame:
+    """AGG6: per row centre and divide by std_{n-1} + eps; carries mu and sd."""
+    v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
+    n = F.size(v)
+    mu = F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n
+    out = df.withColumn("_v", v).withColumn("mu", mu)
+    sd = F.sqrt(F.aggregate(F.col("_v"), F.lit(0.0), lambda a, x: a + (x - F.col("mu")) * (x - F.col("mu")))
+                / (F.size("_v") - 1))
+    out = out.withColumn("sd", sd)
+    return out.withColumn("normed", F.transform("_v", lambda x: (x - F.col("mu")) / (F.col("sd") + F.lit(eps)))) \
+              .drop("_v")
+
+
+def unit_norm_undo(df: DataFrame, normed_col: str = "normed") -> DataFrame:
+    """AGG6 inverse: y * sd + mu (without the eps)."""
+    return df.withColumn("restored", F.transform(normed_col, lambda y: y * F.col("sd") + F.col("mu")))
+
+
+def mean_std_over_batches(long: DataFrame, *, batch_col: str = "batch_id", dim_col: str = "dim",
+                          value_col: str = "x") -> DataFrame:
+    """AGG7: average over batches of the per-batch mean and std vectors."""
+    per = long.groupBy(batch_col, dim_col).agg(F.avg(value_col).alias("_m"),
+                                                F.stddev_samp(value_col).alias("_s"))
+    return per.groupBy(dim_col).agg(F.avg("_m").alias("mean"), F.avg("_s").alias("std"))
+
+
+def spread_by_position(long: DataFrame, *, sample_col: str = "sample_id", pos_col: str = "pos",
+                       dim_col: str = "dim", value_col: str = "x", skip_first: bool = False) -> DataFrame:
+    """AGG8: per position (a) std over dims averaged over samples, (b) std over
+    samples averaged over dims, (c) mean over samples and dims."""
+    x = long.where(F.col(pos_col) > 0) if skip_first else long
+    a = x.groupBy(sample_col, pos_col).agg(F.stddev_samp(value_col).alias("_s")) \
+         .groupBy(pos_col).agg(F.avg("_s").alias("std_over_dims"))
+    b = x.groupBy(pos_col, dim_col).agg(F.stddev_samp(value_col).alias("_s")) \
+         .groupBy(pos_col).agg(F.avg("_s").alias("std_over_samples"))
+    c = x.groupBy(pos_col).agg(F.avg(value_col).alias("mean"))
+    return a.join(b, on=pos_col).join(c, on=pos_col)
+
+
+def weighted_average(long: DataFrame, weight_col: str, *, dim_col: str = "dim", value_col: str = "x",
+                     group_cols: Sequence[str] = ()) -> DataFrame:
+    """AGG10: sum(w x) / sum(w) per dimension."""
+    return long.groupBy(*group_cols, dim_col).agg(
+        F.try_divide(F.sum(F.col(weight_col) * F.col(value_col)), F.sum(weight_col)).alias("wavg"))
+
+
+def cohen_kappa(pairs: DataFrame, l1: str = "r1", l2: str = "r2") -> DataFrame:
+    """AGG14: kappa = (p_o - p_e) / (1 - p_e) over rows where both labels exist.
+
+    Works on the contingency table (labels x labels rows), never on rows.
+    """
+    valid = pairs.where(F.col(l1).isNotNull() & F.col(l2).isNotNull())
+    ct = valid.groupBy(l1, l2).agg(F.count(F.lit(1)).alias("c"))
+    n = ct.agg(F.sum("c").alias("n"), F.sum(F.when(F.col(l1) == F.col(l2), F.col("c"))).alias("agree"))
+    row_m = ct.groupBy(F.col(l1).alias("label")).agg(F.sum("c").alias("m1"))
+    col_m = ct.groupBy(F.col(l2).alias("label")).agg(F.sum("c").alias("m2"))
+    marg = row_m.join(col_m, on="label", how="inner").agg(F.sum(F.col("m1") * F.col("m2")).alias("mm"))
+    j = n.crossJoin(marg)
+    p_o = F.try_divide(F.coalesce(F.col("agree"), F.lit(0)).cast("double"), F.col("n"))
+    p_e = F.try_divide(F.coalesce(F.col("mm"), F.lit(0)).cast("double"), F.col("n") * F.col("n"))
+    return j.select(F.col("n").cast("bigint").alias("n"), p_o.alias("p_o"), p_e.alias("p_e"),
+                    F.try_divide(p_o - p_e, F.lit(1.0) - p_e).alias("kappa"))
+
+
+def rater_accuracy(df: DataFrame, rater_cols: Sequence[str], truth_col: str) -> DataFrame:
+    """AGG15: share of correct choices per rater over its valid rows; empty -> 0."""
+    parts = []
+    for r in rater_cols:
+        ok = F.when(F.col(r).isNotNull(), (F.col(r) == F.col(truth_col)).cast("double"))
+        parts.append(df.agg(F.coalesce(F.avg(ok), F.lit(0.0)).alias("accuracy"),
+                            F.count(F.col(r)).alias("n")).withColumn("rater", F.lit(r)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def condition_stats(df: DataFrame, condition_cols: Sequence[str], value_col: str) -> DataFrame:
+    """AGG16: mean and population std of an outcome per condition across seeds."""
+    return df.groupBy(*condition_cols).agg(F.avg(value_col).alias("mean"),
+                                           F.stddev_pop(value_col).alias("std"),
+                                           F.count(F.lit(1)).alias("n"))
+
+
+def mean_correctness(df: DataFrame, correct_col: str = "correct") -> DataFrame:
+    """AGG17: correct / evaluated; 0 when nothing was evaluated."""
+    return df.agg(F.coalesce(F.avg(F.col(correct_col).cast("double")), F.lit(0.0)).alias("mean_correctness"),
+                  F.count(F.lit(1)).alias("n_evaluated"))
+
+
+def settings_average(df: DataFrame, hash_col: str, value_col: str, repeats: int = 4,
+                     true_mean: bool = False) -> DataFrame:
+    """AGG18: sum per setting hash divided by a fixed repeat count (or a true mean)."""
+    agg = F.avg(value_col) if true_mean else F.sum(value_col) / F.lit(float(repeats))
+    return df.groupBy(hash_col).agg(agg.alias("average"))
+
+
+def run_summary(logs: DataFrame, *, run_col: str = "run", ts_col: str = "timestamp", step_col: str = "step",
+                value_col: str = "value", first_n: int = 40) -> DataFrame:
+    """AGG19: elapsed = last - first time, mean value, last step, and mean / population
+    std of the first n rows of each run."""
+    main = logs.groupBy(run_col).agg(
+        (F.max(ts_col) - F.min(ts_col)).alias("elapsed"), F.avg(value_col).alias("mean_value"),
+        F.max_by(step_col, ts_col).alias("last_step"))
+    head = logs.where(F.col(step_col) <= first_n).groupBy(run_col).agg(
+        F.avg(value_col).alias(f"mean_first{first_n}"), F.stddev_pop(value_col).alias(f"std_first{first_n}"))
+    return main.join(head, on=run_col, how="left")
+
+
+def position_range_mean(df: DataFrame, group_cols: Sequence[str], pos_col: str, value_col: str,
+                        lo: int = 128, hi: int = 512) -> DataFrame:
+    """AGG23: mean over positions < lo versus positions >= hi."""
+    return df.groupBy(*group_cols).agg(
+        F.avg(F.when(F.col(pos_col) < lo, F.col(value_col))).alias(f"mean_below_{lo}"),
+        F.avg(F.when(F.col(pos_col) >= hi, F.col(value_col))).alias(f"mean_from_{hi}"))
+
+
+def trial_stats(df: DataFrame, setting_cols: Sequence[str], value_col: str, *, bytes_col: str,
+                start_col: str, end_col: str) -> DataFrame:
+    """AGG24: mean / population std per setting (7 places), total MiB, MiB/s, mean time."""
+    dur = F.col(end_col) - F.col(start_col)
+    return df.groupBy(*setting_cols).agg(
+        F.round(F.avg(value_col), 7).alias("mean"), F.round(F.stddev_pop(value_col), 7).alias("std"),
+        (F.sum(bytes_col) / F.lit(1048576.0)).alias("total_mib"),
+        F.try_divide(F.sum(bytes_col) / F.lit(1048576.0), F.max(end_col) - F.min(start_col)).alias("mib_per_s"),
+        F.avg(dur).alias("mean_time"))
+
+
+def pivot_settings(df: DataFrame, row_col: str, col_col: str, value_col: str, values: Sequence) -> DataFrame:
+    """AGG25: rows -> (row key x column key) matrix; 0 where absent.
+
+    Pivot values are passed explicitly (no extra distinct job)."""
+    p = df.groupBy(row_col).pivot(col_col, list(values)).agg(F.first(value_col))
+    return p.fillna(0, subset=[str(v) for v in values])
+
+
+def unpivot_metrics(df: DataFrame, id_cols: Sequence[str], metric_cols: Sequence[str]) -> DataFrame:
+    """SNK7/AGG22: numeric metric columns -> (ids, metric, value) rows; nulls dropped."""
+    cols = [F.col(c).cast("double").alias(c) for c in metric_cols]
+    x = df.select(*id_cols, *cols)
+    return x.unpivot(list(id_cols), list(metric_cols), "metric", "value").where(F.col("value").isNotNull())

@@ -253,3 +253,91 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RATINGS_SQL = ("SELECT doc_id AS idx1, doc_id + 1 AS idx2, quality AS r1, 1 - toxic AS r2, "
                "CAST(doc_id % 2 AS INTEGER) AS truth FROM labels")
+
+
+# --------------------------------------------------------------------------
+# token vectors and per-position similarity
+# --------------------------------------------------------------------------
+
+def n_embeddings(spark: SparkSession, sf_dir: str) -> int:
+    return read_table(spark, sf_dir, "embeddings").count()
+
+
+def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token_id, layer, vec): token -> embedding of vec_id = token_id % n_embeddings."""
+    n = n_embeddings(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").alias("layer"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    v = vocabulary(spark, sf_dir).select("token_id", (F.col("token_id") % n).alias("vec_id"))
+    return v.join(e, on="vec_id", how="inner").drop("vec_id")
+
+
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pos, layer, strategy, cos) for every token that has a successor.
+
+    Context vector at a position = own + next token vector; it is compared
+    with three unigram vectors: own, next and the constant vec of id 0.
+    """
+    from actlens.functions.columns import cosine
+    tv = token_vectors(spark, sf_dir)
+    toks = token_ids(spark, sf_dir).select("doc_id", "pos", "token_id")
+    own = toks.join(tv, on="token_id", how="inner").select("doc_id", "pos", "layer", F.col("vec").alias("own"))
+    nxt = toks.join(tv, on="token_id", how="inner").select(
+        "doc_id", (F.col("pos") - 1).alias("pos"), F.col("vec").alias("nxt"))
+    e0 = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == 0).select("embedding").first()
+    const = F.array(*[F.lit(float(x)) for x in e0["embedding"]])
+    j = own.join(nxt, on=["doc_id", "pos"], how="inner")
+    ctx = F.zip_with("own", "nxt", lambda a, b: a + b)
+    j = j.select("doc_id", "pos", "layer", ctx.alias("ctx"), "own", "nxt")
+    out = j.select("doc_id", "pos", "layer", F.explode(F.array(
+        F.struct(F.lit("own").alias("strategy"), cosine("ctx", "own").alias("cos")),
+        F.struct(F.lit("next").alias("strategy"), cosine("ctx", "nxt").alias("cos")),
+        F.struct(F.lit("const").alias("strategy"), cosine("ctx", const).alias("cos")))).alias("s"))
+    return out.select("doc_id", F.col("pos").cast("int").alias("pos"), "layer", "s.strategy", "s.cos")
+
+
+TOKEN_VEC_SQL = (
+    f"SELECT v.token_id, e.label AS layer, e.embedding::DOUBLE[] AS vec FROM ({VOCAB_SQL}) v "
+    "JOIN embeddings e ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings)")
+
+
+def _cos_sql(a: str, b: str) -> str:
+    return (f"list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-8) * "
+            f"greatest(sqrt(list_dot_product({b}, {b})), 1e-8))")
+
+
+SIMILARITY_SQL = f"""
+SELECT doc_id, pos, layer, strategy, cos FROM (
+ SELECT doc_id, pos, layer,
+        {_cos_sql('ctx', 'own')} AS c_own, {_cos_sql('ctx', 'nxt')} AS c_next, {_cos_sql('ctx', 'e0')} AS c_const
+ FROM (
+  SELECT t.doc_id, CAST(t.pos AS INTEGER) AS pos, o.layer, o.vec AS own, n.vec AS nxt,
+         list_transform(range(1, len(o.vec) + 1), lambda i: o.vec[i] + n.vec[i]) AS ctx,
+         (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0) AS e0
+  FROM ({TOKEN_IDS_SQL}) t
+  JOIN ({TOKEN_IDS_SQL}) t2 ON t2.doc_id = t.doc_id AND t2.pos = t.pos + 1
+  JOIN ({TOKEN_VEC_SQL}) o ON o.token_id = t.token_id
+  JOIN ({TOKEN_VEC_SQL}) n ON n.token_id = t2.token_id))
+UNPIVOT (cos FOR strategy IN (c_own AS 'own', c_next AS 'next', c_const AS 'const'))
+"""
+
+# run classes for the log-derived summaries (fixed labels)
+RUN_CLASSES = ("relu", "topk", "topk_experts")
+
+
+def run_class(run) -> F.Column:
+    r = run % 3
+    return F.when(r == 0, F.lit("relu")).when(r == 1, F.lit("topk")).otherwise(F.lit("topk_experts"))
+
+
+RUN_CLASS_SQL = "CASE run % 3 WHEN 0 THEN 'relu' WHEN 1 THEN 'topk' ELSE 'topk_experts' END"
+
+
+def n_experts_of(run) -> F.Column:
+    """Expert count of a run's settings: null, 2, 4 or 8 by run % 4."""
+    r = run % 4
+    return F.when(r == 0, F.lit(None).cast("int")).when(r == 1, F.lit(2)).when(r == 2, F.lit(4)).otherwise(F.lit(8))
+
+
+N_EXPERTS_SQL = "CASE run % 4 WHEN 0 THEN NULL WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 8 END"

@@ -32,4 +32,5 @@ def load_all() -> None:
     from actlens.plans import (  # noqa: F401
         q_interpret,
         q_relational,
+        q_statistics,
     )

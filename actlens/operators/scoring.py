@@ -425,3 +425,147 @@ def sampled_matmul(left: DataFrame, right: DataFrame, at: DataFrame, *, i_col: s
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, z: acc + z)
+
+
+def reconstruct(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None,
+                key_cols: Sequence[str] = ("sample_id", "pos"), vec_col: str = "vec",
+                keep_cols: Sequence[str] = ()) -> DataFrame:
+    """Encode and decode in the same Arrow pass: (keys, vec, recon, l0, l1).
+
+    No shuffle: the reconstruction of a row never leaves the batch that
+    scored it. ``l0`` counts latents > 0, ``l1`` sums |latent| per row.
+    Switch models scale the expert's decode by the winning probability.
+    """
+    d.check()
+    spark = df.sparkSession
+    bc = _broadcast(spark, d)
+    keys = list(key_cols) + [c for c in keep_cols if c not in key_cols]
+    base = [df.schema[c] for c in keys]
+    schema = T.StructType(base + [
+        T.StructField("vec", T.ArrayType(T.DoubleType(), False), False),
+        T.StructField("recon", T.ArrayType(T.DoubleType(), False), False),
+        T.StructField("l0", T.LongType(), False),
+        T.StructField("l1", T.DoubleType(), False)])
+    dim = d.d_in
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = bc.value
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            x = _vec_matrix(b.column(vec_col), dim)
+            r, e, f, v, pm = _encode_block(x, p, arch, k)
+            out = np.zeros((n, dim))
+            contrib = v[:, None] * p["dec"][f]
+            if arch in ("switch", "switch_topk"):
+                contrib = contrib * pm[:, None]
+            np.add.at(out, r, contrib)
+            out += p["pre_b"]
+            l0 = np.bincount(r[v > 0], minlength=n).astype(np.int64)
+            l1 = np.bincount(r, weights=np.abs(v), minlength=n)
+            offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
+            cols = [b.column(c) for c in keys]
+            cols += [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())),
+                     pa.ListArray.from_arrays(offsets, pa.array(out.ravel())),
+                     pa.array(l0), pa.array(l1)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+
+    return df.select(*keys, vec_col).mapInArrow(run, schema)
+
+
+def route(df: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sample_id", "pos"),
+          vec_col: str = "vec") -> DataFrame:
+    """Router probabilities as long rows (keys, expert, p, chosen) - n_experts rows per vector."""
+    if d.router is None:
+        raise ValueError("dictionary has no router")
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast({"router": d.router, "router_b": d.router_b})
+    keys = list(key_cols)
+    schema = T.StructType([df.schema[c] for c in keys] + [
+        T.StructField("expert", T.IntegerType(), False), T.StructField("p", T.DoubleType(), False),
+        T.StructField("chosen", T.BooleanType(), False)])
+    dim = d.d_in
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = bc.value
+        m = p["router"].shape[0]
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            x = _vec_matrix(b.column(vec_col), dim)
+            probs = _softmax((x - p["router_b"]) @ p["router"].T)
+            win = probs.argmax(axis=1)
+            take = pa.array(np.repeat(np.arange(n), m), pa.int64())
+            cols = [b.column(c).take(take) for c in keys]
+            cols += [pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(probs.ravel()),
+                     pa.array((np.tile(np.arange(m), n) == np.repeat(win, m)))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+
+    return df.select(*keys, vec_col).mapInArrow(run, schema)
+
+
+def contrastive_loss(df: DataFrame, *, group_col: str, a_col: str, b_col: str) -> DataFrame:
+    """MOD13: per group (a batch, bounded by the batch size) the mean of row-wise
+    and column-wise cross-entropy of logits a_i . b_j with diagonal targets."""
+    gschema = T.StructType([df.schema[group_col], T.StructField("loss", T.DoubleType(), False),
+                            T.StructField("n", T.LongType(), False)])
+
+    def per_group(tbl: pa.Table) -> pa.Table:
+        a = _vec_matrix(tbl.column(a_col), len(tbl.column(a_col)[0]))
+        bm = _vec_matrix(tbl.column(b_col), len(tbl.column(b_col)[0]))
+        if a.shape[0] != bm.shape[0]:
+            raise ValueError("logits must be square")
+        z = a @ bm.T
+        def ce(m):
+            mx = m.max(axis=1, keepdims=True)
+            lse = (mx[:, 0] + np.log(np.exp(m - mx).sum(axis=1)))
+            return float(np.mean(lse - np.diag(m)))
+        loss = (ce(z) + ce(z.T)) / 2
+        g = tbl.column(group_col)[0].as_py()
+        return pa.table({group_col: [g], "loss": [loss], "n": [a.shape[0]]},
+                        schema=pa.schema([pa.field(group_col, _arrow_type(gschema[group_col].dataType)),
+                                          pa.field("loss", pa.float64(), False), pa.field("n", pa.int64(), False)]))
+
+    return df.select(group_col, a_col, b_col).groupBy(group_col).applyInArrow(per_group, gschema)
+
+
+def aux_loss(df: DataFrame, d: Dictionary, dead_features: Sequence[int], *, k: int, k_aux: int,
+             penalty: float, batch_col: str = "batch_id", key_cols: Sequence[str] = ("sample_id", "pos"),
+             vec_col: str = "vec") -> DataFrame:
+    """MET9: reconstruct the residual of a top-k (relu) model from the top
+    min(k_aux, n_dead) dead features of each row; penalty * mse per batch.
+    Batches report 0 when no feature is dead."""
+    dead = np.array(sorted(set(int(f) for f in dead_features)), dtype=np.int64)
+    spark = df.sparkSession
+    bc = _broadcast(spark, d)
+    bdead = spark.sparkContext.broadcast(dead)
+    dim = d.d_in
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, dd = bc.value, bdead.value
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
+                continue
+            x = _vec_matrix(b.column(vec_col), dim)
+            acts = np.maximum((x - p["pre_b"]) @ p["enc"].T, 0.0)
+            idx, vals = _topk_rows(acts, k)
+            recon = np.einsum("nk,nkd->nd", vals, p["dec"][idx]) + p["pre_b"]
+            if len(dd) == 0:
+                se = np.zeros(n)
+            else:
+                a_dead = acts[:, dd]
+                ai, av = _topk_rows(a_dead, min(k_aux, len(dd)))
+                aux = np.einsum("nk,nkd->nd", av, p["dec"][dd[ai]])
+                se = ((aux - (x - recon)) ** 2).sum(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(batch_col), pa.array(se), pa.array(np.full(n, dim, dtype=np.int64))],
+                names=[batch_col, "se_aux", "n_dims"])
+
+    schema = T.StructType([df.schema[batch_col], T.StructField("se_aux", T.DoubleType(), False),
+                           T.StructField("n_dims", T.LongType(), False)])
+    rows = df.select(batch_col, vec_col).mapInArrow(run, schema)
+    return rows.groupBy(batch_col).agg(
+        (F.lit(float(penalty)) * F.sum("se_aux") / F.sum("n_dims")).alias("aux_loss"))

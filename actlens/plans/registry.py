@@ -33,4 +33,5 @@ def load_all() -> None:
         q_interpret,
         q_relational,
         q_statistics,
+        q_models,
     )

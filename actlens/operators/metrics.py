@@ -49,10 +49,9 @@ def batch_metrics(rows: DataFrame, group_cols: Sequence[str] = ("batch_id",)) ->
 def position_mse(rows: DataFrame, seq_len: int, *, group_cols: Sequence[str] = ("batch_id",),
                  pos_col: str = "pos") -> DataFrame:
     """MET4: mean row-mse per position; an absent position reports 0."""
-    spark = rows.sparkSession
     m = row_metrics(rows).groupBy(*group_cols, pos_col).agg(F.avg("mse_row").alias("position_mse"))
-    grid = rows.select(*group_cols).distinct().crossJoin(
-        F.broadcast(spark.range(seq_len).select(F.col("id").cast("int").alias(pos_col))))
+    grid = rows.select(*group_cols).distinct().withColumn(
+        pos_col, F.explode(F.sequence(F.lit(0), F.lit(seq_len - 1))))
     return grid.join(m, on=[*group_cols, pos_col], how="left") \
                .select(*group_cols, pos_col, F.coalesce("position_mse", F.lit(0.0)).alias("position_mse"))
 

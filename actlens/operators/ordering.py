@@ -181,3 +181,26 @@ def last_n_mean(df: DataFrame, group_cols: Sequence[str], step_col: str,
     w = Window.partitionBy(*group_cols).orderBy(F.col(step_col).desc())
     tail = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return tail.groupBy(*group_cols).agg(*[F.avg(c).alias(f"{c}_last{n}") for c in value_cols])
+
+
+def prefix_sum(df: DataFrame, order_cols: Sequence[ColLike], value_col: str, *,
+               group_cols: Sequence[str] = (), bucket: Column, name: str = "prefix",
+               inclusive: bool = False) -> DataFrame:
+    """Running sum of ``value_col`` inside each group in order (exclusive by default).
+
+    Same two-level scheme as ``running_index``: bucket totals are summed map-side
+    and cumulated over the small (group, bucket) table, then a window inside
+    each bucket finishes the sum.
+    """
+    order = [_c(c) for c in order_cols]
+    g = list(group_cols)
+    b = "__bucket"
+    x = df.withColumn(b, bucket)
+    tot = x.groupBy(*g, b).agg(F.sum(value_col).alias("__t"))
+    w_off = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*g, b, F.coalesce(F.sum("__t").over(w_off), F.lit(0)).alias("__off"))
+    end = 0 if inclusive else -1
+    w_in = Window.partitionBy(*g, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    x = x.withColumn("__in", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
+    out = x.join(offs, on=[*g, b], how="inner")
+    return out.withColumn(name, F.col("__off") + F.col("__in")).drop(b, "__off", "__in")

@@ -380,11 +380,9 @@ def expert_share(routes: DataFrame, n_experts: int, *, group_cols: Sequence[str]
     ``routes`` has one row per scored vector with columns expert, p_max.
     """
     g = list(group_cols)
-    spark = routes.sparkSession
-    experts = spark.range(n_experts).select(F.col("id").cast("int").alias("expert"))
     total = routes.groupBy(*g).agg(F.count(F.lit(1)).alias("_tot"))
     per = routes.groupBy(*g, "expert").agg(F.count(F.lit(1)).alias("_n"), F.avg("p_max").alias("mean_p_max"))
-    base = experts.crossJoin(total.select(*g, "_tot")) if g else experts.crossJoin(total)
+    base = total.withColumn("expert", F.explode(F.sequence(F.lit(0), F.lit(n_experts - 1))))
     out = base.join(per, on=[*g, "expert"], how="left")
     return out.select(*g, "expert",
                       (F.coalesce(F.col("_n"), F.lit(0)) / F.col("_tot")).alias("share"),
@@ -404,11 +402,10 @@ def sparse_t_dense_matmul(sp: DataFrame, dense: DataFrame, n_rows: int, *, row_c
                           index_col: str = "index", value_col: str = "value",
                           dense_row: str = "row", dim_col: str = "dim", x_col: str = "x") -> DataFrame:
     """JOI8: (sparse.T @ dense) with n_rows output rows; absent rows are zero."""
-    spark = sp.sparkSession
     j = sp.join(dense.withColumnRenamed(dense_row, row_col), on=row_col, how="inner")
     s = j.groupBy(index_col, dim_col).agg(F.sum(F.col(value_col) * F.col(x_col)).alias("out"))
     dims = dense.select(dim_col).distinct()
-    grid = spark.range(n_rows).select(F.col("id").alias(index_col)).crossJoin(F.broadcast(dims))
+    grid = dims.withColumn(index_col, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
     return grid.join(s, on=[index_col, dim_col], how="left") \
                .select(index_col, dim_col, F.coalesce(F.col("out"), F.lit(0.0)).alias("out"))
 

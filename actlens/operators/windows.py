@@ -79,9 +79,8 @@ def dead_features(latents: DataFrame, n_features: int, current_batch: int, batch
     g = list(group_cols)
     last = latents.where(F.col(value_col) > 0).groupBy(*g, feature_col) \
                   .agg(F.max(batch_col).alias("last_active"))
-    feats = spark.range(n_features).select(F.col("id").cast("int").alias(feature_col))
-    if g:
-        feats = feats.crossJoin(latents.select(*g).distinct())
+    seq = F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias(feature_col)
+    feats = latents.select(*g).distinct().select(*g, seq) if g else spark.range(1).select(seq)
     out = feats.join(last, on=[*g, feature_col], how="left")
     since = (F.lit(current_batch) - F.coalesce(F.col("last_active"), F.lit(0)) + F.lit(1)) * F.lit(batch_size)
     return out.select(*g, feature_col, F.col("last_active"), since.cast("bigint").alias("samples_since"),
@@ -111,11 +110,11 @@ def dead_history(latents: DataFrame, n_features: int, batch_size: int, threshold
     (window over the small (feature, batch) table, partitioned by feature).
     """
     spark = latents.sparkSession
-    batches = latents.select(batch_col).distinct()
-    feats = spark.range(n_features).select(F.col("id").cast("int").alias(feature_col))
+    grid = latents.select(batch_col).distinct().withColumn(
+        feature_col, F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
     act = latents.where(F.col(value_col) > 0).groupBy(feature_col, batch_col) \
                  .agg(F.lit(1).alias("_a"))
-    grid = feats.crossJoin(batches).join(act, on=[feature_col, batch_col], how="left")
+    grid = grid.join(act, on=[feature_col, batch_col], how="left")
     w = Window.partitionBy(feature_col).orderBy(batch_col).rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("_last", F.max(F.when(F.col("_a").isNotNull(), F.col(batch_col))).over(w))
     since = (F.col(batch_col) - F.coalesce(F.col("_last"), F.lit(0)) + F.lit(1)) * F.lit(batch_size)

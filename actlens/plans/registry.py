@@ -34,4 +34,5 @@ def load_all() -> None:
         q_relational,
         q_statistics,
         q_models,
+        q_text,
     )

@@ -55,7 +55,11 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
         raise ValueError("chunk length must be positive")
     L = chunk_len
     spark = docs.sparkSession
-    d = O.global_index(docs.select(doc_col).distinct(), [doc_col], name="_di")
+    ids = docs.select(doc_col).distinct()
+    numeric = dict(ids.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint")
+    # numeric ids bucket by id range without a scan; others size buckets from a scan
+    bucket = F.floor(F.col(doc_col) / F.lit(1 << 16)) if numeric else None
+    d = O.global_index(ids, [doc_col], bucket=bucket, name="_di")
     d = d.withColumn("_b", F.floor(F.col("_di") / F.lit(batch_docs)).cast("bigint"))
     counts = doc_tokens.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(counts, on=doc_col, how="left") \
@@ -77,6 +81,13 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
             F.transform(F.array_sort(F.collect_list(F.struct(F.col(p).alias("p"), F.col("_t").alias("t")))),
                         lambda s: s["t"]).alias("tokens"))
 
+    tlen = F.col("_total") - F.floor(F.col("_total") / F.lit(L)) * F.lit(L)
+    summary = totals.agg(F.max("_total").alias("mx"),
+                         F.sum(F.when(tlen > 0, tlen + F.lit(1))).alias("tail_total")).first()
+    max_total, tail_total = summary["mx"] or 0, summary["tail_total"] or 0
+    if require_nonempty and (max_total == 0 if return_final else (max_total < L and tail_total < L)):
+        raise ValueError("Not enough data to create a single complete batch. Either allow the final "
+                         "batch to be returned, or supply more data.")
     if return_final:
         out = assemble(stream, "_b", "_c", "_p")
     else:
@@ -86,16 +97,12 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
         tl = totals.select("_b", (F.col("_total") - F.floor(F.col("_total") / F.lit(L)) * F.lit(L)).alias("_tlen")) \
                    .where(F.col("_tlen") > 0).withColumn("_seg", F.col("_tlen") + F.lit(1))
         tl = O.prefix_sum(tl, ["_b"], "_seg", bucket=F.floor(F.col("_b") / F.lit(4096)), name="_soff")
-        tail_total = tl.agg(F.sum("_seg")).first()[0] or 0
         t_rows = tail.join(tl.select("_b", "_soff"), on="_b", how="inner") \
                      .select((F.col("_soff") + F.lit(1) + F.col("_tp")).alias("_q"), "_t")
         t_eos = tl.select(F.col("_soff").alias("_q"), F.lit(eos_id).cast("bigint").alias("_t"))
         t_stream = t_rows.unionByName(t_eos).withColumn("_tc", F.floor(F.col("_q") / F.lit(L)).cast("bigint")) \
                          .where(F.col("_tc") < F.lit(tail_total // L)).withColumn("_tb", F.lit(-1).cast("bigint"))
         out = full.unionByName(assemble(t_stream, "_tb", "_tc", "_q"))
-    if require_nonempty and out.isEmpty():
-        raise ValueError("Not enough data to create a single complete batch. Either allow the final "
-                         "batch to be returned, or supply more data.")
     return out
 
 

@@ -20,7 +20,17 @@ def query(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # timestamps are read and written as UTC; a reliable checkpoint folder exists
+            from actlens.session import checkpoint_dir, ensure_utc
+            ensure_utc(spark)
+            checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__ = getattr(fn, "__name__", name)
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

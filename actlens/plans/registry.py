@@ -45,4 +45,5 @@ def load_all() -> None:
         q_statistics,
         q_models,
         q_text,
+        q_io,
     )

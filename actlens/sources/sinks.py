@@ -23,3 +23,53 @@ def extract_features(df: DataFrame, d: scoring.Dictionary, arch: str, *, k: int
         w.parquet(out_path)
         return df.sparkSession.read.parquet(out_path)
     return lat
+
+
+def write_activations(df: DataFrame, path: str, *, partition_cols: Sequence[str] = ("run", "layer", "module"),
+                      expected_locations: DataFrame | None = None) -> DataFrame:
+    """SNK1: one Parquet dataset partitioned by location; returns the per-location
+    metadata rows. A location expected but without rows raises."""
+    parts = list(partition_cols)
+    df.write.mode("append").partitionBy(*parts).parquet(path)
+    meta = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.size("vec")).alias("d_in"))
+    if expected_locations is not None:
+        missing = expected_locations.join(meta, on=parts, how="left_anti").limit(1).collect()
+        if missing:
+            raise ValueError(f"no activations for location {missing[0].asDict()}")
+    return meta
+
+
+def save_sequence_activations(df: DataFrame, path: str, from_pos: int, pos_col: str = "pos") -> None:
+    """SNK11: store a text set's activations from position ``from_pos`` on."""
+    df.where(F.col(pos_col) >= from_pos).write.mode("overwrite").parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """SNK12: consume everything, store nothing (times the upstream plan)."""
+    df.write.format("noop").mode("overwrite").save()
+
+
+def skip_existing(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """SNK13: append only the key groups that the target does not hold yet;
+    returns what was appended."""
+    from actlens.sources.files import exists
+    spark = df.sparkSession
+    wanted = df.select(*keys).distinct()
+    if exists(path):
+        have = spark.read.parquet(path).select(*keys).distinct()
+        wanted = wanted.join(have, on=list(keys), how="left_anti")
+    # the missing key groups are few (models x layers): fix them before writing,
+    # so the returned frame does not change once the target holds them
+    missing = [tuple(r) for r in wanted.collect()]
+    if not missing:
+        return df.limit(0)
+    cond = None
+    for m in missing:
+        c = None
+        for k, v in zip(keys, m):
+            e = F.col(k).isNull() if v is None else (F.col(k) == F.lit(v))
+            c = e if c is None else (c & e)
+        cond = c if cond is None else (cond | c)
+    todo = df.where(cond)
+    todo.write.mode("append").partitionBy(*keys).parquet(path)
+    return spark.read.parquet(path).where(cond)

@@ -46,4 +46,5 @@ def load_all() -> None:
         q_models,
         q_text,
         q_io,
+        q_stream,
     )

@@ -462,3 +462,47 @@ def met11(spark, sf):
                     r6("sum_mse").alias("sum_mse"), r6("variance_prop_mse").alias("variance_proportional_mse"),
                     r6("loss").alias("loss"), r6("explained_variance").alias("explained_variance"),
                     r6("l0").alias("L0"), r6("input_mean").alias("input_mean"), r6("input_std").alias("input_std"))
+
+
+# ---------------------------------------------------------------- fitting (iterative: rows-only checks)
+
+def _fit_query(spark, sf, arch, k=None, n_experts=None, steps=4):
+    from actlens.operators import fit as FT
+    from actlens.operators import ordering as O
+    from actlens.sources.files import io_dir
+    a = C.activations(spark, sf).select("vec_id", "sample_id", "pos", "vec")
+    b = O.shuffle_batches(a, ["vec_id"], 42, 100, keep_tail=False)
+    path = io_dir(spark, f"fit-{arch}")
+    b.select("batch_id", "vec").write.partitionBy("batch_id").parquet(path)   # each step reads one partition
+    train = spark.read.parquet(path)
+    n_feat = 40 if arch == "switch_topk" else 32
+    est = FT.DictionaryEstimator(arch, n_feat, k=k, n_experts=n_experts, lr=1e-3, l1_coefficient=1e-3,
+                                 n_tokens=steps * 100)
+    res = est.fit(train)
+    return spark.createDataFrame([(h["step"], int(h["batch"]), float(h["loss"]), float(h["mse"]), int(h["tokens"]))
+                                  for h in res.history], "step INT, batch BIGINT, loss DOUBLE, mse DOUBLE, tokens BIGINT")
+
+
+@query("fit1_relu")
+def fit1_relu(spark, sf):
+    return _fit_query(spark, sf, "relu")
+
+
+@query("fit1_topk")
+def fit1_topk(spark, sf):
+    return _fit_query(spark, sf, "topk", k=4)
+
+
+@query("fit1_switch_topk")
+def fit1_switch(spark, sf):
+    return _fit_query(spark, sf, "switch_topk", k=2, n_experts=10)
+
+
+@query("fit2_batch_topk")
+def fit2_btk(spark, sf):
+    return _fit_query(spark, sf, "batch_topk", k=4)
+
+
+@query("fit2_jumprelu")
+def fit2_jump(spark, sf):
+    return _fit_query(spark, sf, "jumprelu")

@@ -30,18 +30,20 @@ def read_run_logs(spark: SparkSession, paths: str | Sequence[str], *, schema: T.
                   run_pattern: str = r"run=([^/]+)/") -> tuple[DataFrame, DataFrame]:
     """SRC7: (events, rejects). The run id comes from the file path; lines that
     do not parse are kept in ``rejects`` with their text, never fatal."""
-    df = spark.read.schema(schema).option("mode", "PERMISSIVE") \
-              .option("columnNameOfCorruptRecord", "_corrupt_record").json(paths)
-    df = df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 1))
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    # rejects: the same lines parsed as text (Spark refuses raw-JSON scans that need
-    # only the corrupt-record column); lines that do not parse keep their text
+    # lines are parsed with from_json over the text source: the same PERMISSIVE
+    # semantics as the JSON reader, and no restriction on queries that touch only
+    # the corrupt-record column
+    if "_corrupt_record" not in schema.fieldNames():
+        schema = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
     txt = spark.read.text(paths).where(F.trim("value") != "")
-    parsed = txt.select(F.col("_metadata.file_path").alias("_f"), "value",
+    parsed = txt.select(F.regexp_extract(F.col("_metadata.file_path"), run_pattern, 1).alias("run"),
+                        F.col("value").alias("_line"),
                         F.from_json("value", schema, {"mode": "PERMISSIVE",
                                                       "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
-    bad = parsed.where(F.col("j._corrupt_record").isNotNull()) \
-                .select(F.regexp_extract("_f", run_pattern, 1).alias("run"), F.col("value").alias("_corrupt_record"))
+    ok = F.col("j._corrupt_record").isNull()
+    fields = [f.name for f in schema.fields if f.name != "_corrupt_record"]
+    good = parsed.where(ok).select(*[F.col(f"j.{f}").alias(f) for f in fields], "run")
+    bad = parsed.where(~ok).select("run", F.col("_line").alias("_corrupt_record"))
     return good, bad
 
 

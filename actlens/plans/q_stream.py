@@ -31,7 +31,7 @@ def _drive(spark, df, round_col, name, make_stream, *, sink=None, out=None, fmt=
     stream = None
     for _ in _rounds(df, round_col, base, fmt):
         if stream is None:
-            stream = make_stream(SL.stream_files(spark, f"{base}/src/*", df.schema, fmt=fmt, max_files_per_trigger=1))
+            stream = make_stream(SL.stream_files(spark, f"{base}/src/*", df.schema, fmt=fmt, max_files_per_trigger=None))
         SL.run_available(stream, ckpt, sink=sink(base) if sink else None, path=out(base) if out else None,
                          output_mode=mode, name=f"{name}-{base[-6:]}")
     return base

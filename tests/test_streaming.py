@@ -13,7 +13,7 @@ def test_stream_topk_and_recut(spark, tmp_path):
     for b in range(4):
         df.where(F.col("batch_id") == b).write.parquet(f"{base}/src/round_{b:04d}")
         if stream is None:
-            stream = SS.stream_topk(SL.stream_files(spark, f"{base}/src/*", df.schema), 3)
+            stream = SS.stream_topk(SL.stream_files(spark, f"{base}/src/*", df.schema, max_files_per_trigger=None), 3)
         SL.run_available(stream, f"{base}/ck", sink=SL.upsert_sink(f"{base}/sink"), output_mode="update")
     out = spark.read.parquet(f"{base}/sink")
     last = out.groupBy("feature").agg(F.max("_batch").alias("_batch"))
@@ -37,7 +37,7 @@ def test_recutter_exactly_once(spark, tmp_path):
     for b in range(5):
         df.where(F.col("batch_id") == b).write.parquet(f"{base}/src/round_{b:04d}")
         if stream is None:
-            stream = SL.stream_files(spark, f"{base}/src/*", df.schema)
+            stream = SL.stream_files(spark, f"{base}/src/*", df.schema, max_files_per_trigger=None)
         SL.run_available(stream, f"{base}/ck", sink=r)
     r(df.where(F.col("batch_id") == 4), 4)          # a replayed micro-batch rewrites the same files
     r.flush()

@@ -143,7 +143,9 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
     sat = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
     scored = postings.join(dfreq, on="term").join(dl, on=doc_col).join(qt, on="term") \
                      .groupBy(query_col, doc_col).agg(F.sum(idf * sat).alias("score"))
-    w = Window.partitionBy(query_col).orderBy(F.col("score").desc(), F.col(doc_col))
+    # equal scores (exact copies of a document) may differ in the last bits with the
+    # summation order: scores equal to 9 decimals are ties, broken by doc id
+    w = Window.partitionBy(query_col).orderBy(F.round("score", 9).desc(), F.col(doc_col))
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 

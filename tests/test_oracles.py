@@ -16,10 +16,19 @@ def con():
     return duck(SF001)
 
 
+# first-n-long-texts queries require 50 texts over 6000 characters (sf0.001 has 13)
+NEEDS_50_LONG = {"prj7_long_texts", "prj13_pad_or_cut"}
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF001).toPandas()
     ddf = con.execute(ORACLES[name]).df()
+    if name in NEEDS_50_LONG and con.execute(
+            "SELECT count(*) FROM documents WHERE length(text) > 6000").fetchall()[0][0] < 50:
+        with pytest.raises(ValueError):
+            E.queries()[name](spark, SF001)
+        return
+    sdf = E.queries()[name](spark, SF001).toPandas()
     sc, sr = rows_of(sdf)
     dc, dr = rows_of(ddf)
     assert sc == dc

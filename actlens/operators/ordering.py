@@ -57,6 +57,7 @@ def running_index(df: DataFrame, order_cols: Sequence[ColLike], *,
     b = "__bucket"
     x = df.withColumn(b, bucket)
     counts = x.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__n"))
+    # (the counts and the window read the same ``x``: AQE reuses its shuffle stage)
     w_off = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*g, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
     w_in = Window.partitionBy(*g, b).orderBy(*order)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actlens.operators import ordering as O
+from actlens.session import materialize
 
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
@@ -26,12 +27,13 @@ MAX_BROADCAST_ROWS = 5_000_000
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda t: t != F.lit(""))
+    # array_remove is a compiled expression (a lambda filter is interpreted per element)
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def word_terms(text: Column) -> Column:
     """Lower-cased letter/digit runs (the lexical analyser of BM25)."""
-    return F.filter(F.split(F.lower(text), WORD_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), WORD_SPLIT), "")
 
 
 # ----------------------------------------------------------------------- TXT1
@@ -39,7 +41,7 @@ def word_terms(text: Column) -> Column:
 def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_id: int | None,
                  batch_docs: int = 2048, return_final: bool = False, doc_col: str = "doc_id",
                  pos_col: str = "pos", token_col: str = "token_id",
-                 require_nonempty: bool = True) -> DataFrame:
+                 require_nonempty: bool = True, doc_lengths: DataFrame | None = None) -> DataFrame:
     """Fixed-length token rows: (batch, chunk, tokens ARRAY<BIGINT>).
 
     Documents (in ``doc_col`` order) are processed in batches of
@@ -61,12 +63,16 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
     bucket = F.floor(F.col(doc_col) / F.lit(1 << 16)) if numeric else None
     d = O.global_index(ids, [doc_col], bucket=bucket, name="_di")
     d = d.withColumn("_b", F.floor(F.col("_di") / F.lit(batch_docs)).cast("bigint"))
-    counts = doc_tokens.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
+    # token count per document; callers that know it from the text pass it in, so
+    # the scalar jobs below never have to run the token pipeline
+    counts = doc_lengths.select(doc_col, F.col("n_tokens").alias("_n")) if doc_lengths is not None else \
+        doc_tokens.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
     d = d.join(counts, on=doc_col, how="left") \
          .withColumn("_len", F.coalesce("_n", F.lit(0)) + F.lit(1))
     # doc offset inside its batch: running sum over a bounded (batch_docs rows) group
     w = Window.partitionBy("_b").orderBy("_di").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_off", F.coalesce(F.sum("_len").over(w), F.lit(0))).select(doc_col, "_b", "_off", "_len")
+    d = materialize(d)  # one row per document, read by four consumers below
     toks = doc_tokens.join(d.select(doc_col, "_b", "_off"), on=doc_col, how="inner") \
         .select("_b", (F.col("_off") + F.lit(1) + F.col(pos_col)).alias("_p"), F.col(token_col).cast("bigint").alias("_t"))
     eos = d.select("_b", F.col("_off").alias("_p"), F.lit(eos_id).cast("bigint").alias("_t"))
@@ -89,21 +95,23 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
         raise ValueError("Not enough data to create a single complete batch. Either allow the final "
                          "batch to be returned, or supply more data.")
     if return_final:
-        out = assemble(stream, "_b", "_c", "_p")
-    else:
-        full = assemble(stream.where(F.col("_c") < F.col("_full")), "_b", "_c", "_p")
-        tail = stream.where(F.col("_c") >= F.col("_full")) \
-                     .withColumn("_tp", F.col("_p") - F.col("_full") * F.lit(L))
-        tl = totals.select("_b", (F.col("_total") - F.floor(F.col("_total") / F.lit(L)) * F.lit(L)).alias("_tlen")) \
-                   .where(F.col("_tlen") > 0).withColumn("_seg", F.col("_tlen") + F.lit(1))
-        tl = O.prefix_sum(tl, ["_b"], "_seg", bucket=F.floor(F.col("_b") / F.lit(4096)), name="_soff")
-        t_rows = tail.join(tl.select("_b", "_soff"), on="_b", how="inner") \
-                     .select((F.col("_soff") + F.lit(1) + F.col("_tp")).alias("_q"), "_t")
-        t_eos = tl.select(F.col("_soff").alias("_q"), F.lit(eos_id).cast("bigint").alias("_t"))
-        t_stream = t_rows.unionByName(t_eos).withColumn("_tc", F.floor(F.col("_q") / F.lit(L)).cast("bigint")) \
-                         .where(F.col("_tc") < F.lit(tail_total // L)).withColumn("_tb", F.lit(-1).cast("bigint"))
-        out = full.unionByName(assemble(t_stream, "_tb", "_tc", "_q"))
-    return out
+        return assemble(stream, "_b", "_c", "_p")
+    # tail segments ([EOS] + tail of each batch, batches in order): offsets over the
+    # small per-batch table; every token row gets its final (batch, chunk, position)
+    # in one projection, so the token stream is consumed once
+    tl = totals.select("_b", tlen.alias("_tlen")).where(F.col("_tlen") > 0) \
+               .withColumn("_seg", F.col("_tlen") + F.lit(1))
+    tl = O.prefix_sum(tl, ["_b"], "_seg", bucket=F.floor(F.col("_b") / F.lit(4096)), name="_soff")
+    in_full = F.col("_c") < F.col("_full")
+    s2 = stream.join(tl.select("_b", "_soff"), on="_b", how="left")
+    q = F.col("_soff") + F.lit(1) + F.col("_p") - F.col("_full") * F.lit(L)
+    s2 = s2.select(F.when(in_full, F.col("_b")).otherwise(F.lit(-1)).cast("bigint").alias("_ob"),
+                   F.when(in_full, F.col("_p")).otherwise(q).alias("_op"), "_t")
+    t_eos = tl.select(F.lit(-1).cast("bigint").alias("_ob"), F.col("_soff").alias("_op"),
+                      F.lit(eos_id).cast("bigint").alias("_t"))
+    rows = s2.unionByName(t_eos).withColumn("_oc", F.floor(F.col("_op") / F.lit(L)).cast("bigint"))
+    rows = rows.where((F.col("_ob") >= 0) | (F.col("_oc") < F.lit(tail_total // L)))
+    return assemble(rows, "_ob", "_oc", "_op")
 
 
 # ----------------------------------------------------------------------- TXT2
@@ -126,10 +134,10 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
                 query_text_col: str = "text") -> DataFrame:
     """Lexical top-k per query: sum over distinct query terms of
     idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5)/(df + 0.5))."""
-    doc_terms = docs.select(doc_col, F.explode(word_terms(F.col(text_col))).alias("term"))
-    dl = doc_terms.groupBy(doc_col).agg(F.count(F.lit(1)).alias("dl"))
-    stats = docs.select(doc_col).join(dl, on=doc_col, how="left") \
-                .agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).first()
+    terms = docs.select(doc_col, word_terms(F.col(text_col)).alias("_terms"))
+    dl = materialize(terms.select(doc_col, F.size("_terms").alias("dl")))   # per document, no shuffle
+    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
+    doc_terms = terms.select(doc_col, F.explode("_terms").alias("term"))
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
     q_terms = queries.select(query_col, F.explode(word_terms(F.col(query_text_col))).alias("term")).distinct()
     n_q = q_terms.count()
@@ -138,6 +146,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
     vocab = q_terms.select("term").distinct()
     postings = doc_terms.join(F.broadcast(vocab) if small else vocab, on="term", how="left_semi") \
                         .groupBy("term", doc_col).agg(F.count(F.lit(1)).alias("tf"))
+    postings = materialize(postings)  # only query-term postings: read by df and by scoring
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     sat = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))

@@ -210,16 +210,18 @@ RUN_LOG_SQL = (
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, token): non-empty parts of text split on whitespace."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = F.filter(F.split("text", WHITESPACE), lambda t: t != F.lit(""))
+    parts = F.array_remove(F.split("text", WHITESPACE), "")
     return d.select("doc_id", F.posexplode(parts).alias("pos", "token"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, token_id): token_id = 0-based rank in the sorted vocabulary."""
-    toks = doc_tokens(spark, sf_dir).select("token").distinct()
-    # a 3-character prefix is monotone in the byte order of strings
-    return ordering.running_index(toks, ["token"], bucket=F.substring("token", 1, 3),
-                                  name="token_id")
+    # a 3-character prefix is monotone in the byte order of strings; it is part of
+    # the distinct key so that both consumers of the vocabulary share its shuffle
+    toks = doc_tokens(spark, sf_dir).select("token", F.substring("token", 1, 3).alias("_pfx")).distinct()
+    from actlens.session import materialize
+    toks = materialize(toks)   # the distinct set is read twice by the running index
+    return materialize(ordering.running_index(toks, ["token"], bucket=F.col("_pfx"), name="token_id").drop("_pfx"))
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,17 @@ from pyspark.sql import SparkSession
 # UTC for all timestamp text, ANSI kept on (zero division must be explicit).
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
+    # joins are broadcast only on measured sizes (AQE, at runtime), never on
+    # planner estimates: a side that turns out large is shuffled instead
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,9 +64,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+RUNTIME_CONF = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
+                "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+                "spark.sql.adaptive.skewJoin.enabled")
+
+
 def ensure_utc(spark: SparkSession) -> None:
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Session settings the operators rely on (UTC text, AQE, measured-size broadcasts)."""
+    for key in RUNTIME_CONF:
+        if spark.conf.get(key, None) != BASE_CONF[key]:
+            spark.conf.set(key, BASE_CONF[key])
+
+
+def materialize(df, name: str = "stage"):
+    """Compute an intermediate once and cut its lineage: it is written as Parquet
+    into a fresh folder under the shared checkpoint folder and read back. Every
+    later consumer scans the written files, and a lost executor re-reads them
+    instead of recomputing the upstream plan. (``DataFrame.checkpoint`` would run
+    the plan twice: once to count, once to write.)"""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/actlens-stage/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def is_local(spark: SparkSession) -> bool:

@@ -105,12 +105,15 @@ def sample_cap(df: DataFrame, n_samples: int, batch_size: int, batch_col: str =
     return df.where(F.col(batch_col) <= F.lit(-(-n_samples // batch_size)))
 
 
-def row_cap(df: DataFrame, n: int, batch_col: str = "batch_id") -> DataFrame:
-    """BAT5: keep whole batches while the rows before them are <= n."""
+def row_cap(df: DataFrame, n: int, batch_col: str = "batch_id", *, bucket_width: int = 1 << 16) -> DataFrame:
+    """BAT5: keep whole batches while the rows before them are <= n.
+
+    The rows-before count is a bucketed prefix sum over the per-batch table
+    (one row per batch), so no window holds all batches."""
     counts = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_bn"))
-    w = Window.orderBy(batch_col).rowsBetween(Window.unboundedPreceding, -1)
-    keep = counts.select(batch_col, F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_before")) \
-                 .where(F.col("_before") <= F.lit(n)).select(batch_col)
+    before = prefix_sum(counts, [batch_col], "_bn", bucket=F.floor(F.col(batch_col) / F.lit(bucket_width)),
+                        name="_before")
+    keep = before.where(F.col("_before") <= F.lit(n)).select(batch_col)
     return df.join(keep, on=batch_col, how="left_semi")
 
 

@@ -137,7 +137,8 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
     terms = docs.select(doc_col, word_terms(F.col(text_col)).alias("_terms"))
     dl = materialize(terms.select(doc_col, F.size("_terms").alias("dl")))   # per document, no shuffle
     stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
-    doc_terms = terms.select(doc_col, F.explode("_terms").alias("term"))
+    # _outer: no inferred size() filter evaluated below the input spreading
+    doc_terms = terms.select(doc_col, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
     q_terms = queries.select(query_col, F.explode(word_terms(F.col(query_text_col))).alias("term")).distinct()
     n_q = q_terms.count()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,23 +48,58 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order: Sequence, name:
     return df.withColumn(name, F.row_number().over(w).cast("bigint"))
 
 
+def bucketed_lag(df: DataFrame, group_cols: Sequence[str], order_col: str, value_col: str,
+                 bucket: Column, name: str) -> DataFrame:
+    """Previous row's ``value_col`` inside each group, in ``order_col`` order.
+
+    ``bucket`` (monotone in the order) splits a group into slices: the lag runs
+    inside each (group, bucket) slice, and the first row of a slice takes the
+    last value of the previous non-empty slice from a small per-slice table.
+    A run holding a third of all rows is spread over its slices."""
+    g = list(group_cols)
+    x = df.withColumn("_lb", bucket)
+    w = Window.partitionBy(*g, "_lb").orderBy(order_col)
+    x = x.withColumn("_lag", F.lag(value_col).over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    last = x.groupBy(*g, "_lb").agg(F.max_by(value_col, order_col).alias("_last"))
+    carry = last.select(*g, "_lb", F.lag("_last").over(Window.partitionBy(*g).orderBy("_lb")).alias("_carry"))
+    out = x.join(carry, on=[*g, "_lb"], how="inner")
+    return out.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))) \
+              .drop("_lb", "_lag", "_first", "_carry")
+
+
 def rate_between_logs(logs: DataFrame, *, run_col: str = "run", ts_col: str = "timestamp",
-                      tokens_per_log: float = 1.0) -> DataFrame:
+                      tokens_per_log: float = 1.0, bucket_seconds: int = 3600) -> DataFrame:
     """WIN4: seconds since the previous log of the run and tokens/s over that gap."""
-    w = Window.partitionBy(run_col).orderBy(ts_col)
-    gap = F.col(ts_col) - F.lag(ts_col).over(w)
-    return logs.withColumn("elapsed", gap) \
+    prev = bucketed_lag(logs, [run_col], ts_col, ts_col, F.floor(F.col(ts_col) / F.lit(bucket_seconds)), "_prev_ts")
+    return prev.withColumn("elapsed", F.col(ts_col) - F.col("_prev_ts")).drop("_prev_ts") \
                .withColumn("tokens_per_s", F.try_divide(F.lit(float(tokens_per_log)), F.col("elapsed")))
 
 
 def moving_average(df: DataFrame, value_col: str, order_col: str, w: int, *,
-                   group_cols: Sequence[str] = (), name: str | None = None) -> DataFrame:
-    """WIN5: flat moving mean, 'valid' mode (only full windows are returned)."""
-    spec = Window.partitionBy(*group_cols).orderBy(order_col)
-    frame = spec.rowsBetween(-(w - 1), 0)
-    out = df.withColumn(name or f"{value_col}_ma{w}", F.avg(value_col).over(frame)) \
-            .withColumn("_rn", F.row_number().over(spec))
-    return out.where(F.col("_rn") >= w).drop("_rn")
+                   group_cols: Sequence[str] = (), name: str | None = None,
+                   index_col: str | None = None, slice_rows: int = 1 << 16) -> DataFrame:
+    """WIN5: flat moving mean, 'valid' mode (only full windows are returned).
+
+    With ``index_col`` (a dense 1-based position inside the group) the group
+    is cut into slices of ``slice_rows`` rows and each slice also receives the
+    w - 1 rows before it (a halo), so windows never span a whole group and the
+    result is exact."""
+    out_name = name or f"{value_col}_ma{w}"
+    if index_col is None:
+        spec = Window.partitionBy(*group_cols).orderBy(order_col)
+        out = df.withColumn(out_name, F.avg(value_col).over(spec.rowsBetween(-(w - 1), 0))) \
+                .withColumn("_rn", F.row_number().over(spec))
+        return out.where(F.col("_rn") >= w).drop("_rn")
+    if w - 1 > slice_rows:
+        raise ValueError("window longer than a slice")
+    i0 = F.col(index_col) - F.lit(1)
+    own = df.withColumn("_slice", F.floor(i0 / F.lit(slice_rows))).withColumn("_halo", F.lit(False))
+    halo = df.where((i0 % F.lit(slice_rows)) >= F.lit(slice_rows - (w - 1))) \
+             .withColumn("_slice", F.floor(i0 / F.lit(slice_rows)) + F.lit(1)).withColumn("_halo", F.lit(True))
+    both = own.unionByName(halo)
+    spec = Window.partitionBy(*group_cols, "_slice").orderBy(index_col).rowsBetween(-(w - 1), 0)
+    out = both.withColumn(out_name, F.avg(value_col).over(spec))
+    return out.where(~F.col("_halo") & (F.col(index_col) >= F.lit(w))).drop("_slice", "_halo")
 
 
 def dead_features(latents: DataFrame, n_features: int, current_batch: int, batch_size: int,

@@ -211,7 +211,9 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, token): non-empty parts of text split on whitespace."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     parts = F.array_remove(F.split("text", WHITESPACE), "")
-    return d.select("doc_id", F.posexplode(parts).alias("pos", "token"))
+    # the _outer form keeps Spark from inferring a size(split(text)) > 0 filter and
+    # pushing it below the input spreading (the split would run twice, once unspread)
+    return d.select("doc_id", F.posexplode_outer(parts).alias("pos", "token")).where(F.col("token").isNotNull())
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

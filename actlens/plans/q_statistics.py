@@ -422,7 +422,7 @@ SELECT run, step, round(ma, 6) AS value_ma10 FROM (
         row_number() OVER (PARTITION BY run ORDER BY step) AS rn FROM ({LOG})) WHERE rn >= 10
 """)
 def win5(spark, sf):
-    m = W.moving_average(C.run_log(spark, sf), "value", "step", 10, group_cols=["run"])
+    m = W.moving_average(C.run_log(spark, sf), "value", "step", 10, group_cols=["run"], index_col="step")
     return m.select("run", "step", r6("value_ma10").alias("value_ma10"))
 
 

@@ -138,23 +138,40 @@ def inactive_batches(latents: DataFrame, n_features: int, current_batch: int, n:
 
 def dead_history(latents: DataFrame, n_features: int, batch_size: int, threshold: int, *,
                  batch_col: str = "batch_id", feature_col: str = "feature",
-                 value_col: str = "value") -> DataFrame:
+                 value_col: str = "value", bucket_width: int = 1 << 16) -> DataFrame:
     """WIN6 per step: share of dead features after every batch.
 
-    Running max of the last active batch per feature over the batch clock
-    (window over the small (feature, batch) table, partitioned by feature).
+    A feature is dead at batch b when (b - last + 1) * batch_size >= threshold,
+    last = its latest active batch <= b (0 before any activity). Between two
+    activations p < c it is dead on [p + w - 1, c - 1] with w = ceil(threshold /
+    batch_size); after its last activation from last + w - 1 on. These
+    intervals become +1 / -1 events, and a bucketed prefix sum over the batch
+    axis counts the dead features at each batch: the work grows with the
+    activity rows, never with features x batches.
     """
-    spark = latents.sparkSession
-    grid = latents.select(batch_col).distinct().withColumn(
-        feature_col, F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))))
-    act = latents.where(F.col(value_col) > 0).groupBy(feature_col, batch_col) \
-                 .agg(F.lit(1).alias("_a"))
-    grid = grid.join(act, on=[feature_col, batch_col], how="left")
-    w = Window.partitionBy(feature_col).orderBy(batch_col).rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("_last", F.max(F.when(F.col("_a").isNotNull(), F.col(batch_col))).over(w))
-    since = (F.col(batch_col) - F.coalesce(F.col("_last"), F.lit(0)) + F.lit(1)) * F.lit(batch_size)
-    return grid.groupBy(batch_col).agg(
-        F.avg((since >= F.lit(threshold)).cast("double")).alias("dead_pct"))
+    from actlens.operators.ordering import prefix_sum
+    w = -(-threshold // batch_size)
+    act = latents.where(F.col(value_col) > 0).select(feature_col, batch_col).distinct()
+    prev = bucketed_lag(act, [feature_col], batch_col, batch_col,
+                        F.floor(F.col(batch_col) / F.lit(bucket_width)), "_prev")
+    start = F.coalesce(F.col("_prev"), F.lit(0)) + F.lit(w - 1)
+    gaps = prev.select(start.alias("_s"), (F.col(batch_col) - F.lit(1)).alias("_e")).where(F.col("_e") >= F.col("_s"))
+    last = act.groupBy(feature_col).agg(F.max(batch_col).alias("_last"))
+    n_active = last.agg(F.count(F.lit(1)).alias("n")).select(F.col("n"))
+    opens = last.select((F.col("_last") + F.lit(w - 1)).alias("_at"), F.lit(1).alias("_d"))
+    never = n_active.select(F.lit(w - 1).cast("bigint").alias("_at"),
+                            (F.lit(n_features) - F.col("n")).alias("_d"))
+    events = gaps.select(F.col("_s").alias("_at"), F.lit(1).alias("_d")) \
+        .unionByName(gaps.select((F.col("_e") + F.lit(1)).alias("_at"), F.lit(-1).alias("_d"))) \
+        .unionByName(opens).unionByName(never.select(F.col("_at").cast("bigint"), F.col("_d").cast("int")))
+    batches = latents.select(F.col(batch_col).alias("_at")).distinct().withColumn("_d", F.lit(0))
+    delta = events.withColumn("_at", F.col("_at").cast("bigint")).unionByName(batches) \
+                  .groupBy("_at").agg(F.sum("_d").alias("_d"))
+    present = batches.select("_at").withColumn("_present", F.lit(True))
+    counted = prefix_sum(delta, ["_at"], "_d", bucket=F.floor(F.col("_at") / F.lit(bucket_width)),
+                         name="_dead", inclusive=True)
+    out = counted.join(present, on="_at", how="inner")
+    return out.select(F.col("_at").alias(batch_col), (F.col("_dead") / F.lit(float(n_features))).alias("dead_pct"))
 
 
 def first_k_steps(df: DataFrame, *, step_col: str = "step", pos_col: str | None = "pos",

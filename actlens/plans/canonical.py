@@ -168,8 +168,11 @@ LATENT_KEYS = ("vec_id", "sample_id", "pos", "batch_id")
 
 
 def latents(spark: SparkSession, sf_dir: str, k: int = TOPK) -> DataFrame:
+    """The stored latents table: encoded once (Arrow scoring), written under the
+    checkpoint folder, then read by every consumer (top-k, activity, pairs...)."""
+    from actlens.session import materialize
     d = dictionary(spark, sf_dir)
-    return scoring.encode(activations(spark, sf_dir), d, "topk", k=k, key_cols=LATENT_KEYS)
+    return materialize(scoring.encode(activations(spark, sf_dir), d, "topk", k=k, key_cols=LATENT_KEYS), "latents")
 
 
 def latents_sql(k: int = TOPK) -> str:

@@ -108,3 +108,21 @@ def test_bucketed_lag_equals_plain(spark):
     exp = df.withColumn("prev", F.lag("ts").over(Window.partitionBy("g").orderBy("ts")))
     assert sorted(map(tuple, got.select("g", "ts", "prev").collect()), key=str) == \
         sorted(map(tuple, exp.select("g", "ts", "prev").collect()), key=str)
+
+
+def test_dead_history_matches_grid(spark):
+    import numpy as np
+    from actlens.operators import windows as W
+    rng = np.random.default_rng(5)
+    rows = [(int(b), int(f), 1.0) for b in range(0, 40, 2) for f in range(12) if rng.random() < 0.15 * (f % 4)]
+    rows.append((0, 0, -1.0))
+    lat = spark.createDataFrame(rows, "batch_id BIGINT, feature INT, value DOUBLE")
+    got = {r.batch_id: r.dead_pct for r in W.dead_history(lat, 12, 10, 35).collect()}
+    batches = sorted({b for b, _, _ in rows})
+    for b in batches:
+        dead = 0
+        for f in range(12):
+            act = [bb for bb, ff, v in rows if ff == f and v > 0 and bb <= b]
+            last = max(act) if act else 0
+            dead += (b - last + 1) * 10 >= 35
+        assert abs(got[b] - dead / 12) < 1e-12, b

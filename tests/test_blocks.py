@@ -87,3 +87,11 @@ def test_unsupported_dtype(spark):
     with pytest.raises(ValueError):
         B.metadata_of(spark.range(1).selectExpr("0 as batch_id", "0 as sample_id", "0 as pos", "array(1.0) as vec"),
                       dtype="int8")
+
+
+def test_read_single_block_by_id(spark, tmp_path):
+    blocks = [np.full((32, 16, 9), i, dtype="<f4") for i in range(3)]
+    _write_run(str(tmp_path), blocks, META)
+    rows = B.read_activation_blocks(spark, str(tmp_path), block_ids=[1]).collect()
+    assert len(rows) == 32 * 16 and {float(r.vec[0]) for r in rows} == {1.0}
+    assert min(r.sample_id for r in rows) == 32

@@ -79,3 +79,12 @@ def test_append_batches_column_check(spark):
     a = spark.range(2)
     with pytest.raises(ValueError):
         append_batches(a, a.withColumnRenamed("id", "x"))
+
+
+def test_url_list_size_filter_and_dedupe(spark, tmp_path):
+    from actlens.sources.media import read_url_list
+    df = spark.createDataFrame([("u1", "a", 100, 100), ("u1", "b", 100, 100), ("u2", "c", 10, 300), (None, "d", 99, 99)],
+                               "URL STRING, TEXT STRING, WIDTH INT, HEIGHT INT")
+    df.write.parquet(str(tmp_path / "urls"))
+    got = sorted(tuple(r) for r in read_url_list(spark, str(tmp_path / "urls")).collect())
+    assert got == [("u1", "a")]

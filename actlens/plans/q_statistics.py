@@ -476,3 +476,22 @@ def win7(spark, sf):
 def win8(spark, sf):
     s = W.first_k_steps(C.run_log(spark, sf), pos_col=None)
     return s.select("run", "step", r6("value").alias("value"))
+
+
+@query("fn14_json_shapes", f"""
+WITH h AS ({_hist_sql(PARAMS_LONG_SQL, 25, "param")})
+SELECT param, CAST(count(*) AS INTEGER) AS n_counts, CAST(count(*) + 1 AS INTEGER) AS n_edges,
+       CAST(sum(count) AS DOUBLE) AS total, min(edge_lo) AS first_edge, max(edge_hi) AS last_edge FROM h GROUP BY param
+""")
+def fn14(spark, sf):
+    """Histogram events as nested {counts, edges} structs, written as JSON text and parsed back."""
+    from pyspark.sql import types as T
+    h = A.histogram(params_long(spark, sf), "x", 25, group_cols=["param"])
+    ev = A.histogram_event(h, ["param"]).select("param", F.to_json(F.struct(F.col("hist"))).alias("json"))
+    schema = T.StructType([T.StructField("hist", T.StructType([
+        T.StructField("counts", T.ArrayType(T.DoubleType())), T.StructField("edges", T.ArrayType(T.DoubleType()))]))])
+    back = ev.select("param", F.from_json("json", schema).alias("j"))
+    c, e = F.col("j.hist.counts"), F.col("j.hist.edges")
+    return back.select("param", F.size(c).alias("n_counts"), F.size(e).alias("n_edges"),
+                       F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias("total"),
+                       r6(e[0]).alias("first_edge"), r6(F.element_at(e, -1)).alias("last_edge"))

@@ -88,3 +88,21 @@ def test_url_list_size_filter_and_dedupe(spark, tmp_path):
     df.write.parquet(str(tmp_path / "urls"))
     got = sorted(tuple(r) for r in read_url_list(spark, str(tmp_path / "urls")).collect())
     assert got == [("u1", "a")]
+
+
+def test_predictions_json_array_last_write_wins(spark, tmp_path):
+    from actlens.sources.reports import read_predictions
+    p = tmp_path / "preds.json"
+    p.write_text(json.dumps([{"idx1": 1, "idx2": 2, "prediction": 1, "seq": 0},
+                             {"idx1": 1, "idx2": 2, "prediction": 2, "seq": 1},
+                             {"idx1": 3, "idx2": 4, "prediction": 3, "seq": 0}]))
+    got = sorted(tuple(r) for r in read_predictions(spark, str(p), multiline=True).select("idx1", "idx2", "prediction").collect())
+    assert got == [(1, 2, 2), (3, 4, 3)]
+
+
+def test_legacy_cosine_table(spark, tmp_path):
+    from actlens.sources.reports import read_legacy_cosine_table
+    p = tmp_path / "layer_3.json"
+    p.write_text(json.dumps({"own": [[0.5, 0.25], [1.0]], "next": [[0.1]]}))
+    got = sorted(tuple(r) for r in read_legacy_cosine_table(spark, str(p), 3).collect())
+    assert got == [(3, "next", 0, 0, 0.1), (3, "own", 0, 0, 0.5), (3, "own", 0, 1, 0.25), (3, "own", 1, 0, 1.0)]

@@ -236,6 +236,9 @@ class DictionaryEstimator:
 
     def _step_sums(self, batch: DataFrame, params: dict, vec_col: str, n_total: int) -> tuple[dict, dict]:
         spark = batch.sparkSession
+        from actlens.operators.scoring import MAX_BROADCAST_BYTES
+        if sum(v.nbytes for v in params.values()) > MAX_BROADCAST_BYTES:
+            raise ValueError("model larger than the broadcast limit")
         bc = spark.sparkContext.broadcast(params)
         arch, k, l1 = self.arch, self.k, self.l1
         fit1 = arch in FIT1_ARCHS

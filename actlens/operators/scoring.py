@@ -477,6 +477,8 @@ def route(df: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sample_id
     if d.router is None:
         raise ValueError("dictionary has no router")
     spark = df.sparkSession
+    if d.router.nbytes + d.router_b.nbytes > MAX_BROADCAST_BYTES:
+        raise ValueError("router larger than the broadcast limit")
     bc = spark.sparkContext.broadcast({"router": d.router, "router_b": d.router_b})
     keys = list(key_cols)
     schema = T.StructType([df.schema[c] for c in keys] + [

@@ -47,14 +47,16 @@ def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[
     bounds = bounds.select(*g,
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
-    # one row per group (few groups: parameters, experts): broadcast by key
+    # without groups the bounds are one row (broadcast); with groups they are one
+    # row per group and AQE broadcasts them only if their measured size is small
     keys = g if g else ["_one"]
     if not g:
         bounds = bounds.withColumn("_one", F.lit(0))
         vals = df.select(v.alias("_v"), F.lit(0).alias("_one"))
+        x = vals.join(F.broadcast(bounds), on=keys, how="inner")
     else:
         vals = df.select(*g, v.alias("_v"))
-    x = vals.join(F.broadcast(bounds), on=keys, how="inner")
+        x = vals.join(bounds, on=keys, how="inner")
     raw = F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))
     x = x.withColumn("bin", (F.least(raw, F.lit(bins - 1)) + 1).cast("int"))
     grid = bounds.select(*keys, "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))

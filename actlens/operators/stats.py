@@ -222,6 +222,18 @@ def pivot_settings(df: DataFrame, row_col: str, col_col: str, value_col: str, va
     return p.fillna(0, subset=[str(v) for v in values])
 
 
+def pivot_metrics(logs: DataFrame, id_cols: Sequence[str], step_col: str, metric_cols: Sequence[str], *,
+                  bucket_steps: int = 1 << 16) -> DataFrame:
+    """AGG22: every metric of every run as an ordered series (run, metric, idx, step, value).
+
+    The series stays in long form with its position ``idx`` (a bucketed running
+    index over steps), so a long run is never gathered into one list."""
+    from actlens.operators.ordering import running_index
+    long = unpivot_metrics(logs, [*id_cols, step_col], metric_cols)
+    return running_index(long, [step_col], group_cols=[*id_cols, "metric"],
+                         bucket=F.floor(F.col(step_col) / F.lit(bucket_steps)), name="idx")
+
+
 def unpivot_metrics(df: DataFrame, id_cols: Sequence[str], metric_cols: Sequence[str]) -> DataFrame:
     """SNK7/AGG22: numeric metric columns -> (ids, metric, value) rows; nulls dropped."""
     cols = [F.col(c).cast("double").alias(c) for c in metric_cols]

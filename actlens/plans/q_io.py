@@ -302,18 +302,15 @@ def src11(spark, sf):
     lat = C.latents(spark, sf)
     a = C.activations(spark, sf)
     base = io_dir(spark, "src11")
-    # value parts and path parts are written as separate files per batch: latents_{b}.parquet / file_paths_{b}.json
-    batches = [r["batch_id"] for r in a.select("batch_id").distinct().collect()]  # parts: few
-    for b in batches:
-        lat.where(F.col("batch_id") == b).select(F.col("vec_id") % 100 .alias("row_in_file") if False else
-                                                 (F.col("vec_id") % 100).alias("row_in_file"), "feature", "value") \
-           .coalesce(1).write.mode("overwrite").parquet(f"{base}/latents_{b}.parquet")
-        a.where(F.col("batch_id") == b).select((F.col("vec_id") % 100).alias("row_in_file"),
-                                               C.image_path(F.col("vec_id")).alias("path")) \
-         .coalesce(1).write.mode("overwrite").json(f"{base}/file_paths_{b}.json")
-    values = spark.read.parquet(f"{base}/latents_*.parquet").withColumn("_file", F.col("_metadata.file_path"))
-    names = spark.read.json(f"{base}/file_paths_*.json").withColumn("_file", F.col("_metadata.file_path"))
-    z = R.zip_sidecars(values, names, key_pattern=r"_(\d+)\.(?:parquet|json)/")
+    # value parts and path parts are written as separate files per batch (one write each,
+    # partitioned by batch); the pairing only uses the batch number in the file path
+    lat.select("batch_id", (F.col("vec_id") % 100).alias("row_in_file"), "feature", "value") \
+       .write.partitionBy("batch_id").parquet(f"{base}/latents")
+    a.select("batch_id", (F.col("vec_id") % 100).alias("row_in_file"), C.image_path(F.col("vec_id")).alias("path")) \
+     .write.partitionBy("batch_id").json(f"{base}/file_paths")
+    values = spark.read.parquet(f"{base}/latents").drop("batch_id").withColumn("_file", F.col("_metadata.file_path"))
+    names = spark.read.json(f"{base}/file_paths").drop("batch_id").withColumn("_file", F.col("_metadata.file_path"))
+    z = R.zip_sidecars(values, names, key_pattern=r"batch_id=(\d+)/")
     return z.select((F.col("batch_key") * 100 + F.col("row_in_file")).alias("vec_id"), "feature",
                     F.round("value", 6).alias("value"), "path")
 

@@ -362,11 +362,8 @@ SELECT run, metric, CAST(row_number() OVER (PARTITION BY run, metric ORDER BY st
  UNION ALL SELECT run, step, 'k' AS metric, CAST(k AS DOUBLE) AS v FROM ({LOG}) WHERE k IS NOT NULL)
 """)
 def agg22(spark, sf):
-    long = A.unpivot_metrics(C.run_log(spark, sf), ["run", "step"], ["value", "k"])
-    lists = long.groupBy("run", "metric").agg(
-        F.array_sort(F.collect_list(F.struct("step", "value"))).alias("points"))
-    return lists.select("run", "metric", F.posexplode("points").alias("idx", "p")) \
-                .select("run", "metric", "idx", F.col("p.step").alias("step"), r6("p.value").alias("v"))
+    series = A.pivot_metrics(C.run_log(spark, sf), ["run"], "step", ["value", "k"])
+    return series.select("run", "metric", F.col("idx").cast("int").alias("idx"), "step", r6("value").alias("v"))
 
 
 @query("agg24_trial_stats", f"""

@@ -16,13 +16,22 @@ from actlens.streaming import state as SS
 ACT = C.ACT_SQL
 
 
+MAX_ROUNDS = 8
+
+
 def _rounds(df, round_col, base, fmt="parquet"):
-    """Write each value of ``round_col`` (few: source batches) to its own folder, in order."""
-    values = sorted(r[0] for r in df.select(round_col).distinct().collect())
-    for v in values:
-        w = df.where(F.col(round_col) == v).write.mode("overwrite")
-        getattr(w, fmt)(f"{base}/src/round_{int(v):08d}")
-        yield v
+    """Deliver the data in at most MAX_ROUNDS arrivals: contiguous ranges of
+    ``round_col`` values, in order, one folder each (nothing is dropped)."""
+    lo, hi = df.agg(F.min(round_col), F.max(round_col)).first()
+    if lo is None:
+        return
+    span = int(hi) - int(lo) + 1
+    rounds = min(MAX_ROUNDS, span)
+    r = F.floor((F.col(round_col) - F.lit(int(lo))) * F.lit(rounds) / F.lit(span))
+    for i in range(rounds):
+        w = df.where(r == i).write.mode("overwrite")
+        getattr(w, fmt)(f"{base}/src/round_{i:08d}")
+        yield i
 
 
 def _drive(spark, df, round_col, name, make_stream, *, sink=None, out=None, fmt="parquet", mode="append"):

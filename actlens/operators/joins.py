@@ -45,20 +45,31 @@ def exclude_join(candidates: DataFrame, *excluded: DataFrame, keys: Sequence[str
 
 
 def feature_pairs(features: DataFrame, n: int, seed: int, col: str = "feature") -> DataFrame:
-    """JOI5: n distinct unordered pairs a < b among features, chosen by a seeded hash.
+    """JOI5: n distinct unordered pairs (f1 < f2) of features, chosen by a seeded permutation.
 
-    The theta self-join is over the feature set (model-sized, not data-sized);
-    fewer possible pairs than n -> ValueError.
+    Features are ranked by md5(seed:feature) (a permutation perm of m features);
+    round j = 1, 2, ... pairs perm[i] with perm[(i + j) mod m]. Rounds j < m/2
+    give m new pairs each, round j = m/2 (m even) gives m/2; the first n pairs
+    in (round, i) order are returned. Only ceil(n / m) rounds are generated:
+    the m(m-1)/2 pairs are never formed. Fewer possible pairs than n -> ValueError.
     """
-    from actlens.operators.ordering import seeded_key
-    f = features.select(F.col(col)).distinct()
+    from actlens.operators.ordering import running_index, seeded_key
+    f = features.select(F.col(col).alias("_f")).distinct()
     m = f.count()
     if m * (m - 1) // 2 < n:
         raise ValueError(f"only {m * (m - 1) // 2} pairs possible, {n} wanted")
-    a = f.select(F.col(col).alias("f1"))
-    b = f.select(F.col(col).alias("f2"))
-    pairs = a.join(b, F.col("f1") < F.col("f2"), "inner")
-    return pairs.withColumn("_k", seeded_key(["f1", "f2"], seed)).orderBy("_k", "f1", "f2").limit(n).drop("_k")
+    perm = running_index(f.withColumn("_h", seeded_key(["_f"], seed)), ["_h", "_f"],
+                         bucket=F.substring("_h", 1, 2), name="_i")
+    rounds = -(-n // m) + 1
+    a = perm.select(F.col("_f").alias("_a"), F.col("_i").alias("_ai")) \
+            .withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    a = a.withColumn("_bi", (F.col("_ai") + F.col("_j")) % F.lit(m))
+    b = perm.select(F.col("_f").alias("_b"), F.col("_i").alias("_bi"))
+    pairs = a.join(b, on="_bi", how="inner") \
+             .where(~((F.lit(2) * F.col("_j") == F.lit(m)) & (F.col("_ai") >= F.col("_j"))) &
+                    (F.lit(2) * F.col("_j") <= F.lit(m)))
+    out = pairs.select(F.least("_a", "_b").alias("f1"), F.greatest("_a", "_b").alias("f2"), "_j", "_ai")
+    return out.orderBy("_j", "_ai").limit(n).select("f1", "f2")
 
 
 def sweep_grid(base: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:

@@ -27,14 +27,16 @@ def _c(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def default_bucket(df: DataFrame, key: str, rows_per_bucket: int = 1 << 20) -> Column:
-    """Equal-width bucket of an integral key sized from a min/max/count scan."""
+def default_bucket(df: DataFrame, key: str, rows_per_bucket: int = 1 << 20,
+                   max_buckets: int = 100_000) -> Column:
+    """Equal-width bucket of an integral key sized from a min/max/count scan
+    (at most ``max_buckets`` buckets, so the offsets table stays small)."""
     row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
                  F.count(F.lit(1)).alias("n")).first()
     lo, hi, n = row["lo"], row["hi"], row["n"]
     if n == 0 or lo is None:
         return F.lit(0).cast("bigint")
-    n_buckets = max(1, -(-n // rows_per_bucket))
+    n_buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
     width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
     return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
 

@@ -58,8 +58,12 @@ r AS (SELECT feature, vec_id, value, row_number() OVER (PARTITION BY feature ORD
 t AS (SELECT * FROM r WHERE rank <= 9),
 full_f AS (SELECT feature FROM t GROUP BY feature HAVING count(*) = 9)"""
 _PAIRS_SQL = f"""
-pairs AS (SELECT a.feature AS f1, b.feature AS f2 FROM full_f a JOIN full_f b ON a.feature < b.feature
-          ORDER BY md5('0:' || CAST(a.feature AS VARCHAR) || ':' || CAST(b.feature AS VARCHAR)), f1, f2 LIMIT 20)"""
+perm AS (SELECT feature, row_number() OVER (ORDER BY md5('0:' || CAST(feature AS VARCHAR)), feature) - 1 AS i FROM full_f),
+mm AS (SELECT count(*) AS m FROM perm),
+pairs AS (SELECT least(a.feature, b.feature) AS f1, greatest(a.feature, b.feature) AS f2
+          FROM perm a CROSS JOIN mm CROSS JOIN range(1, 100) r(j) JOIN perm b ON b.i = (a.i + r.j) % mm.m
+          WHERE 2 * r.j <= mm.m AND NOT (2 * r.j = mm.m AND a.i >= r.j)
+          ORDER BY r.j, a.i LIMIT 20)"""
 
 
 def _reports(spark, sf):

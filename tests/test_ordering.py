@@ -126,3 +126,15 @@ def test_dead_history_matches_grid(spark):
             last = max(act) if act else 0
             dead += (b - last + 1) * 10 >= 35
         assert abs(got[b] - dead / 12) < 1e-12, b
+
+
+def test_feature_pairs_distinct_and_complete(spark):
+    import pytest
+    from actlens.operators.joins import feature_pairs
+    for m in (5, 6, 9):
+        f = spark.range(m).select(F.col("id").cast("int").alias("feature"))
+        allp = feature_pairs(f, m * (m - 1) // 2, 3).collect()
+        pairs = {(r.f1, r.f2) for r in allp}
+        assert len(pairs) == len(allp) == m * (m - 1) // 2 and all(a < b for a, b in pairs)
+        with pytest.raises(ValueError):
+            feature_pairs(f, m * (m - 1) // 2 + 1, 3)

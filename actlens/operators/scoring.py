@@ -568,3 +568,42 @@ def aux_loss(df: DataFrame, d: Dictionary, dead_features: Sequence[int], *, k: i
     rows = df.select(batch_col, vec_col).mapInArrow(run, schema)
     return rows.groupBy(batch_col).agg(
         (F.lit(float(penalty)) * F.sum("se_aux") / F.sum("n_dims")).alias("aux_loss"))
+
+
+def row_cosines(df: DataFrame, pairs: dict[str, tuple], *, keep: Sequence[str],
+                eps: float = 1e-8) -> DataFrame:
+    """Row-wise cosines of vector columns in Arrow batches (NumPy over the batch).
+
+    ``pairs`` maps an output name to (a, b): a is a column or a tuple of columns
+    (summed), b a column, a tuple of columns or a constant vector;
+    norms are clamped at ``eps`` as in the tensor library. Interpreted array
+    lambdas would evaluate every element one by one; here each batch is a few
+    vectorised products."""
+    spark = df.sparkSession
+    def cols_of(x):
+        return (x,) if isinstance(x, str) else tuple(x) if isinstance(x, tuple) else ()
+    consts = {k: np.asarray(b, dtype=np.float64) for k, (_, b) in pairs.items() if not cols_of(b)}
+    bc = spark.sparkContext.broadcast(consts)
+    vec_cols = sorted({c for a, b in pairs.values() for c in cols_of(a) + cols_of(b)})
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(k, T.DoubleType(), False) for k in pairs])
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType), f.nullable) for f in schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cst = bc.value
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            first = b.column(vec_cols[0])
+            d = first.value_lengths()[0].as_py()
+            mats = {c: _vec_matrix(b.column(c), d) for c in vec_cols}
+            cols = [b.column(c) for c in keep]
+            for name, (ca, cb) in pairs.items():
+                a = sum(mats[c] for c in cols_of(ca))
+                bm = sum(mats[c] for c in cols_of(cb)) if cols_of(cb) else cst[name][None, :]
+                dot_ = (a * bm).sum(axis=1)
+                na = np.maximum(np.sqrt((a * a).sum(axis=1)), eps)
+                nb = np.maximum(np.sqrt((bm * bm).sum(axis=1)), eps)
+                cols.append(pa.array(dot_ / (na * nb)))
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
+
+    return df.select(*keep, *vec_cols).mapInArrow(run, schema)

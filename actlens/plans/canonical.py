@@ -286,22 +286,24 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Context vector at a position = own + next token vector; it is compared
     with three unigram vectors: own, next and the constant vec of id 0.
     """
-    from actlens.functions.columns import cosine
-    tv = token_vectors(spark, sf_dir)
-    toks = token_ids(spark, sf_dir).select("doc_id", "pos", "token_id")
-    own = toks.join(tv, on="token_id", how="inner").select("doc_id", "pos", "layer", F.col("vec").alias("own"))
-    nxt = toks.join(tv, on="token_id", how="inner").select(
-        "doc_id", (F.col("pos") - 1).alias("pos"), F.col("vec").alias("nxt"))
+    # token vector = embedding[token_id % n]: pair consecutive tokens on ids first,
+    # then look both vectors up in the embeddings table (n rows, not vocabulary-sized)
+    n = n_embeddings(spark, sf_dir)
+    toks = token_ids(spark, sf_dir).select("doc_id", "pos", (F.col("token_id") % n).alias("vid"))
+    pairs = toks.join(toks.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("vid").alias("vid_next")),
+                      on=["doc_id", "pos"], how="inner")
+    e = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("vid"), F.col("label").alias("layer"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("own"))
+    en = e.select(F.col("vid").alias("vid_next"), F.col("own").alias("nxt"))
+    j = pairs.join(e, on="vid", how="inner").join(en, on="vid_next", how="inner")
     e0 = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == 0).select("embedding").first()
-    const = F.array(*[F.lit(float(x)) for x in e0["embedding"]])
-    j = own.join(nxt, on=["doc_id", "pos"], how="inner")
-    ctx = F.zip_with("own", "nxt", lambda a, b: a + b)
-    j = j.select("doc_id", "pos", "layer", ctx.alias("ctx"), "own", "nxt")
-    out = j.select("doc_id", "pos", "layer", F.explode(F.array(
-        F.struct(F.lit("own").alias("strategy"), cosine("ctx", "own").alias("cos")),
-        F.struct(F.lit("next").alias("strategy"), cosine("ctx", "nxt").alias("cos")),
-        F.struct(F.lit("const").alias("strategy"), cosine("ctx", const).alias("cos")))).alias("s"))
-    return out.select("doc_id", F.col("pos").cast("int").alias("pos"), "layer", "s.strategy", "s.cos")
+    j = j.select("doc_id", F.col("pos").cast("int").alias("pos"), "layer", "own", "nxt")
+    e0v = np.asarray(e0["embedding"], dtype=np.float64)
+    ctx = ("own", "nxt")   # context vector = own + next, summed inside the Arrow batch
+    c = scoring.row_cosines(j, {"own": (ctx, "own"), "next": (ctx, "nxt"), "const": (ctx, e0v)},
+                            keep=["doc_id", "pos", "layer"])
+    return c.unpivot(["doc_id", "pos", "layer"], ["own", "next", "const"], "strategy", "cos")
 
 
 TOKEN_VEC_SQL = (

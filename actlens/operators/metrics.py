@@ -17,7 +17,16 @@ def _sum(arr: Column) -> Column:
 
 
 def row_metrics(rows: DataFrame, vec_col: str = "vec", recon_col: str = "recon") -> DataFrame:
-    """Per row: se = sum d^2, mse_row, norm, vp_row, var_row, sum / sum of squares of x."""
+    """Per row: se = sum d^2, mse_row, norm, vp_row, var_row, sum / sum of squares of x.
+
+    Rows from ``scoring.reconstruct`` already carry se, sx, sxx, var_row and
+    n_dims (computed in the Arrow pass); other inputs fall back to array
+    expressions."""
+    if all(c in rows.columns for c in ("se", "sx", "sxx", "var_row", "n_dims")):
+        out = rows.withColumn("_n", F.col("n_dims")).withColumn("mse_row", F.col("se") / F.col("n_dims")) \
+                  .withColumn("norm", F.sqrt("sxx"))
+        out = out.withColumn("vp_row", F.try_divide(F.col("se"), F.col("norm")) / F.col("_n") + F.lit(1e-9))
+        return out.withColumn("ev_row", F.lit(1.0) - F.try_divide(F.col("se"), F.col("var_row")))
     x, r = F.col(vec_col), F.col(recon_col)
     d2 = F.zip_with(x, r, lambda a, b: (a - b) * (a - b))
     n = F.size(x)
@@ -58,15 +67,45 @@ def position_mse(rows: DataFrame, seq_len: int, *, group_cols: Sequence[str] = (
 
 def normalised_l2(rows: DataFrame, group_cols: Sequence[str] = ("batch_id",),
                   vec_col: str = "vec", recon_col: str = "recon", dim_col: str = "dim") -> DataFrame:
-    """MET8: l2 / variance around the per-dimension batch mean (mean predictor)."""
-    long = rows.select(*group_cols, F.posexplode(F.arrays_zip(F.col(vec_col).alias("x"),
-                                                             F.col(recon_col).alias("r"))).alias(dim_col, "z"))
-    long = long.select(*group_cols, dim_col, F.col("z.x").alias("x"), F.col("z.r").alias("r"))
-    per_dim = long.groupBy(*group_cols, dim_col).agg(
-        F.sum((F.col("x") - F.col("r")) ** 2).alias("_se"),
-        (F.sum(F.col("x") * F.col("x")) - F.sum("x") * F.sum("x") / F.count(F.lit(1))).alias("_sv"),
-        F.count(F.lit(1)).alias("_n"))
-    return per_dim.groupBy(*group_cols).agg(
+    """MET8: l2 / variance around the per-dimension batch mean (mean predictor).
+
+    Each Arrow batch reduces its rows to per-(group, dim) partial sums of x,
+    x^2 and (x - recon)^2; Spark adds the partials. No row is exploded into
+    its dimensions."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    g = list(group_cols)
+    schema = T.StructType([rows.schema[c] for c in g] + [
+        T.StructField(dim_col, T.IntegerType(), False), T.StructField("_sx", T.DoubleType(), False),
+        T.StructField("_sxx", T.DoubleType(), False), T.StructField("_se", T.DoubleType(), False),
+        T.StructField("_n", T.LongType(), False)])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            d = b.column(vec_col).value_lengths()[0].as_py()
+            x = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            r = b.column(recon_col).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            keys = [b.column(c).to_numpy(zero_copy_only=False) for c in g]
+            combo = np.stack(keys, axis=1) if keys else np.zeros((b.num_rows, 0))
+            uniq, inv = np.unique(combo, axis=0, return_inverse=True) if keys else (np.zeros((1, 0)), np.zeros(b.num_rows, int))
+            inv = inv.ravel()
+            k = len(uniq)
+            sx = np.zeros((k, d)); sxx = np.zeros((k, d)); se = np.zeros((k, d))
+            np.add.at(sx, inv, x); np.add.at(sxx, inv, x * x); np.add.at(se, inv, (x - r) ** 2)
+            cnt = np.bincount(inv, minlength=k)
+            cols = [pa.array(np.repeat(uniq[:, i], d).astype(keys[i].dtype)) for i in range(len(g))]
+            cols += [pa.array(np.tile(np.arange(d, dtype=np.int32), k)), pa.array(sx.ravel()),
+                     pa.array(sxx.ravel()), pa.array(se.ravel()), pa.array(np.repeat(cnt, d).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+
+    part = rows.select(*g, vec_col, recon_col).mapInArrow(run, schema)
+    per_dim = part.groupBy(*g, dim_col).agg(
+        F.sum("_se").alias("_se"), (F.sum("_sxx") - F.sum("_sx") * F.sum("_sx") / F.sum("_n")).alias("_sv"),
+        F.sum("_n").alias("_n"))
+    return per_dim.groupBy(*g).agg(
         (F.sum("_se") / F.sum("_n")).alias("l2"), (F.sum("_sv") / F.sum("_n")).alias("variance")) \
         .withColumn("l2_scaled", F.try_divide(F.col("l2"), F.col("variance")))
 

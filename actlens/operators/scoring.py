@@ -442,7 +442,8 @@ def reconstruct(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None
         T.StructField("vec", T.ArrayType(T.DoubleType(), False), False),
         T.StructField("recon", T.ArrayType(T.DoubleType(), False), False),
         T.StructField("l0", T.LongType(), False),
-        T.StructField("l1", T.DoubleType(), False)])
+        T.StructField("l1", T.DoubleType(), False)] + [
+        T.StructField(c, T.DoubleType(), False) for c in ROW_STATS])
     dim = d.d_in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,11 +467,19 @@ def reconstruct(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None
             cols += [pa.ListArray.from_arrays(offsets, pa.array(x.ravel())),
                      pa.ListArray.from_arrays(offsets, pa.array(out.ravel())),
                      pa.array(l0), pa.array(l1)]
+            delta = x - out
+            mean_row = x.mean(axis=1, keepdims=True)
+            stats = {"se": (delta * delta).sum(axis=1), "sx": x.sum(axis=1), "sxx": (x * x).sum(axis=1),
+                     "var_row": ((x - mean_row) ** 2).sum(axis=1), "n_dims": np.full(n, float(dim))}
+            cols += [pa.array(stats[c]) for c in ROW_STATS]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
     return df.select(*keys, vec_col).mapInArrow(run, schema)
 
 
+ROW_STATS = ("se", "sx", "sxx", "var_row", "n_dims")
+
+
 def route(df: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sample_id", "pos"),
           vec_col: str = "vec") -> DataFrame:
     """Router probabilities as long rows (keys, expert, p, chosen) - n_experts rows per vector."""

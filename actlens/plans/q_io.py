@@ -33,7 +33,7 @@ def _write_run(spark, sf, name, rows_per_block=100):
     meta["shape"] = [meta["batch_size"], meta["shape"][1], meta["shape"][2]]
     meta["bytes_per_file"] = 4 * meta["batch_size"] * meta["shape"][1] * meta["shape"][2]
     B.write_metadata(spark, run, meta)
-    B.write_blocks(a, run, rows_per_block, order_cols=["sample_id", "pos"]).collect()  # (blocks: one row each)
+    B.write_blocks(a, run, rows_per_block, order_cols=["sample_id", "pos"]).count()  # runs the writers; nothing to the driver
     return run, meta
 
 
@@ -81,7 +81,7 @@ def src17(spark, sf):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out.collect()  # runs the writers: one summary row per block
+    out.count()  # runs the writers; nothing to the driver
     listing = spark.read.format("binaryFile").option("pathGlobFilter", B.BLOCK_GLOB) \
                    .option("recursiveFileLookup", "true").load(base).select("path")
     listing = listing.withColumn("layer", F.regexp_extract("path", r"layer=([^/]+)/", 1))
@@ -351,7 +351,7 @@ def src4(spark, sf):
                 write_bytes(f"{root}/{vid % 10}/{vid}.jpg", head + np.asarray(emb, "<f4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    e.mapInArrow(write, T.StructType([T.StructField("n", T.LongType())])).collect()
+    e.mapInArrow(write, T.StructType([T.StructField("n", T.LongType())])).count()
     good, _ = MD.read_image_folder(spark, root)
     return good.select(F.regexp_extract("path", r"(\d+/\d+\.jpg)$", 1).alias("p"), "length") \
                .select(F.concat(F.lit("img/"), F.col("p")).alias("rel_path"), F.col("length").cast("bigint"))

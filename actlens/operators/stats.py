@@ -47,13 +47,15 @@ def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[
     bounds = bounds.select(*g,
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
-    # without groups the bounds are one row (broadcast); with groups they are one
-    # row per group and AQE broadcasts them only if their measured size is small
+    # without groups the bounds are two scalars (one small job, then literals);
+    # with groups they are one row per group, joined by key (AQE broadcasts them
+    # only if their measured size is small)
     keys = g if g else ["_one"]
     if not g:
-        bounds = bounds.withColumn("_one", F.lit(0))
-        vals = df.select(v.alias("_v"), F.lit(0).alias("_one"))
-        x = vals.join(F.broadcast(bounds), on=keys, how="inner")
+        b = bounds.first()
+        bounds = spark.createDataFrame([(0, b["lo"], b["hi"])], "_one INT, lo DOUBLE, hi DOUBLE")
+        x = df.select(v.alias("_v")).select(F.lit(0).alias("_one"), "_v", F.lit(b["lo"]).alias("lo"),
+                                            F.lit(b["hi"]).alias("hi"))
     else:
         vals = df.select(*g, v.alias("_v"))
         x = vals.join(bounds, on=keys, how="inner")
@@ -139,11 +141,16 @@ def cohen_kappa(pairs: DataFrame, l1: str = "r1", l2: str = "r2") -> DataFrame:
     """
     valid = pairs.where(F.col(l1).isNotNull() & F.col(l2).isNotNull())
     ct = valid.groupBy(l1, l2).agg(F.count(F.lit(1)).alias("c"))
-    n = ct.agg(F.sum("c").alias("n"), F.sum(F.when(F.col(l1) == F.col(l2), F.col("c"))).alias("agree"))
-    row_m = ct.groupBy(F.col(l1).alias("label")).agg(F.sum("c").alias("m1"))
-    col_m = ct.groupBy(F.col(l2).alias("label")).agg(F.sum("c").alias("m2"))
-    marg = row_m.join(col_m, on="label", how="inner").agg(F.sum(F.col("m1") * F.col("m2")).alias("mm"))
-    j = n.withColumn("_k", F.lit(1)).join(marg.withColumn("_k", F.lit(1)), on="_k")
+    # marginals without a join: each cell counts once for its row label and once
+    # for its column label; one more aggregation gives n, agreement and sum m1*m2
+    rows_ = ct.select(F.col(l1).alias("label"), F.col("c").alias("m1"), F.lit(0).cast("bigint").alias("m2"),
+                      F.col("c").alias("n"), F.when(F.col(l1) == F.col(l2), F.col("c")).otherwise(0).alias("agree"))
+    cols_ = ct.select(F.col(l2).alias("label"), F.lit(0).cast("bigint").alias("m1"), F.col("c").alias("m2"),
+                      F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("agree"))
+    per_label = rows_.unionByName(cols_).groupBy("label").agg(
+        F.sum("m1").alias("m1"), F.sum("m2").alias("m2"), F.sum("n").alias("n"), F.sum("agree").alias("agree"))
+    j = per_label.agg(F.sum("n").alias("n"), F.sum("agree").alias("agree"),
+                      F.sum(F.col("m1") * F.col("m2")).alias("mm"))
     p_o = F.try_divide(F.coalesce(F.col("agree"), F.lit(0)).cast("double"), F.col("n"))
     p_e = F.try_divide(F.coalesce(F.col("mm"), F.lit(0)).cast("double"), F.col("n") * F.col("n"))
     return j.select(F.col("n").cast("bigint").alias("n"), p_o.alias("p_o"), p_e.alias("p_e"),

@@ -72,15 +72,17 @@ def feature_pairs(features: DataFrame, n: int, seed: int, col: str = "feature")
     return out.orderBy("_j", "_ai").limit(n).select("f1", "f2")
 
 
-def sweep_grid(base: DataFrame, axes: dict[str, DataFrame]) -> DataFrame:
+def sweep_grid(base: DataFrame, axes: dict[str, Sequence]) -> DataFrame:
     """JOI6: product of option lists over a base configuration.
 
-    Each axis is a small list of options (a handful of rows), joined with a
-    broadcast hint; the grid size is the product of the option counts.
-    """
+    Each axis is a short list of option values; every base row is expanded
+    with ``explode(array(...))`` per axis (a projection, no join). The grid has
+    rows(base) x prod(len(options)) rows."""
     out = base
-    for name, opts in axes.items():
-        out = out.crossJoin(F.broadcast(opts.select(F.col(opts.columns[0]).alias(name)).distinct()))
+    for name, options in axes.items():
+        if not options:
+            raise ValueError(f"axis {name!r} has no options")
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in options])))
     return out
 
 

@@ -144,9 +144,8 @@ SELECT l.layer, s.shuffle, e.n_experts FROM (SELECT DISTINCT label AS layer FROM
 """)
 def joi6(spark, sf):
     base = read_table(spark, sf, "embeddings").select(F.col("label").alias("layer")).distinct()
-    shuffle = spark.createDataFrame([(True,), (False,)], "shuffle BOOLEAN")
-    experts = spark.createDataFrame([(None,), (8,)], "n_experts INT")
-    return J.sweep_grid(base, {"shuffle": shuffle, "n_experts": experts})
+    g = J.sweep_grid(base, {"shuffle": [True, False], "n_experts": [None, 8]})
+    return g.withColumn("n_experts", F.col("n_experts").cast("int"))
 
 
 @query("fn1_location_name", """

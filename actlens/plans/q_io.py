@@ -46,7 +46,7 @@ def src1(spark, sf):
 
 
 @query("src2_snk3_run_metadata", """
-SELECT 10 AS batch_size, 'float32' AS dtype, CAST(4 * 10 * 10 * len(any_value(embedding)) AS BIGINT) AS bytes_per_file,
+SELECT CAST(10 AS BIGINT) AS batch_size, 'float32' AS dtype, CAST(4 * 10 * 10 * len(any_value(embedding)) AS BIGINT) AS bytes_per_file,
        CAST(1 AS BIGINT) AS batches_per_file, '10,10,' || CAST(len(any_value(embedding)) AS VARCHAR) AS shape,
        CAST(10 AS BIGINT) AS sequence_length, CAST(len(any_value(embedding)) AS BIGINT) AS d_in,
        CAST(10 AS BIGINT) AS samples_per_file FROM embeddings
@@ -115,7 +115,7 @@ def snk5(spark, sf):
 
 @query("snk1_write_activations", f"""
 SELECT 'emb' AS run, CAST(label AS VARCHAR) AS layer, 'resid' AS module, count(*) AS n_rows,
-       max(len(embedding)) AS d_in FROM embeddings GROUP BY label
+       CAST(max(len(embedding)) AS INTEGER) AS d_in FROM embeddings GROUP BY label
 """)
 def snk1(spark, sf):
     a = C.activations(spark, sf).select(F.lit("emb").alias("run"), F.col("label").cast("string").alias("layer"),

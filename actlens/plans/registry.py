@@ -23,9 +23,10 @@ def query(name: str, sql: str | None = None):
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # timestamps are read and written as UTC; a reliable checkpoint folder exists
-            from actlens.session import checkpoint_dir, ensure_utc
+            from actlens.session import checkpoint_dir, ensure_utc, ship_package
             ensure_utc(spark)
             checkpoint_dir(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
 
         run.__name__ = getattr(fn, "__name__", name)

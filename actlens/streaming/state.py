@@ -25,6 +25,17 @@ from actlens.sources.files import exists, filesystem, write_bytes
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# State processors are started by a driver-side Python runner that does not
+# see files added with addPyFile: their classes travel by value (they only use
+# json and pandas).
+try:  # pragma: no cover - depends on the bundled cloudpickle
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
+
 
 def use_rocksdb(spark: SparkSession) -> None:
     """State processors need the RocksDB state store (set before a query starts)."""

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, mixing, urls
-from actlens.llm.common import prepare, read_table
+from actlens.llm import chat, language, mixing, quality, urls
+from actlens.llm import pages as html_pages
+from actlens.llm.common import fold_of, prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +122,30 @@ from q left join s using (n) left join w using (n)"""
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (urls.judge_urls(read_table(spark, sf_dir, "pages"))
             .select("page_id", "host", "path", "rule", "verdict"))
+
+
+@_query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = fold_of(F.col("doc_id"), 4)
+    model = language.fit_languages(docs, fold != 2)
+    return (language.predict_languages(docs.select("doc_id", "text"), model, score_column="score")
+            .select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"))
+
+
+@_query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by compiled rules."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = fold_of(F.col("doc_id"), 5)
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"), fold != 0)
+    return (quality.score_quality(docs, model, "score")
+            .select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
+                    (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")))
+
+
+@_query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_pages.extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))

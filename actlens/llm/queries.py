@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, language, mixing, quality, urls
+from actlens.llm import chat, language, mixing, pieces, quality, urls
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
 
@@ -149,3 +149,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_pages.extract_pages(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@_query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentation of every document, decoded again."""
+    return pieces.encode_documents(read_table(spark, sf_dir, "documents"), pieces.load_pieces())

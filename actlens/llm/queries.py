@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, language, mixing, pieces, quality, urls
+from actlens.llm import chat, language, mixing, neardup_vectors, pieces, quality, urls
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
 
@@ -155,3 +155,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentation of every document, decoded again."""
     return pieces.encode_documents(read_table(spark, sf_dir, "documents"), pieces.load_pieces())
+
+
+_OP10_SQL = """
+with recursive v as (select vec_id, embedding::double[] as x, sqrt(list_inner_product(embedding::double[], embedding::double[])) as n
+                     from embeddings),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+      and list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.95),
+r as (select vec_id as node, vec_id as root from v
+      union select l.b, r.root from r join l on l.a = r.node),
+c as (select node, min(root) as component_id from r group by node),
+d as (select a, count(*)::bigint as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, vec_id = component_id as kept
+from v join c on node = vec_id left join d on a = vec_id"""
+
+
+@_query("op10_embedding_near_dedup", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))

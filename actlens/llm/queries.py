@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, language, mixing, neardup_vectors, pieces, quality, urls
+from actlens.llm import chat, language, mixing, neardup_vectors, pieces, quality, urls, vector_search
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
 
@@ -173,3 +173,9 @@ from v join c on node = vec_id left join d on a = vec_id"""
 @_query("op10_embedding_near_dedup", _OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op8_vector_search")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    return vector_search.search_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)

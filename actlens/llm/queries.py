@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, language, mixing, neardup_vectors, pieces, quality, urls, vector_search
+from actlens.llm import chat, language, mixing, neardup_vectors, ngram_join, pieces, quality, urls, vector_search
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
 
@@ -179,3 +179,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every 20th vector."""
     return vector_search.search_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query("op3_ngram_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more."""
+    return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))

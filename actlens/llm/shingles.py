@@ -118,10 +118,10 @@ def shingle_sets(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[tuple[
                     s = s[keep]
                 yield row + i, s
             elif b > a:
-                h = np.uint64(b - a)
-                for w in words[a:b]:
-                    h = mix64(np.array([h + w], np.uint64) * _R)[0]
-                yield row + i, np.array([h], np.uint64)
+                h = np.full(1, b - a, np.uint64)
+                for k in range(a, b):
+                    h = mix64((h + words[k:k + 1]) * _R)
+                yield row + i, h
             else:
                 yield row + i, np.zeros(0, np.uint64)
         row = stop
@@ -131,5 +131,6 @@ def set_id(s: np.ndarray) -> int:
     """64-bit id of a set, equal for equal sets (signed, as Spark's bigint)."""
     if not len(s):
         return 0
-    x = mix64(s ^ _R).sum(dtype=np.uint64) + mix64(s + _MIX1).sum(dtype=np.uint64) * _R
-    return int(mix64(np.array([x + np.uint64(len(s))], np.uint64))[0].astype(np.int64))
+    x = mix64(s ^ _R).sum(dtype=np.uint64, keepdims=True)
+    y = mix64(s + _MIX1).sum(dtype=np.uint64, keepdims=True)
+    return int(mix64(x + y * _R + np.uint64(len(s))).view(np.int64)[0])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.session import checkpoint_dir, ensure_utc, materialize, ship_package
+from actlens.session import checkpoint_dir, materialize, ship_package
 
 __all__ = ["prepare", "read_table", "materialize", "fold_of", "count_words", "small_or_none"]
 
@@ -14,8 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session state that every operator relies on."""
-    ensure_utc(spark)
+    """A checkpoint folder and the package on the executors; settings are left alone."""
     checkpoint_dir(spark)
     ship_package(spark)
 

@@ -54,7 +54,7 @@ POSTINGS_PER_RANGE = 1_000_000
 GROUP_MEMBERS = 256
 BLOCK_ROWS = 50_000
 MAIN_ROUNDS = 2
-MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_IDS = 500_000
 
 
 def _need(nx, ny):

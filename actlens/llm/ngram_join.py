@@ -52,7 +52,7 @@ MIN_COUNT = 16
 MAX_FREQUENT = 1 << 20
 POSTINGS_PER_RANGE = 1_000_000
 GROUP_MEMBERS = 256
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 8_000
 MAIN_ROUNDS = 2
 MAX_BROADCAST_IDS = 500_000
 

@@ -210,7 +210,7 @@ def sample(lattice: Lattice, segment: np.ndarray, seed: np.ndarray) -> tuple[np.
     step = 0
     while len(alive):
         step += 1
-        u = (mix64(key + np.uint64(step) * _R) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+        u = (mix64(key + np.uint64(step * int(_R) % (1 << 64))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
         at = lattice.first[base + end]
         late = np.flatnonzero(u >= lattice.upto[at])
         while len(late):

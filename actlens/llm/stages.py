@@ -1,3 +1,76 @@
-"""Stages of the corpus pipeline (filled in as their operators exist)."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame.
 
-STAGES: list = []
+All stages but the last return the columns of their documents. Inside a stage a
+document without an id is named by a hash of its values; rows that repeat an id
+count as one document in the near-duplicate stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from actlens.llm import language, mixing, ngram_join, pieces, quality
+from actlens.llm.common import fold_of, materialize, prepare, read_table, small_or_none
+
+LEAST_LANGUAGE_SCORE = 0.4
+MAX_BROADCAST_IDS = 500_000
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text", "lang", "source")))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is found: not ``und``, score 0.4 or more."""
+    prepare(spark)
+    model = language.fit_languages(docs, fold_of(F.col("doc_id"), 4) != 2)
+    return language.predict_languages(docs, model, keep=(language.UNDETERMINED, LEAST_LANGUAGE_SCORE))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that the rule ensemble predicts as good (score 0.3 or more)."""
+    prepare(spark)
+    model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) != 0)
+    return quality.with_stats(docs).filter(model.column() >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each n-gram join component (of
+    rows that repeat an id, the one with the smallest text)."""
+    prepare(spark)
+    named = _named(docs)
+    groups = materialize(ngram_join.ngram_components(named.select(F.col("_id").alias("doc_id"), "text"))
+                         .select(F.col("doc_id").alias("_id"), "component_id"), "stage-groups")
+    gone = groups.filter("_id <> component_id").select("_id").distinct()
+    kept = named.join(small_or_none(gone, MAX_BROADCAST_IDS), "_id", "left_anti")
+    again = groups.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    first = Window.partitionBy("_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    repeated = (kept.join(again, "_id", "left_semi").withColumn("_nth", F.row_number().over(first))
+                .filter("_nth = 1"))
+    return kept.join(again, "_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them (0 to 3 times): the share of its
+    words that the source schedule takes, rounded; only the document at the end
+    of a source's quota is ever taken in part."""
+    prepare(spark)
+    named = _named(docs)
+    mix = mixing.mix_sources(named.select(F.col("_id").alias("doc_id"), "source", "text"))
+    times = (mix.groupBy(F.col("doc_id").alias("_id"))
+             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).filter("_times > 0"))
+    return (named.join(times, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*docs.columns))
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled pieces of every document, with the check that they decode to its text."""
+    prepare(spark)
+    return pieces.encode_documents(docs, pieces.load_pieces())
+
+
+STAGES = [("language ID", language_stage), ("quality classifier", quality_stage),
+          ("n-gram join", near_duplicate_stage), ("source mix", mixing_stage), ("pieces", piece_stage)]

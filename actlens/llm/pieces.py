@@ -37,7 +37,7 @@ from actlens.llm.shingles import _BYTE_CODE, _buffers, _powers, mix64
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 5 << 19
 _R = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 NONE, PREFIX = -1, -2

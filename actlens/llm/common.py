@@ -9,12 +9,17 @@ from actlens.session import checkpoint_dir, materialize, ship_package
 
 __all__ = ["prepare", "read_table", "materialize", "fold_of", "count_words", "small_or_none"]
 
+ARROW_ROWS = 1_000
+
 #: words of a text: maximal runs without the six ASCII white-space characters
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """A checkpoint folder and the package on the executors; settings are left alone."""
+    """A checkpoint folder, the package on the executors, and Arrow batches small
+    enough for whole texts in Python workers; other settings are left alone."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     checkpoint_dir(spark)
     ship_package(spark)
 

@@ -50,8 +50,9 @@ from actlens.llm.shingles import mix64, set_id, shingle_sets
 
 MIN_COUNT = 16
 MAX_FREQUENT = 1 << 20
-POSTINGS_PER_RANGE = 1_000_000
+POSTINGS_PER_RANGE = 500_000
 GROUP_MEMBERS = 256
+HELD_SHINGLES = 3_000_000
 BLOCK_ROWS = 8_000
 MAIN_ROUNDS = 2
 MAX_BROADCAST_IDS = 500_000
@@ -84,28 +85,37 @@ def may_link(nx: int, ny: int, bx: bytes, by: bytes) -> bool:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n", "node", "bits", "often", "count"]
+    seen, held = {}, 0
+
+    def repeated() -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
+        token, count = token[count > 1].view(np.int64), count[count > 1].astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+             pa.ListArray.from_arrays([0, len(token)], pa.array(token)),
+             pa.ListArray.from_arrays([0, len(count)], pa.array(count))], names=names)
+
     for batch in batches:
-        size, node, bits, seen = [], [], [], {}
+        size, node, bits = [], [], []
         for _, s in shingle_sets(batch.column(1)):
             size.append(len(s))
             i = set_id(s)
             node.append(i if len(s) else None)
             bits.append(parity_bits(s) if len(s) else None)
-            if len(s):
-                seen.setdefault(i, s)
+            if len(s) and i not in seen:
+                seen[i] = s
+                held += len(s)
         rows = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.int64()),
              pa.array(bits, pa.binary()), pa.nulls(rows, pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.int32()))],
-            names=["doc_id", "n", "node", "bits", "often", "count"])
-        if seen:
-            token, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-            token, count = token[count > 1].view(np.int64), count[count > 1].astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                 pa.ListArray.from_arrays([0, len(token)], pa.array(token)),
-                 pa.ListArray.from_arrays([0, len(count)], pa.array(count))],
-                names=["doc_id", "n", "node", "bits", "often", "count"])
+            names=names)
+        if held >= HELD_SHINGLES:
+            yield repeated()
+            seen, held = {}, 0
+    if seen:
+        yield repeated()
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -141,52 +151,67 @@ _PACKED = pa.schema([("range", pa.int32()), ("nodes", pa.binary()), ("sizes", pa
                      ("t_node", pa.list_(pa.int64())), ("t_n", pa.list_(pa.int64())), ("t_pos", pa.list_(pa.int64()))])
 
 
+class _Postings:
+    """First shingles of the sets of a task, gathered until they fill a row per range."""
+
+    def __init__(self, n_ranges: int) -> None:
+        self.n_ranges, self.seen, self.held = n_ranges, set(), 0
+        self.nodes, self.sizes, self.parts, self.who, self.pos = [], [], [], [], []
+        self.often = ([], [], [], [])
+
+    def add(self, s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> None:
+        n, i = len(s), set_id(s)
+        if not n or i in self.seen:
+            return
+        self.seen.add(i)
+        path, rare = global_order(s, frequent)
+        p = n - -(-3 * n // 4) + 1
+        q = min(p, rare)
+        self.parts.append(path[:q].copy())
+        self.who.append(np.full(q, len(self.nodes), np.uint32))
+        self.pos.append(np.arange(q, dtype=np.uint32))
+        self.nodes.append(i)
+        self.sizes.append(n)
+        self.held += p
+        if p > q:
+            for column, values in zip(self.often, (path[q:p].view(np.int64).copy(), np.full(p - q, i, np.int64),
+                                                   np.full(p - q, n, np.int64), np.arange(q, p, dtype=np.int64))):
+                column.append(values)
+
+    def rows(self) -> pa.RecordBatch:
+        token, who, pos = map(np.concatenate, (self.parts, self.who, self.pos))
+        node, size = np.array(self.nodes, np.int64), np.array(self.sizes, np.uint32)
+        high = ((token >> np.uint64(32)) * np.uint64(self.n_ranges) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(high, kind="stable")
+        edges = np.searchsorted(high[order], np.arange(self.n_ranges + 1))
+        rows = []
+        for r in range(self.n_ranges):
+            at = order[edges[r]:edges[r + 1]]
+            if not len(at):
+                continue
+            mine, local = np.unique(who[at], return_inverse=True)
+            # 40 other bits of the hash tell the shingles of a range apart
+            low = (mix64(token[at]) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+            rows.append({"range": r, "nodes": node[mine].tobytes(), "sizes": size[mine].tobytes(), "low": low.tobytes(),
+                         "who": local.astype(np.uint16 if len(mine) < 65536 else np.uint32).tobytes(),
+                         "pos": pos[at].tobytes()})
+        if self.often[0]:
+            t = [np.concatenate(x).tolist() for x in self.often]
+            rows.append({"tokens": t[0], "t_node": t[1], "t_n": t[2], "t_pos": t[3]})
+        return pa.RecordBatch.from_pylist(rows, _PACKED)
+
+
 def _pack(n_ranges: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        gathered = _Postings(n_ranges)
         for batch in batches:
-            nodes, sizes, parts, who, pos, seen = [], [], [], [], [], set()
-            often = ([], [], [], [])
             for _, s in shingle_sets(batch.column(0)):
-                n = len(s)
-                if not n or (i := set_id(s)) in seen:
-                    continue
-                seen.add(i)
-                path, rare = global_order(s, frequent)
-                p = n - -(-3 * n // 4) + 1
-                q = min(p, rare)
-                parts.append(path[:q])
-                who.append(np.full(q, len(nodes), np.uint32))
-                pos.append(np.arange(q, dtype=np.uint32))
-                nodes.append(i)
-                sizes.append(n)
-                if p > q:
-                    often[0].append(path[q:p].view(np.int64))
-                    often[1].append(np.full(p - q, i, np.int64))
-                    often[2].append(np.full(p - q, n, np.int64))
-                    often[3].append(np.arange(q, p, dtype=np.int64))
-            if not nodes:
-                continue
-            token, who, pos = map(np.concatenate, (parts, who, pos))
-            node, size = np.array(nodes, np.int64), np.array(sizes, np.uint32)
-            high = (token >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)
-            order = np.argsort(high.astype(np.int32), kind="stable")
-            edges = np.searchsorted(high[order], np.arange(n_ranges + 1, dtype=np.uint64))
-            rows = []
-            for r in range(n_ranges):
-                at = order[edges[r]:edges[r + 1]]
-                if not len(at):
-                    continue
-                mine, local = np.unique(who[at], return_inverse=True)
-                # the 40 bits below the range, as 5 bytes
-                low = (mix64(token[at]) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-                rows.append({"range": r, "nodes": node[mine].tobytes(), "sizes": size[mine].tobytes(),
-                             "low": low.tobytes(), "who": local.astype(np.uint16 if len(mine) < 65536 else np.uint32).tobytes(),
-                             "pos": pos[at].tobytes()})
-            if often[0]:
-                t = [np.concatenate(x).tolist() for x in often]
-                rows.append({"tokens": t[0], "t_node": t[1], "t_n": t[2], "t_pos": t[3]})
-            yield pa.RecordBatch.from_pylist(rows, _PACKED)
+                gathered.add(s, shared.value)
+            if gathered.held >= HELD_SHINGLES // 4:
+                yield gathered.rows()
+                gathered = _Postings(n_ranges)
+        if gathered.nodes:
+            yield gathered.rows()
     return run
 
 

@@ -240,8 +240,10 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     cut[offsets[:-1][offsets[:-1] < len(data)]] = True
     start = np.flatnonzero(cut)
     size = np.diff(np.append(start, len(data)))
-    place = np.arange(len(data)) - np.repeat(start, size)
-    code = _BYTE_CODE[data] * _powers(int(size.max()))[place]
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), size)
+    code = _BYTE_CODE[data]
+    code *= _powers(int(size.max()))[place]
+    del place, cut, space, newline
     key = mix64(np.add.reduceat(code, start) + size.astype(np.uint64))
     number, distinct = pd.factorize(key)
     seen = np.empty(len(distinct), np.int64)

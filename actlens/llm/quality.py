@@ -50,7 +50,7 @@ def _share(values: np.ndarray) -> tuple[float, float]:
     return len(runs) / len(s), float(runs.max()) / len(s)
 
 
-def text_stats(texts: pa.Array, chunk_bytes: int = 4 << 20) -> np.ndarray:
+def text_stats(texts: pa.Array, chunk_bytes: int = 1 << 20) -> np.ndarray:
     """One row of ``STATS`` per text."""
     data, offsets = _buffers(texts)
     out = np.zeros((len(texts), len(STATS)))

@@ -87,7 +87,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(sums + length.astype(np.uint64)), np.searchsorted(start, offsets, side="left")
 
 
-def shingle_sets(texts: pa.Array, chunk_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: pa.Array, chunk_bytes: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row, in row order.
 
     Rows are worked on in runs of about ``chunk_bytes`` bytes; one longer text

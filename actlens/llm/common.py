@@ -42,3 +42,28 @@ def small_or_none(df: DataFrame, max_rows: int) -> DataFrame:
     """The side of a join as a broadcast if its measured row count is within
     ``max_rows``, else unchanged (Spark then shuffles both sides)."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def release_memory() -> None:
+    """Gives freed memory of a Python worker back; workers stay alive between
+    stages and would otherwise hold the peak of every stage before."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass        # another C library: nothing to trim
+
+
+def released(run):
+    """The batch function ``run``, giving its memory back at the end of a task."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+    return wrapped

@@ -27,8 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from actlens.llm.common import released
+
 DIMS = 1 << 13
-PER_LANGUAGE = 600
+PER_LANGUAGE = 400
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 
@@ -68,23 +70,24 @@ def unit(counts: np.ndarray) -> np.ndarray:
     return x / np.sqrt(x @ x)
 
 
-def linear_svm(x: np.ndarray, positive: np.ndarray, cost: float = 1.0, epochs: int = 12) -> np.ndarray:
-    """Weights and bias of a linear machine with squared hinge loss, by dual
-    coordinate ascent; the two classes weigh the same in total."""
+def linear_svm(x: np.ndarray, rows: np.ndarray, positive: np.ndarray, cost: float = 1.0, epochs: int = 12) -> np.ndarray:
+    """Weights and bias of a linear machine with squared hinge loss over some
+    rows of x, by dual coordinate ascent; the classes weigh the same in total."""
     y = np.where(positive, 1.0, -1.0)
     share = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())) * len(y)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     slack = 1.0 / (2 * cost * share)
-    norms = np.einsum("ij,ij->i", x, x) + slack
-    w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(x))
+    norms = 2.0 + slack                  # unit rows and a constant 1 for the bias
+    w, bias, alpha = np.zeros(x.shape[1], x.dtype), 0.0, np.zeros(len(rows))
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            step = max(-alpha[i], (1 - y[i] * float(w @ x[i]) - slack[i] * alpha[i]) / norms[i])
+        for i in order.permutation(len(rows)):
+            v = x[rows[i]]
+            step = max(-alpha[i], (1 - y[i] * (float(w @ v) + bias) - slack[i] * alpha[i]) / norms[i])
             if step:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
-    return w
+                w += np.float32(step * y[i]) * v
+                bias += step * y[i]
+    return np.append(w, np.float32(bias))
 
 
 @dataclass
@@ -116,25 +119,26 @@ class LanguageModel:
         return names[0], score
 
 
-def fit(counts: list[np.ndarray], langs: list[str]) -> LanguageModel | None:
+def fit(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
+    """x: unit trigram vectors, one per learned text."""
     if not langs:
         return None
-    x = np.stack([unit(c) for c in counts])
     lang = np.array(langs)
     family = np.array([family_of(v) for v in langs])
     families = sorted(set(family))
-    rows, pairs, languages = [], {}, {}
+    every = np.arange(len(langs))
+    machines, pairs, languages = [], {}, {}
     for f in families:
-        rows.append(linear_svm(x, family == f) if len(families) > 1 else np.zeros(DIMS + 1, np.float32))
+        machines.append(linear_svm(x, every, family == f) if len(families) > 1 else np.zeros(DIMS + 1, np.float32))
     for f in families:
         names = languages[f] = sorted(set(lang[family == f]))
         pairs[f] = []
         for a in range(len(names)):
             for b in range(a + 1, len(names)):
-                some = (lang == names[a]) | (lang == names[b])
-                pairs[f].append((a, b, len(rows)))
-                rows.append(linear_svm(x[some], lang[some] == names[a]))
-    return LanguageModel(families, languages, np.stack(rows), pairs)
+                some = np.flatnonzero((lang == names[a]) | (lang == names[b]))
+                pairs[f].append((a, b, len(machines)))
+                machines.append(linear_svm(x, some, lang[some] == names[a]))
+    return LanguageModel(families, languages, np.stack(machines), pairs)
 
 
 def _sampled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,13 +168,12 @@ def fit_languages(docs: DataFrame, learn_from: Column, per_language: int = PER_L
         chosen = hit if chosen is None else chosen | hit
     # sorted, so that the machines do not depend on how Spark dealt the rows
     rows = sorted(tuple(r) for r in usable.filter(chosen).select("lang", "text")
-                  .mapInArrow(_sampled_counts, "lang string, at binary, n binary").collect())
-    counts = []
-    for _, at, n in rows:
-        c = np.zeros(DIMS, np.float32)
-        c[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
-        counts.append(c)
-    return fit(counts, [r[0] for r in rows])
+                  .mapInArrow(released(_sampled_counts), "lang string, at binary, n binary").collect())
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for i, (_, at, n) in enumerate(rows):
+        x[i, np.frombuffer(at, np.uint16)] = np.sqrt(np.frombuffer(n, np.uint32))
+        x[i] /= np.linalg.norm(x[i])
+    return fit(x, [r[0] for r in rows])
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel | None, lang_column: str = "lang_pred",
@@ -197,4 +200,4 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, lang_column:
                     [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                     names=[*batch.schema.names, lang_column, score_column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, *added]))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actlens.llm.common import materialize, small_or_none
+from actlens.llm.common import materialize, released, small_or_none
 from actlens.llm.components import connected_components
 from actlens.llm.shingles import mix64, set_id, shingle_sets
 
@@ -120,7 +120,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(
-        _describe, "doc_id long, n long, node long, bits binary, often array<long>, count array<int>"), "ngram-sets")
+        released(_describe), "doc_id long, n long, node long, bits binary, often array<long>, count array<int>"), "ngram-sets")
 
 
 def frequent_shingles(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def runs(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_postings: i
     of the first such shingle in each."""
     n_ranges = max(1, -(-n_postings // POSTINGS_PER_RANGE))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    packed = materialize(docs.select("text").mapInArrow(_pack(n_ranges, shared), (
+    packed = materialize(docs.select("text").mapInArrow(released(_pack(n_ranges, shared)), (
         "range int, nodes binary, sizes binary, low binary, who binary, pos binary, tokens array<long>, "
         "t_node array<long>, t_n array<long>, t_pos array<long>")), "ngram-postings")
     schema = "run long, node long, n long, pos long"
@@ -365,7 +365,7 @@ def open_candidates(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> D
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (met.unionByName(known).repartition(tasks, "main", "block")
             .sortWithinPartitions("main", "block", F.asc_nulls_first("run"))
-            .mapInArrow(_open_pairs, "x long, nx long, y long, ny long").distinct())
+            .mapInArrow(released(_open_pairs), "x long, nx long, y long, ny long").distinct())
 
 
 def _bit_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,7 +459,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, close: DataFrame, frequent
     ids = materialize(nodes.join(wanted, "node").select(F.col("rep").alias("_rep")).distinct(), "ngram-wanted")
     picked = docs.join(small_or_none(ids, MAX_BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    paths = (picked.select("text").mapInArrow(_sets_of(shared), "node long, path binary")
+    paths = (picked.select("text").mapInArrow(released(_sets_of(shared)), "node long, path binary")
              .groupBy("node").agg(F.any_value("path").alias("path")))
     sizes = close.groupBy("x").agg(F.ceil(F.count("*") / GROUP_MEMBERS).cast("int").alias("parts"))
     member = (close.join(sizes, "x")
@@ -469,7 +469,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, close: DataFrame, frequent
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (member.join(paths, "node").select("x", "part", "node", "path")
             .repartition(parts, "x", "part").sortWithinPartitions("x", "part", "node")
-            .mapInArrow(_verify, "a long, b long"))
+            .mapInArrow(released(_verify), "a long, b long"))
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:

@@ -33,11 +33,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from actlens.llm.common import released
 from actlens.llm.shingles import _BYTE_CODE, _buffers, _powers, mix64
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CHUNK_BYTES = 5 << 19
+CHUNK_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
 NONE, PREFIX = -1, -2
@@ -343,4 +344,4 @@ def encode_documents(docs: DataFrame, table: PieceTable, seed: int = 0) -> DataF
                      pieces, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "pieces", "lossless"])
 
     return (docs.select("doc_id", "text")
-            .mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, lossless boolean"))
+            .mapInArrow(released(run), "doc_id long, n_pieces long, pieces array<int>, lossless boolean"))

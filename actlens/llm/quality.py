@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from actlens.llm.common import released
 from actlens.llm.shingles import _buffers, word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -108,7 +109,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
                 [*batch.columns, *(pa.array(stats[:, k], pa.float64()) for k in range(len(STATS)))],
                 names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]   # (statistic, above, threshold), all must hold

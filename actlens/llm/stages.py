@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from actlens.llm import language, mixing, ngram_join, pieces, quality
 from actlens.llm.common import fold_of, materialize, prepare, read_table, small_or_none
 
-LEAST_LANGUAGE_SCORE = 0.4
+LEAST_LANGUAGE_SCORE = 0.25
 MAX_BROADCAST_IDS = 500_000
 
 
@@ -22,7 +22,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is found: not ``und``, score 0.4 or more."""
+    """Keeps documents whose language is found: not ``und``, score 0.25 or more."""
     prepare(spark)
     model = language.fit_languages(docs, fold_of(F.col("doc_id"), 4) != 2)
     return language.predict_languages(docs, model, keep=(language.UNDETERMINED, LEAST_LANGUAGE_SCORE))

@@ -37,12 +37,13 @@ from actlens.llm.vectors import sample_vectors, vectors_of
 K = 20
 SAMPLE_ROWS = 20_000
 BRANCH = 8
-ROWS_PER_LEAF = 256
+ROWS_PER_LEAF = 1024
 MAX_LEAVES = 4096
-CHUNK_ROWS = 2_000
+CHUNK_ROWS = 4_000
 QUERY_ROWS = 4_000
 CALIBRATION_QUERIES = 64
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.95
+FIRST_VISITS = 2
 
 
 @dataclass
@@ -125,8 +126,10 @@ def fit_tree(sample: np.ndarray, top_norm: float, n_leaves: int) -> Tree:
 _TOP = "query_id long, vec_id long, score double"
 
 
-def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of every query within one block of vectors."""
+def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int,
+          least: np.ndarray | None = None) -> pd.DataFrame:
+    """The k best candidates of every query within one block of vectors, of
+    those that reach the query's ``least`` score."""
     out = []
     order = np.argsort(vid, kind="stable")
     vid, x = vid[order], x[order]
@@ -140,6 +143,8 @@ def _best(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int
         else:
             take = np.ones_like(scores, bool)
         take &= scores > -np.inf
+        if least is not None:
+            take &= scores >= least[a:a + 256, None]
         i, j = np.nonzero(take)
         s = scores[i, j]
         rank = np.lexsort((vid[j], -s, i))
@@ -187,17 +192,19 @@ def _visits(queries: DataFrame, tree: Tree, n: int) -> DataFrame:
     """(vec_id, embedding, leaf, nth): the first n leaves of each query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, leaves = [], []
+            rows, leaves, nth = [], [], []
             for dim, at, x in vectors_of(batch.column(1)):
                 for i, q in zip(at.tolist(), x):
-                    for leaf, _ in zip(tree.visit(q), range(n)):
+                    for v, leaf in zip(range(n if dim == tree.dim else 0), tree.visit(q)):
                         rows.append(i)
                         leaves.append(leaf)
+                        nth.append(v)
             got = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(leaves, pa.int64())],
-                                             names=["vec_id", "embedding", "leaf"])
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array(leaves, pa.int64()), pa.array(nth, pa.int32())],
+                                             names=["vec_id", "embedding", "leaf", "nth"])
 
-    return queries.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, leaf long")
+    return queries.select("vec_id", "embedding").mapInArrow(
+        run, "vec_id long, embedding array<double>, leaf long, nth int")
 
 
 def _search_chunk(dim: int, k: int):
@@ -209,7 +216,7 @@ def _search_chunk(dim: int, k: int):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
                                  "score": pd.Series(dtype="float64")})
         return _best(queries["vec_id"].to_numpy(), matrix(queries["embedding"]),
-                     stored["vec_id"].to_numpy(), matrix(stored["embedding"]), k)
+                     stored["vec_id"].to_numpy(), matrix(stored["embedding"]), k, queries["least"].to_numpy())
     return run
 
 
@@ -277,6 +284,16 @@ def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float
              .withColumn("part", every(q_chunks)))
     walked = (walked.withColumn("part", F.pmod(F.xxhash64("vec_id"), q_chunks).cast("int"))
               .withColumn("chunk", every(chunks)))
-    top = walked.groupBy("leaf", "chunk", "part").cogroup(dealt.groupBy("leaf", "chunk", "part")).applyInPandas(
-        _search_chunk(dim, k), _TOP)
-    return _merge(top, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def searched(asked_leaves: DataFrame) -> DataFrame:
+        return (asked_leaves.select("vec_id", "embedding", "least", "leaf", "chunk", "part")
+                .groupBy("leaf", "chunk", "part").cogroup(dealt.groupBy("leaf", "chunk", "part"))
+                .applyInPandas(_search_chunk(dim, k), _TOP))
+
+    # the nearest leaves first: later leaves only return what beats their k-th score
+    near = walked.filter(F.col("nth") < FIRST_VISITS).withColumn("least", F.lit(float("-inf")))
+    top = materialize(_merge(searched(near), k), "ann-near")
+    least = (top.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least")))
+    far = (walked.filter(F.col("nth") >= FIRST_VISITS).join(least, "vec_id", "left")
+           .withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
+    found = top.select("query_id", "vec_id", "score").unionByName(searched(far))
+    return _merge(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -254,7 +254,7 @@ def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float
     sizes = {r["leaf"]: r["count"] for r in stored.groupBy("leaf").count().collect()}   # at most MAX_LEAVES rows
 
     # calibration: a bounded set of queries against all rows
-    asked = base.filter(is_query)
+    asked = base.filter(is_query).dropDuplicates(["vec_id"])
     some = asked.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATION_QUERIES).collect()
     some = [r for r in some if len(r["embedding"]) == dim and np.isfinite(np.array(r["embedding"], float)).all()
             and any(r["embedding"])]

@@ -211,7 +211,7 @@ class DictionaryEstimator:
         if architecture in ("topk", "switch_topk", "topk_relu", "batch_topk") and not k:
             raise ValueError("k is required for top-k architectures")
         if architecture == "switch_topk" and (not n_experts or n_features % n_experts):
-            raise ValueError(f"N features {n_features} must be divisible by number of experts {n_experts}")
+            raise ValueError(f"{n_experts} experts cannot share {n_features} features evenly")
         self.arch, self.n_features, self.k, self.n_experts = architecture, n_features, k, n_experts
         self.lr, self.l1, self.n_tokens, self.seed = lr, l1_coefficient, n_tokens, seed
         self.betas, self.eps, self.init_threshold = betas, eps, init_threshold

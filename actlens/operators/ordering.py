@@ -4,8 +4,8 @@ SRT1, TOP*, TAIL1, SRC12).
 Running indexes are computed with a two-level prefix sum so that no window
 ever spans a whole table or a whole hot group:
 
-1. a monotone *bucket* of the order key splits every group into bounded
-   slices (a hot key spreads over many buckets);
+1. slices of about equal row counts along all order columns (or a given
+   monotone *bucket* of the order key) split every group into bounded parts;
 2. per (group, bucket) row counts are aggregated map-side (small table);
 3. the counts are cumulated per group over buckets (window over the small
    table only) and joined back (AQE turns the join into a broadcast when the
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.session import materialize
+
 ColLike = str | Column
 
 
@@ -27,37 +29,39 @@ def _c(c: ColLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def default_bucket(df: DataFrame, key: str, rows_per_bucket: int = 1 << 20,
-                   max_buckets: int = 100_000) -> Column:
-    """Equal-width bucket of an integral key sized from a min/max/count scan
-    (at most ``max_buckets`` buckets, so the offsets table stays small)."""
-    row = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
-                 F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = row["lo"], row["hi"], row["n"]
-    if n == 0 or lo is None:
-        return F.lit(0).cast("bigint")
-    n_buckets = min(max_buckets, max(1, -(-n // rows_per_bucket)))
-    width = max(1, -(-(int(hi) - int(lo) + 1) // n_buckets))
-    return F.floor((F.col(key) - F.lit(int(lo))) / F.lit(width)).cast("bigint")
+ROWS_PER_SLICE = 1 << 20
+
+
+def slice_rows(df: DataFrame, order: Sequence[Column], n_slices: int, name: str) -> DataFrame:
+    """Cuts a table into ``n_slices`` slices of about equal row counts along all
+    order columns (so neither an outlier nor a heavy leading value makes a large
+    slice) and numbers them in order. The result is written once: counting and
+    numbering must see the same cut."""
+    return materialize(df.repartitionByRange(n_slices, *order)
+                       .withColumn(name, F.spark_partition_id().cast("bigint")), "ordering-slices")
 
 
 def running_index(df: DataFrame, order_cols: Sequence[ColLike], *,
                   group_cols: Sequence[str] = (), bucket: Column | None = None,
-                  name: str = "idx", base: int = 0) -> DataFrame:
+                  name: str = "idx", base: int = 0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """0-based (or ``base``-based) position of each row inside its group.
 
-    ``bucket`` must be non-decreasing along ``order_cols`` inside a group.
-    With no bucket the first order column is bucketed by equal width.
+    Without a ``bucket`` the rows are cut into slices of about
+    ``rows_per_slice`` rows; one that fits into a single slice is numbered
+    directly. A given ``bucket`` must be non-decreasing along ``order_cols``
+    inside a group.
     """
     order = [_c(c) for c in order_cols]
-    if bucket is None:
-        first = order_cols[0]
-        if not isinstance(first, str):
-            raise ValueError("a bucket expression is needed for a computed key")
-        bucket = default_bucket(df, first)
     g = list(group_cols)
     b = "__bucket"
-    x = df.withColumn(b, bucket)
+    if bucket is None:
+        n_slices = -(-df.count() // rows_per_slice)
+        if n_slices <= 1:
+            w = Window.partitionBy(*g).orderBy(*order)
+            return df.withColumn(name, (F.row_number().over(w) - F.lit(1 - base)).cast("bigint"))
+        x = slice_rows(df, order, n_slices, b)
+    else:
+        x = df.withColumn(b, bucket)
     counts = x.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__n"))
     # (the counts and the window read the same ``x``: AQE reuses its shuffle stage)
     w_off = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,11 +84,11 @@ def rebatch(df: DataFrame, n: int, order_cols: Sequence[ColLike], *,
     """BAT1: cut rows into batches of ``n`` across block borders."""
     if n < 1:
         raise ValueError("batch size must be positive")
+    total = None if keep_tail else df.count()
     x = global_index(df, order_cols, bucket=bucket, name="_gi")
     x = x.withColumn("batch_id", F.floor(F.col("_gi") / F.lit(n)).cast("bigint")) \
          .withColumn("row_in_batch", (F.col("_gi") % F.lit(n)).cast("bigint"))
     if not keep_tail:
-        total = x.agg(F.count(F.lit(1))).first()[0]
         x = x.where(F.col("batch_id") < F.lit(total // n))
     return x.drop("_gi")
 

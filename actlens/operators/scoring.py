@@ -58,8 +58,7 @@ class Dictionary:
         if self.enc.shape != self.dec.shape:
             raise ValueError("enc and dec must have the same shape")
         if self.n_features % self.n_experts:
-            raise ValueError(f"N features {self.n_features} must be divisible by "
-                             f"number of experts {self.n_experts}")
+            raise ValueError(f"{self.n_experts} experts cannot share {self.n_features} features evenly")
 
     def feature_slice(self, lo: int, hi: int) -> "Dictionary":
         return Dictionary(
@@ -241,8 +240,10 @@ def encode(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None,
     if d.nbytes() <= MAX_BROADCAST_BYTES or arch in ("switch", "switch_topk"):
         return _score_once(df, d, arch, k, keys, vec_col, with_route)
     # feature slices, each within the broadcast limit
-    per_feature = max(1, d.nbytes() // d.n_features)
-    step = max(1, MAX_BROADCAST_BYTES // per_feature)
+    one = d.feature_slice(0, 1).nbytes()
+    per_feature = max(1, d.feature_slice(0, min(2, d.n_features)).nbytes() - one)
+    fixed = one - per_feature          # parts that every slice carries whole
+    step = max(1, (MAX_BROADCAST_BYTES - fixed) // per_feature)
     parts = [_score_once(df, d.feature_slice(lo, min(lo + step, d.n_features)), arch, k,
                          keys, vec_col, with_route)
              for lo in range(0, d.n_features, step)]

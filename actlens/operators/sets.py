@@ -33,5 +33,5 @@ def append_batches(*parts: DataFrame) -> DataFrame:
     cols = parts[0].columns
     for p in parts[1:]:
         if sorted(p.columns) != sorted(cols):
-            raise ValueError("All splits must have the same columns")
+            raise ValueError("the parts differ in their columns")
     return reduce(lambda x, y: x.unionByName(y), parts)

@@ -52,7 +52,7 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
     ``return_final`` each batch's short tail is returned as its last chunk.
     """
     if eos_id is None:
-        raise ValueError("Tokenizer must have an EOS token to use chunk_tokens")
+        raise ValueError("chunks are separated by an end token: eos_id is needed")
     if chunk_len < 1:
         raise ValueError("chunk length must be positive")
     L = chunk_len
@@ -92,8 +92,7 @@ def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_
                          F.sum(F.when(tlen > 0, tlen + F.lit(1))).alias("tail_total")).first()
     max_total, tail_total = summary["mx"] or 0, summary["tail_total"] or 0
     if require_nonempty and (max_total == 0 if return_final else (max_total < L and tail_total < L)):
-        raise ValueError("Not enough data to create a single complete batch. Either allow the final "
-                         "batch to be returned, or supply more data.")
+        raise ValueError("the documents fill no chunk: pass more of them, or return_final=True")
     if return_final:
         return assemble(stream, "_b", "_c", "_p")
     # tail segments ([EOS] + tail of each batch, batches in order): offsets over the

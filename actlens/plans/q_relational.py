@@ -154,7 +154,7 @@ FROM documents
 """)
 def pre1_docs(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "lang")
-    return O.global_index(d, ["lang", "doc_id"], bucket=F.col("lang"))
+    return O.global_index(d, ["lang", "doc_id"])
 
 
 @query("bat1_rebatch", """
@@ -273,7 +273,7 @@ FROM (SELECT run, avg(value) AS mean_value FROM ({C.RUN_LOG_SQL}) GROUP BY run)
 def srt1(spark, sf):
     s = C.run_log(spark, sf).groupBy("run").agg(F.avg("value").alias("mean_value"))
     s = s.withColumn("_neg", -F.col("mean_value"))
-    r = O.running_index(s, ["_neg", "run"], bucket=F.lit(0), name="sort_rank", base=1)
+    r = O.running_index(s, ["_neg", "run"], name="sort_rank", base=1)
     return r.select("run", F.round("mean_value", 6).alias("mean_value"), "sort_rank")
 
 

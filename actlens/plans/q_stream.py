@@ -61,7 +61,7 @@ FROM events GROUP BY 1
 """)
 def str2(spark, sf):
     ev = read_table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value") \
-         .withColumn("week", F.floor(F.dayofyear("ts") / 7))
+         .withColumn("week", F.floor(F.unix_date(F.to_date("ts")) / 7))
     base = _drive(spark, ev, "week", "str2", lambda s: SL.usage_windows(s, "ts", ["value"]),
                   sink=lambda b: SL.upsert_sink(f"{b}/sink"), mode="update")
     w = SL.latest_versions(spark, f"{base}/sink", ["window"])

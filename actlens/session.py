@@ -11,10 +11,6 @@ from pyspark.sql import SparkSession
 # UTC for all timestamp text, ANSI kept on (zero division must be explicit).
 BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
-    # joins are broadcast only on measured sizes (AQE, at runtime), never on
-    # planner estimates: a side that turns out large is shuffled instead
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -93,12 +89,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 RUNTIME_CONF = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-                "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
                 "spark.sql.adaptive.skewJoin.enabled")
 
 
 def ensure_utc(spark: SparkSession) -> None:
-    """Session settings the operators rely on (UTC text, AQE, measured-size broadcasts)."""
+    """Session settings the operators rely on (UTC text, AQE); broadcast thresholds stay the session's own."""
     for key in RUNTIME_CONF:
         if spark.conf.get(key, None) != BASE_CONF[key]:
             spark.conf.set(key, BASE_CONF[key])

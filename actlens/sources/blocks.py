@@ -135,6 +135,10 @@ def write_blocks(df: DataFrame, run_path: str, rows_per_block: int, *, order_col
     return x.groupBy("block_id").applyInArrow(write, out_schema)
 
 
+#: files whose paths are broadcast to the readers (some 200 bytes each)
+MAX_BROADCAST_FILES = 100_000
+
+
 def list_blocks(spark: SparkSession, run_path: str) -> DataFrame:
     """Block catalogue (path, block_index) in sorted path order; metadata excluded.
 
@@ -143,7 +147,7 @@ def list_blocks(spark: SparkSession, run_path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", BLOCK_GLOB) \
                  .option("recursiveFileLookup", "true").load(run_path).select("path", "length")
-    return O.running_index(files, ["path"], bucket=F.lit(0), name="block_index")
+    return O.running_index(files, ["path"], name="block_index")
 
 
 def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | None = None,
@@ -171,7 +175,11 @@ def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | N
         cat = cat.where(F.col("block_index").isin(list(block_ids)))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", BLOCK_GLOB) \
                .option("recursiveFileLookup", "true").load(run_path).select("path", "content")
-    blocks = raw.join(cat.select("path", "block_index"), on="path", how="inner")
+    # the catalogue (one short row per file) goes to the contents, not the other way
+    wanted = cat.select("path", "block_index")
+    if wanted.count() <= MAX_BROADCAST_FILES:
+        wanted = F.broadcast(wanted)
+    blocks = raw.join(wanted, on="path", how="inner")
     schema = T.StructType([T.StructField("block_index", T.LongType()), T.StructField("path", T.StringType()),
                            T.StructField("sample_id", T.LongType()), T.StructField("pos", T.IntegerType()),
                            T.StructField("vec", T.ArrayType(T.FloatType(), False))])
@@ -203,10 +211,3 @@ def block_count(blocks: DataFrame, group_cols: Sequence[str] = ("run", "layer",
                 block_col: str = "block_id") -> DataFrame:
     """SRC17: number of blocks per location."""
     return blocks.groupBy(*group_cols).agg(F.countDistinct(block_col).alias("n_blocks"))
-
-
-def resume_catalogue(cat: DataFrame, start_at_token: int, samples_per_file: int, seq_len: int) -> DataFrame:
-    """SRC3 on a file catalogue: skip ceil(start / tokens_per_file) leading files."""
-    skip = math.ceil(start_at_token / (samples_per_file * seq_len)) if start_at_token else 0
-    w = Window.orderBy("path")  # file-level window: one row per file
-    return cat.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") >= skip).drop("_i")

@@ -4,10 +4,12 @@
 import pytest
 
 import __spark_entry__ as E
+from actlens.plans import registry
 from tests.conftest import SF001
 from tools.oracle_check import duck, rows_of, same_row
 
-ORACLES = E.oracle_sql()
+registry.load_all()
+ORACLES = dict(registry.ORACLES)
 NAMES = sorted(ORACLES)
 
 
@@ -38,7 +40,7 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_an_oracle_or_is_iterative():
-    rows_only = set(E.queries()) - set(ORACLES)
+    rows_only = set(registry.QUERIES) - set(ORACLES)
     assert rows_only <= {"agg9_geometric_median", "met9_aux_loss", "fit1_relu", "fit1_topk",
                          "fit1_switch_topk", "fit2_batch_topk", "fit2_jumprelu"}
 

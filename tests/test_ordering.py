@@ -138,3 +138,22 @@ def test_feature_pairs_distinct_and_complete(spark):
         assert len(pairs) == len(allp) == m * (m - 1) // 2 and all(a < b for a, b in pairs)
         with pytest.raises(ValueError):
             feature_pairs(f, m * (m - 1) // 2 + 1, 3)
+
+
+def test_slices_are_even_with_an_outlier_and_a_heavy_value(spark):
+    from pyspark.sql import functions as F
+
+    from actlens.operators import ordering as O
+    df = spark.range(4000).select(F.when(F.col("id") == 0, F.lit(10**12)).when(F.col("id") < 1500, F.lit(7))
+                                  .otherwise(F.col("id")).alias("k"), F.col("id").alias("t"))
+    cut = O.slice_rows(df, [F.col("k"), F.col("t")], 8, "s")
+    sizes = [r["count"] for r in cut.groupBy("s").count().collect()]
+    assert max(sizes) < 2 * 4000 / 8
+    got = O.running_index(df, ["k", "t"], rows_per_slice=500, name="i").orderBy("k", "t").collect()
+    assert [r["i"] for r in got] == list(range(4000))
+
+
+def test_one_slice_needs_no_join(spark):
+    from actlens.operators import ordering as O
+    out = O.running_index(spark.range(10), ["id"], name="i")
+    assert "Join" not in out._jdf.queryExecution().toString() and out.filter("i <> id").count() == 0

@@ -110,3 +110,19 @@ def test_metrics_match_numpy(spark):
 def test_dictionary_checks():
     with pytest.raises(ValueError):
         S.Dictionary(enc=np.zeros((10, 4)), dec=np.zeros((10, 4)), pre_b=np.zeros(4), n_experts=3).check()
+
+
+def test_feature_slices_fit_the_limit_at_common_dimensions(spark, monkeypatch):
+    import numpy as np
+
+    from actlens.operators import scoring as S
+    rng = np.random.default_rng(0)
+    for d_in in (64, 512, 1024):
+        d = S.Dictionary(enc=rng.normal(size=(64, d_in)), dec=rng.normal(size=(64, d_in)), pre_b=rng.normal(size=d_in))
+        rows = [(i, 0, rng.normal(size=d_in).tolist()) for i in range(6)]
+        df = spark.createDataFrame(rows, "sample_id long, pos long, vec array<double>")
+        plain = lambda out: sorted((*tuple(r)[:-1], round(r[-1], 9)) for r in out.collect())
+        want = plain(S.encode(df, d, "topk", k=3))
+        with monkeypatch.context() as m:
+            m.setattr(S, "MAX_BROADCAST_BYTES", d.nbytes() // 2)
+            assert plain(S.encode(df, d, "topk", k=3)) == want

@@ -140,13 +140,23 @@ def agg8(spark, sf):
     return s.select("pos", *[r6(c).alias(c) for c in ("std_over_dims", "std_over_samples", "mean")])
 
 
-@query("agg9_geometric_median")
+@query("agg9_geometric_median", f"""
+WITH RECURSIVE l AS MATERIALIZED (SELECT vec_id, dim, CAST(x AS DOUBLE) AS x FROM ({ALONG})),
+w(i, dim, m) AS (
+ SELECT 0, dim, avg(x) FROM l GROUP BY dim
+ UNION ALL
+ SELECT q.i + 1, l.dim, sum(l.x * q.nw) / sum(q.nw)
+ FROM l JOIN (SELECT s.i, l.vec_id, 1 / greatest(sqrt(sum((l.x - s.m) * (l.x - s.m))), 1e-6) AS nw
+              FROM l JOIN w s USING (dim) WHERE s.i < 60 GROUP BY s.i, l.vec_id) q USING (vec_id)
+ GROUP BY q.i, l.dim)
+SELECT CAST(dim AS INTEGER) AS dim, round(m, 6) AS median FROM w WHERE i = 60
+""")
 def agg9(spark, sf):
     from actlens.operators.geometry import geometric_median
     from actlens.sources.tables import read_table
     e = read_table(spark, sf, "embeddings").select(F.col("embedding").alias("vec"))
     med = geometric_median(e, "vec")
-    rows = [(i, float(v)) for i, v in enumerate(med)]
+    rows = [(i, round(float(v), 6)) for i, v in enumerate(med)]
     return spark.createDataFrame(rows, "dim INT, median DOUBLE")
 
 

@@ -424,7 +424,24 @@ def _dead_for_aux(spark, sf):
     return [r["feature"] for r in dead.select("feature").collect()]  # feature ids: model-sized
 
 
-@query("met9_aux_loss")
+@query("met9_aux_loss", f"""
+WITH lat AS ({C.latents_sql()}),
+cur AS (SELECT max(batch_id) AS c FROM ({ACT})),
+s AS (SELECT feature, batch_id, sum(value) AS s FROM lat GROUP BY 1, 2),
+last AS (SELECT feature, max(batch_id) AS last_active FROM s WHERE s > 0 GROUP BY feature),
+f AS (SELECT CAST(unnest(range(0, 32)) AS INTEGER) AS feature),
+dead AS (SELECT feature FROM f LEFT JOIN last USING (feature), cur WHERE c - coalesce(last_active, -1) >= 1),
+act AS (SELECT a.vec_id, CAST(d.feature AS INTEGER) AS feature, greatest(list_dot_product(a.x, d.w), 0) AS v FROM ({AX}) a, ({DICT}) d),
+main AS (SELECT vec_id, feature, v FROM (
+ SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, feature) AS r FROM act) WHERE r <= {C.TOPK}),
+aux AS (SELECT vec_id, feature, v FROM (
+ SELECT act.*, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, feature) AS r FROM act JOIN dead USING (feature)) WHERE r <= 8),
+tot AS (SELECT p.vec_id, dl.dim, sum(p.v * dl.w) AS t
+        FROM (SELECT * FROM main UNION ALL SELECT * FROM aux) p JOIN ({DICT_LONG}) dl USING (feature) GROUP BY 1, 2)
+SELECT batch_id, round(CASE WHEN (SELECT count(*) FROM dead) = 0 THEN 0
+       ELSE sum((coalesce(t, 0) - x) * (coalesce(t, 0) - x)) / 32.0 / count(*) END, 6) AS aux_loss
+FROM ({ALONG}) l LEFT JOIN tot USING (vec_id, dim) GROUP BY batch_id
+""")
 def met9(spark, sf):
     d = C.dictionary(spark, sf)
     dead = _dead_for_aux(spark, sf)

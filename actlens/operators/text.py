@@ -1,10 +1,10 @@
 """Text and retrieval operators (TXT1-TXT5, FN11-FN13 helpers).
 
-Token streams are positioned with two-level prefix sums (no window spans a
-table); chunks are assembled by grouping on (batch, chunk) - groups of exactly
-``chunk_len`` tokens. Retrieval joins the (small, broadcast) query side to
-the postings of query terms only, so the corpus-side shuffle carries only
-rows that can score.
+Token arrays are placed in their stream with two-level prefix sums over
+lengths and cut where they lie; the pieces of a chunk meet by grouping on
+(batch, chunk) - groups of exactly ``chunk_len`` tokens. Retrieval folds words
+outside the queries into one row per document before the shuffle, so the
+corpus side carries only rows that can score.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from actlens.session import materialize
 
 WORD_SPLIT = r"[^\p{L}\p{N}]+"
 
-# largest query side broadcast without a size check failing (rows)
-MAX_BROADCAST_ROWS = 5_000_000
+# bytes of query vectors held by one task of a dense search
+QUERY_BLOCK_BYTES = 64 << 20
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -41,76 +41,92 @@ def word_terms(text: Column) -> Column:
 def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_id: int | None,
                  batch_docs: int = 2048, return_final: bool = False, doc_col: str = "doc_id",
                  pos_col: str = "pos", token_col: str = "token_id",
-                 require_nonempty: bool = True, doc_lengths: DataFrame | None = None) -> DataFrame:
+                 require_nonempty: bool = True) -> DataFrame:
+    """``chunk_arrays`` over token rows: the rows of a document are gathered into
+    one array first (a document fits a row, as its text does)."""
+    arrays = doc_tokens.groupBy(doc_col).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(pos_col).alias("p"), F.col(token_col).cast("bigint").alias("t"))))
+         .getField("t").alias("tokens"))
+    per_doc = docs.select(doc_col).distinct().join(arrays, on=doc_col, how="left")
+    return chunk_arrays(per_doc, chunk_len, eos_id=eos_id, batch_docs=batch_docs, return_final=return_final,
+                        doc_col=doc_col, require_nonempty=require_nonempty)
+
+
+def chunk_arrays(docs: DataFrame, chunk_len: int, *, eos_id: int | None, batch_docs: int = 2048,
+                 return_final: bool = False, doc_col: str = "doc_id", tokens_col: str = "tokens",
+                 require_nonempty: bool = True) -> DataFrame:
     """Fixed-length token rows: (batch, chunk, tokens ARRAY<BIGINT>).
 
-    Documents (in ``doc_col`` order) are processed in batches of
+    One input row per document (unique ``doc_col``; a null array is an empty
+    document). Documents, in ``doc_col`` order, are processed in batches of
     ``batch_docs``; each batch is the stream EOS d1 EOS d2 ... cut into
     chunks of ``chunk_len``. Unless ``return_final``, the short tail of every
     batch joins a second stream - [EOS] + tail, batches in order - cut the
     same way (batch = -1); its unfilled rest is dropped. With
     ``return_final`` each batch's short tail is returned as its last chunk.
+
+    A document's place in its stream follows from lengths alone, so every
+    document is cut where it lies and only the pieces of chunks are shuffled.
     """
     if eos_id is None:
         raise ValueError("chunks are separated by an end token: eos_id is needed")
     if chunk_len < 1:
         raise ValueError("chunk length must be positive")
-    L = chunk_len
-    spark = docs.sparkSession
-    ids = docs.select(doc_col).distinct()
-    numeric = dict(ids.dtypes)[doc_col] in ("bigint", "int", "smallint", "tinyint")
-    # numeric ids bucket by id range without a scan; others size buckets from a scan
-    bucket = F.floor(F.col(doc_col) / F.lit(1 << 16)) if numeric else None
-    d = O.global_index(ids, [doc_col], bucket=bucket, name="_di")
+    L = F.lit(chunk_len)
+    docs = materialize(docs.select(doc_col, F.concat(
+        F.array(F.lit(eos_id).cast("bigint")),
+        F.coalesce(tokens_col, F.array().cast("array<bigint>"))).alias("_toks")), "chunk-docs")
+    d = O.global_index(docs.select(doc_col, F.size("_toks").cast("bigint").alias("_len")), [doc_col], name="_di")
     d = d.withColumn("_b", F.floor(F.col("_di") / F.lit(batch_docs)).cast("bigint"))
-    # token count per document; callers that know it from the text pass it in, so
-    # the scalar jobs below never have to run the token pipeline
-    counts = doc_lengths.select(doc_col, F.col("n_tokens").alias("_n")) if doc_lengths is not None else \
-        doc_tokens.groupBy(doc_col).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(counts, on=doc_col, how="left") \
-         .withColumn("_len", F.coalesce("_n", F.lit(0)) + F.lit(1))
-    # doc offset inside its batch: running sum over a bounded (batch_docs rows) group
-    w = Window.partitionBy("_b").orderBy("_di").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("_off", F.coalesce(F.sum("_len").over(w), F.lit(0))).select(doc_col, "_b", "_off", "_len")
-    d = materialize(d)  # one row per document, read by four consumers below
-    toks = doc_tokens.join(d.select(doc_col, "_b", "_off"), on=doc_col, how="inner") \
-        .select("_b", (F.col("_off") + F.lit(1) + F.col(pos_col)).alias("_p"), F.col(token_col).cast("bigint").alias("_t"))
-    eos = d.select("_b", F.col("_off").alias("_p"), F.lit(eos_id).cast("bigint").alias("_t"))
-    stream = toks.unionByName(eos)
-    totals = d.groupBy("_b").agg(F.sum("_len").alias("_total"))
-    stream = stream.join(totals, on="_b", how="inner") \
-                   .withColumn("_c", F.floor(F.col("_p") / F.lit(L)).cast("bigint")) \
-                   .withColumn("_full", F.floor(F.col("_total") / F.lit(L)).cast("bigint"))
-
-    def assemble(rows: DataFrame, b: str, c: str, p: str) -> DataFrame:
-        return rows.groupBy(F.col(b).alias("batch"), F.col(c).alias("chunk")).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col(p).alias("p"), F.col("_t").alias("t")))),
-                        lambda s: s["t"]).alias("tokens"))
-
-    tlen = F.col("_total") - F.floor(F.col("_total") / F.lit(L)) * F.lit(L)
-    summary = totals.agg(F.max("_total").alias("mx"),
-                         F.sum(F.when(tlen > 0, tlen + F.lit(1))).alias("tail_total")).first()
+    # offset inside the batch and batch total: windows over at most batch_docs rows
+    in_batch = Window.partitionBy("_b")
+    before = in_batch.orderBy("_di").rowsBetween(Window.unboundedPreceding, -1)
+    d = materialize(d.select(doc_col, "_b", F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_off"), "_len",
+                             F.sum("_len").over(in_batch).alias("_total")), "chunk-offsets")
+    full = F.floor(F.col("_total") / L).cast("bigint") * L      # tokens of the batch in whole chunks
+    tails = d.groupBy("_b").agg(F.max("_total").alias("_total")) \
+             .select("_b", "_total", (F.col("_total") - full).alias("_tlen"))
+    summary = tails.agg(F.max("_total").alias("mx"),
+                        F.sum(F.when(F.col("_tlen") > 0, F.col("_tlen") + F.lit(1))).alias("tail_total")).first()
     max_total, tail_total = summary["mx"] or 0, summary["tail_total"] or 0
-    if require_nonempty and (max_total == 0 if return_final else (max_total < L and tail_total < L)):
+    if require_nonempty and (max_total == 0 if return_final else (max_total < chunk_len and tail_total < chunk_len)):
         raise ValueError("the documents fill no chunk: pass more of them, or return_final=True")
+
+    def cut(spans: DataFrame) -> DataFrame:
+        """Spans (stream, start, tokens) -> one piece per chunk they touch."""
+        end = F.col("_start") + F.size("_span")
+        chunks = F.sequence(F.floor(F.col("_start") / L).cast("bigint"), F.floor((end - F.lit(1)) / L).cast("bigint"))
+
+        def piece(c: Column) -> Column:
+            lo = F.greatest(c * L, F.col("_start"))
+            hi = F.least((c + F.lit(1)) * L, end)
+            return F.struct(c.alias("_c"), lo.alias("_p"),
+                            F.slice("_span", (lo - F.col("_start") + F.lit(1)).cast("int"), (hi - lo).cast("int")).alias("_t"))
+        return spans.where(F.size("_span") > 0).select("_stream", F.inline(F.transform(chunks, piece)))
+
+    placed = docs.join(d, on=doc_col, how="inner")
     if return_final:
-        return assemble(stream, "_b", "_c", "_p")
-    # tail segments ([EOS] + tail of each batch, batches in order): offsets over the
-    # small per-batch table; every token row gets its final (batch, chunk, position)
-    # in one projection, so the token stream is consumed once
-    tl = totals.select("_b", tlen.alias("_tlen")).where(F.col("_tlen") > 0) \
-               .withColumn("_seg", F.col("_tlen") + F.lit(1))
-    tl = O.prefix_sum(tl, ["_b"], "_seg", bucket=F.floor(F.col("_b") / F.lit(4096)), name="_soff")
-    in_full = F.col("_c") < F.col("_full")
-    s2 = stream.join(tl.select("_b", "_soff"), on="_b", how="left")
-    q = F.col("_soff") + F.lit(1) + F.col("_p") - F.col("_full") * F.lit(L)
-    s2 = s2.select(F.when(in_full, F.col("_b")).otherwise(F.lit(-1)).cast("bigint").alias("_ob"),
-                   F.when(in_full, F.col("_p")).otherwise(q).alias("_op"), "_t")
-    t_eos = tl.select(F.lit(-1).cast("bigint").alias("_ob"), F.col("_soff").alias("_op"),
-                      F.lit(eos_id).cast("bigint").alias("_t"))
-    rows = s2.unionByName(t_eos).withColumn("_oc", F.floor(F.col("_op") / F.lit(L)).cast("bigint"))
-    rows = rows.where((F.col("_ob") >= 0) | (F.col("_oc") < F.lit(tail_total // L)))
-    return assemble(rows, "_ob", "_oc", "_op")
+        pieces = cut(placed.select(F.col("_b").alias("_stream"), F.col("_off").alias("_start"), F.col("_toks").alias("_span")))
+    else:
+        # tail segments ([EOS] + tail of each batch, batches in order): offsets over one row per batch
+        segments = tails.where(F.col("_tlen") > 0).withColumn("_seg", F.col("_tlen") + F.lit(1))
+        segments = O.prefix_sum(segments, ["_b"], "_seg", bucket=F.floor(F.col("_b") / F.lit(4096)), name="_soff")
+        placed = placed.join(segments.select("_b", "_soff"), on="_b", how="left")
+        # tokens of the document that lie in whole chunks of its batch
+        head = F.greatest(F.lit(0), F.least(F.col("_len"), full - F.col("_off"))).cast("int")
+        rest = (F.col("_len") - head).cast("int")
+        spans = placed.select(F.inline(F.array(
+            F.struct(F.col("_b").alias("_stream"), F.col("_off").alias("_start"),
+                     F.slice("_toks", F.lit(1), head).alias("_span")),
+            F.struct(F.lit(-1).cast("bigint").alias("_stream"),
+                     (F.col("_soff") + F.lit(1) + F.col("_off") + head - full).alias("_start"),
+                     F.slice("_toks", head + F.lit(1), rest).alias("_span")))))
+        ends = segments.select(F.lit(-1).cast("bigint").alias("_stream"), F.col("_soff").alias("_start"),
+                               F.array(F.lit(eos_id).cast("bigint")).alias("_span"))
+        pieces = cut(spans.unionByName(ends)) \
+            .where((F.col("_stream") >= 0) | (F.col("_c") < F.lit(tail_total // chunk_len)))
+    return pieces.groupBy(F.col("_stream").alias("batch"), F.col("_c").alias("chunk")).agg(
+        F.flatten(F.sort_array(F.collect_list(F.struct("_p", "_t"))).getField("_t")).alias("tokens"))
 
 
 # ----------------------------------------------------------------------- TXT2
@@ -133,24 +149,21 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
                 query_text_col: str = "text") -> DataFrame:
     """Lexical top-k per query: sum over distinct query terms of
     idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5)/(df + 0.5))."""
-    terms = docs.select(doc_col, word_terms(F.col(text_col)).alias("_terms"))
-    dl = materialize(terms.select(doc_col, F.size("_terms").alias("dl")))   # per document, no shuffle
+    q_terms = materialize(queries.select(query_col, F.explode(word_terms(F.col(query_text_col))).alias("term")).distinct())
+    vocab = q_terms.select("term").distinct().withColumn("_q", F.col("term"))
+    # one pass over the texts: words outside the queries fold into one row per document
+    # (null word) before any shuffle; _outer keeps documents without words
+    words = docs.select(doc_col, F.explode_outer(word_terms(F.col(text_col))).alias("term"))
+    counts = materialize(words.join(vocab, on="term", how="left")
+                              .groupBy(doc_col, F.col("_q").alias("term")).agg(F.count("term").alias("tf")))
+    dl = counts.groupBy(doc_col).agg(F.sum("tf").alias("dl"))
     stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
-    # _outer: no inferred size() filter evaluated below the input spreading
-    doc_terms = terms.select(doc_col, F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
     n_docs, avgdl = stats["n_docs"], stats["avgdl"]
-    q_terms = queries.select(query_col, F.explode(word_terms(F.col(query_text_col))).alias("term")).distinct()
-    n_q = q_terms.count()
-    small = n_q <= MAX_BROADCAST_ROWS
-    qt = F.broadcast(q_terms) if small else q_terms
-    vocab = q_terms.select("term").distinct()
-    postings = doc_terms.join(F.broadcast(vocab) if small else vocab, on="term", how="left_semi") \
-                        .groupBy("term", doc_col).agg(F.count(F.lit(1)).alias("tf"))
-    postings = materialize(postings)  # only query-term postings: read by df and by scoring
+    postings = counts.where(F.col("term").isNotNull())
     dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     sat = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
-    scored = postings.join(dfreq, on="term").join(dl, on=doc_col).join(qt, on="term") \
+    scored = postings.join(dfreq, on="term").join(dl, on=doc_col).join(q_terms, on="term") \
                      .groupBy(query_col, doc_col).agg(F.sum(idf * sat).alias("score"))
     # equal scores (exact copies of a document) may differ in the last bits with the
     # summation order: scores equal to 9 decimals are ties, broken by doc id
@@ -162,58 +175,96 @@ def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float =
 
 def dense_search(corpus: DataFrame, queries: DataFrame, *, k: int = 10, score: str = "dot",
                  doc_col: str = "doc_id", query_col: str = "query_id", vec_col: str = "vec",
-                 exclude_self: bool = False) -> DataFrame:
+                 exclude_self: bool = False, block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact top-k documents per query by dot product or cosine.
 
-    The query matrix is collected (size-checked) and broadcast; each Arrow
-    batch of the corpus keeps only its local top-k per query, and one
-    window per query merges the candidates - corpus x queries pairs are
-    never materialised.
+    Queries go in blocks of at most ``QUERY_BLOCK_BYTES``. A set that fits one
+    block is broadcast; a larger one is spread over (query block, corpus cell)
+    groups, so neither side has to fit anywhere whole. A task holds one block
+    of queries and its running top-k; one window per query merges the
+    candidates - corpus x queries pairs are never materialised.
     """
     if score not in ("dot", "cos_sim"):
         raise ValueError("score must be 'dot' or 'cos_sim'")
-    q_rows = queries.select(query_col, vec_col).collect()
-    if len(q_rows) > 100_000:
-        raise ValueError("query set too large to broadcast; split it")
-    q_ids = np.array([r[query_col] for r in q_rows], dtype=np.int64)
-    qm = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in q_rows])
-    if score == "cos_sim":
-        qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-12)
     spark = corpus.sparkSession
-    bc = spark.sparkContext.broadcast((q_ids, qm))
-    d = qm.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, qv = bc.value
-        for bt in batches:
-            n = bt.num_rows
-            if n == 0:
-                continue
-            arr = bt.column(vec_col)
-            x = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-            if score == "cos_sim":
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            docs = bt.column(doc_col).to_numpy(zero_copy_only=False)
-            s = qv @ x.T  # (queries, batch)
-            if exclude_self:
-                s = np.where(ids[:, None] == docs[None, :], -np.inf, s)
-            kk = min(k, n)
-            # candidates: local top-k per query, widened by ties at the k-th score
-            part = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            kth = np.take_along_axis(s, part, axis=1).min(axis=1, keepdims=True)
-            qi, di = np.nonzero((s >= kth) & np.isfinite(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[qi]), pa.array(docs[di].astype(np.int64)), pa.array(s[qi, di])],
-                names=[query_col, doc_col, "score"])
-
+    q = queries.select(F.col(query_col).cast("bigint").alias("_qid"), F.col(vec_col).cast("array<double>").alias("_qv")) \
+               .where(F.col("_qv").isNotNull())
+    c = corpus.select(F.col(doc_col).cast("bigint").alias("_did"), F.col(vec_col).cast("array<double>").alias("_dv")) \
+              .where(F.col("_dv").isNotNull())
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
+    n_q, d = size["n"], size["d"] or 0
     schema = T.StructType([T.StructField(query_col, T.LongType(), False),
                            T.StructField(doc_col, T.LongType(), False),
                            T.StructField("score", T.DoubleType(), False)])
-    cand = corpus.select(doc_col, vec_col).mapInArrow(run, schema)
+    n_blocks = max(1, -(-n_q * (d + 1) * 8 // block_bytes))
+
+    def matrix(col: pa.Array) -> np.ndarray:
+        x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), d)
+        if score == "cos_sim":
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        return x
+
+    def search(ids: np.ndarray, qv: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Top-k of one query block over the corpus rows of one task."""
+        best_s = np.full((len(ids), 0), -np.inf)
+        best_d = np.zeros((len(ids), 0), dtype=np.int64)
+        step = max(1, (1 << 22) // max(1, len(ids)))     # scores of one step: 32 MB
+        for dids, x in parts:
+            for lo in range(0, len(dids), step):
+                s = qv @ x[lo:lo + step].T
+                dd = np.broadcast_to(dids[lo:lo + step], s.shape)
+                if exclude_self:
+                    s = np.where(ids[:, None] == dd, -np.inf, s)
+                s, dd = np.concatenate([best_s, s], axis=1), np.concatenate([best_d, dd], axis=1)
+                top = np.lexsort((dd, -s), axis=1)[:, :k] if s.shape[1] <= 4 * k else _top_ties(s, dd, k)
+                best_s, best_d = np.take_along_axis(s, top, axis=1), np.take_along_axis(dd, top, axis=1)
+        qi, di = np.nonzero(np.isfinite(best_s))
+        for lo in range(0, len(qi), 1 << 16):
+            i, j = qi[lo:lo + (1 << 16)], di[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(best_d[i, j]), pa.array(best_s[i, j])],
+                                             names=[query_col, doc_col, "score"])
+
+    if n_q == 0:
+        cand = spark.createDataFrame([], schema)
+    elif n_blocks == 1:
+        tbl = q.toArrow().combine_chunks()          # measured: at most one block
+        bc = spark.sparkContext.broadcast((tbl["_qid"].to_numpy(), matrix(tbl["_qv"].combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from search(*bc.value, ((b["_did"].to_numpy(zero_copy_only=False), matrix(b["_dv"])) for b in batches))
+
+        cand = c.mapInArrow(run, schema)
+    else:
+        # corpus cells of about a block too; every corpus row goes once to each query block
+        n_cells = max(1, -(-c.count() * (d + 1) * 8 // block_bytes))
+        qb = q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(n_blocks))) \
+              .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cells - 1).cast("bigint"))))
+        cb = c.withColumn("_cb", F.pmod(F.xxhash64("_did"), F.lit(n_cells))) \
+              .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
+
+        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.Table.from_batches([], schema=out_schema)
+            found = search(left["_qid"].to_numpy(), matrix(left["_qv"].combine_chunks()),
+                           iter([(right["_did"].to_numpy(), matrix(right["_dv"].combine_chunks()))]))
+            return pa.Table.from_batches(list(found), schema=out_schema)
+
+        out_schema = pa.schema([pa.field(query_col, pa.int64()), pa.field(doc_col, pa.int64()), pa.field("score", pa.float64())])
+        cand = qb.groupBy("_qb", "_cb").cogroup(cb.groupBy("_qb", "_cb")).applyInArrow(cell, schema)
     w = Window.partitionBy(query_col).orderBy(F.col("score").desc(), F.col(doc_col))
     return cand.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _top_ties(s: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best scores per row, equal scores by smaller document id."""
+    part = np.argpartition(-s, k - 1, axis=1)[:, :k]
+    kth = np.take_along_axis(s, part, axis=1).min(axis=1, keepdims=True)
+    ties = ((s >= kth).sum(axis=1) > k).nonzero()[0]
+    for r in ties:      # rows whose cut falls into equal scores
+        part[r] = np.lexsort((docs[r], -s[r]))[:k]
+    return part
+
+
 # ----------------------------------------------------------------------- TXT5
 
 def retrieval_metrics(qrels: DataFrame, results: DataFrame, ks: Sequence[int], *, query_col: str = "query_id",
@@ -253,43 +304,65 @@ def retrieval_metrics(qrels: DataFrame, results: DataFrame, ks: Sequence[int], *
 
 def contains_pairs(docs: DataFrame, patterns: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text",
                    pat_col: str = "item_id", pat_text_col: str = "text") -> DataFrame:
-    """(pattern, doc) pairs where the doc text contains the pattern text.
-
-    One Aho-Corasick automaton over the (small, broadcast) pattern set scans
-    each document once inside Arrow batches - no docs x patterns join.
+    """(pattern, doc) pairs where the doc text contains the pattern text (one
+    row per pair; null or empty patterns match nothing).
+
+    A text that contains p0 p1 ... pn (parts between blanks) has p1 ... p(n-1)
+    among its own parts, in a row. So each pattern is filed under its rarest
+    run of up to three inner parts, documents that hold that run are its
+    candidates, and ``contains`` decides. Patterns without an inner part are
+    looked up by their leading characters, in equal-length groups.
     """
-    import ahocorasick
-    pats = [(r[pat_col], r[pat_text_col]) for r in patterns.select(pat_col, pat_text_col).collect()
-            if r[pat_text_col]]
-    if len(pats) > 1_000_000:
-        raise ValueError("pattern set too large to broadcast")
-    spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast(pats)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list] = {}
-        for pid, t in bc.value:
-            by_text.setdefault(t, []).append(pid)
-        for t, ids in by_text.items():
-            auto.add_word(t, ids)
-        auto.make_automaton()
-        for b in batches:
-            ids = b.column(doc_col).to_pylist()
-            texts = b.column(text_col).to_pylist()
-            out_p, out_d = [], []
-            for did, txt in zip(ids, texts):
-                if not txt:
-                    continue
-                seen = set()
-                for _, pids in auto.iter(txt):
-                    for pid in pids:
-                        if pid not in seen:
-                            seen.add(pid)
-                            out_p.append(pid)
-                            out_d.append(did)
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_d, pa.int64())],
-                                             names=[pat_col, doc_col])
-
-    schema = T.StructType([T.StructField(pat_col, T.LongType(), False), T.StructField(doc_col, T.LongType(), False)])
-    return docs.select(doc_col, text_col).mapInArrow(run, schema)
+    pats = materialize(patterns.select(F.col(pat_col).alias("_pid"), F.col(pat_text_col).alias("_pat"))
+                               .where(F.length("_pat") > 0).distinct()
+                               .withColumn("_inner", F.size(F.split("_pat", " ")) - F.lit(2)))
+    texts = docs.select(F.col(doc_col).alias("_did"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    # width of the run (> 0), or minus the number of leading characters (no inner part)
+    kinds = [r["_kind"] for r in pats.select(
+        F.when(F.col("_inner") > 0, F.least("_inner", F.lit(3)))
+         .otherwise(-F.least(F.length("_pat"), F.lit(4))).alias("_kind")).distinct().collect()]   # at most 7 values
+    hits, keys = [], []
+    for kind in sorted(kinds):
+        if kind > 0:
+            mine = pats.where(F.least("_inner", F.lit(3)) == kind)
+            inner = mine.select("_pid", "_pat", F.slice(F.split("_pat", " "), F.lit(2), F.col("_inner")).alias("_parts"))
+            k = inner.select("_pid", "_pat", F.explode(_part_runs("_parts", kind)).alias("_run"))
+            t = texts.select("_did", F.explode(_part_runs(F.split("_text", " "), kind)).alias("_run"))
+        else:
+            head = F.substring("_pat", 1, -kind)
+            k = pats.where((F.col("_inner") <= 0) & (F.least(F.length("_pat"), F.lit(4)) == -kind)) \
+                    .select("_pid", "_pat", F.array(head).alias("_run"))
+            width = F.lit(-kind)
+            starts = F.sequence(F.lit(1), F.length("_text") - width + F.lit(1))
+            t = texts.where(F.length("_text") >= width).select("_did", "_text", F.explode(starts).alias("_at")) \
+                     .select("_did", F.array(F.substr("_text", F.col("_at"), width)).alias("_run"))
+        k = k.select("_pid", "_pat", F.xxhash64(F.lit(kind), "_run").alias("_key")).distinct()
+        keys.append(k)
+        hits.append(t.select("_did", F.xxhash64(F.lit(kind), "_run").alias("_key"))
+                     .join(k.select("_key").distinct(), on="_key", how="left_semi").distinct())
+    schema = f"{pat_col} BIGINT, {doc_col} BIGINT"
+    if not keys:
+        return docs.sparkSession.createDataFrame([], schema)
+    keys = materialize(_union(keys))
+    hits = materialize(_union(hits))
+    seen = hits.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = keys.join(seen, on="_key", how="left").groupBy("_pid", "_pat").agg(
+        F.min_by("_key", F.struct(F.coalesce("_df", F.lit(0)), "_key")).alias("_key"))
+    cand = hits.join(rarest, on="_key").select("_did", "_pid", "_pat").distinct()
+    return cand.join(texts, on="_did").where(F.col("_text").contains(F.col("_pat"))) \
+               .select(F.col("_pid").alias(pat_col), F.col("_did").alias(doc_col)).distinct()
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _part_runs(parts: str | Column, width: int) -> Column:
+    """Arrays of ``width`` consecutive parts (zipped shifts: no function per element)."""
+    a = F.col(parts) if isinstance(parts, str) else parts
+    n = F.size(a) - F.lit(width - 1)
+    shifted = [F.slice(a, F.lit(i + 1), F.greatest(n, F.lit(0))).alias(str(i)) for i in range(width)]
+    return F.arrays_zip(*shifted)

@@ -221,12 +221,9 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, token_id): token_id = 0-based rank in the sorted vocabulary."""
-    # a 3-character prefix is monotone in the byte order of strings; it is part of
-    # the distinct key so that both consumers of the vocabulary share its shuffle
-    toks = doc_tokens(spark, sf_dir).select("token", F.substring("token", 1, 3).alias("_pfx")).distinct()
     from actlens.session import materialize
-    toks = materialize(toks)   # the distinct set is read twice by the running index
-    return materialize(ordering.running_index(toks, ["token"], bucket=F.col("_pfx"), name="token_id").drop("_pfx"))
+    toks = materialize(doc_tokens(spark, sf_dir).select("token").distinct())   # counted and numbered
+    return materialize(ordering.running_index(toks, ["token"], name="token_id"))
 
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,8 +287,9 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # then look both vectors up in the embeddings table (n rows, not vocabulary-sized)
     n = n_embeddings(spark, sf_dir)
     toks = token_ids(spark, sf_dir).select("doc_id", "pos", (F.col("token_id") % n).alias("vid"))
-    pairs = toks.join(toks.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("vid").alias("vid_next")),
-                      on=["doc_id", "pos"], how="inner")
+    # the successor lies in the same document (a group no larger than one text)
+    nxt = F.lead("vid").over(Window.partitionBy("doc_id").orderBy("pos"))
+    pairs = toks.withColumn("vid_next", nxt).where(F.col("vid_next").isNotNull())
     e = read_table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("vid"), F.col("label").alias("layer"),
         F.transform("embedding", lambda x: x.cast("double")).alias("own"))

@@ -1,16 +1,20 @@
 """Fitting dictionaries by distributed gradient sums (FIT1, FIT2).
 
-One optimisation step = one Spark job over one training batch:
+One optimisation step works on one training batch:
 
 1. the current parameters (model-sized) are broadcast;
 2. every task scores its rows inside Arrow batches and accumulates the
    closed-form gradient sums of the loss (no autograd);
-3. each task emits its partial sums cut into row blocks, and
-   ``groupBy(param, block).applyInArrow`` adds the partials of a block
-   (a reduce by key: the final sums are spread over many tasks);
+3. each task emits its partial sums cut into row blocks of a few megabytes,
+   which are added by key in rounds of at most ``ADD_FAN_IN`` partials, so no
+   group grows with the number of tasks (``gradient_blocks``);
 4. the driver applies Adam to the summed gradients (parameters only) and
    the next step broadcasts the result.
 
+The cut of batch top-k is a property of the whole batch: its exact value comes
+from four counting passes over the bits of the activations, so the batch may
+have any number of rows and tasks.
+
 Training batches come from ``ordering.shuffle_batches`` written partitioned
 by ``batch_id``, so each step reads only its own partition.
 """
@@ -23,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +36,9 @@ from actlens.operators.scoring import Dictionary, _softmax, _topk_rows, _vec_mat
 
 FIT1_ARCHS = ("relu", "topk", "switch_topk")
 FIT2_ARCHS = ("batch_topk", "topk_relu", "vanilla", "jumprelu")
-ROW_BLOCK = 1024
+BLOCK_BYTES = 4 << 20        # one partial gradient block
+ADD_FAN_IN = 32              # partial blocks added by one group
+MAX_MODEL_BYTES = 4 << 30    # parameters held by the driver and each executor
 
 
 # ----------------------------------------------------------------- gradients
@@ -115,63 +122,190 @@ def grads_fit1(p: dict, x: np.ndarray, arch: str, k: int | None, l1_coefficient:
 
 
 def grads_fit2(p: dict, x: np.ndarray, arch: str, k: int | None, l1_coefficient: float, n_total: int,
-               *, bandwidth: float = 1e-3, batch_keep: int | None = None) -> tuple[dict, dict]:
+               *, bandwidth: float = 1e-3, batch_keep: int | None = None, threshold: float | None = None,
+               pre_enc_bias: bool = False) -> tuple[dict, dict]:
     """Second family: l2 = mean (recon - x)^2; batch_topk / topk_relu / vanilla add
-    c * L1, jumprelu adds c * L0 with a rectangle pseudo-gradient for thresholds."""
+    c * L1 and centre their input by ``b_dec``; jumprelu adds c * L0 with a rectangle
+    pseudo-gradient for the log thresholds and centres only with ``pre_enc_bias``.
+
+    ``threshold`` is the smallest activation that batch top-k keeps (values equal to
+    it are all kept); without it the rows of x are taken as the whole batch."""
     n, d = x.shape
-    xc = x - p["b_dec"]
-    pre = xc @ p["enc"].T + p["b_enc"]
+    centred = arch != "jumprelu" or pre_enc_bias
+    xc = x - p["b_dec"] if centred else x
+    acts = np.maximum(xc @ p["enc"].T + p["b_enc"], 0.0)
     g = {name: np.zeros_like(v) for name, v in p.items() if isinstance(v, np.ndarray)}
     if arch == "jumprelu":
         theta = np.exp(p["log_threshold"])
-        r = np.maximum(pre, 0.0)
-        on = (r > theta).astype(float)
-        a = r * on
-        da_dpre = on * (pre > 0)
+        a = np.where(acts > theta, acts, 0.0)
+    elif arch == "vanilla":
+        a = acts
+    elif arch == "topk_relu":
+        idx, vals = _topk_rows(acts, k)
+        a = np.zeros_like(acts)
+        np.put_along_axis(a, idx, vals, axis=1)
+    elif arch == "batch_topk":
+        if threshold is None:
+            keep = min(batch_keep if batch_keep is not None else k * n, acts.size)
+            threshold = np.partition(acts.ravel(), acts.size - keep)[acts.size - keep]
+        a = np.where(acts >= threshold, acts, 0.0)
     else:
-        acts = np.maximum(pre, 0.0)
-        if arch == "vanilla":
-            a = acts
-        elif arch == "topk_relu":
-            idx, vals = _topk_rows(acts, k)
-            a = np.zeros_like(acts)
-            np.put_along_axis(a, idx, vals, axis=1)
-        elif arch == "batch_topk":
-            keep = batch_keep if batch_keep is not None else k * n
-            flat = acts.ravel()
-            if keep < flat.size:
-                thr = np.partition(flat, flat.size - keep)[flat.size - keep]
-                a = np.where(acts >= thr, acts, 0.0)
-            else:
-                a = acts
-        else:
-            raise ValueError(f"unknown architecture {arch!r}")
-        da_dpre = (a > 0).astype(float)
-    recon = a @ p["dec"] + p["b_dec"]
-    delta = recon - x
+        raise ValueError(f"unknown architecture {arch!r}")
+    on = a > 0
+    delta = a @ p["dec"] + p["b_dec"] - x
     gr = 2.0 * delta / (n_total * d)
     g["dec"] = a.T @ gr
     g["b_dec"] = gr.sum(axis=0)
     da = gr @ p["dec"].T
     if arch == "jumprelu":
-        # L0 = sum H(r - theta): rectangle kernel pseudo-gradient w.r.t. theta
-        kern = (np.abs((pre - theta) / bandwidth) <= 0.5).astype(float) / bandwidth
-        dtheta = -(da * theta * kern).sum(axis=0) - l1_coefficient * kern.sum(axis=0) / n_total
-        g["log_threshold"] = dtheta * theta
-        l_extra = float(on.sum())
+        def window(v):
+            return (np.abs((v - theta) / bandwidth) < 0.5) / bandwidth
+        # both pseudo-gradients are taken with respect to the log threshold
+        g["log_threshold"] = -(da * theta * window(acts)).sum(axis=0) - l1_coefficient * window(a).sum(axis=0) / n_total
+        extra = float(on.sum())
     else:
         da = da + l1_coefficient * np.sign(a) / n_total
-        l_extra = float(np.abs(a).sum())
-    dpre = da * da_dpre
+        extra = float(a.sum())
+    dpre = da * on
     g["enc"] = dpre.T @ xc
     g["b_enc"] = dpre.sum(axis=0)
-    g["b_dec"] -= (dpre @ p["enc"]).sum(axis=0)
+    if centred:
+        g["b_dec"] -= (dpre @ p["enc"]).sum(axis=0)
     se = float((delta * delta).sum())
-    stats = {"loss_sum": se / (n_total * d) + l1_coefficient * l_extra / n_total, "se_sum": se,
-             "l1_sum": l_extra, "rows": n}
+    stats = {"loss_sum": se / (n_total * d) + l1_coefficient * extra / n_total, "se_sum": se,
+             "l1_sum": extra, "rows": n}
     return g, stats
 
 
+# ------------------------------------------------------- distributed sums
+
+_BLOCKS = T.StructType([T.StructField("param", T.StringType()), T.StructField("block", T.IntegerType()),
+                        T.StructField("part", T.IntegerType()), T.StructField("g", T.BinaryType())])
+_BLOCKS_ARROW = pa.schema([pa.field("param", pa.string()), pa.field("block", pa.int32()),
+                           pa.field("part", pa.int32()), pa.field("g", pa.binary())])
+
+
+def _block_rows(width: int) -> int:
+    return max(1, BLOCK_BYTES // (8 * max(1, width)))
+
+
+def _add_blocks(tbl: pa.Table) -> pa.Table:
+    total = None
+    for g in tbl.column("g"):
+        a = _unblob(g.as_py())
+        total = a if total is None else total + a
+    first = tbl.slice(0, 1).to_pylist()[0]
+    return pa.table({"param": [first["param"]], "block": [first["block"]], "part": [first["part"]],
+                     "g": [_blob(total)]}, schema=_BLOCKS_ARROW)
+
+
+def gradient_blocks(batch: DataFrame, params: dict, arch: str, *, k: int | None = None, l1_coefficient: float = 0.0,
+                    n_total: int, vec_col: str = "vec", bandwidth: float = 1e-3) -> DataFrame:
+    """Gradient sums of one step over ``batch``: (param, block, part, g), one row per
+    row block of every parameter; ``__``-names carry the scalars of the loss."""
+    spark = batch.sparkSession
+    if sum(v.nbytes for v in params.values()) > MAX_MODEL_BYTES:
+        raise ValueError(f"the parameters take more than {MAX_MODEL_BYTES} bytes")
+    src = batch.select(vec_col)
+    d = params["enc"].shape[1]
+    bc = spark.sparkContext.broadcast(params)
+    cut = batch_cut(src, bc, k * n_total, vec_col) if arch == "batch_topk" else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = bc.value
+        part = TaskContext.get().partitionId()
+        rows = max(1, (1 << 23) // p["enc"].shape[0])     # activations of one step: 64 MB
+        acc, st = None, {"loss_sum": 0.0, "se_sum": 0.0, "l1_sum": 0.0, "rows": 0}
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                x = _vec_matrix(b.column(vec_col).slice(lo, rows), d)
+                if arch in FIT1_ARCHS:
+                    gr, s = grads_fit1(p, x, arch, k, l1_coefficient, n_total)
+                else:
+                    gr, s = grads_fit2(p, x, arch, k, l1_coefficient, n_total, bandwidth=bandwidth, threshold=cut)
+                if acc is None:
+                    acc = gr
+                else:
+                    for name in acc:
+                        acc[name] += gr[name]
+                for name in st:
+                    st[name] += s[name]
+        if acc is None:
+            return
+        sums = {**acc, **{f"__{name}": np.array([float(v)]) for name, v in st.items()}}
+        for name, arr in sums.items():
+            step = _block_rows(arr[0].size)
+            for bi, lo in enumerate(range(0, arr.shape[0], step)):
+                yield pa.RecordBatch.from_pylist([{"param": name, "block": bi, "part": part, "g": _blob(arr[lo:lo + step])}],
+                                                 schema=_BLOCKS_ARROW)
+
+    out = src.mapInArrow(run, _BLOCKS)
+    parts = src.rdd.getNumPartitions()
+    while True:
+        parts = -(-parts // ADD_FAN_IN)
+        out = out.withColumn("part", F.floor(F.col("part") / F.lit(ADD_FAN_IN)).cast("int")) \
+                 .groupBy("param", "block", "part").applyInArrow(_add_blocks, _BLOCKS)
+        if parts <= 1:
+            return out
+
+
+def gradient_table(blocks: DataFrame, params: dict, scale: float = 1.0) -> DataFrame:
+    """(param, row, dim, grad) of summed blocks, times ``scale``; a vector is row 0."""
+    vectors = {name for name, v in params.items() if v.ndim == 1}
+    steps = {name: _block_rows(v[0].size) for name, v in params.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                name, a = r["param"], _unblob(r["g"])
+                first = r["block"] * steps[name]
+                row, dim = ((np.zeros(len(a), dtype=np.int64), first + np.arange(len(a))) if name in vectors else
+                            (first + np.repeat(np.arange(a.shape[0]), a.shape[1]), np.tile(np.arange(a.shape[1]), a.shape[0])))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * a.size, pa.string()), pa.array(row.astype(np.int32)),
+                     pa.array(dim.astype(np.int32)), pa.array(a.ravel() * scale)], names=["param", "row", "dim", "grad"])
+
+    return blocks.where(~F.col("param").startswith("__")).mapInArrow(run, "param STRING, row INT, dim INT, grad DOUBLE")
+
+
+def batch_cut(src: DataFrame, bc, keep: int, vec_col: str = "vec") -> float:
+    """The ``keep``-th largest activation of a batch (0.0 if fewer are positive).
+
+    Positive doubles sort as their bits do: each pass counts 16 further bits among
+    the values that share the bits found so far - at most 65,536 counts a task."""
+    schema = "bin INT, n BIGINT"
+
+    def counts(prefix: int, level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            p = bc.value
+            total = np.zeros(1 << 16, dtype=np.int64)
+            rows = max(1, (1 << 23) // p["enc"].shape[0])
+            for b in batches:
+                for lo in range(0, b.num_rows, rows):
+                    x = _vec_matrix(b.column(vec_col).slice(lo, rows), p["enc"].shape[1])
+                    acts = np.maximum((x - p["b_dec"]) @ p["enc"].T + p["b_enc"], 0.0).ravel()
+                    bits = acts[acts > 0].view(np.int64)
+                    if level:
+                        bits = bits[(bits >> (64 - 16 * level)) == prefix]
+                    total += np.bincount((bits >> (48 - 16 * level)) & 0xFFFF, minlength=1 << 16)
+            hit = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["bin", "n"])
+        return run
+
+    prefix = 0
+    for level in range(4):
+        found = src.mapInArrow(counts(prefix, level), schema).groupBy("bin").agg(F.sum("n").alias("n")) \
+                   .orderBy(F.desc("bin")).collect()     # at most 65,536 counts
+        for r in found:
+            if keep <= r["n"]:
+                prefix = (prefix << 16) | r["bin"]
+                break
+            keep -= r["n"]
+        else:
+            return 0.0
+    return float(np.array([prefix], dtype=np.int64).view(np.float64)[0])
+
+
 # ----------------------------------------------------------------- estimator
 
 def _blob(a: np.ndarray) -> bytes:
@@ -205,7 +339,8 @@ class DictionaryEstimator:
 
     def __init__(self, architecture: str, n_features: int, *, k: int | None = None, n_experts: int | None = None,
                  lr: float = 1e-3, l1_coefficient: float = 0.0, n_tokens: int | None = None, seed: int = 42,
-                 betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, init_threshold: float = 0.001):
+                 betas: tuple[float, float] = (0.9, 0.999), eps: float = 1e-8, init_threshold: float = 1.0,
+                 bandwidth: float = 1e-3):
         if architecture not in FIT1_ARCHS + FIT2_ARCHS:
             raise ValueError(f"unknown architecture {architecture!r}")
         if architecture in ("topk", "switch_topk", "topk_relu", "batch_topk") and not k:
@@ -214,7 +349,7 @@ class DictionaryEstimator:
             raise ValueError(f"{n_experts} experts cannot share {n_features} features evenly")
         self.arch, self.n_features, self.k, self.n_experts = architecture, n_features, k, n_experts
         self.lr, self.l1, self.n_tokens, self.seed = lr, l1_coefficient, n_tokens, seed
-        self.betas, self.eps, self.init_threshold = betas, eps, init_threshold
+        self.betas, self.eps, self.init_threshold, self.bandwidth = betas, eps, init_threshold, bandwidth
 
     def init_params(self, d_in: int) -> dict:
         rng = np.random.default_rng(self.seed)
@@ -235,71 +370,14 @@ class DictionaryEstimator:
         return p
 
     def _step_sums(self, batch: DataFrame, params: dict, vec_col: str, n_total: int) -> tuple[dict, dict]:
-        spark = batch.sparkSession
-        from actlens.operators.scoring import MAX_BROADCAST_BYTES
-        if sum(v.nbytes for v in params.values()) > MAX_BROADCAST_BYTES:
-            raise ValueError("model larger than the broadcast limit")
-        bc = spark.sparkContext.broadcast(params)
-        arch, k, l1 = self.arch, self.k, self.l1
-        fit1 = arch in FIT1_ARCHS
-        d = params["enc"].shape[1]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            p = bc.value
-            acc, st = None, {"loss_sum": 0.0, "se_sum": 0.0, "l1_sum": 0.0, "rows": 0}
-            xs = [_vec_matrix(b.column(vec_col), d) for b in batches if b.num_rows]
-            if arch == "batch_topk" and xs:
-                # batch-level top-k needs the whole batch in one scoring call (bounded by batch size)
-                xs = [np.concatenate(xs)]
-            for x in xs:
-                gr, s = (grads_fit1(p, x, arch, k, l1, n_total) if fit1 else
-                         grads_fit2(p, x, arch, k, l1, n_total, batch_keep=(k * n_total if arch == "batch_topk" else None)))
-                acc = gr if acc is None else {n_: acc[n_] + gr[n_] for n_ in acc}
-                for kk in st:
-                    st[kk] += s[kk]
-            if acc is None:
-                return
-            names, blocks, blobs = [], [], []
-            for name, arr in acc.items():
-                a2 = np.atleast_2d(arr) if arr.ndim == 1 else arr
-                for bi, lo in enumerate(range(0, a2.shape[0], ROW_BLOCK)):
-                    names.append(name); blocks.append(bi); blobs.append(_blob(a2[lo:lo + ROW_BLOCK]))
-            for kk, v in st.items():
-                names.append(f"__{kk}"); blocks.append(0); blobs.append(_blob(np.array([float(v)])))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blocks, pa.int32()), pa.array(blobs, pa.binary())],
-                                             names=["param", "block", "g"])
-
-        schema = T.StructType([T.StructField("param", T.StringType()), T.StructField("block", T.IntegerType()),
-                               T.StructField("g", T.BinaryType())])
-        src = batch.select(vec_col)
-        if arch == "batch_topk":
-            src = src.coalesce(1)  # the batch-level top-k sees the whole (bounded) batch at once
-        part = src.mapInArrow(run, schema)
-
-        def add(tbl: pa.Table) -> pa.Table:
-            total = None
-            for b in tbl.column("g").to_pylist():
-                a = _unblob(b)
-                total = a if total is None else total + a
-            return pa.table({"param": [tbl.column("param")[0].as_py()], "block": [tbl.column("block")[0].as_py()],
-                             "g": [_blob(total)]}, schema=pa.schema([pa.field("param", pa.string()),
-                                                                     pa.field("block", pa.int32()),
-                                                                     pa.field("g", pa.binary())]))
-
-        summed = part.groupBy("param", "block").applyInArrow(add, schema).collect()  # parameter-sized
-        bc.unpersist()
+        blocks = gradient_blocks(batch, params, self.arch, k=self.k, l1_coefficient=self.l1, n_total=n_total,
+                                 vec_col=vec_col, bandwidth=self.bandwidth)
         grads: dict[str, dict] = {}
-        stats = {}
-        for r in summed:
-            if r["param"].startswith("__"):
-                stats[r["param"][2:]] = float(_unblob(r["g"])[0])
-            else:
-                grads.setdefault(r["param"], {})[r["block"]] = _unblob(r["g"])
-        out = {}
-        for name, blocks_ in grads.items():
-            a = np.concatenate([blocks_[i] for i in sorted(blocks_)])
-            out[name] = a.reshape(params[name].shape)
-        return out, stats
+        for r in blocks.collect():       # parameter-sized
+            grads.setdefault(r["param"], {})[r["block"]] = _unblob(r["g"])
+        sums = {name: np.concatenate([parts[i] for i in sorted(parts)]) for name, parts in grads.items()}
+        stats = {name[2:]: float(a[0]) for name, a in sums.items() if name.startswith("__")}
+        return {name: a for name, a in sums.items() if not name.startswith("__")}, stats
 
     def fit(self, batches: DataFrame, *, vec_col: str = "vec", batch_col: str = "batch_id",
             init: dict | None = None, start_token: int = 0, state: dict | None = None,
@@ -325,14 +403,17 @@ class DictionaryEstimator:
             batch = batches.where(F.col(batch_col) == row[batch_col])
             grads, stats = self._step_sums(batch, params, vec_col, int(row["n"]))
             t += 1
+            if self.arch in FIT2_ARCHS:
+                # decoder rows go back to unit length and move only across their direction
+                params["dec"] = params["dec"] / np.maximum(np.linalg.norm(params["dec"], axis=1, keepdims=True), 1e-12)
+                along = (grads["dec"] * params["dec"]).sum(axis=1, keepdims=True)
+                grads["dec"] = grads["dec"] - along * params["dec"]
             for name, g in grads.items():
                 m[name] = b1 * m[name] + (1 - b1) * g
                 v2[name] = b2 * v2[name] + (1 - b2) * g * g
                 mh = m[name] / (1 - b1 ** t)
                 vh = v2[name] / (1 - b2 ** t)
                 params[name] = params[name] - self.lr * mh / (np.sqrt(vh) + self.eps)
-            if self.arch in FIT2_ARCHS:
-                params["dec"] = params["dec"] / np.maximum(np.linalg.norm(params["dec"], axis=1, keepdims=True), 1e-12)
             seen += row["n"]
             history.append({"step": len(history), "batch": row[batch_col], "loss": stats["loss_sum"],
                             "mse": stats["se_sum"] / (stats["rows"] * d_in), "tokens": seen})

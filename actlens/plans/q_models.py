@@ -481,45 +481,155 @@ def met11(spark, sf):
                     r6("l0").alias("L0"), r6("input_mean").alias("input_mean"), r6("input_std").alias("input_std"))
 
 
-# ---------------------------------------------------------------- fitting (iterative: rows-only checks)
-
-def _fit_query(spark, sf, arch, k=None, n_experts=None, steps=4):
+# ---------------------------------------------------------------- fitting: one step over the whole table
+
+FIT_L1 = 0.01          # fixed values of the fitting fixtures
+FIT_BANDWIDTH = 0.08
+
+_FIT_BASE = f"""
+L AS (SELECT vec_id, dim, x FROM ({ALONG})),
+A AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM ({AX})),
+D AS ({DICT_LONG})"""
+# every feature x dimension, and the sums that meet there
+_FIT_MATRICES = """
+SELECT g.param, D.feature AS row, D.dim, coalesce(g.s, 0) AS grad FROM D JOIN (
+ SELECT 'dec' AS param, D.feature, D.dim, s.s FROM D LEFT JOIN (
+  SELECT feature, dim, sum(a * g) AS s FROM lat JOIN gr USING (vec_id) GROUP BY 1, 2) s USING (feature, dim)
+ UNION ALL SELECT 'enc', D.feature, D.dim, s.s FROM D LEFT JOIN (
+  SELECT feature, dim, sum(dz * x) AS s FROM dz JOIN L USING (vec_id) GROUP BY 1, 2) s USING (feature, dim)) g USING (feature, dim)"""
+_FIT_OUT = "SELECT param, CAST(row AS INTEGER) AS row, CAST(dim AS INTEGER) AS dim, round(grad, 6) AS grad FROM "
+
+
+def _fit1_sql(active: str, l1: float) -> str:
+    return f"""
+WITH {_FIT_BASE},
+z AS (SELECT a.vec_id, d.feature, list_dot_product(a.x, d.w) AS z FROM A a, ({DICT}) d),
+lat AS ({active}),
+rc AS (SELECT vec_id, dim, sum(a * w) AS r FROM lat JOIN D USING (feature) GROUP BY 1, 2),
+gr AS (SELECT L.vec_id, L.dim, -2 * (L.x - coalesce(r, 0)) / A.norm / len(A.x) AS g
+       FROM L JOIN A USING (vec_id) LEFT JOIN rc USING (vec_id, dim)),
+dz AS (SELECT lat.vec_id, lat.feature, sum(gr.g * D.w) + {l1} * sign(lat.a) AS dz
+       FROM lat JOIN gr USING (vec_id) JOIN D USING (feature, dim) GROUP BY lat.vec_id, lat.feature, lat.a),
+back AS (SELECT dim, sum(dz * w) AS s FROM dz JOIN D USING (feature) GROUP BY dim)
+{_FIT_OUT} ({_FIT_MATRICES}
+ UNION ALL SELECT 'pre_b', 0, dim, t.s - back.s FROM (SELECT dim, sum(g) AS s FROM gr GROUP BY dim) t JOIN back USING (dim))"""
+
+
+def _fit2_sql(active: str, l1: float, *, centred: bool = True, more: str = "") -> str:
+    back = " - back.s" if centred else ""
+    return f"""
+WITH {_FIT_BASE},
+z AS (SELECT a.vec_id, d.feature, greatest(list_dot_product(a.x, d.w) + {BIAS}, 0) AS z FROM A a, ({DICT}) d),
+lat AS (SELECT * FROM ({active}) WHERE a > 0),
+rc AS (SELECT vec_id, dim, sum(a * w) AS r FROM lat JOIN D USING (feature) GROUP BY 1, 2),
+gr AS (SELECT L.vec_id, L.dim, 2 * (coalesce(r, 0) - L.x) / len(A.x) AS g
+       FROM L JOIN A USING (vec_id) LEFT JOIN rc USING (vec_id, dim)),
+dz AS (SELECT lat.vec_id, lat.feature, sum(gr.g * D.w) + {l1} AS dz
+       FROM lat JOIN gr USING (vec_id) JOIN D USING (feature, dim) GROUP BY lat.vec_id, lat.feature),
+back AS (SELECT dim, sum(dz * w) AS s FROM dz JOIN D USING (feature) GROUP BY dim)
+{_FIT_OUT} ({_FIT_MATRICES}
+ UNION ALL SELECT 'b_dec', 0, dim, t.s{back} FROM (SELECT dim, sum(g) AS s FROM gr GROUP BY dim) t JOIN back USING (dim)
+ UNION ALL SELECT 'b_enc', 0, d.feature, coalesce(sum(dz), 0) FROM ({DICT}) d LEFT JOIN dz USING (feature) GROUP BY d.feature
+ {more})"""
+
+
+_SWITCH_FIT_SQL = f"""
+WITH {_FIT_BASE},
+{_ROUTE_SQL},
+EF AS ({C.EXPERT_FEATURES_SQL}),
+X AS (SELECT expert, feature, u.i - 1 AS dim, EF.w[u.i] AS w FROM EF, LATERAL (SELECT unnest(range(1, len(EF.w) + 1)) AS i) u),
+R AS (SELECT expert, u.i - 1 AS dim, r[u.i] AS w FROM ({C.ROUTER_SQL}) t, LATERAL (SELECT unnest(range(1, len(t.r) + 1)) AS i) u),
+lat AS (SELECT vec_id, feature, a, p FROM (
+ SELECT A.vec_id, EF.feature, w.p, list_dot_product(A.x, EF.w) AS a,
+        row_number() OVER (PARTITION BY A.vec_id ORDER BY list_dot_product(A.x, EF.w) DESC, EF.feature) AS rn
+ FROM A JOIN w USING (vec_id) JOIN EF USING (expert)) WHERE rn <= 2),
+rc AS (SELECT vec_id, dim, sum(a * X.w) AS r FROM lat JOIN X USING (feature) GROUP BY 1, 2),
+gr AS (SELECT L.vec_id, L.dim, rc.r, w.p, -2 * (L.x - w.p * rc.r) / A.norm / len(A.x) AS g
+       FROM L JOIN A USING (vec_id) JOIN rc USING (vec_id, dim) JOIN w USING (vec_id)),
+dz AS (SELECT lat.vec_id, lat.feature, sum(gr.g * gr.p * X.w) AS dz
+       FROM lat JOIN gr USING (vec_id) JOIN X USING (feature, dim) GROUP BY 1, 2),
+dp AS (SELECT vec_id, sum(g * r) AS dp FROM gr GROUP BY vec_id),
+dl AS (SELECT q.vec_id, q.expert, q.p * dp.dp * (CASE WHEN q.expert = w.expert THEN 1 ELSE 0 END - w.p) AS dl
+       FROM q JOIN w USING (vec_id) JOIN dp USING (vec_id)),
+back AS (SELECT dim, sum(dz * X.w) AS s FROM dz JOIN X USING (feature) GROUP BY dim)
+{_FIT_OUT} (
+ SELECT 'dec' AS param, feature AS row, dim, coalesce(s, 0) AS grad FROM X LEFT JOIN (
+  SELECT feature, dim, sum(a * g * gr.p) AS s FROM lat JOIN gr USING (vec_id) GROUP BY 1, 2) USING (feature, dim)
+ UNION ALL SELECT 'enc', feature, dim, coalesce(s, 0) FROM X LEFT JOIN (
+  SELECT feature, dim, sum(dz * x) AS s FROM dz JOIN L USING (vec_id) GROUP BY 1, 2) USING (feature, dim)
+ UNION ALL SELECT 'pre_b', 0, dim, t.s - back.s FROM (SELECT dim, sum(g) AS s FROM gr GROUP BY dim) t JOIN back USING (dim)
+ UNION ALL SELECT 'router', expert, dim, sum(dl * x) FROM dl JOIN L USING (vec_id) GROUP BY 1, 2, 3
+ UNION ALL SELECT 'router_b', 0, dim, -sum(dl * R.w) FROM dl JOIN R USING (expert) GROUP BY dim)"""
+
+
+def _fit_step(spark, sf, arch, params, k=None, l1=0.0):
+    """Row sums (batch size x gradient) of one step over the whole table from the fixture parameters."""
     from actlens.operators import fit as FT
-    from actlens.operators import ordering as O
-    from actlens.sources.files import io_dir
-    a = C.activations(spark, sf).select("vec_id", "sample_id", "pos", "vec")
-    b = O.shuffle_batches(a, ["vec_id"], 42, 100, keep_tail=False)
-    path = io_dir(spark, f"fit-{arch}")
-    b.select("batch_id", "vec").write.partitionBy("batch_id").parquet(path)   # each step reads one partition
-    train = spark.read.parquet(path)
-    n_feat = 40 if arch == "switch_topk" else 32
-    est = FT.DictionaryEstimator(arch, n_feat, k=k, n_experts=n_experts, lr=1e-3, l1_coefficient=1e-3,
-                                 n_tokens=steps * 100)
-    res = est.fit(train)
-    return spark.createDataFrame([(h["step"], int(h["batch"]), float(h["loss"]), float(h["mse"]), int(h["tokens"]))
-                                  for h in res.history], "step INT, batch BIGINT, loss DOUBLE, mse DOUBLE, tokens BIGINT")
-
-
-@query("fit1_relu")
+    a = C.activations(spark, sf).select("vec")
+    n = a.count()
+    blocks = FT.gradient_blocks(a, params, arch, k=k, l1_coefficient=l1, n_total=n, bandwidth=FIT_BANDWIDTH)
+    return FT.gradient_table(blocks, params, float(n)).select("param", "row", "dim", r6("grad").alias("grad"))
+
+
+def _fit1_params(spark, sf):
+    d = C.dictionary(spark, sf)
+    return {"enc": d.enc, "dec": d.dec, "pre_b": d.pre_b}
+
+
+def _fit2_params(spark, sf, jump=False):
+    d = C.dictionary(spark, sf, with_bias=True, with_threshold=jump)
+    p = {"enc": d.enc, "dec": d.dec, "b_dec": d.pre_b, "b_enc": d.b_enc}
+    return {**p, "log_threshold": d.log_threshold} if jump else p
+
+
+def _best(per: str) -> str:
+    return (f"SELECT vec_id, feature, z AS a FROM (SELECT *, row_number() OVER ({per} ORDER BY z DESC, feature) AS rn FROM z) "
+            f"WHERE rn <= {C.TOPK}")
+
+
+@query("fit1_relu", _fit1_sql("SELECT vec_id, feature, z AS a FROM z WHERE z > 0", FIT_L1))
 def fit1_relu(spark, sf):
-    return _fit_query(spark, sf, "relu")
+    return _fit_step(spark, sf, "relu", _fit1_params(spark, sf), l1=FIT_L1)
 
 
-@query("fit1_topk")
+@query("fit1_topk", _fit1_sql(_best("PARTITION BY vec_id"), 0.0))
 def fit1_topk(spark, sf):
-    return _fit_query(spark, sf, "topk", k=4)
+    return _fit_step(spark, sf, "topk", _fit1_params(spark, sf), k=C.TOPK)
 
 
-@query("fit1_switch_topk")
+@query("fit1_switch_topk", _SWITCH_FIT_SQL)
 def fit1_switch(spark, sf):
-    return _fit_query(spark, sf, "switch_topk", k=2, n_experts=10)
+    d, _ = C.expert_tables(spark, sf)
+    return _fit_step(spark, sf, "switch_topk", {"enc": d.enc, "dec": d.dec, "pre_b": d.pre_b, "router": d.router,
+                                                "router_b": d.router_b}, k=2)
 
 
-@query("fit2_batch_topk")
+@query("fit2_batch_topk", _fit2_sql(f"""
+SELECT vec_id, feature, z AS a FROM z WHERE z >= (
+ SELECT z FROM (SELECT z, row_number() OVER (ORDER BY z DESC) AS rn FROM z)
+ WHERE rn = {C.TOPK} * (SELECT count(*) FROM A))""", FIT_L1))
 def fit2_btk(spark, sf):
-    return _fit_query(spark, sf, "batch_topk", k=4)
+    return _fit_step(spark, sf, "batch_topk", _fit2_params(spark, sf), k=C.TOPK, l1=FIT_L1)
+
+
+@query("fit2_topk_relu", _fit2_sql(_best("PARTITION BY vec_id"), FIT_L1))
+def fit2_topk_relu(spark, sf):
+    return _fit_step(spark, sf, "topk_relu", _fit2_params(spark, sf), k=C.TOPK, l1=FIT_L1)
+
+
+@query("fit2_vanilla", _fit2_sql("SELECT vec_id, feature, z AS a FROM z", FIT_L1))
+def fit2_vanilla(spark, sf):
+    return _fit_step(spark, sf, "vanilla", _fit2_params(spark, sf), l1=FIT_L1)
+
+
+_THETA = "(0.05 + 0.01 * (z.feature % 5))::DOUBLE"
 
 
-@query("fit2_jumprelu")
+@query("fit2_jumprelu", _fit2_sql(f"SELECT vec_id, feature, z AS a FROM z WHERE z > {_THETA}", 0.0, centred=False, more=f"""
+ UNION ALL SELECT 'log_threshold', 0, feature, -sum(da * t / {FIT_BANDWIDTH} * r) - {FIT_L1} / {FIT_BANDWIDTH} * sum(r0) FROM (
+  SELECT z.vec_id, z.feature, {_THETA} AS t, sum(gr.g * D.w) AS da,
+         CASE WHEN abs(z.z - {_THETA}) / {FIT_BANDWIDTH} < 0.5 THEN 1 ELSE 0 END AS r,
+         CASE WHEN z.z > {_THETA} AND (z.z - {_THETA}) / {FIT_BANDWIDTH} < 0.5 THEN 1 ELSE 0 END AS r0
+  FROM z JOIN gr USING (vec_id) JOIN D USING (feature, dim) GROUP BY z.vec_id, z.feature, z.z) GROUP BY feature"""))
 def fit2_jump(spark, sf):
-    return _fit_query(spark, sf, "jumprelu")
+    return _fit_step(spark, sf, "jumprelu", _fit2_params(spark, sf, jump=True), l1=FIT_L1)

@@ -44,6 +44,72 @@ def test_fit2_gradients(arch, k):
         assert np.allclose(g[name], _num_grad(loss, p, name), atol=1e-6), name
 
 
+@pytest.mark.parametrize("pre_enc_bias", [False, True])
+def test_jumprelu_gradients(pre_enc_bias):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 5))
+    p = FT.DictionaryEstimator("jumprelu", 8).init_params(5)
+    assert np.all(p["log_threshold"] == 0)
+    p["b_enc"], p["b_dec"] = rng.standard_normal(8) * 0.1, rng.standard_normal(5) * 0.1
+    p["log_threshold"] = np.log(rng.uniform(0.2, 0.6, 8))
+    kw = {"bandwidth": 0.3, "pre_enc_bias": pre_enc_bias}
+    loss = lambda q: FT.grads_fit2(q, x, "jumprelu", None, 0.01, 30, **kw)[1]["loss_sum"]
+    g, _ = FT.grads_fit2(p, x, "jumprelu", None, 0.01, 30, **kw)
+    for name in ("enc", "dec", "b_dec", "b_enc"):
+        assert np.allclose(g[name], _num_grad(loss, p, name), atol=1e-6), name
+    # thresholds: value by value from the definition of the pseudo-gradient
+    want = np.zeros(8)
+    for v in x:
+        r = np.maximum(p["enc"] @ (v - p["b_dec"] if pre_enc_bias else v) + p["b_enc"], 0)
+        th = np.exp(p["log_threshold"])
+        a = np.where(r > th, r, 0)
+        da = p["dec"] @ (2 * (a @ p["dec"] + p["b_dec"] - v) / (30 * 5))
+        for j in range(8):
+            if abs(r[j] - th[j]) < 0.15:
+                want[j] -= th[j] / 0.3 * da[j]
+            if abs(a[j] - th[j]) < 0.15:
+                want[j] -= 0.01 / 0.3 / 30
+    assert np.allclose(g["log_threshold"], want, atol=1e-12)
+
+
+@pytest.mark.parametrize("arch", ["batch_topk", "jumprelu", "topk"])
+def test_distributed_sums_equal_one_call(spark, arch, monkeypatch):
+    """Small blocks, more tasks than one round adds, empty tasks."""
+    monkeypatch.setattr(FT, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(FT, "ADD_FAN_IN", 3)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 5))
+    est = FT.DictionaryEstimator(arch, 8, k=3, init_threshold=0.3, bandwidth=0.2)
+    p = est.init_params(5)
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec ARRAY<DOUBLE>").repartition(11)
+    g, st = est._step_sums(df.where("vec[0] > -9"), p, "vec", 60)
+    want, ws = (FT.grads_fit1(p, x, arch, 3, 0.0, 60) if arch == "topk" else
+                FT.grads_fit2(p, x, arch, 3, 0.0, 60, bandwidth=0.2))
+    assert all(np.allclose(g[name], want[name], atol=1e-12) for name in want)
+    assert abs(st["loss_sum"] - ws["loss_sum"]) < 1e-12 and st["rows"] == 60
+
+
+def test_batch_cut_is_the_kth_largest(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.standard_normal((50, 4)), 1)
+    p = {"enc": np.eye(4), "dec": np.eye(4), "b_dec": np.zeros(4), "b_enc": np.zeros(4)}
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "vec ARRAY<DOUBLE>").repartition(5)
+    acts = np.sort(np.maximum(x, 0).ravel())[::-1]
+    bc = spark.sparkContext.broadcast(p)
+    for keep in (1, 7, 60, 199, 1000):
+        assert FT.batch_cut(df, bc, keep) == (acts[keep - 1] if keep <= acts.size else 0.0)
+
+
+def test_decoder_keeps_unit_directions(spark):
+    """The gradient along a decoder row is removed before the step."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(0, v.tolist()) for v in rng.standard_normal((40, 5))], "batch_id BIGINT, vec ARRAY<DOUBLE>")
+    est = FT.DictionaryEstimator("vanilla", 8, lr=1e-3)
+    start = est.init_params(5)["dec"]
+    res = est.fit(df)
+    assert np.abs((res.state["m"]["dec"] * start).sum(axis=1)).max() < 1e-12
+
+
 def test_unknown_architecture():
     with pytest.raises(ValueError):
         FT.DictionaryEstimator("mystery", 8)

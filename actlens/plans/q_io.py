@@ -33,7 +33,7 @@ def _write_run(spark, sf, name, rows_per_block=100):
     meta["shape"] = [meta["batch_size"], meta["shape"][1], meta["shape"][2]]
     meta["bytes_per_file"] = 4 * meta["batch_size"] * meta["shape"][1] * meta["shape"][2]
     B.write_metadata(spark, run, meta)
-    B.write_blocks(a, run, rows_per_block, order_cols=["sample_id", "pos"]).count()  # runs the writers; nothing to the driver
+    B.write_blocks(a, run, rows_per_block, order_cols=["sample_id", "pos"])
     return run, meta
 
 
@@ -67,24 +67,28 @@ def src3(spark, sf):
     return rows.select("sample_id", "pos")
 
 
+@query("src16_read_block", f"""
+SELECT sample_id, pos, dim, round(x, 6) AS x FROM ({ALONG})
+WHERE batch_id = (SELECT max(batch_id) // 2 FROM ({ACT}))
+""")
+def src16(spark, sf):
+    run, _ = _write_run(spark, sf, "src16")
+    middle = C.activations(spark, sf).agg(F.max("batch_id")).first()[0] // 2
+    rows = B.read_activation_blocks(spark, run, block_ids=[middle])
+    return rows.select("sample_id", "pos", F.posexplode("vec").alias("dim", "x")) \
+               .select("sample_id", "pos", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 @query("src17_block_count", """
 SELECT CAST(label AS VARCHAR) AS layer, CAST(ceil(count(*) / 64.0) AS BIGINT) AS n_blocks FROM embeddings GROUP BY label
 """)
 def src17(spark, sf):
     a = C.activations(spark, sf)
     base = io_dir(spark, "src17")
-    labels = [r["label"] for r in a.select("label").distinct().collect()]  # locations: few
-    parts = []
-    for lab in labels:
-        w = B.write_blocks(a.where(F.col("label") == lab), f"{base}/layer={lab}", 64, order_cols=["vec_id"])
-        parts.append(w.withColumn("layer", F.lit(str(lab))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out.count()  # runs the writers; nothing to the driver
+    B.write_blocks(a, base, 64, order_cols=["vec_id"], location_cols=["label"])
     listing = spark.read.format("binaryFile").option("pathGlobFilter", B.BLOCK_GLOB) \
                    .option("recursiveFileLookup", "true").load(base).select("path")
-    listing = listing.withColumn("layer", F.regexp_extract("path", r"layer=([^/]+)/", 1))
+    listing = listing.withColumn("layer", F.regexp_extract("path", r"label=([^/]+)/", 1))
     return B.block_count(listing.withColumn("block_id", F.col("path")), ["layer"], "block_id")
 
 

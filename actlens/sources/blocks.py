@@ -1,9 +1,9 @@
 """Raw activation blocks and run metadata (SRC1-SRC3, SRC16, SRC17, SNK2-SNK5).
 
 A block is the raw little-endian bytes of one C-ordered tensor, no header;
-its shape is in the run's ``metadata.json``. Blocks are read with the
-``binaryFile`` source (one row per file, ``content`` must stay below 2 GB:
-write blocks of at most 512 MB) and decoded inside Arrow batches.
+its shape is in the run's ``metadata.json``. The wanted files are chosen from
+a listing (no content); tasks then read ranges of whole rows, so a block may
+be of any size and nothing that is skipped is read.
 """
 
 from __future__ import annotations
@@ -14,15 +14,18 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actlens.operators import ordering as O
-from actlens.sources.files import write_bytes
+from actlens.session import default_parallelism, materialize
+from actlens.sources.files import filesystem, qualified, write_bytes
 
 BLOCK_GLOB = "*.saved.pt"
-MAX_BLOCK_BYTES = 2 * 1024 ** 3 - 1
+#: bytes of a block read at once, and read by one task
+RANGE_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
 # fixed values: dtype names accepted in metadata and their element sizes
 DTYPES = {"float32": ("<f4", 4), "torch.float32": ("<f4", 4), "float64": ("<f8", 8),
           "torch.float64": ("<f8", 8), "float16": ("<f2", 2), "torch.float16": ("<f2", 2)}
@@ -64,7 +67,7 @@ def metadata_of(df: DataFrame, *, batch_col: str = "batch_id", sample_col: str =
 
 
 def write_metadata(spark: SparkSession, run_path: str, meta: dict) -> str:
-    uri = f"{run_path.rstrip('/')}/metadata.json"
+    uri = f"{qualified(spark, run_path)}/metadata.json"
     write_bytes(uri, json.dumps(meta).encode())
     return uri
 
@@ -88,14 +91,28 @@ def save_mean_std(meta: dict, stats: DataFrame, dim_col: str = "dim") -> dict:
 
 def shape_report(df: DataFrame, meta: dict, *, batch_col: str = "batch_id", sample_col: str = "sample_id",
                  pos_col: str | None = "pos", vec_col: str = "vec") -> DataFrame:
-    """SNK4: (batch_id, field, expected, got) for every batch that deviates; never drops data."""
-    aggs = [F.countDistinct(sample_col).alias("batch_size"), F.max(F.size(vec_col)).alias("d_in")]
+    """SNK4: (batch_id, field, expected, got) for every batch that deviates; never drops data.
+
+    ``d_in`` holds for the shortest and the longest vector of a batch (the deviating
+    length is reported); with a ``dtype`` in the metadata, ``element_bytes`` is compared
+    with the element type of the vectors."""
+    sizes = F.size(vec_col)
+    wide = F.lit(int(meta["d_in"]))
+    aggs = [F.countDistinct(sample_col).alias("batch_size"),
+            F.when(F.min(sizes) != wide, F.min(sizes)).otherwise(F.max(sizes)).alias("d_in")]
+    fields = ["batch_size", "d_in"]
     if pos_col:
         aggs.append((F.max(pos_col) + 1).alias("sequence_length"))
+        fields.append("sequence_length")
+    expected = {f: int(meta[f]) for f in fields}
+    if "dtype" in meta:
+        element = df.schema[vec_col].dataType.elementType
+        aggs.append(F.lit({"float": 4, "double": 8}.get(element.simpleString(), 0)).alias("element_bytes"))
+        fields.append("element_bytes")
+        expected["element_bytes"] = DTYPES[meta["dtype"]][1]
     per = df.groupBy(batch_col).agg(*aggs)
-    fields = ["batch_size", "d_in"] + (["sequence_length"] if pos_col else [])
     long = per.select(batch_col, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.lit(int(meta[f])).cast("bigint").alias("expected"),
+        F.struct(F.lit(f).alias("field"), F.lit(expected[f]).cast("bigint").alias("expected"),
                  F.col(f).cast("bigint").alias("got")) for f in fields])).alias("r"))
     return long.select(batch_col, "r.field", "r.expected", "r.got").where(F.col("expected") != F.col("got"))
 
@@ -103,19 +120,28 @@ def shape_report(df: DataFrame, meta: dict, *, batch_col: str = "batch_id", samp
 # ------------------------------------------------------------------ blocks
 
 def write_blocks(df: DataFrame, run_path: str, rows_per_block: int, *, order_cols: Sequence[str],
-                 vec_col: str = "vec", keep_partial: bool = True, dtype: str = "float32") -> DataFrame:
+                 vec_col: str = "vec", keep_partial: bool = True, dtype: str = "float32",
+                 location_cols: Sequence[str] = ()) -> DataFrame:
     """SNK2: cut rows (in order) into blocks of exactly ``rows_per_block`` rows and
-    write each as raw bytes ``{run}/{block:010d}.saved.pt``. An incomplete last
-    block is written only with ``keep_partial``. Returns (block_id, path, n_rows, n_bytes).
+    write each as raw bytes ``{run}/{block:010d}.saved.pt``, with ``location_cols``
+    under ``{run}/{column}={value}/...`` and numbered per location. An incomplete
+    last block is written only with ``keep_partial``. The blocks are written once,
+    when this is called; returns what was written: (block_id, path, n_rows, n_bytes).
 
     Each block is one group of bounded size (rows_per_block rows)."""
-    np_dtype, size = DTYPES[dtype]
-    x = O.global_index(df.select(*order_cols, vec_col), list(order_cols), name="_gi")
+    np_dtype, _ = DTYPES[dtype]
+    loc = list(location_cols)
+    x = O.running_index(df.select(*loc, *[c for c in order_cols if c not in loc], vec_col), list(order_cols),
+                        group_cols=loc, name="_gi")
     x = x.withColumn("block_id", F.floor(F.col("_gi") / F.lit(rows_per_block)).cast("bigint"))
     if not keep_partial:
-        n = x.agg(F.count(F.lit(1))).first()[0]
-        x = x.where(F.col("block_id") < F.lit(n // rows_per_block))
-    base = run_path.rstrip("/")
+        totals = df.groupBy(*loc).agg(F.count(F.lit(1)).alias("_n"))     # one row per location
+        full = F.floor(F.col("_n") / F.lit(rows_per_block))
+        if loc:
+            x = x.join(totals, on=loc).where(F.col("block_id") < full).drop("_n")
+        else:
+            x = x.where(F.col("block_id") < F.lit(totals.first()["_n"] // rows_per_block))
+    base = qualified(df.sparkSession, run_path)
     out_schema = T.StructType([T.StructField("block_id", T.LongType()), T.StructField("path", T.StringType()),
                                T.StructField("n_rows", T.LongType()), T.StructField("n_bytes", T.LongType())])
 
@@ -123,24 +149,18 @@ def write_blocks(df: DataFrame, run_path: str, rows_per_block: int, *, order_col
         order = np.argsort(tbl.column("_gi").to_numpy())
         vecs = tbl.column(vec_col).combine_chunks().take(pa.array(order))
         d = vecs.value_lengths()[0].as_py()
-        arr = vecs.flatten().to_numpy(zero_copy_only=False).astype(np_dtype).reshape(-1, d)
-        data = arr.tobytes(order="C")
-        if len(data) > MAX_BLOCK_BYTES:
-            raise ValueError("block larger than 2 GB; use fewer rows per block")
+        arr = np.ascontiguousarray(vecs.flatten().to_numpy(zero_copy_only=False).astype(np_dtype).reshape(-1, d))
         bid = int(tbl.column("block_id")[0].as_py())
-        uri = f"{base}/{bid:010d}.saved.pt"
-        write_bytes(uri, data)
-        return pa.table({"block_id": [bid], "path": [uri], "n_rows": [len(arr)], "n_bytes": [len(data)]})
-
-    return x.groupBy("block_id").applyInArrow(write, out_schema)
-
+        folder = "".join(f"/{c}={tbl.column(c)[0].as_py()}" for c in loc)
+        uri = f"{base}{folder}/{bid:010d}.saved.pt"
+        write_bytes(uri, pa.py_buffer(arr))
+        return pa.table({"block_id": [bid], "path": [uri], "n_rows": [len(arr)], "n_bytes": [arr.nbytes]})
 
-#: files whose paths are broadcast to the readers (some 200 bytes each)
-MAX_BROADCAST_FILES = 100_000
+    return materialize(x.groupBy(*loc, "block_id").applyInArrow(write, out_schema), "blocks-written")
 
 
 def list_blocks(spark: SparkSession, run_path: str) -> DataFrame:
-    """Block catalogue (path, block_index) in sorted path order; metadata excluded.
+    """Block catalogue (path, length, block_index) in sorted path order; metadata excluded.
 
     Only file names are listed (no content read): ``binaryFile`` with the
     content column pruned.
@@ -151,60 +171,65 @@ def list_blocks(spark: SparkSession, run_path: str) -> DataFrame:
 
 
 def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | None = None,
-                           start_at_token: int = 0, block_ids: Sequence[int] | None = None) -> DataFrame:
+                           start_at_token: int = 0, block_ids: Sequence[int] | None = None,
+                           range_bytes: int = RANGE_BYTES) -> DataFrame:
     """SRC1/SRC3/SRC16: decode raw blocks into rows (block_index, path, sample_id, pos, vec).
 
     sample_id = block_index * samples_per_file + sample in block. With
     ``start_at_token`` the first ceil(start / tokens_per_file) files are
     skipped; ``block_ids`` keeps only those block indexes.
+
+    Each wanted file becomes ranges of about ``range_bytes`` (whole rows); the
+    ranges, short rows, are dealt to tasks, which read just those bytes.
     """
     if meta is None:
         meta = read_run_metadata(spark, run_path).first().asDict()
     dtype = meta["dtype"]
     if dtype not in DTYPES:
         raise ValueError(f"unsupported dtype {dtype!r}")
-    np_dtype, _ = DTYPES[dtype]
+    np_dtype, size = DTYPES[dtype]
     shape = list(meta["shape"])
     seq = int(meta.get("sequence_length") or 1) if len(shape) == 3 else 1
     d = int(shape[-1])
+    row_bytes = size * d
     per_file = int(meta["batches_per_file"]) * int(meta["batch_size"])
     cat = list_blocks(spark, run_path)
     skip = math.ceil(start_at_token / (per_file * seq)) if start_at_token else 0
     cat = cat.where(F.col("block_index") >= skip)
     if block_ids is not None:
         cat = cat.where(F.col("block_index").isin(list(block_ids)))
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", BLOCK_GLOB) \
-               .option("recursiveFileLookup", "true").load(run_path).select("path", "content")
-    # the catalogue (one short row per file) goes to the contents, not the other way
-    wanted = cat.select("path", "block_index")
-    if wanted.count() <= MAX_BROADCAST_FILES:
-        wanted = F.broadcast(wanted)
-    blocks = raw.join(wanted, on="path", how="inner")
+    step = max(1, range_bytes // row_bytes)
+    ranges = cat.where(F.col("length") > 0).select(
+        "path", "block_index", "length",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - F.lit(1)) / F.lit(row_bytes)).cast("bigint"),
+                             F.lit(step).cast("bigint"))).alias("first_row"))
+    total = cat.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // TASK_BYTES), min(default_parallelism(spark), -(-total // (1 << 20))), 1)
     schema = T.StructType([T.StructField("block_index", T.LongType()), T.StructField("path", T.StringType()),
                            T.StructField("sample_id", T.LongType()), T.StructField("pos", T.IntegerType()),
                            T.StructField("vec", T.ArrayType(T.FloatType(), False))])
+    out_schema = pa.schema([pa.field("block_index", pa.int64()), pa.field("path", pa.string()),
+                            pa.field("sample_id", pa.int64()), pa.field("pos", pa.int32()),
+                            pa.field("vec", pa.list_(pa.field("element", pa.float32(), False)))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                content = b.column("content")[i].as_py()
-                bi = b.column("block_index")[i].as_py()
-                path = b.column("path")[i].as_py()
-                arr = np.frombuffer(content, dtype=np_dtype).astype(np.float32).reshape(-1, d)
-                n = arr.shape[0]
-                samples = np.arange(n) // seq
-                pos = (np.arange(n) % seq).astype(np.int32)
+            for r in b.to_pylist():
+                if r["length"] % row_bytes:
+                    raise ValueError(f"{r['path']}: {r['length']} bytes are no whole rows of {row_bytes} bytes")
+                fsys, path = filesystem(r["path"])
+                n = min(step, r["length"] // row_bytes - r["first_row"])
+                with fsys.open_input_file(path) as f:
+                    data = f.read_at(n * row_bytes, r["first_row"] * row_bytes)
+                arr = np.frombuffer(data, dtype=np_dtype).astype(np.float32)
+                row = r["first_row"] + np.arange(n)
                 offsets = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, bi, dtype=np.int64)), pa.array([path] * n),
-                     pa.array(bi * per_file + samples), pa.array(pos),
-                     pa.ListArray.from_arrays(offsets, pa.array(arr.ravel()))],
-                    schema=pa.schema([pa.field(f.name, pa.int64() if f.name in ("block_index", "sample_id") else
-                                               pa.int32() if f.name == "pos" else pa.string() if f.name == "path"
-                                               else pa.list_(pa.field("element", pa.float32(), False)), True)
-                                      for f in schema.fields]))
-
-    return blocks.mapInArrow(decode, schema)
+                    [pa.array(np.full(n, r["block_index"], dtype=np.int64)), pa.array([r["path"]] * n),
+                     pa.array(r["block_index"] * per_file + row // seq), pa.array((row % seq).astype(np.int32)),
+                     pa.ListArray.from_arrays(offsets, pa.array(arr))], schema=out_schema)
+
+    return ranges.repartition(int(tasks)).mapInArrow(decode, schema)
 
 
 def block_count(blocks: DataFrame, group_cols: Sequence[str] = ("run", "layer", "module"),

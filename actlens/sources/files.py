@@ -21,6 +21,17 @@ def io_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/actlens-io/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def qualified(spark: SparkSession, uri: str) -> str:
+    """``uri`` without a trailing slash and with the scheme that Spark would take:
+    a path without one lies on the session's default file system, for Spark and
+    for the tasks that write raw files alike."""
+    uri = uri.rstrip("/")
+    if "://" in uri or uri.startswith("file:"):
+        return uri
+    default = (spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///").rstrip("/")
+    return uri if default.startswith("file:") else f"{default}{uri}"
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         path = uri[len("file:"):]
@@ -29,10 +40,12 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
         return pafs.LocalFileSystem(), path
     if "://" not in uri:
         return pafs.LocalFileSystem(), uri
+    if uri.startswith(("s3a://", "s3n://")):       # names of the same store in Hadoop
+        uri = "s3://" + uri.split("://", 1)[1]
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_bytes(uri: str, data: bytes) -> None:
+def write_bytes(uri: str, data) -> None:
     fsys, path = filesystem(uri)
     parent = path.rsplit("/", 1)[0]
     fsys.create_dir(parent, recursive=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,24 +53,21 @@ def discard(df: DataFrame) -> None:
 def skip_existing(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """SNK13: append only the key groups that the target does not hold yet;
     returns what was appended."""
-    from actlens.sources.files import exists
+    from actlens.session import materialize
+    from actlens.sources.files import exists, qualified
     spark = df.sparkSession
+
+    def same(a: DataFrame, b: DataFrame):
+        return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
     wanted = df.select(*keys).distinct()
-    if exists(path):
+    if exists(qualified(spark, path)):
         have = spark.read.parquet(path).select(*keys).distinct()
-        wanted = wanted.join(have, on=list(keys), how="left_anti")
-    # the missing key groups are few (models x layers): fix them before writing,
-    # so the returned frame does not change once the target holds them
-    missing = [tuple(r) for r in wanted.collect()]
-    if not missing:
+        wanted = wanted.join(have, on=same(wanted, have), how="left_anti")
+    # written: the returned frame must not change once the target holds these groups
+    wanted = materialize(wanted, "missing-groups")
+    df.join(wanted, on=same(df, wanted), how="left_semi").write.mode("append").partitionBy(*keys).parquet(path)
+    if not exists(qualified(spark, path)):
         return df.limit(0)
-    cond = None
-    for m in missing:
-        c = None
-        for k, v in zip(keys, m):
-            e = F.col(k).isNull() if v is None else (F.col(k) == F.lit(v))
-            c = e if c is None else (c & e)
-        cond = c if cond is None else (cond | c)
-    todo = df.where(cond)
-    todo.write.mode("append").partitionBy(*keys).parquet(path)
-    return spark.read.parquet(path).where(cond)
+    held = spark.read.parquet(path)
+    return held.join(wanted, on=same(held, wanted), how="left_semi")

@@ -82,8 +82,8 @@ class Recutter:
         x = batch.withColumn("_arrival", F.lit(batch_id).cast("bigint"))
         if carry is not None:
             x = carry.unionByName(x)
-        x = O.running_index(x, ["_arrival", *self.order], bucket=F.col("_arrival"), name="_gi")
-        n = x.agg(F.count(F.lit(1))).first()[0]
+        n = x.count()
+        x = O.running_index(x, ["_arrival", *self.order], name="_gi")
         full = (n // self.rows) * self.rows
         units = x.where(F.col("_gi") < full) \
                  .withColumn("unit_id", F.floor((F.col("_gi") + F.lit(emitted)) / F.lit(self.rows)).cast("bigint")) \
@@ -98,7 +98,7 @@ class Recutter:
         emitted, carry = self._read_state(last)
         if carry is None:
             return
-        x = O.running_index(carry, ["_arrival", *self.order], bucket=F.col("_arrival"), name="_gi")
+        x = O.running_index(carry, ["_arrival", *self.order], name="_gi")
         units = x.withColumn("unit_id", F.floor((F.col("_gi") + F.lit(emitted)) / F.lit(self.rows)).cast("bigint")) \
                  .withColumn("row_in_unit", ((F.col("_gi") + F.lit(emitted)) % F.lit(self.rows)).cast("bigint"))
         if units.limit(1).count():

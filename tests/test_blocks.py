@@ -95,3 +95,30 @@ def test_read_single_block_by_id(spark, tmp_path):
     rows = B.read_activation_blocks(spark, str(tmp_path), block_ids=[1]).collect()
     assert len(rows) == 32 * 16 and {float(r.vec[0]) for r in rows} == {1.0}
     assert min(r.sample_id for r in rows) == 32
+
+
+def test_ranges_read_the_same_rows(spark, tmp_path):
+    """Ranges of a few rows, several locations, a partial last block; nothing but ranges is shuffled."""
+    v = np.arange(100 * 3, dtype=np.float32).reshape(100, 3)
+    df = spark.createDataFrame([(i, i % 2, r.tolist()) for i, r in enumerate(v)], "k BIGINT, loc INT, vec ARRAY<FLOAT>")
+    res = B.write_blocks(df, str(tmp_path), 16, order_cols=["k"], location_cols=["loc"])
+    assert sorted(r.n_rows for r in res.collect()) == [2, 2] + [16] * 6
+    meta = {"dtype": "float32", "shape": [16, 3], "batches_per_file": 1, "batch_size": 16}
+    whole = sorted(tuple(map(str, r)) for r in B.read_activation_blocks(spark, str(tmp_path), meta=meta).collect())
+    parts = B.read_activation_blocks(spark, str(tmp_path), meta=meta, range_bytes=60)
+    assert sorted(tuple(map(str, r)) for r in parts.collect()) == whole
+    got = sorted((r.block_index, r.sample_id, tuple(r.vec)) for r in parts.collect())
+    order = list(range(0, 100, 2)) + list(range(1, 100, 2))
+    assert [g[2] for g in got] == [tuple(v[i]) for i in order]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "content" not in plan
+    with pytest.raises(Exception, match="no whole rows"):
+        B.read_activation_blocks(spark, str(tmp_path), meta={**meta, "shape": [16, 5]}).collect()
+
+
+def test_shape_report_short_vector_and_dtype(spark):
+    df = spark.createDataFrame([(0, 0, [1.0, 2.0]), (0, 1, [1.0]), (1, 0, [1.0, 2.0]), (1, 1, [3.0, 4.0])],
+                               "batch_id INT, sample_id INT, vec ARRAY<DOUBLE>")
+    meta = {"batch_size": 2, "d_in": 2, "dtype": "float32"}
+    got = sorted(tuple(r) for r in B.shape_report(df, meta, pos_col=None).collect())
+    assert got == [(0, "d_in", 2, 1), (0, "element_bytes", 4, 8), (1, "element_bytes", 4, 8)]

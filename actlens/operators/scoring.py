@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 # Largest parameter block broadcast at once (bytes of float64 values).
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
+# latents (rows x features) that one step inside a task holds densely: 32 MB
+DENSE_VALUES = 1 << 22
 
 ARCHITECTURES = ("relu", "topk", "topk_relu", "batch_topk", "vanilla", "jumprelu",
                  "switch", "switch_topk")
@@ -68,6 +71,23 @@ class Dictionary:
             router=self.router, router_b=self.router_b, n_experts=1,
             extra={"offset": lo})
 
+    def expert_slice(self, lo: int, hi: int) -> "Dictionary":
+        """Experts lo .. hi - 1 with the whole router (every slice routes alike)."""
+        per = self.n_features // self.n_experts
+        return Dictionary(enc=self.enc[lo * per:hi * per], dec=self.dec[lo * per:hi * per], pre_b=self.pre_b,
+                          router=self.router, router_b=self.router_b, n_experts=hi - lo,
+                          extra={"offset": lo * per, "first_expert": lo})
+
+    def slices(self, by_expert: bool = False) -> list["Dictionary"]:
+        """Slices of features (or whole experts) that each fit the broadcast limit."""
+        if self.nbytes() <= MAX_BROADCAST_BYTES:
+            return [self]
+        n, cut = (self.n_experts, self.expert_slice) if by_expert else (self.n_features, self.feature_slice)
+        one = cut(0, 1).nbytes()
+        each = max(1, cut(0, min(2, n)).nbytes() - one)
+        step = max(1, (MAX_BROADCAST_BYTES - (one - each)) // each)     # one - each: parts every slice carries whole
+        return [cut(lo, min(lo + step, n)) for lo in range(0, n, step)]
+
 
 def _vec_matrix(arr: pa.Array, d: int) -> np.ndarray:
     if isinstance(arr, pa.ChunkedArray):
@@ -106,6 +126,21 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _row_blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of the batches whose rows x width stay within ``DENSE_VALUES``."""
+    rows = max(1, DENSE_VALUES // max(1, width))
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def _product(n: int, r: np.ndarray, f: np.ndarray, v: np.ndarray, dec: np.ndarray) -> np.ndarray:
+    """Sums of v * dec[f] per row r, as one matrix product."""
+    lat = np.zeros((n, dec.shape[0]))
+    np.add.at(lat, (r, f), v)
+    return lat @ dec
+
+
 def _encode_block(x: np.ndarray, p: dict, arch: str, k: int | None):
     """Return (row, expert, feature, value, p_max) arrays for one block of rows."""
     n = x.shape[0]
@@ -115,10 +150,13 @@ def _encode_block(x: np.ndarray, p: dict, arch: str, k: int | None):
         expert = probs.argmax(axis=1)
         pmax = probs[np.arange(n), expert]
         e_dim = p["enc"].shape[0] // p["n_experts"]
+        first = p.get("first_expert", 0)
         rows, feats, vals = [], [], []
         for e in np.unique(expert):
+            if not first <= e < first + p["n_experts"]:
+                continue                # another slice holds this expert
             sel = np.nonzero(expert == e)[0]
-            enc_e = p["enc"][e * e_dim:(e + 1) * e_dim]
+            enc_e = p["enc"][(e - first) * e_dim:(e - first + 1) * e_dim]
             pre = (x[sel] - p["pre_b"]) @ enc_e.T
             if arch == "switch":
                 lat = np.maximum(pre, 0.0)
@@ -194,9 +232,7 @@ def _score_once(df: DataFrame, d: Dictionary, arch: str, k: int | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = bc.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _row_blocks(batches, p["enc"].shape[0]):
             x = _vec_matrix(b.column(vec_col), dim)
             r, e, f, v, pm = _encode_block(x, p, arch, k)
             cols = [b.column(c).take(pa.array(r, pa.int64())) for c in keys]
@@ -237,20 +273,12 @@ def encode(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None,
     if arch in ("topk", "topk_relu", "switch_topk") and (k is None or k < 1):
         raise ValueError("k must be a positive integer")
     keys = list(key_cols)
-    if d.nbytes() <= MAX_BROADCAST_BYTES or arch in ("switch", "switch_topk"):
-        return _score_once(df, d, arch, k, keys, vec_col, with_route)
-    # feature slices, each within the broadcast limit
-    one = d.feature_slice(0, 1).nbytes()
-    per_feature = max(1, d.feature_slice(0, min(2, d.n_features)).nbytes() - one)
-    fixed = one - per_feature          # parts that every slice carries whole
-    step = max(1, (MAX_BROADCAST_BYTES - fixed) // per_feature)
-    parts = [_score_once(df, d.feature_slice(lo, min(lo + step, d.n_features)), arch, k,
-                         keys, vec_col, with_route)
-             for lo in range(0, d.n_features, step)]
+    parts = [_score_once(df, part, arch, k, keys, vec_col, with_route)
+             for part in d.slices(by_expert=arch in ("switch", "switch_topk"))]
     out = parts[0]
     for p_ in parts[1:]:
         out = out.unionByName(p_)
-    if arch in ("topk", "topk_relu"):
+    if len(parts) > 1 and arch in ("topk", "topk_relu"):
         w = Window.partitionBy(*keys).orderBy(F.col("value").desc(), F.col("feature"))
         out = out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     return out
@@ -269,8 +297,6 @@ def encode_batch_topk(df: DataFrame, d: Dictionary, k: int, *, batch_col: str =
     keys = list(key_cols)
     sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_bn"))
     x = df.select(*keys, batch_col, vec_col).join(sizes, on=batch_col, how="inner")
-    spark = df.sparkSession
-    bc = _broadcast(spark, d)
     dim = d.d_in
     schema = T.StructType([x.schema[c] for c in keys] + [x.schema[batch_col]] + [
         T.StructField("feature", T.IntegerType(), False),
@@ -278,11 +304,9 @@ def encode_batch_topk(df: DataFrame, d: Dictionary, k: int, *, batch_col: str =
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType), f.nullable)
                               for f in schema.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(bc, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = bc.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _row_blocks(batches, p["enc"].shape[0]):
             xm = _vec_matrix(b.column(vec_col), dim)
             pre = np.maximum((xm - p["pre_b"]) @ p["enc"].T
                              + (0 if p["b_enc"] is None else p["b_enc"]), 0.0)
@@ -304,10 +328,11 @@ def encode_batch_topk(df: DataFrame, d: Dictionary, k: int, *, batch_col: str =
             r = np.concatenate(rows_out); f = np.concatenate(feats_out)
             take = pa.array(r, pa.int64())
             cols = [b.column(c).take(take) for c in keys] + [b.column(batch_col).take(take)]
-            cols += [pa.array(f.astype(np.int32)), pa.array(pre[r, f].astype(np.float64))]
+            cols += [pa.array((f + p.get("offset", 0)).astype(np.int32)), pa.array(pre[r, f].astype(np.float64))]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    cand = x.mapInArrow(run, schema)
+    cand = reduce(DataFrame.unionByName, [
+        x.mapInArrow(partial(run, _broadcast(df.sparkSession, part)), schema) for part in d.slices()])
     cand = cand.join(sizes, on=batch_col, how="inner")
     w = Window.partitionBy(batch_col).orderBy(F.col("value").desc(), *[F.col(c) for c in keys],
                                                F.col("feature"))
@@ -325,6 +350,21 @@ def decode(latents: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sam
     broadcast matrix inside Arrow batches.
     """
     keys = list(key_cols)
+    parts = d.slices()
+    if len(parts) > 1:
+        # each slice decodes its own features; the partial sums meet on (keys, dim)
+        sums = []
+        for part in parts:
+            lo = part.extra["offset"]
+            mine = latents.where((F.col(feature_col) >= lo) & (F.col(feature_col) < lo + part.n_features)) \
+                          .withColumn(feature_col, (F.col(feature_col) - F.lit(lo)).cast("int"))
+            sums.append(decode(mine, part, key_cols=keys, feature_col=feature_col, value_col=value_col,
+                               add_pre_b=False, scale_col=scale_col))
+        out = reduce(DataFrame.unionByName, sums).groupBy(*keys, "dim").agg(F.sum("recon").alias("recon"))
+        if not add_pre_b:
+            return out
+        bias = F.array(*[F.lit(float(v)) for v in d.pre_b])
+        return out.withColumn("recon", F.col("recon") + F.get(bias, F.col("dim")))
     agg = [F.collect_list(F.struct(F.col(feature_col).alias("f"), F.col(value_col).alias("v"))).alias("_lat")]
     if scale_col:
         agg.append(F.first(scale_col).alias("_scale"))
@@ -341,10 +381,8 @@ def decode(latents: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = bc.value
         dec = p["dec"]
-        for b in batches:
+        for b in _row_blocks(batches, max(dec.shape)):
             n = b.num_rows
-            if n == 0:
-                continue
             lat = b.column("_lat")
             lens = lat.value_lengths().to_numpy(zero_copy_only=False)
             inner = lat.flatten()
@@ -353,8 +391,7 @@ def decode(latents: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sam
             if len(f) and (f.max() >= dec.shape[0] or f.min() < 0):
                 raise ValueError("feature index outside the dictionary")
             row = np.repeat(np.arange(n), lens)
-            out = np.zeros((n, dim))
-            np.add.at(out, row, v[:, None] * dec[f])
+            out = _product(n, row, f, v, dec)
             if scale_col:
                 out *= b.column("_scale").to_numpy(zero_copy_only=False)[:, None]
             if add_pre_b:
@@ -449,18 +486,12 @@ def reconstruct(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = bc.value
-        for b in batches:
+        for b in _row_blocks(batches, max(p["enc"].shape)):
             n = b.num_rows
-            if n == 0:
-                continue
             x = _vec_matrix(b.column(vec_col), dim)
             r, e, f, v, pm = _encode_block(x, p, arch, k)
-            out = np.zeros((n, dim))
-            contrib = v[:, None] * p["dec"][f]
-            if arch in ("switch", "switch_topk"):
-                contrib = contrib * pm[:, None]
-            np.add.at(out, r, contrib)
-            out += p["pre_b"]
+            scaled = v * pm if arch in ("switch", "switch_topk") else v
+            out = _product(n, r, f, scaled, p["dec"]) + p["pre_b"]
             l0 = np.bincount(r[v > 0], minlength=n).astype(np.int64)
             l1 = np.bincount(r, weights=np.abs(v), minlength=n)
             offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
@@ -554,20 +585,18 @@ def aux_loss(df: DataFrame, d: Dictionary, dead_features: Sequence[int], *, k: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, dd = bc.value, bdead.value
-        for b in batches:
+        for b in _row_blocks(batches, max(p["enc"].shape)):
             n = b.num_rows
-            if n == 0:
-                continue
             x = _vec_matrix(b.column(vec_col), dim)
             acts = np.maximum((x - p["pre_b"]) @ p["enc"].T, 0.0)
             idx, vals = _topk_rows(acts, k)
-            recon = np.einsum("nk,nkd->nd", vals, p["dec"][idx]) + p["pre_b"]
+            recon = _product(n, np.arange(n)[:, None], idx, vals, p["dec"]) + p["pre_b"]
             if len(dd) == 0:
                 se = np.zeros(n)
             else:
                 a_dead = acts[:, dd]
                 ai, av = _topk_rows(a_dead, min(k_aux, len(dd)))
-                aux = np.einsum("nk,nkd->nd", av, p["dec"][dd[ai]])
+                aux = _product(n, np.arange(n)[:, None], dd[ai], av, p["dec"])
                 se = ((aux - (x - recon)) ** 2).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [b.column(batch_col), pa.array(se), pa.array(np.full(n, dim, dtype=np.int64))],

@@ -126,3 +126,32 @@ def test_feature_slices_fit_the_limit_at_common_dimensions(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(S, "MAX_BROADCAST_BYTES", d.nbytes() // 2)
             assert plain(S.encode(df, d, "topk", k=3)) == want
+
+
+def test_slices_of_every_kind_equal_the_whole(spark, monkeypatch):
+    """d_in = 1024, small limits: feature slices, expert slices, sliced decode and batch top-k."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((23, 1024))
+    df = spark.createDataFrame([(i, 0, i // 12, v.tolist()) for i, v in enumerate(x)],
+                               "sample_id BIGINT, pos INT, batch_id BIGINT, vec ARRAY<DOUBLE>").repartition(3)
+    w = rng.standard_normal((24, 1024)) / 32
+    plain = S.Dictionary(enc=w, dec=w.copy(), pre_b=rng.standard_normal(1024) / 10)
+    routed = S.Dictionary(enc=w, dec=w.copy(), pre_b=plain.pre_b, router=rng.standard_normal((6, 1024)) / 32,
+                          router_b=np.zeros(1024), n_experts=6)
+
+    def rows():
+        lat = S.encode(df, plain, "topk", k=5)
+        return {
+            "relu": S.encode(df, plain, "relu"), "topk": lat, "batch": S.encode_batch_topk(df, plain, 4),
+            "switch": S.encode(df, routed, "switch_topk", k=2, with_route=True), "decode": S.decode(lat, plain)}
+
+    def read(frames):
+        return {n: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f.collect())
+                for n, f in frames.items()}
+
+    whole = read(rows())
+    monkeypatch.setattr(S, "MAX_BROADCAST_BYTES", 180_000)
+    monkeypatch.setattr(S, "DENSE_VALUES", 5_000)
+    assert len(plain.slices()) > 2 and len(routed.slices(by_expert=True)) > 2
+    assert all(p.nbytes() <= 180_000 for p in plain.slices() + routed.slices(by_expert=True))
+    assert read(rows()) == whole

@@ -2,7 +2,8 @@
 
 A checkpoint is a folder ``{base}/{log_id}/{n_iter}.ckpt/`` holding the
 parameter table (Parquet: param, expert, row, vec) and ``state.json``
-(token_count, dead_latents, n_iter, log_id, optimiser moments by reference).
+(token_count, dead_latents, n_iter, log_id). Optimiser moments are rows of the
+parameter table too, named ``moment1/...`` and ``moment2/...``.
 """
 
 from __future__ import annotations
@@ -104,3 +105,23 @@ def params_to_arrays(params: DataFrame) -> dict[str, np.ndarray]:
         else:
             arrays[name] = np.array([cells[(None, i)] for i in rows])
     return arrays
+
+
+def save_fit(spark: SparkSession, base: str, log_id: str, result, dead_latents=()) -> str:
+    """SNK9 for a fit: parameters and optimiser moments of a ``FitResult``."""
+    arrays = {**result.params, **{f"moment1/{n}": a for n, a in result.state["m"].items()},
+              **{f"moment2/{n}": a for n, a in result.state["v"].items()}}
+    return save_checkpoint(spark, base, log_id, result.n_iter, params_frame(spark, arrays),
+                           {"token_count": int(result.token_count), "dead_latents": [int(f) for f in dead_latents]})
+
+
+def load_fit(spark: SparkSession, path: str) -> dict:
+    """SRC14 for a fit: the ``init``, ``start_token`` and ``state`` arguments of
+    ``DictionaryEstimator.fit`` that continue it."""
+    params, state = load_checkpoint(spark, path)
+    arrays = params_to_arrays(params)
+
+    def named(prefix: str) -> dict[str, np.ndarray]:
+        return {n[len(prefix):]: a for n, a in arrays.items() if n.startswith(prefix)}
+    return {"init": {n: a for n, a in arrays.items() if "/" not in n}, "start_token": state["token_count"],
+            "state": {"m": named("moment1/"), "v": named("moment2/"), "t": state["n_iter"]}}

@@ -133,6 +133,21 @@ def test_fit_reduces_loss_and_resumes(spark):
     assert np.allclose(rest.params["enc"], res.params["enc"], atol=1e-10)
 
 
+@pytest.mark.parametrize("arch", ["vanilla", "switch_topk"])
+def test_saved_fit_continues_as_unbroken(spark, tmp_path, arch):
+    from actlens.sources import checkpoints as K
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i // 20, v.tolist()) for i, v in enumerate(rng.standard_normal((80, 4)))],
+                               "batch_id BIGINT, vec ARRAY<DOUBLE>")
+    kw = {"k": 2, "n_experts": 2, "lr": 0.01}
+    whole = FT.DictionaryEstimator(arch, 8, n_tokens=80, **kw).fit(df)
+    half = FT.DictionaryEstimator(arch, 8, n_tokens=40, **kw).fit(df)
+    path = K.save_fit(spark, str(tmp_path), "run", half, dead_latents=[3])
+    rest = FT.DictionaryEstimator(arch, 8, n_tokens=80, **kw).fit(df, **K.load_fit(spark, path))
+    assert rest.n_iter == whole.n_iter == 4
+    assert all(np.allclose(rest.params[n], whole.params[n], atol=1e-12) for n in whole.params)
+
+
 def test_geometric_median_matches_numpy(spark):
     from actlens.operators.geometry import geometric_median
     rng = np.random.default_rng(3)

@@ -8,7 +8,9 @@ and deleted. Paragraphs, headings and list items inside the article are never
 template, so text that many articles share stays. What is left is read from the
 article (else ``main``, else the body), without the elements that hold menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments by their tag, role, class or id.
+comments by their tag, role, class or id. A class or id counts only as a whole
+token (``sidebar``, not ``has-sidebar``), never on an article or a heading, and
+not on an element around the only article or ``main`` of the page.
 
 Each host has at most twice as many template subtrees as an average page of it
 has subtrees, so the template table has a row per host of bounded size.
@@ -42,7 +44,6 @@ _TOKEN = re.compile(
     r"""|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*')*+)>"""
     r"""|<[/]?[A-Za-z][^>]*+>|<[!?][^>]*+>""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
-_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: fixed values of HTML: raw-text elements, void elements, blocks, omitted end tags
 RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
@@ -59,13 +60,19 @@ _SCOPES = set("table ul ol dl article section div aside nav main footer header b
 DROP_TAGS = set("""script style noscript template head title nav header footer aside form button select textarea
 input iframe object embed svg canvas audio video dialog menu noembed noframes""".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-#: words of class and id names that mark what is not main text
+#: whole class and id tokens that mark what is not main text
 DROP_NAMES = set("""ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored
-promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies
+promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header masthead cookie cookies
 consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup social share
-sharing related recommended recommendations comment comments disqus respond replies widget widgets toolbar
-pagination pager login skip""".split())
-_NEVER_BY_NAME = {"html", "body", "main"}
+sharing toolbar pagination pager login skip site-header site-footer page-footer main-nav main-menu nav-menu
+ad-banner cookie-banner cookie-notice cookie-consent newsletter-signup share-buttons social-share social-links
+skip-link""".split())
+#: those whose elements often hold short articles of their own
+DROP_ASIDES = set("""sidebar related recommended recommendations comment comments disqus respond replies widget widgets
+related-posts related-articles comment-list comments-area""".split())
+_NEVER_BY_NAME = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: what drops an element, from the weakest: a name, the name of an aside, its tag, role or ``hidden``
+BY_NAME, BY_ASIDE, BY_TAG = 1, 2, 3
 #: blocks of running text: inside the article they are never template
 PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr tbody thead tfoot caption figcaption".split())
 
@@ -73,25 +80,28 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr tbody thead tf
 class Node:
     __slots__ = ("tag", "names", "dropped", "children", "digest", "in_article")
 
-    def __init__(self, tag: str, names: str, dropped: bool, in_article: bool) -> None:
+    def __init__(self, tag: str, names: str, dropped: int, in_article: bool) -> None:
         self.tag, self.names, self.dropped, self.in_article = tag, names, dropped, in_article
         self.children: list[Node | str] = []
         self.digest = 0
 
 
-def _attributes(tag: str, text: str) -> tuple[str, bool]:
-    """Class, id and role as one string, and whether they mark the element as
-    something other than main text."""
+def _attributes(tag: str, text: str) -> tuple[str, int]:
+    """Class and id as one string, and what marks the element as something
+    other than main text (0: nothing)."""
+    by_tag = BY_TAG if tag in DROP_TAGS else 0
     if not text or text.isspace():
-        return "", tag in DROP_TAGS
+        return "", by_tag
     values = {}
     for name, a, b, c, bare in _ATTR.findall(text):
         values.setdefault((name or bare).lower(), a or b or c)
     names = f"{values.get('class', '')} {values.get('id', '')}"
-    dropped = tag in DROP_TAGS or "hidden" in values or values.get("role", "").lower() in DROP_ROLES
-    if not dropped and tag not in _NEVER_BY_NAME and not names.isspace():
-        dropped = any(w.lower() in DROP_NAMES for w in _NAME.findall(names))
-    return names, dropped
+    if by_tag or "hidden" in values or values.get("role", "").lower() in DROP_ROLES:
+        return names, BY_TAG
+    if tag in _NEVER_BY_NAME or names.isspace():
+        return names, 0
+    tokens = set(names.lower().split())
+    return names, BY_ASIDE if tokens & DROP_ASIDES else BY_NAME if tokens & DROP_NAMES else 0
 
 
 def _close(node: Node) -> None:
@@ -106,7 +116,7 @@ def _close(node: Node) -> None:
 
 def parse(page: str) -> Node:
     """The element tree of a page; every node carries the hash of its subtree."""
-    root = Node("html", "", False, False)
+    root = Node("html", "", 0, False)
     stack, at, n = [root], 0, len(page)
 
     def pop_to(depth: int) -> None:
@@ -183,8 +193,10 @@ def subtree_hashes(page: str | None) -> set[int]:
 
 
 def _roots(tree: Node, template: set[int]) -> list[Node]:
-    """The outermost articles that are not deleted, else ``main``, else all."""
-    for wanted in ("article", "main"):
+    """The outermost articles that are not deleted, else ``main``, else all.
+    Names of elements around them are set aside where nothing else is found."""
+    for wanted, level in (("article", 0), ("article", BY_NAME), ("main", 0), ("main", BY_NAME),
+                          ("article", BY_ASIDE), ("main", BY_ASIDE)):
         found, stack = [], [tree]
         while stack:
             node = stack.pop()
@@ -192,7 +204,7 @@ def _roots(tree: Node, template: set[int]) -> list[Node]:
                 found.append(node)
                 continue
             stack.extend(c for c in reversed(node.children) if not isinstance(c, str)
-                         and not c.dropped and not (_is_unit(c) and c.digest in template))
+                         and c.dropped <= level and not (_is_unit(c) and c.digest in template))
         if found:
             return found
     return [tree]

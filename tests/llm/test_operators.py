@@ -220,6 +220,22 @@ def test_main_text():
     assert pages.main_text("<div>" * 5000 + "deep", set()) == "deep"
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article class='post has-sidebar'><p>a</p></article>", "a"),
+    ("<div id='page' class='site header-fixed'><article><p>a</p></article></div>", "a"),
+    ("<div class='layout no-footer'><p>a</p></div>", "a"),
+    ("<article><h1 class='entry-header'>t</h1><section id='related-work'><p>r</p></section><p class='share-price'>9</p></article>",
+     "t\nr\n9"),
+    ("<article class='promo'><h2 class='header'>t</h2><p>a</p><p class='ad'>x</p><div class='x Sidebar'>y</div></article>", "t\na"),
+    ("<div class='overlay'><main><p>a</p></main></div>", "a"),
+    ("<main><h1>t</h1><div class='modal'><article><p>a</p></article></div></main>", "a"),
+    ("<div class='widget'><article><p>a</p></article></div>", "a"),
+    ("<article><p>a</p></article><div class='related'><article>r</article></div>", "a"),
+    ("<main><p>a</p><div class='comments'><article>c</article></div></main>", "a")])
+def test_names_drop_only_as_whole_tokens(page, want):
+    assert pages.main_text(f"<body>{page}</body>", set()) == want
+
+
 def test_site_templates(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div>Top of site</div><div><p>Text {i} here</p></div>") for i in range(8)]
     rows += [(90, None, None), (91, "x", ""), (91, "x", "")]

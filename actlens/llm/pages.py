@@ -2,18 +2,22 @@
 
 Pages are parsed into element trees (tag soup is accepted: raw-text elements,
 void elements, omitted end tags). Every block element's subtree is hashed; Spark
-counts on how many pages of a host each hash occurs. A subtree that occurs on
-more than half of a host's pages (and on at least ``MIN_PAGES``) is template
-and deleted. Paragraphs, headings and list items inside the article are never
-template, so text that many articles share stays. What is left is read from the
+counts with how many different remainders of the page (the kept text outside
+the subtree) each hash occurs on a host, so pages that are copies count as one
+and their content is no template. A subtree with at least ``MIN_PAGES``
+remainders, and as many as ``SHARE`` of the host's different pages, is template
+and deleted; on a host of ``LEAST_PAGES`` different pages or more, but under
+``MIN_PAGES``, one that is on all of them. Paragraphs, headings and list items
+inside the article are never template, so text that many articles share stays.
+What is left is read from the
 article (else ``main``, else the body), without the elements that hold menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments by their tag, role, class or id. A class or id counts only as a whole
 token (``sidebar``, not ``has-sidebar``), never on an article or a heading, and
 not on an element around the only article or ``main`` of the page.
 
-Each host has at most twice as many template subtrees as an average page of it
-has subtrees, so the template table has a row per host of bounded size.
+Each host has at most ten times as many template subtrees as an average page of
+it has subtrees (1 / ``SHARE``), so its row of the template table is bounded.
 
 Defined cases: null or empty html gives an empty text; a null url has an empty
 host; repeated pages are counted and extracted one by one; an empty table gives
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -36,8 +39,10 @@ from actlens.llm.common import materialize
 from actlens.llm.urls import url_host
 
 MIN_PAGES = 5
-SHARE = 0.5
+LEAST_PAGES = 3
+SHARE = 0.1
 MAX_BROADCAST_HOSTS = 100_000
+MASK = (1 << 64) - 1
 
 _TOKEN = re.compile(
     r"""<!--(?P<comment>.*?)(?:-->|\Z)"""
@@ -78,12 +83,14 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr tbody thead tf
 
 
 class Node:
-    __slots__ = ("tag", "names", "dropped", "children", "digest", "in_article")
+    __slots__ = ("tag", "names", "dropped", "children", "digest", "in_article", "mass", "around")
 
     def __init__(self, tag: str, names: str, dropped: int, in_article: bool) -> None:
         self.tag, self.names, self.dropped, self.in_article = tag, names, dropped, in_article
         self.children: list[Node | str] = []
         self.digest = 0
+        self.mass = 0            # sum of the hashes of its kept text
+        self.around = False      # holds an article or main
 
 
 def _attributes(tag: str, text: str) -> tuple[str, int]:
@@ -104,13 +111,25 @@ def _attributes(tag: str, text: str) -> tuple[str, int]:
     return names, BY_ASIDE if tokens & DROP_ASIDES else BY_NAME if tokens & DROP_NAMES else 0
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _close(node: Node) -> None:
     h = blake2b(f"{node.tag}|{node.names}|".encode("utf-8", "replace"), digest_size=8)
     for c in node.children:
         if isinstance(c, str):
-            h.update(" ".join(c.split()).encode("utf-8", "replace"))
+            text = " ".join(c.split()).encode("utf-8", "replace")
+            h.update(text)
+            if text:
+                node.mass += int.from_bytes(blake2b(text, digest_size=8).digest(), "little")
         else:
             h.update(c.digest.to_bytes(8, "little", signed=True))
+            inside = c.dropped < BY_TAG and (c.around or c.tag in ("article", "main"))
+            node.around |= inside
+            if not c.dropped or inside:
+                node.mass += c.mass
+    node.mass &= MASK
     node.digest = int.from_bytes(h.digest(), "little", signed=True)
 
 
@@ -179,16 +198,23 @@ def _is_unit(node: Node) -> bool:
     return not (node.in_article and node.tag in PROSE)
 
 
-def subtree_hashes(page: str | None) -> set[int]:
+def subtree_hashes(page: str | None) -> set[tuple[int | None, int]]:
+    """(digest, remainder) of the subtrees that can be template; the page itself
+    has no digest, and all of its kept text as remainder."""
     if not page:
         return set()
-    out, stack = set(), [parse(page)]
+    tree = parse(page)
+    out, stack = {(None, _signed(tree.mass))} if tree.mass else set(), [(tree, True)]
     while stack:
-        for c in stack.pop().children:
-            if not isinstance(c, str):
-                if _is_unit(c):
-                    out.add(c.digest)
-                stack.append(c)
+        node, counted = stack.pop()
+        for c in node.children:
+            if isinstance(c, str) or c.dropped == BY_TAG:
+                continue
+            # an element that is dropped anyway takes nothing from the page
+            part = counted and (not c.dropped or c.around)
+            if _is_unit(c):
+                out.add((c.digest, _signed((tree.mass - c.mass) & MASK if part else tree.mass)))
+            stack.append((c, part))
     return out
 
 
@@ -249,25 +275,24 @@ def main_text(page: str | None, template: set[int]) -> str:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen: Counter = Counter()
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[host, None] += 1
-            for digest in subtree_hashes(page):
-                seen[host, digest] += 1
+        seen = {(host, *found) for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+                for found in subtree_hashes(page)}
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()),
-             pa.array(list(seen.values()), pa.int64())], names=["host", "digest", "n"])
+             pa.array([k[2] for k in seen], pa.int64())], names=["host", "digest", "remainder"])
 
 
 def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, template: the hashes of the subtrees that recur on the host's pages."""
+    """host, template: the hashes of the subtrees that recur on the host's
+    different pages."""
     counts = (pages.select(url_host(F.col("url")).alias("host"), "html")
-              .mapInArrow(_count_batches, "host string, digest long, n long")
-              .groupBy("host", "digest").agg(F.sum("n").alias("n"))
-              .filter((F.col("n") >= min_pages) | F.col("digest").isNull()))
+              .mapInArrow(_count_batches, "host string, digest long, remainder long").distinct()
+              .groupBy("host", "digest").agg(F.count("*").alias("n"))
+              .filter((F.col("n") >= min(min_pages, LEAST_PAGES)) | F.col("digest").isNull()))
     counts = materialize(counts, "page-subtrees")
     sizes = counts.filter("digest is null").select("host", F.col("n").alias("pages"))
-    return (counts.filter("digest is not null").join(sizes, "host").filter(F.col("n") > F.col("pages") * share)
+    need = F.greatest(F.least(F.lit(min_pages), F.col("pages")), F.col("pages") * share)
+    return (counts.filter("digest is not null").join(sizes, "host").filter(F.col("n") >= need)
             .groupBy("host").agg(F.collect_set("digest").alias("template")))
 
 

@@ -244,6 +244,21 @@ def test_site_templates(spark):
     assert all(got[i] == f"Text {i} here" for i in range(8)) and got[90] == got[91] == ""
 
 
+def test_copies_are_no_template_and_layouts_are(spark):
+    copy = "<body><div>Top</div>{}<article><div class='body'><section><p>Same text</p></section></div></article></body>"
+    bare = "<body><div>Top</div><div><p>Same text</p></div></body>"
+    rows = [(i, "http://copies/x", copy.format(f"<div class='ad'>ad {i}</div>")) for i in range(8)]
+    rows += [(8 + i, None, bare) for i in range(8)]
+    rows += [(100 + i, "http://layouts/x", f"<body><div>Layout {i % 3}</div><div><p>Text {i}</p></div></body>") for i in range(30)]
+    rows += [(200 + i, "http://small/x", f"<body><div>Top</div><div><p>Text {i}</p></div></body>") for i in range(3)]
+    rows += [(300 + i, "http://mixed/x", bare if i < 6 else f"<body><div>Top</div><div><p>Text {i}</p></div></body>") for i in range(11)]
+    got = {r["page_id"]: r["text"] for r in
+           pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Same text" for i in range(8)) and all(got[8 + i] == "Top\nSame text" for i in range(8))
+    assert all(got[100 + i] == f"Text {i}" for i in range(30)) and all(got[200 + i] == f"Text {i}" for i in range(3))
+    assert all(got[300 + i] == ("Same text" if i < 6 else f"Text {i}") for i in range(11))
+
+
 def test_url_rules(spark):
     rows = [(1, "https://WWW.Example.com/en/x"), (2, "http://a.example.com/en/"), (3, "http://b.com/q?x"), (4, "http://b.com"),
             (5, "http://spam-farm.org/a"), (6, None), (7, "no scheme"), (8, "http://x.net/es/1"), (9, "http://notcom/"), (8, "http://x.net/es/1")]

@@ -8,7 +8,9 @@ task. A query walks the tree best-bin-first: a priority queue holds the
 branches by their distance to the query, and popping it yields leaves from the
 nearest on. How many leaves are visited is calibrated: the number is widened
 until a bounded set of queries, compared with all vectors in blocks, finds
-``TARGET_RECALL`` of its true neighbours. All scores are inner products of the
+``TARGET_RECALL`` of its true neighbours, and ``SERVED`` of these queries and of
+as many from different leaves each find that share of their own. A query goes on
+beyond this number until its leaves hold k rows of other ids. All scores are inner products of the
 original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
@@ -43,6 +45,7 @@ CHUNK_ROWS = 4_000
 QUERY_ROWS = 4_000
 CALIBRATION_QUERIES = 64
 TARGET_RECALL = 0.95
+SERVED = 0.9
 FIRST_VISITS = 2
 
 
@@ -188,25 +191,59 @@ def store(vectors: DataFrame, tree: Tree) -> DataFrame:
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, leaf long")
 
 
-def _visits(queries: DataFrame, tree: Tree, n: int) -> DataFrame:
-    """(vec_id, embedding, leaf, nth): the first n leaves of each query."""
+def _visits(queries: DataFrame, tree: Tree, n: int, sizes: dict[int, int], k: int) -> DataFrame:
+    """(vec_id, embedding, leaf, nth): the first n leaves of each query, and more
+    until they hold k rows besides the query's ``own``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, leaves, nth = [], [], []
+            own = batch.column(2).to_pylist()
             for dim, at, x in vectors_of(batch.column(1)):
                 for i, q in zip(at.tolist(), x):
-                    for v, leaf in zip(range(n if dim == tree.dim else 0), tree.visit(q)):
+                    held = 0
+                    for v, leaf in enumerate(tree.visit(q) if dim == tree.dim else ()):
+                        if v >= n and held >= k + own[i]:
+                            break
+                        held += sizes.get(leaf, 0)
                         rows.append(i)
                         leaves.append(leaf)
                         nth.append(v)
-            got = batch.take(pa.array(rows, pa.int64()))
+            got = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*got.columns, pa.array(leaves, pa.int64()), pa.array(nth, pa.int32())],
                                              names=["vec_id", "embedding", "leaf", "nth"])
 
-    return queries.select("vec_id", "embedding").mapInArrow(
+    return queries.select("vec_id", "embedding", "own").mapInArrow(
         run, "vec_id long, embedding array<double>, leaf long, nth int")
 
 
+def _calibrated(base: DataFrame, asked: DataFrame, stored: DataFrame, tree: Tree, k: int, target: float) -> int:
+    """How many leaves to visit, by a bounded set of queries against all rows."""
+    by_hash = [F.xxhash64("vec_id", F.lit(7)), F.col("vec_id")]
+    some = asked.select("vec_id", "embedding").orderBy(*by_hash).limit(CALIBRATION_QUERIES).collect()
+    # queries of different leaves: those of small leaves count as much as those of large ones
+    spread = (store(asked, tree).withColumn("nth", F.row_number().over(Window.partitionBy("leaf").orderBy(*by_hash)))
+              .filter(F.col("nth") <= CALIBRATION_QUERIES).orderBy("nth", *by_hash).limit(CALIBRATION_QUERIES).collect())
+    points = {r["vec_id"]: r["embedding"] for r in [*some, *spread]}
+    qid = np.array(list(points), np.int64)
+    q = np.array(list(points.values()), np.float64)
+    truth = _against_all(base, qid, q, k)
+    where = stored.select("vec_id", "leaf").distinct()
+    hits = truth.join(where, "vec_id").groupBy("query_id", "leaf").count().collect()
+    found = {}
+    for r in hits:
+        found.setdefault(r["query_id"], {})[r["leaf"]] = r["count"]
+    gains = np.zeros((len(qid), max(tree.leaf) + 1))
+    for i, point in enumerate(q):
+        mine = found.get(int(qid[i]), {})
+        for at, leaf in enumerate(tree.visit(point) if mine else ()):
+            gains[i, at] = mine.get(leaf, 0)
+    pooled = gains[:len(some)].sum(axis=0)
+    reached = np.cumsum(pooled) / max(1.0, pooled.sum())
+    alone = np.cumsum(gains, axis=1) >= (target - 1e-12) * gains.sum(axis=1, keepdims=True)
+    served = np.sort(alone.argmax(axis=1))[int(np.ceil(SERVED * len(qid))) - 1]
+    return max(int(np.searchsorted(reached, target - 1e-12)), int(served)) + 1
+
+
 def _search_chunk(dim: int, k: int):
     def matrix(col: pd.Series) -> np.ndarray:
         return np.stack(col.to_list()).astype(np.float64) if len(col) else np.zeros((0, dim))
@@ -249,34 +286,15 @@ def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float
 
     top2 = base.select("embedding").mapInArrow(norms, "n2 double").agg(F.max("n2").alias("m")).first()["m"]
     tree = fit_tree(sample, float(np.sqrt(top2)) * (1 + 1e-12), min(MAX_LEAVES, max(1, n // ROWS_PER_LEAF)))
-    n_leaves = max(tree.leaf) + 1
     stored = materialize(store(base, tree), "ann-stored")
     sizes = {r["leaf"]: r["count"] for r in stored.groupBy("leaf").count().collect()}   # at most MAX_LEAVES rows
 
-    # calibration: a bounded set of queries against all rows
     asked = base.filter(is_query).dropDuplicates(["vec_id"])
-    some = asked.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATION_QUERIES).collect()
-    some = [r for r in some if len(r["embedding"]) == dim and np.isfinite(np.array(r["embedding"], float)).all()
-            and any(r["embedding"])]
-    if not some:
-        return empty
-    qid = np.array([r["vec_id"] for r in some], np.int64)
-    q = np.array([r["embedding"] for r in some], np.float64)
-    truth = _against_all(base, qid, q, k)
-    where = stored.select("vec_id", "leaf").distinct()
-    hits = truth.join(where, "vec_id").groupBy("query_id", "leaf").count().collect()
-    found = {}
-    for r in hits:
-        found.setdefault(r["query_id"], {})[r["leaf"]] = r["count"]
-    gains = np.zeros(n_leaves)
-    for i, point in zip(qid.tolist(), q):
-        for at, leaf in enumerate(tree.visit(point)):
-            gains[at] += found.get(i, {}).get(leaf, 0)
-    reached = np.cumsum(gains) / max(1.0, gains.sum())
-    visits = int(np.searchsorted(reached, target - 1e-12)) + 1
+    asked = asked.join(base.groupBy("vec_id").agg(F.count("*").alias("own")), "vec_id")
+    visits = _calibrated(base, asked, stored, tree, k, target)
 
     # a leaf with many vectors, or asked by many queries, is dealt over several groups
-    walked = materialize(_visits(asked, tree, visits), "ann-visits")
+    walked = materialize(_visits(asked, tree, visits, sizes, k), "ann-visits")
     asks = {r["leaf"]: r["count"] for r in walked.groupBy("leaf").count().collect()}     # at most MAX_LEAVES rows
     chunks, q_chunks = _parts_of(sizes, CHUNK_ROWS), _parts_of(asks, QUERY_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))

@@ -373,3 +373,31 @@ def test_search_recall_and_scores(spark, monkeypatch):
     few = vector_search.search_vectors(df.filter("vec_id < 5"), F.col("vec_id") == 0).collect()
     assert len(few) == 4
     assert vector_search.search_vectors(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_search_of_small_leaves_finds_k(spark, monkeypatch):
+    """Hot groups of one leaf each fill the calibration; rare queries sit in a leaf of few rows."""
+    monkeypatch.setattr(vector_search, "ROWS_PER_LEAF", 32)
+    monkeypatch.setattr(vector_search, "CALIBRATION_QUERIES", 4)
+    rng = np.random.default_rng(5)
+    x = np.repeat(np.eye(12) * 10, 30, axis=0)[:330]
+    x[300:] = np.eye(12)[11] * 10
+    x = np.vstack([x, np.eye(12)[10] * 10 + np.zeros((6, 1))])
+    x += rng.normal(size=x.shape) * 0.001
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_search.search_vectors(df, F.lit(True), k=20).collect()
+    counts = {}
+    for r in got:
+        counts[r["query_id"]] = counts.get(r["query_id"], 0) + 1
+    assert set(counts) == set(range(336)) and set(counts.values()) == {20}
+
+
+
+def test_visits_go_on_until_leaves_hold_k(spark):
+    tree = vector_search.fit_tree(np.array([[1.0, 0], [0, 1.0], [-1.0, 0], [0, -1.0]] * 20), 1.0, 8)
+    n = max(tree.leaf) + 1
+    queries = spark.createDataFrame([(1, [1.0, 0.1], 1)], "vec_id long, embedding array<double>, own long")
+    assert n > 2
+    for own_rows, want in ((1, 1), (2, 2), (6, 2), (7, 3)):
+        asked = queries.withColumn("own", F.lit(own_rows).cast("long"))
+        assert vector_search._visits(asked, tree, 1, {leaf: 5 for leaf in range(n)}, 4).count() == want

@@ -2,12 +2,12 @@
 
 All stages but the last return the columns of their documents. Inside a stage a
 document without an id is named by a hash of its values; rows that repeat an id
-count as one document in the near-duplicate stage.
+are documents of their own in the near-duplicate stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actlens.llm import language, mixing, ngram_join, pieces, quality
@@ -36,21 +36,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each n-gram join component (of
-    rows that repeat an id, the one with the smallest text)."""
+    """Keeps the row with the smallest id of each n-gram join component (of rows
+    that repeat this id, the one with the smallest text, then other columns)."""
     prepare(spark)
-    named = _named(docs)
-    groups = materialize(ngram_join.ngram_components(named.select(F.col("_id").alias("doc_id"), "text"))
-                         .select(F.col("doc_id").alias("_id"), "component_id"), "stage-groups")
-    gone = groups.filter("_id <> component_id").select("_id").distinct()
-    kept = named.join(small_or_none(gone, MAX_BROADCAST_IDS), "_id", "left_anti")
-    again = groups.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    first = Window.partitionBy("_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    repeated = (kept.join(again, "_id", "left_semi").withColumn("_nth", F.row_number().over(first))
-                .filter("_nth = 1"))
-    return kept.join(again, "_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    rows = materialize(_named(docs).withColumn("_row", F.monotonically_increasing_id()), "stage-rows")
+    groups = materialize(ngram_join.ngram_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+                         .select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+                         .join(rows.select("_row", "_id"), "_row"), "stage-groups")
+    held = groups.groupBy("_group", "_id").agg(F.count("*").alias("n"), F.min("_row").alias("_row"))
+    first = materialize(held.groupBy("_group").agg(F.min(F.struct("_id", "n", "_row")).alias("m"))
+                        .select("_group", "m.*"), "stage-first")
+    winners = first.filter("n = 1").select("_row")
+    again = first.filter("n > 1").select("_group", "_id")
+    if not again.isEmpty():
+        tied = groups.join(small_or_none(again, MAX_BROADCAST_IDS), ["_group", "_id"]).select("_row", "_group")
+        values = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")], "_row")
+        winners = winners.union(tied.join(rows, "_row").groupBy("_group").agg(F.min(values).alias("m")).select("m._row"))
+    gone = materialize(groups.select("_row").join(winners, "_row", "left_anti"), "stage-gone")
+    return rows.join(small_or_none(gone, MAX_BROADCAST_IDS), "_row", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

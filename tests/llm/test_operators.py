@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from actlens.llm import (chat, components, language, mixing, neardup_vectors, ngram_join, pages, pieces, quality,
-                         shingles, urls, vector_search)
+                         shingles, stages, urls, vector_search)
 from pyspark.sql import functions as F
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -98,6 +98,24 @@ def test_ngram_odd_rows(spark, odd):
     assert ngram_join.ngram_components(odd.limit(0)).count() == 0
 
 
+def test_near_duplicate_stage_keeps_rows_that_share_an_id(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "seven eight nine ten eleven twelve")
+    docs = "doc_id long, text string, lang string, source string"
+
+    def kept(rows):
+        df = spark.createDataFrame([(*r, "en", "s") for r in rows], docs)
+        return sorted((r["doc_id"], r["text"]) for r in stages.near_duplicate_stage(spark, df, "").collect())
+    assert kept([(5, a), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(3, a), (5, a), (5, b)]) == [(3, a), (5, b)]
+    assert kept([(3, a), (5, a), (3, c), (1, c)]) == [(1, c), (3, a)]
+    assert kept([(5, a), (5, a.upper()), (5, a)]) == [(5, a.upper())]
+    many = [(i % 9, t) for i, t in near_copies(3, 60)]
+    groups, best = brute_components([(i, t) for i, (_, t) in enumerate(many)]), {}
+    for i, _, g in groups:
+        best[g] = min(best.get(g, many[i]), many[i])
+    assert kept(many) == sorted(best.values())
+
+
 def test_bitmap_bound_never_rejects_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -59,12 +59,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (0 to 3 times): the share of its
     words that the source schedule takes, rounded; only the document at the end
-    of a source's quota is ever taken in part."""
+    of a source's quota is ever taken in part. A document without words is taken
+    0 times."""
     prepare(spark)
     named = _named(docs)
     mix = mixing.mix_sources(named.select(F.col("_id").alias("doc_id"), "source", "text"))
     times = (mix.groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).filter("_times > 0"))
+             .agg(F.round(F.try_divide(F.sum("taken"), F.sum("size"))).cast("int").alias("_times")).filter("_times > 0"))
     return (named.join(times, "_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
             .select(*docs.columns))
 

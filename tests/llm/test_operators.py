@@ -116,6 +116,28 @@ def test_near_duplicate_stage_keeps_rows_that_share_an_id(spark):
     assert kept(many) == sorted(best.values())
 
 
+def test_stages_take_odd_rows(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumn("doc_id", F.coalesce("doc_id", F.lit(6)))
+    rows = sorted(map(tuple, docs.collect()), key=repr)
+    mixed = sorted(map(tuple, stages.mixing_stage(spark, docs, "").collect()), key=repr)
+    assert {r for r in mixed} <= {r for r in rows if words(r[1])}
+    sizes, taken, took = {}, {}, {}
+    for r in mixing.mix_sources(docs.select("doc_id", "source", "text")).collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["size"]
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    for r in rows:
+        share = taken[r[0]] / sizes[r[0]] if sizes[r[0]] else 0
+        took[r[0]] = took.get(r[0], 0) + int(share + 0.5)
+    assert {d: sum(r[0] == d for r in mixed) for d in took} == took
+    kept = sorted(map(tuple, stages.near_duplicate_stage(spark, docs, "").collect()), key=repr)
+    best = {}
+    for (i, _, g), r in zip(sorted(brute_components([(i, r[1]) for i, r in enumerate(rows)])), rows):
+        best[g] = min(best.get(g, r), r, key=lambda v: (v[0], v[1] or ""))
+    assert kept == sorted(best.values(), key=repr)
+    assert stages.piece_stage(spark, docs, "").filter("lossless").count() == len(rows)
+    assert stages.mixing_stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_bitmap_bound_never_rejects_a_link():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import chat, language, mixing, neardup_vectors, ngram_join, pieces, quality, urls, vector_search
+from actlens.llm import (chat, hard_negatives, language, mixing, neardup_vectors, ngram_join, pieces, quality,
+                         token_counts, urls, vector_search)
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
 
@@ -185,3 +186,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more."""
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = """
+with v as (select row_number() over () as uid, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * x::double)) as q
+           from embeddings where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.uid, a.vec_id as anchor_id, a.label, a.q, b.vec_id as positive_id,
+             list_inner_product(a.q, b.q)::bigint as positive_score,
+             row_number() over (partition by a.uid order by list_inner_product(a.q, b.q)::bigint desc, b.vec_id) as slot
+      from v a join v b on a.label = b.label and a.uid <> b.uid where a.vec_id % 100 = 0 qualify slot <= 5),
+n as (select p.uid, slot, anchor_id, positive_id, positive_score, v.vec_id as negative_id,
+             list_inner_product(p.q, v.q)::bigint as negative_score
+      from p join v on p.label <> v.label where 30 * positive_score <= 100 * list_inner_product(p.q, v.q)::bigint
+        and 100 * list_inner_product(p.q, v.q)::bigint <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from (
+  select *, (row_number() over (partition by uid, slot order by negative_score desc, negative_id))::int as rank from n)
+where rank <= 10"""
+
+
+@_query("op11_hard_negatives", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives of every 100th vector, by the scores of its positives."""
+    return hard_negatives.mine_negatives(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@_query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document; the vocabulary's library is the test's reference."""
+    import public_tokenizers
+    table = token_counts.load_merges(public_tokenizers.path(token_counts.MODEL_NAME))
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), table)

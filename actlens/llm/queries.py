@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actlens.llm import (chat, hard_negatives, language, mixing, neardup_vectors, ngram_join, pieces, quality,
+from actlens.llm import (chat, hard_negatives, language, lexical, mixing, neardup_vectors, ngram_join, pieces, quality,
                          token_counts, urls, vector_search)
 from actlens.llm import pages as html_pages
 from actlens.llm.common import fold_of, prepare, read_table
@@ -218,3 +218,28 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     table = token_counts.load_merges(public_tokenizers.path(token_counts.MODEL_NAME))
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), table)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12_SQL = rf"""
+with d as (select row_number() over () as u, doc_id, {_TERMS} as ts from documents),
+t as (select u, doc_id, len(ts)::bigint as n, unnest(ts) as term from d),
+g as (select count(distinct u)::bigint as docs, count(*)::bigint as terms from t),
+f as (select u, doc_id, n, term, count(*)::bigint as tf from t group by u, doc_id, n, term),
+e as (select term, count(*)::bigint as df from f group by term),
+w as (select term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint as w from e, g),
+q as (select i, item_id, unnest(list_distinct(ts)) as term
+      from (select row_number() over () as i, item_id, {_TERMS} as ts from benchmark)),
+s as (select i, item_id, u, doc_id,
+             sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::bigint as score
+      from q join f using (term) join w using (term), g where doc_id is not null group by i, item_id, u, doc_id)
+select item_id, rank, doc_id, score from (
+  select *, (row_number() over (partition by i order by score desc, doc_id))::int as rank from s where score > 0)
+where rank <= 10"""
+
+
+@_query("op12_lexical_search", _OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

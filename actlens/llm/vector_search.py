@@ -14,11 +14,13 @@ beyond this number until its leaves hold k rows of other ids. All scores are inn
 original vectors in double precision.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components take no part, nor do null ids, nor vectors of another dimension than
-the query's; with fewer candidates than k, all are returned; ties go to the
-smaller id; repeated rows with the query's id are not candidates, other
-repeated rows are candidates of their own; an empty table gives an empty
-result; extra columns are ignored.
+components take no part, nor do null ids; every dimension has a tree of its own,
+and a query's candidates are the vectors of its dimension; with fewer candidates
+than k, all are returned; ties go to the smaller id; an id that several query
+rows share is asked once, with its vector of the smallest dimension and, among
+these, the first in order; rows with the query's id are not candidates, other
+repeated rows are candidates of their own; a table without rows or without
+queries gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlens.llm.common import materialize
-from actlens.llm.vectors import sample_vectors, vectors_of
+from actlens.llm.vectors import vectors_of
 
 K = 20
 SAMPLE_ROWS = 20_000
@@ -44,7 +46,7 @@ MAX_LEAVES = 4096
 CHUNK_ROWS = 4_000
 QUERY_ROWS = 4_000
 CALIBRATION_QUERIES = 64
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 SERVED = 0.9
 FIRST_VISITS = 2
 
@@ -266,22 +268,43 @@ def _parts_of(sizes: dict[int, int], most: int) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), F.col("leaf").cast("int")), F.lit(1))
 
 
+def usable_vectors(rows: DataFrame) -> DataFrame:
+    """vec_id, dim, embedding of the rows that take part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, at, _ in vectors_of(batch.column(1)):
+                some = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.full(len(at), dim, np.int32)), some.column(1)],
+                                                 names=["vec_id", "dim", "embedding"])
+
+    known = (rows.filter("vec_id is not null and embedding is not null")
+             .select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")))
+    return known.mapInArrow(run, "vec_id long, dim int, embedding array<double>")
+
+
 def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for every query row."""
-    spark = rows.sparkSession
-    base = materialize(rows.filter("vec_id is not null and embedding is not null")
-                       .select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), "ann-rows")
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    base = materialize(usable_vectors(rows), "ann-rows")
+    asked = (base.filter(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "embedding")).alias("q"))
+             .select("vec_id", "q.dim", "q.embedding"))
+    own = base.groupBy("vec_id", "dim").agg(F.count("*").alias("own"))
+    asked = materialize(asked.join(own, ["vec_id", "dim"]), "ann-queries")
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in asked.select("dim").distinct().orderBy("dim").collect():       # dimensions, not rows
+        of_dim = F.col("dim") == r["dim"]
+        found = _search_dimension(base.filter(of_dim), asked.filter(of_dim), r["dim"], k, target)
+        out = out.unionByName(found)
+    return out
+
+
+def _search_dimension(base: DataFrame, asked: DataFrame, dim: int, k: int, target: float) -> DataFrame:
     n = base.count()
-    picked = base.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE_ROWS).collect()
-    sample = sample_vectors([r["embedding"] for r in picked])
-    if not len(sample):
-        return empty
-    dim = sample.shape[1]
+    picked = base.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "embedding").limit(SAMPLE_ROWS).collect()
+    sample = np.array([r["embedding"] for r in picked], np.float64)
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tops = [float((x * x).sum(axis=1).max()) for d, _, x in vectors_of(batch.column(0)) if d == dim and len(x)]
+            tops = [float((x * x).sum(axis=1).max()) for _, _, x in vectors_of(batch.column(0)) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array(tops, pa.float64())], names=["n2"])
 
     top2 = base.select("embedding").mapInArrow(norms, "n2 double").agg(F.max("n2").alias("m")).first()["m"]
@@ -289,8 +312,6 @@ def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float
     stored = materialize(store(base, tree), "ann-stored")
     sizes = {r["leaf"]: r["count"] for r in stored.groupBy("leaf").count().collect()}   # at most MAX_LEAVES rows
 
-    asked = base.filter(is_query).dropDuplicates(["vec_id"])
-    asked = asked.join(base.groupBy("vec_id").agg(F.count("*").alias("own")), "vec_id")
     visits = _calibrated(base, asked, stored, tree, k, target)
 
     # a leaf with many vectors, or asked by many queries, is dealt over several groups
@@ -302,6 +323,7 @@ def search_vectors(rows: DataFrame, is_query: Column, k: int = K, target: float
              .withColumn("part", every(q_chunks)))
     walked = (walked.withColumn("part", F.pmod(F.xxhash64("vec_id"), q_chunks).cast("int"))
               .withColumn("chunk", every(chunks)))
+
     def searched(asked_leaves: DataFrame) -> DataFrame:
         return (asked_leaves.select("vec_id", "embedding", "least", "leaf", "chunk", "part")
                 .groupBy("leaf", "chunk", "part").cogroup(dealt.groupBy("leaf", "chunk", "part"))

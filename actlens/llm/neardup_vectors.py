@@ -40,16 +40,23 @@ BLOCK_ROWS, SUB_ROWS = 512, 64
 FAN_BITS = 3
 
 
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Divided by the largest component first, so that no norm
+    over- or underflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def principal_axes(sample: np.ndarray) -> np.ndarray:
     """Orthonormal columns, by falling variance."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = unit_vectors(sample)
     _, axes = np.linalg.eigh(np.cov(unit, rowvar=False).reshape(sample.shape[1], -1))
     return axes[:, ::-1]
 
 
 def _leading(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Leading coordinates of unit vectors (plain ones where no axes fit)."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = unit_vectors(x)
     y = unit @ axes[:, :BOX_DIMS] if axes.shape[0] == x.shape[1] else unit[:, :BOX_DIMS]
     return y if y.shape[1] == BOX_DIMS else np.hstack([y, np.zeros((len(y), BOX_DIMS - y.shape[1]))])
 
@@ -160,6 +167,7 @@ def compare_blocks(xa: np.ndarray, xb: np.ndarray, same: bool, ya: np.ndarray, y
     the rows of b after those of a."""
     na, nb = len(xa), len(xb)
     deg_a, deg_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
+    xa, xb = (x / np.abs(x).max(axis=1, keepdims=True) for x in (xa, xb))
     norm_a, norm_b = np.linalg.norm(xa, axis=1), np.linalg.norm(xb, axis=1)
     parent = list(range(na + (0 if same else nb)))
     shift = 0 if same else na

@@ -5,14 +5,20 @@ hashed byte trigrams (square roots of counts, unit length). Linear support
 vector machines, one per family against the rest, choose the language family;
 within the family, one machine per pair of languages votes with its margin.
 
-The machines are fitted on a bounded sample: at most ``PER_LANGUAGE`` labelled
-rows of each language (by a hash of the id), collected as trigram counts.
-Prediction is one pass over whole texts.
+A family of more than ``MOST_IN_FAMILY`` languages (of unknown codes, say) is
+cut into several by the order of the codes, so machines grow with the number of
+languages, not with its square.
+
+The machines are fitted on a bounded sample of different labelled rows: of each
+language the first ``PER_LANGUAGE`` by a hash of id and text, or an equal share
+of ``FIT_ROWS`` where there are many languages, but every language is learned.
+They are collected as trigram counts. Prediction is one pass over whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; if
 nothing can be learned, every text is ``und``; rows with a null id or language
-are predicted but never learned from; repeated rows are predicted alike; an
-empty table gives an empty result; other columns pass through untouched.
+are predicted but never learned from; repeated rows are predicted alike and
+learned once; an empty table gives an empty result; other columns pass through
+untouched, but columns of the names of the prediction are replaced.
 """
 
 from __future__ import annotations
@@ -23,15 +29,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actlens.llm.common import released
+from actlens.llm.common import materialize, released, small_or_none
 
 DIMS = 1 << 13
 PER_LANGUAGE = 400
-MAX_LANGUAGES = 256
+FIT_ROWS = 12_000
+MOST_IN_FAMILY = 16
+MAX_BROADCAST_ROWS = 500_000
 UNDETERMINED = "und"
 
 #: fixed values: language families by ISO 639-1 code
@@ -53,6 +61,19 @@ def family_of(lang: str) -> str:
     return _FAMILY.get(lang.lower().split("-")[0], "other")
 
 
+def families_of(langs: list[str]) -> dict[str, str]:
+    """Family by language; large families are cut into equal parts."""
+    members: dict[str, list[str]] = {}
+    for lang in sorted(langs):
+        members.setdefault(family_of(lang), []).append(lang)
+    out = {}
+    for family, names in members.items():
+        parts = -(-len(names) // MOST_IN_FAMILY)
+        for i, lang in enumerate(names):
+            out[lang] = family if parts == 1 else f"{family}-{i * parts // len(names):04d}"
+    return out
+
+
 def trigram_counts(text: str | None) -> np.ndarray | None:
     """Counts of the hashed byte trigrams, or None without a letter."""
     if not text:
@@ -124,7 +145,8 @@ def fit(x: np.ndarray, langs: list[str]) -> LanguageModel | None:
     if not langs:
         return None
     lang = np.array(langs)
-    family = np.array([family_of(v) for v in langs])
+    named = families_of(sorted(set(langs)))
+    family = np.array([named[v] for v in langs])
     families = sorted(set(family))
     every = np.arange(len(langs))
     machines, pairs, languages = [], {}, {}
@@ -153,21 +175,24 @@ def _sampled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             names=["lang", "at", "n"])
 
 
-def fit_languages(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, learn_from: Column, per_language: int = PER_LANGUAGE,
+                  fit_rows: int = FIT_ROWS) -> LanguageModel | None:
     """Fits on a bounded sample of the rows that ``learn_from`` selects."""
-    usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()
-                         & F.col("doc_id").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in
-             usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    key = F.xxhash64("doc_id", "text")
+    usable = (docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()
+                          & F.col("doc_id").isNotNull())
+              .select(F.col("lang").cast("string").alias("lang"), "text", key.alias("key")))
+    keys = usable.groupBy("lang", "key").agg(F.count("*").alias("n"))
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    chosen = materialize(ranked.filter(F.col("rank") <= per_language).drop("n"), "language-sample")
+    n_langs = chosen.select("lang").distinct().count()
+    if not n_langs:
         return None
-    dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
-    chosen = None
-    for lang, n in sizes.items():
-        hit = (F.col("lang") == lang) & (dice < int((1 << 30) * min(1.0, per_language / n)))
-        chosen = hit if chosen is None else chosen | hit
+    chosen = chosen.filter(F.col("rank") <= max(1, min(per_language, fit_rows // n_langs)))
+    picked = usable.join(small_or_none(chosen.select("lang", "key"), MAX_BROADCAST_ROWS), ["lang", "key"]) \
+        .dropDuplicates(["lang", "key"]).select("lang", "text")
     # sorted, so that the machines do not depend on how Spark dealt the rows
-    rows = sorted(tuple(r) for r in usable.filter(chosen).select("lang", "text")
+    rows = sorted(tuple(r) for r in picked
                   .mapInArrow(released(_sampled_counts), "lang string, at binary, n binary").collect())
     x = np.zeros((len(rows), DIMS), np.float32)
     for i, (_, at, n) in enumerate(rows):
@@ -182,6 +207,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, lang_column:
 
     With ``keep=(rejected language, least score)`` the rejected rows go and no
     column is added."""
+    docs = docs if keep else docs.drop(lang_column, score_column)
     at = docs.columns.index("text")
     added = [] if keep else [T.StructField(lang_column, T.StringType()), T.StructField(score_column, T.DoubleType())]
 

@@ -97,10 +97,19 @@ def text_stats(texts: pa.Array, chunk_bytes: int = 1 << 20) -> np.ndarray:
     return out
 
 
+def free_prefix(columns: list[str]) -> str:
+    """``PREFIX``, with more underscores in front where a column begins with it."""
+    prefix = PREFIX
+    while any(c.startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
-    """``docs`` and one ``_stat_*`` column per statistic of its text."""
+    """``docs`` and one column per statistic of its text, named by ``free_prefix``."""
     at = docs.columns.index("text")
-    names = [PREFIX + s for s in STATS]
+    prefix = free_prefix(docs.columns)
+    names = [prefix + s for s in STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +130,13 @@ class RuleModel:
     weights: list[float]
     bias: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = PREFIX) -> Column:
         """The probability of label 1 as a column over the statistics."""
         total = F.lit(float(self.bias))
         for rule, weight in zip(self.rules, self.weights):
             held = F.lit(True)
             for k, above, t in rule:
-                c = F.col(PREFIX + STATS[k])
+                c = F.col(prefix + STATS[k])
                 held = held & (c > t if above else c <= t)
             total = total + F.when(held, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
@@ -218,17 +227,22 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fits on at most ``rows`` labelled rows (the first by a hash of the id);
-    that many ids are broadcast to pick the texts."""
+    """Fits on at most ``rows`` labelled rows: of at most that many ids (the first
+    by a hash of the id, broadcast to pick the texts) the first different texts
+    by a hash of id and text."""
     sample = (labels.filter(learn_from & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("quality").alias("_label"))
               .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = sorted(tuple(r) for r in with_stats(chosen).drop("text").collect())
+    chosen = with_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    chosen = (chosen.withColumn("_key", F.xxhash64("doc_id", "text")).drop("text").dropDuplicates(["doc_id", "_key"])
+              .orderBy("_key", "doc_id").limit(rows).drop("_key"))
+    got = sorted(tuple(r) for r in chosen.collect())
     values = np.array([r[1:] for r in got], float).reshape(len(got), len(STATS) + 1)
     return fit_rules(values[:, 1:], (values[:, 0] == 1).astype(float))
 
 
 def score_quality(docs: DataFrame, model: RuleModel, score_column: str = "quality_score") -> DataFrame:
-    scored = with_stats(docs).withColumn(score_column, model.column())
-    return scored.drop(*(PREFIX + s for s in STATS))
+    """``docs`` and its score; a column of the score's name is replaced."""
+    prefix = free_prefix(docs.columns)
+    scored = with_stats(docs).withColumn(score_column, model.column(prefix))
+    return scored.drop(*(prefix + s for s in STATS))

@@ -32,7 +32,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Keeps documents that the rule ensemble predicts as good (score 0.3 or more)."""
     prepare(spark)
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) != 0)
-    return quality.with_stats(docs).filter(model.column() >= quality.THRESHOLD).select(*docs.columns)
+    good = model.column(quality.free_prefix(docs.columns)) >= quality.THRESHOLD
+    return quality.with_stats(docs).filter(good).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,13 @@ article (else ``main``, else the body), without the elements that hold menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments by their tag, role, class or id. A class or id counts only as a whole
 token (``sidebar``, not ``has-sidebar``), never on an article or a heading, and
-not on an element around the only article or ``main`` of the page.
+not on an element around the only article or ``main`` of the page; an element
+that is also named as content (``content share``) stays. A form around the
+article, around ``main`` or with most of the page's text is a wrapper, as pages
+built of one form have it, and stays.
+
+Inside the article a subtree is template only if ``ARTICLE_SHARE`` of the host's
+different pages have it: a list or figure that some articles share stays.
 
 Each host has at most ten times as many template subtrees as an average page of
 it has subtrees (1 / ``SHARE``), so its row of the template table is bounded.
@@ -41,7 +47,8 @@ from actlens.llm.urls import url_host
 MIN_PAGES = 5
 LEAST_PAGES = 3
 SHARE = 0.1
-MAX_BROADCAST_HOSTS = 100_000
+ARTICLE_SHARE = 0.5
+MAX_BROADCAST_BYTES = 32 << 20
 MASK = (1 << 64) - 1
 
 _TOKEN = re.compile(
@@ -75,6 +82,9 @@ skip-link""".split())
 #: those whose elements often hold short articles of their own
 DROP_ASIDES = set("""sidebar related recommended recommendations comment comments disqus respond replies widget widgets
 related-posts related-articles comment-list comments-area""".split())
+#: those that mark an element as content whatever else it is named
+CONTENT_NAMES = set("""content article post entry story main article-body article-content entry-content post-body
+post-content main-content page-content""".split())
 _NEVER_BY_NAME = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 #: what drops an element, from the weakest: a name, the name of an aside, its tag, role or ``hidden``
 BY_NAME, BY_ASIDE, BY_TAG = 1, 2, 3
@@ -83,7 +93,7 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th tr tbody thead tf
 
 
 class Node:
-    __slots__ = ("tag", "names", "dropped", "children", "digest", "in_article", "mass", "around")
+    __slots__ = ("tag", "names", "dropped", "children", "digest", "in_article", "mass", "around", "letters")
 
     def __init__(self, tag: str, names: str, dropped: int, in_article: bool) -> None:
         self.tag, self.names, self.dropped, self.in_article = tag, names, dropped, in_article
@@ -91,6 +101,7 @@ class Node:
         self.digest = 0
         self.mass = 0            # sum of the hashes of its kept text
         self.around = False      # holds an article or main
+        self.letters = 0         # characters of its text without white space, all but that of BY_TAG elements
 
 
 def _attributes(tag: str, text: str) -> tuple[str, int]:
@@ -108,7 +119,7 @@ def _attributes(tag: str, text: str) -> tuple[str, int]:
     if tag in _NEVER_BY_NAME or names.isspace():
         return names, 0
     tokens = set(names.lower().split())
-    return names, BY_ASIDE if tokens & DROP_ASIDES else BY_NAME if tokens & DROP_NAMES else 0
+    return names, BY_ASIDE if tokens & DROP_ASIDES else BY_NAME if tokens & DROP_NAMES and not tokens & CONTENT_NAMES else 0
 
 
 def _signed(h: int) -> int:
@@ -121,11 +132,16 @@ def _close(node: Node) -> None:
         if isinstance(c, str):
             text = " ".join(c.split()).encode("utf-8", "replace")
             h.update(text)
+            node.letters += len(text)
             if text:
                 node.mass += int.from_bytes(blake2b(text, digest_size=8).digest(), "little")
         else:
             h.update(c.digest.to_bytes(8, "little", signed=True))
+            if c.tag == "form" and c.around and c.dropped:
+                c.dropped = 0
             inside = c.dropped < BY_TAG and (c.around or c.tag in ("article", "main"))
+            if c.dropped < BY_TAG or c.tag == "form":
+                node.letters += c.letters
             node.around |= inside
             if not c.dropped or inside:
                 node.mass += c.mass
@@ -188,9 +204,21 @@ def parse(page: str) -> Node:
     if at < n:
         stack[-1].children.append(page[at:])
     pop_to(0)
+    if not root.around:
+        _open_forms(root)
     return root
 
 
+def _open_forms(root: Node) -> None:
+    """Forms that hold most of a page without an article are no forms."""
+    node: Node | None = root
+    while node:
+        node = next((c for c in node.children if not isinstance(c, str) and 2 * c.letters > root.letters
+                     and (c.dropped < BY_TAG or c.tag == "form")), None)
+        if node and node.tag == "form":
+            node.dropped = 0
+
+
 def _is_unit(node: Node) -> bool:
     """Subtrees that can be template: blocks, but no prose of the article."""
     if node.tag not in BLOCK or node.tag in ("article", "main"):
@@ -198,6 +226,11 @@ def _is_unit(node: Node) -> bool:
     return not (node.in_article and node.tag in PROSE)
 
 
+def _unit_key(node: Node) -> int:
+    """The digest by which a subtree is counted; its last bit says: inside an article."""
+    return node.digest & ~1 | node.in_article
+
+
 def subtree_hashes(page: str | None) -> set[tuple[int | None, int]]:
     """(digest, remainder) of the subtrees that can be template; the page itself
     has no digest, and all of its kept text as remainder."""
@@ -213,7 +246,7 @@ def subtree_hashes(page: str | None) -> set[tuple[int | None, int]]:
             # an element that is dropped anyway takes nothing from the page
             part = counted and (not c.dropped or c.around)
             if _is_unit(c):
-                out.add((c.digest, _signed((tree.mass - c.mass) & MASK if part else tree.mass)))
+                out.add((_unit_key(c), _signed((tree.mass - c.mass) & MASK if part else tree.mass)))
             stack.append((c, part))
     return out
 
@@ -230,7 +263,7 @@ def _roots(tree: Node, template: set[int]) -> list[Node]:
                 found.append(node)
                 continue
             stack.extend(c for c in reversed(node.children) if not isinstance(c, str)
-                         and c.dropped <= level and not (_is_unit(c) and c.digest in template))
+                         and c.dropped <= level and not (_is_unit(c) and _unit_key(c) in template))
         if found:
             return found
     return [tree]
@@ -261,7 +294,7 @@ def main_text(page: str | None, template: set[int]) -> str:
             c = node.children[i]
             if isinstance(c, str):
                 current.append(html_lib.unescape(c))
-            elif c.dropped or (_is_unit(c) and c.digest in template):
+            elif c.dropped or (_is_unit(c) and _unit_key(c) in template):
                 continue
             elif c.tag == "br":
                 current.append(" ")
@@ -282,7 +315,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
              pa.array([k[2] for k in seen], pa.int64())], names=["host", "digest", "remainder"])
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_PAGES,
+                   article_share: float = ARTICLE_SHARE) -> DataFrame:
     """host, template: the hashes of the subtrees that recur on the host's
     different pages."""
     counts = (pages.select(url_host(F.col("url")).alias("host"), "html")
@@ -291,7 +325,8 @@ def site_templates(pages: DataFrame, share: float = SHARE, min_pages: int = MIN_
               .filter((F.col("n") >= min(min_pages, LEAST_PAGES)) | F.col("digest").isNull()))
     counts = materialize(counts, "page-subtrees")
     sizes = counts.filter("digest is null").select("host", F.col("n").alias("pages"))
-    need = F.greatest(F.least(F.lit(min_pages), F.col("pages")), F.col("pages") * share)
+    part = F.when(F.col("digest").bitwiseAND(F.lit(1)) == 1, article_share).otherwise(share)
+    need = F.greatest(F.least(F.lit(min_pages), F.col("pages")), F.col("pages") * part)
     return (counts.filter("digest is not null").join(sizes, "host").filter(F.col("n") >= need)
             .groupBy("host").agg(F.collect_set("digest").alias("template")))
 
@@ -307,7 +342,7 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     templates = materialize(site_templates(pages), "page-templates")
-    if templates.count() <= MAX_BROADCAST_HOSTS:
+    if (templates.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 64)).first()[0] or 0) <= MAX_BROADCAST_BYTES:
         templates = F.broadcast(templates)
     keyed = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     return (keyed.join(templates, "host", "left").select("page_id", "url", "html", "template")

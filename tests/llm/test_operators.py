@@ -441,3 +441,92 @@ def test_visits_go_on_until_leaves_hold_k(spark):
     for own_rows, want in ((1, 1), (2, 2), (6, 2), (7, 3)):
         asked = queries.withColumn("own", F.lit(own_rows).cast("long"))
         assert vector_search._visits(asked, tree, 1, {leaf: 5 for leaf in range(n)}, 4).count() == want
+
+
+# -- mended cases
+
+def test_vector_search_of_odd_queries(spark):
+    schema = "vec_id long, embedding array<double>"
+    x = np.random.default_rng(3).normal(size=(90, 4))
+    plain = [(i + 1, x[i].tolist()) for i in range(90)]
+    asked = F.col("vec_id") % 20 == 0
+
+    def found(rows, k=5):
+        got = vector_search.search_vectors(spark.createDataFrame(rows, schema), asked, k=k).collect()
+        return sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got)
+    assert found([r for r in plain if r[0] % 20]) == []
+    other = [(100, []), (120, None), (140, [0.0] * 4), (160, [1.0, 2.0]), (161, [2.0, 1.0]), (180, [float("inf")] * 4),
+             (20, [9.0, 9.0]), (200, [1.0, 2.0, 3.0])]
+    got = found(plain + other + [(40, x[0].tolist()), (40, x[0].tolist())])
+    assert got == found(plain[::-1] + [(40, x[0].tolist())] + other + [(40, x[0].tolist())])
+    n = {q: sum(r[0] == q for r in got) for q in {r[0] for r in got}}
+    assert n == {20: 2, 40: 5, 60: 5, 80: 5, 160: 2}
+    assert [r[2] for r in got if r[0] == 160] == [20, 161] and all(r[0] != r[2] for r in got)
+    assert found([(20, None), (40, []), (41, [0.0])]) == []
+
+
+def test_vector_search_recall_on_clusters(spark):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(300, 16))
+    x = centres[np.minimum(rng.geometric(0.02, 20_000) - 1, 299)] + rng.normal(size=(20_000, 16)) * 0.35
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vector_search.search_vectors(rows, F.col("vec_id") % 20 == 0).groupBy("query_id").agg(
+        F.collect_list("vec_id").alias("ids")).collect()
+    recall = []
+    for r in got:
+        s = x @ x[r["query_id"]]
+        s[r["query_id"]] = -np.inf
+        recall.append(len(set(np.argpartition(-s, 20)[:20]) & set(r["ids"])) / 20)
+    assert len(recall) == 1000 and np.mean(recall) >= 0.95 and np.mean(np.array(recall) >= 0.9) >= 0.9
+
+
+@pytest.mark.parametrize("scale", [1e200, 1e-200])
+def test_near_duplicates_of_extreme_lengths(spark, scale):
+    rows = [(i, [scale * (1 + 1e-9 * i), 2 * scale, -scale]) for i in range(4)] + [(9, [scale, -scale, scale])]
+    got = neardup_vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, 3, 0) for i in range(4)] + [(9, 0, 9)]
+
+
+def test_every_language_is_learned(spark):
+    names = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows = [(i, f"{n} {n}{n} zz{n}", n) for i, n in enumerate(names * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_languages(docs, F.lit(True))
+    assert sorted(v for lang in model.languages.values() for v in lang) == sorted(names)
+    assert max(map(len, model.languages.values())) <= language.MOST_IN_FAMILY
+    got = language.predict_languages(docs, model).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
+
+
+def test_an_id_on_a_third_of_the_rows_is_learned_from(spark):
+    rows = [(7, f"the cat and the dog {i}", "en") for i in range(500)] + [(7, "the cat", "en")] * 500
+    rows += [(8 + i, f"die katze und der hund {i}", "de") for i in range(500)]
+    docs = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language.fit_languages(docs, F.lit(True), per_language=50)
+    got = language.predict_languages(docs, model, score_column="score")
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    assert got.filter("lang_pred <> lang").count() == 0
+    labels = spark.createDataFrame([(7, 1)] + [(8 + i, 0) for i in range(500)], "doc_id long, quality int")
+    clash = docs.withColumn("_stat_bytes", F.lit("x"))
+    rules = quality.fit_quality(clash, labels, F.lit(True), rows=100)
+    scored = quality.score_quality(clash, rules)
+    assert scored.columns == [*clash.columns, "quality_score"] and scored.count() == len(rows)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<form id=aspnetForm><div class=nav>m</div><article><p>a</p></article></form>", "a"),
+    ("<form><div><h1>t</h1><p>Long text of the page</p><input></div></form><div>end</div>", "t\nLong text of the page\nend"),
+    ("<div class='content share'><p>a</p></div>", "a"),
+    ("<article><p>a</p><form><p>your name</p></form></article>", "a"),
+    ("<p>Text of the page that is longer</p><form><p>your name</p></form>", "Text of the page that is longer")])
+def test_wrapping_forms_stay(page, want):
+    assert pages.main_text(f"<body>{page}</body>", set()) == want
+
+
+def test_lists_that_some_articles_share_stay(spark):
+    shared = "<ul><li>same</li><li>list</li></ul><figure><img><figcaption>same</figcaption></figure>"
+    rows = [(i, "http://h/x", f"<body><article><p>Text {i}</p>{shared if i < 10 else ''}<div>Share this</div></article></body>")
+            for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in
+           pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == (f"Text {i}\nsame\nlist\nsame" if i < 10 else f"Text {i}") for i in range(60))

@@ -108,10 +108,17 @@ def params_to_arrays(params: DataFrame) -> dict[str, np.ndarray]:
 
 
 def save_fit(spark: SparkSession, base: str, log_id: str, result, dead_latents=()) -> str:
-    """SNK9 for a fit: parameters and optimiser moments of a ``FitResult``."""
+    """SNK9 for a fit: parameters, optimiser moments, activity counters and lookup
+    table of a ``FitResult``."""
     arrays = {**result.params, **{f"moment1/{n}": a for n, a in result.state["m"].items()},
-              **{f"moment2/{n}": a for n, a in result.state["v"].items()}}
-    return save_checkpoint(spark, base, log_id, result.n_iter, params_frame(spark, arrays),
+              **{f"moment2/{n}": a for n, a in result.state["v"].items()}, "count/idle": result.state["idle"]}
+    params = params_frame(spark, arrays)
+    if result.lookup is not None:       # one row per token and kind of value, straight from its table
+        for name, column in (("lookup/vec", "vec"), ("lookup/m", "m"), ("lookup/v", "v")):
+            params = params.unionByName(result.lookup.select(
+                F.lit(name).alias("param"), F.lit(None).cast("int").alias("expert"),
+                F.col("token_id").cast("int").alias("row"), F.col(column).alias("vec")))
+    return save_checkpoint(spark, base, log_id, result.n_iter, params,
                            {"token_count": int(result.token_count), "dead_latents": [int(f) for f in dead_latents]})
 
 
@@ -119,9 +126,15 @@ def load_fit(spark: SparkSession, path: str) -> dict:
     """SRC14 for a fit: the ``init``, ``start_token`` and ``state`` arguments of
     ``DictionaryEstimator.fit`` that continue it."""
     params, state = load_checkpoint(spark, path)
-    arrays = params_to_arrays(params)
+    tokens = params.where(F.col("param").startswith("lookup/"))
+    arrays = params_to_arrays(params.where(~F.col("param").startswith("lookup/")))
 
     def named(prefix: str) -> dict[str, np.ndarray]:
         return {n[len(prefix):]: a for n, a in arrays.items() if n.startswith(prefix)}
-    return {"init": {n: a for n, a in arrays.items() if "/" not in n}, "start_token": state["token_count"],
-            "state": {"m": named("moment1/"), "v": named("moment2/"), "t": state["n_iter"]}}
+    out = {"init": {n: a for n, a in arrays.items() if "/" not in n}, "start_token": state["token_count"],
+           "state": {"m": named("moment1/"), "v": named("moment2/"), "t": state["n_iter"], **named("count/")}}
+    if not tokens.isEmpty():
+        out["lookup"] = (tokens.groupBy(F.col("row").cast("bigint").alias("token_id"))
+                         .pivot("param", ["lookup/vec", "lookup/m", "lookup/v"]).agg(F.first("vec"))
+                         .toDF("token_id", "vec", "m", "v"))
+    return out

@@ -82,7 +82,7 @@ def test_distributed_sums_equal_one_call(spark, arch, monkeypatch):
     est = FT.DictionaryEstimator(arch, 8, k=3, init_threshold=0.3, bandwidth=0.2)
     p = est.init_params(5)
     df = spark.createDataFrame([(v.tolist(),) for v in x], "vec ARRAY<DOUBLE>").repartition(11)
-    g, st = est._step_sums(df.where("vec[0] > -9"), p, "vec", 60)
+    g, st, _ = est._step_sums(df.where("vec[0] > -9"), p, "vec", 60)
     want, ws = (FT.grads_fit1(p, x, arch, 3, 0.0, 60) if arch == "topk" else
                 FT.grads_fit2(p, x, arch, 3, 0.0, 60, bandwidth=0.2))
     assert all(np.allclose(g[name], want[name], atol=1e-12) for name in want)
@@ -97,7 +97,7 @@ def test_batch_cut_is_the_kth_largest(spark):
     acts = np.sort(np.maximum(x, 0).ravel())[::-1]
     bc = spark.sparkContext.broadcast(p)
     for keep in (1, 7, 60, 199, 1000):
-        assert FT.batch_cut(df, bc, keep) == (acts[keep - 1] if keep <= acts.size else 0.0)
+        assert FT.batch_cut(df, p, keep) == (acts[keep - 1] if keep <= acts.size else 0.0)
 
 
 def test_decoder_keeps_unit_directions(spark):

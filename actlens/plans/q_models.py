@@ -500,9 +500,9 @@ SELECT g.param, D.feature AS row, D.dim, coalesce(g.s, 0) AS grad FROM D JOIN (
 _FIT_OUT = "SELECT param, CAST(row AS INTEGER) AS row, CAST(dim AS INTEGER) AS dim, round(grad, 6) AS grad FROM "
 
 
-def _fit1_sql(active: str, l1: float) -> str:
+def _fit1_sql(active: str, l1: float, base: str = _FIT_BASE) -> str:
     return f"""
-WITH {_FIT_BASE},
+WITH {base},
 z AS (SELECT a.vec_id, d.feature, list_dot_product(a.x, d.w) AS z FROM A a, ({DICT}) d),
 lat AS ({active}),
 rc AS (SELECT vec_id, dim, sum(a * w) AS r FROM lat JOIN D USING (feature) GROUP BY 1, 2),
@@ -515,10 +515,10 @@ back AS (SELECT dim, sum(dz * w) AS s FROM dz JOIN D USING (feature) GROUP BY di
  UNION ALL SELECT 'pre_b', 0, dim, t.s - back.s FROM (SELECT dim, sum(g) AS s FROM gr GROUP BY dim) t JOIN back USING (dim))"""
 
 
-def _fit2_sql(active: str, l1: float, *, centred: bool = True, more: str = "") -> str:
+def _fit2_sql(active: str, l1: float, *, centred: bool = True, more: str = "", base: str = _FIT_BASE) -> str:
     back = " - back.s" if centred else ""
     return f"""
-WITH {_FIT_BASE},
+WITH {base},
 z AS (SELECT a.vec_id, d.feature, greatest(list_dot_product(a.x, d.w) + {BIAS}, 0) AS z FROM A a, ({DICT}) d),
 lat AS (SELECT * FROM ({active}) WHERE a > 0),
 rc AS (SELECT vec_id, dim, sum(a * w) AS r FROM lat JOIN D USING (feature) GROUP BY 1, 2),

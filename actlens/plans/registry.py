@@ -45,6 +45,7 @@ def load_all() -> None:
         q_relational,
         q_statistics,
         q_models,
+        q_fit,
         q_text,
         q_io,
         q_stream,

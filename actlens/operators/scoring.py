@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from actlens.session import materialize
+
 # Largest parameter block broadcast at once (bytes of float64 values).
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 # latents (rows x features) that one step inside a task holds densely: 32 MB
@@ -284,60 +286,91 @@ def encode(df: DataFrame, d: Dictionary, arch: str, *, k: int | None = None,
     return out
 
 
+CUT_SHIFT = 44       # bits of a double left out of its bin: 20 stay, 256 bins between two powers of two
+
+
 def encode_batch_topk(df: DataFrame, d: Dictionary, k: int, *, batch_col: str = "batch_id",
                       key_cols: Sequence[str] = ("sample_id", "pos"),
                       vec_col: str = "vec") -> DataFrame:
     """MOD5: relu pre-activations, keep the k*n largest of each batch of n rows.
 
-    Each Arrow slice emits, per batch id it holds, its local top-(k*n) positive
-    values (a superset of the slice's share of the batch's top set); one
-    window per batch then keeps the exact k*n.
-    """
+    A first pass counts, per batch, the values by the leading bits of their
+    doubles (positive doubles sort as their bits do). The bin that holds the
+    k*n-th value is the batch's cut. The second pass emits the values above the
+    cut, which stay, and those inside its narrow bin, of which one window per
+    batch keeps the best that are still missing. Equal values go by keys and
+    feature."""
     d.check()
     keys = list(key_cols)
-    sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("_bn"))
-    x = df.select(*keys, batch_col, vec_col).join(sizes, on=batch_col, how="inner")
-    dim = d.d_in
-    schema = T.StructType([x.schema[c] for c in keys] + [x.schema[batch_col]] + [
-        T.StructField("feature", T.IntegerType(), False),
-        T.StructField("value", T.DoubleType(), False)])
-    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType), f.nullable)
-                              for f in schema.fields])
+    spark = df.sparkSession
+    x = df.select(*keys, batch_col, vec_col)
+    parts = [_broadcast(spark, part) for part in d.slices()]
+    cuts = materialize(_batch_cuts(x, parts, k, batch_col, vec_col, d.d_in), "batch-cuts")
+    fields = [x.schema[c] for c in keys] + [x.schema[batch_col]]
+    schema = T.StructType(fields + [
+        T.StructField("feature", T.IntegerType(), False), T.StructField("value", T.DoubleType(), False),
+        T.StructField("_need", T.LongType())])
+    arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType), f.nullable) for f in schema.fields])
 
     def run(bc, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = bc.value
-        for b in _row_blocks(batches, p["enc"].shape[0]):
-            xm = _vec_matrix(b.column(vec_col), dim)
-            pre = np.maximum((xm - p["pre_b"]) @ p["enc"].T
-                             + (0 if p["b_enc"] is None else p["b_enc"]), 0.0)
-            bid = b.column(batch_col).to_numpy(zero_copy_only=False)
-            bn = b.column("_bn").to_numpy(zero_copy_only=False)
-            rows_out, feats_out = [], []
-            for u in np.unique(bid):
-                sel = np.nonzero(bid == u)[0]
-                block = pre[sel]
-                keep = int(min(k * bn[sel[0]], block.size))
-                flat = block.ravel()
-                if keep < flat.size:
-                    thr = np.partition(flat, flat.size - keep)[flat.size - keep]
-                    mask = (block >= thr) & (block > 0)
-                else:
-                    mask = block > 0
-                r, f = np.nonzero(mask)
-                rows_out.append(sel[r]); feats_out.append(f)
-            r = np.concatenate(rows_out); f = np.concatenate(feats_out)
+        for b, pre in _relu_blocks(batches, bc.value, vec_col, d.d_in):
+            cut = b.column("_cut").to_numpy(zero_copy_only=False)[:, None]
+            bins = pre.view(np.int64) >> CUT_SHIFT
+            r, f = np.nonzero((pre > 0) & (bins >= cut))
             take = pa.array(r, pa.int64())
-            cols = [b.column(c).take(take) for c in keys] + [b.column(batch_col).take(take)]
-            cols += [pa.array((f + p.get("offset", 0)).astype(np.int32)), pa.array(pre[r, f].astype(np.float64))]
+            # a row inside the cut's bin carries how many of them the batch still needs
+            need = pa.array(b.column("_need").to_numpy(zero_copy_only=False)[r], mask=bins[r, f] > cut[r, 0])
+            cols = [b.column(c).take(take) for c in [*keys, batch_col]]
+            cols += [pa.array((f + bc.value.get("offset", 0)).astype(np.int32)), pa.array(pre[r, f]), need]
             yield pa.RecordBatch.from_arrays(cols, schema=arrow_schema)
 
-    cand = reduce(DataFrame.unionByName, [
-        x.mapInArrow(partial(run, _broadcast(df.sparkSession, part)), schema) for part in d.slices()])
-    cand = cand.join(sizes, on=batch_col, how="inner")
-    w = Window.partitionBy(batch_col).orderBy(F.col("value").desc(), *[F.col(c) for c in keys],
-                                               F.col("feature"))
-    return cand.withColumn("_r", F.row_number().over(w)) \
-               .where(F.col("_r") <= F.col("_bn") * F.lit(k)).drop("_r", "_bn")
+    ready = x.join(cuts, on=batch_col, how="inner")
+    found = materialize(reduce(DataFrame.unionByName, [ready.mapInArrow(partial(run, bc), schema) for bc in parts]), "batch-top")
+    w = Window.partitionBy(batch_col).orderBy(F.col("value").desc(), *[F.col(c) for c in keys], F.col("feature"))
+    edge = found.where(F.col("_need").isNotNull()).withColumn("_r", F.row_number().over(w)) \
+                .where(F.col("_r") <= F.col("_need")).drop("_r")
+    return found.where(F.col("_need").isNull()).unionByName(edge).drop("_need")
+
+
+def _relu_blocks(batches: Iterator[pa.RecordBatch], p: dict, vec_col: str, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, their positive parts of the pre-activations) in bounded row blocks."""
+    for b in _row_blocks(batches, p["enc"].shape[0]):
+        bias = 0 if p["b_enc"] is None else p["b_enc"]
+        yield b, np.maximum((_vec_matrix(b.column(vec_col), dim) - p["pre_b"]) @ p["enc"].T + bias, 0.0)
+
+
+def _batch_cuts(x: DataFrame, parts: list, k: int, batch_col: str, vec_col: str, dim: int) -> DataFrame:
+    """(batch, _cut, _need): the bin of the k*n-th value of each batch (-1: fewer
+    values are positive) and how many values of this bin are kept."""
+    arrow_type = _arrow_type(x.schema[batch_col].dataType)
+    schema = T.StructType([x.schema[batch_col], T.StructField("_bin", T.LongType()), T.StructField("_n", T.LongType())])
+
+    def run(bc, first: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pre in _relu_blocks(batches, bc.value, vec_col, dim):
+            names = b.column(batch_col)
+            codes = names.dictionary_encode()
+            code = codes.indices.to_numpy(zero_copy_only=False)
+            r, f = np.nonzero(pre)
+            bins = pre[r, f].view(np.int64) >> CUT_SHIFT
+            key, n = np.unique(code[r].astype(np.int64) << (64 - CUT_SHIFT) | bins, return_counts=True)
+            who, at = key >> (64 - CUT_SHIFT), key & ((1 << (64 - CUT_SHIFT)) - 1)
+            if first:           # the batch's rows are counted once, whatever the model's slices
+                rows = np.bincount(code, minlength=len(codes.dictionary))
+                who, at, n = (np.concatenate(v) for v in ((who, np.arange(len(rows))), (at, np.full(len(rows), -1)), (n, rows)))
+            yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(who)).cast(arrow_type), pa.array(at.astype(np.int64)),
+                                              pa.array(n.astype(np.int64))], names=[batch_col, "_bin", "_n"])
+
+    src = x.select(batch_col, vec_col).where(F.col(batch_col).isNotNull())
+    counts = reduce(DataFrame.unionByName, [src.mapInArrow(partial(run, bc, i == 0), schema) for i, bc in enumerate(parts)])
+    counts = counts.groupBy(batch_col, "_bin").agg(F.sum("_n").alias("_n"))
+    down = Window.partitionBy(batch_col).orderBy(F.col("_bin").desc())      # a few thousand bins a batch
+    before = F.coalesce(F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keep = F.max(F.when(F.col("_bin") == -1, F.col("_n"))).over(Window.partitionBy(batch_col)) * F.lit(k)
+    at = counts.withColumns({"_before": before, "_keep": keep}) \
+               .where((F.col("_before") < F.col("_keep")) & ((F.col("_before") + F.col("_n") >= F.col("_keep")) | (F.col("_bin") == -1)))
+    # bin -1 holds no values; it is the cut of a batch with fewer positive ones
+    return at.groupBy(batch_col).agg(F.max(F.struct("_bin", (F.col("_keep") - F.col("_before")).alias("_need"))).alias("c")) \
+             .select(batch_col, F.col("c._bin").alias("_cut"), F.col("c._need").alias("_need"))
 
 
 def decode(latents: DataFrame, d: Dictionary, *, key_cols: Sequence[str] = ("sample_id", "pos"),

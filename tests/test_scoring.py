@@ -155,3 +155,34 @@ def test_slices_of_every_kind_equal_the_whole(spark, monkeypatch):
     assert len(plain.slices()) > 2 and len(routed.slices(by_expert=True)) > 2
     assert all(p.nbytes() <= 180_000 for p in plain.slices() + routed.slices(by_expert=True))
     assert read(rows()) == whole
+
+
+def test_batch_topk_cut_with_ties_and_few_positive_values(spark):
+    """Copies on a third of the rows, a batch without positive values, more asked than there is."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((60, 6))
+    x[::3] = x[0]
+    x[40:50] = 0.0
+    d = _dict(rng, 9, 6)
+    d.pre_b[:] = 0
+    df = _frame(spark, x).withColumn("batch_id", (F.col("sample_id") / 20).cast("long"))
+    pre = np.maximum(x @ d.enc.T, 0)
+    at = {(r["sample_id"], r["pos"]): i for i, r in enumerate(_frame(spark, x).collect())}
+    for k in (1, 3, 50):
+        got = S.encode_batch_topk(df.repartition(4), d, k).collect()
+        for b in sorted({r["batch_id"] for r in df.collect()}):
+            mine = [key for key, i in at.items() if key[0] // 20 == b]
+            every = sorted((-pre[at[s], f], *s, f) for s in mine for f in range(9) if pre[at[s], f] > 0)
+            want = [(s, p, f) for _, s, p, f in every[:k * len(mine)]]
+            assert sorted((r["sample_id"], r["pos"], r["feature"]) for r in got if r["batch_id"] == b) == sorted(want)
+
+
+def test_batch_topk_emits_little_more_than_it_keeps(spark):
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((2000, 16))
+    d = _dict(rng, 64, 16)
+    df = _frame(spark, x).withColumn("batch_id", F.lit(5)).repartition(16)
+    cut = S._batch_cuts(df, [S._broadcast(spark, d)], 4, "batch_id", "vec", 16).first()
+    pre = np.maximum((x - d.pre_b) @ d.enc.T, 0)
+    emitted = ((pre > 0) & (pre.view(np.int64) >> S.CUT_SHIFT >= cut["_cut"])).sum()
+    assert 8000 <= emitted <= 8000 * 1.02 and S.encode_batch_topk(df, d, 4).count() == 8000

@@ -2,9 +2,8 @@
 
 Token arrays are placed in their stream with two-level prefix sums over
 lengths and cut where they lie; the pieces of a chunk meet by grouping on
-(batch, chunk) - groups of exactly ``chunk_len`` tokens. Retrieval folds words
-outside the queries into one row per document before the shuffle, so the
-corpus side carries only rows that can score.
+(batch, chunk) - groups of exactly ``chunk_len`` tokens. Lexical retrieval
+(TXT3) is in ``bm25``.
 """
 
 from __future__ import annotations
@@ -18,10 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actlens.operators import ordering as O
+from actlens.operators.bm25 import bm25_search, word_terms  # noqa: F401  (TXT3)
 from actlens.session import materialize
 
-WORD_SPLIT = r"[^\p{L}\p{N}]+"
-
 # bytes of query vectors held by one task of a dense search
 QUERY_BLOCK_BYTES = 64 << 20
 
@@ -31,11 +29,6 @@ def whitespace_tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def word_terms(text: Column) -> Column:
-    """Lower-cased letter/digit runs (the lexical analyser of BM25)."""
-    return F.array_remove(F.split(F.lower(text), WORD_SPLIT), "")
-
-
 # ----------------------------------------------------------------------- TXT1
 
 def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_id: int | None,
@@ -142,35 +135,6 @@ def unigram_vectors(tokens: DataFrame, strategies: dict[str, Callable[[Column],
     return ctx.mapInArrow(encoder, out_schema)
 
 
-# ----------------------------------------------------------------------- TXT3
-
-def bm25_search(docs: DataFrame, queries: DataFrame, *, k: int = 10, k1: float = 0.9, b: float = 0.4,
-                doc_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id",
-                query_text_col: str = "text") -> DataFrame:
-    """Lexical top-k per query: sum over distinct query terms of
-    idf * tf / (tf + k1 (1 - b + b dl / avgdl)), idf = ln(1 + (N - df + 0.5)/(df + 0.5))."""
-    q_terms = materialize(queries.select(query_col, F.explode(word_terms(F.col(query_text_col))).alias("term")).distinct())
-    vocab = q_terms.select("term").distinct().withColumn("_q", F.col("term"))
-    # one pass over the texts: words outside the queries fold into one row per document
-    # (null word) before any shuffle; _outer keeps documents without words
-    words = docs.select(doc_col, F.explode_outer(word_terms(F.col(text_col))).alias("term"))
-    counts = materialize(words.join(vocab, on="term", how="left")
-                              .groupBy(doc_col, F.col("_q").alias("term")).agg(F.count("term").alias("tf")))
-    dl = counts.groupBy(doc_col).agg(F.sum("tf").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = stats["n_docs"], stats["avgdl"]
-    postings = counts.where(F.col("term").isNotNull())
-    dfreq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    sat = F.col("tf") / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.lit(float(avgdl))))
-    scored = postings.join(dfreq, on="term").join(dl, on=doc_col).join(q_terms, on="term") \
-                     .groupBy(query_col, doc_col).agg(F.sum(idf * sat).alias("score"))
-    # equal scores (exact copies of a document) may differ in the last bits with the
-    # summation order: scores equal to 9 decimals are ties, broken by doc id
-    w = Window.partitionBy(query_col).orderBy(F.round("score", 9).desc(), F.col(doc_col))
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-
-
 # ----------------------------------------------------------------------- TXT4
 
 def dense_search(corpus: DataFrame, queries: DataFrame, *, k: int = 10, score: str = "dot",

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from actlens.operators import ordering as O
 from actlens.operators.bm25 import bm25_search, word_terms  # noqa: F401  (TXT3)
+from actlens.operators.encoder import Encoder, Location, encode_locations
 from actlens.session import materialize
 
 # bytes of query vectors held by one task of a dense search
@@ -124,15 +125,15 @@ def chunk_arrays(docs: DataFrame, chunk_len: int, *, eos_id: int | None, batch_d
 
 # ----------------------------------------------------------------------- TXT2
 
-def unigram_vectors(tokens: DataFrame, strategies: dict[str, Callable[[Column], Column]],
-                    encoder: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                    out_schema: T.StructType, token_col: str = "token_id") -> DataFrame:
-    """For each distinct token and strategy, feed the templated context list to a
-    user encoder (Arrow batches in, one vector per list out: the last position)."""
+def unigram_vectors(tokens: DataFrame, strategies: dict[str, Callable[[Column], Column]], encoder: Encoder,
+                    locations: Sequence[Location] = ((0, "resid"),), token_col: str = "token_id") -> DataFrame:
+    """(token, strategy, layer, module, vec): for each distinct token and strategy the
+    templated context list (column ``context``) goes to a user encoder, which gives
+    the vector of its last position at every location."""
     from actlens.functions.columns import strategies_column
     distinct = tokens.select(token_col).distinct()
     ctx = distinct.select(token_col, F.explode(strategies_column(F.col(token_col), strategies)).alias("strategy", "context"))
-    return ctx.mapInArrow(encoder, out_schema)
+    return encode_locations(ctx, encoder, locations, key_cols=[token_col, "strategy"])
 
 
 # ----------------------------------------------------------------------- TXT4

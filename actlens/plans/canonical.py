@@ -82,6 +82,19 @@ def _rows_to_matrix(rows, key: str, vec: str) -> np.ndarray:
     return np.array([np.asarray(r[vec], dtype=np.float64) for r in rows])
 
 
+def model_weights(vectors) -> np.ndarray:
+    """Weights that a fixture encoder carries: a parameter, at most 512 MB."""
+    w = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    if w.nbytes > scoring.MAX_BROADCAST_BYTES:
+        raise ValueError(f"the encoder's weights take more than {scoring.MAX_BROADCAST_BYTES} bytes")
+    return w
+
+
+def at_layer(x: np.ndarray, layer: int) -> np.ndarray:
+    """Fixture layers: each stretches positive components by a quarter."""
+    return np.where(x > 0, x * 1.25 ** layer, x)
+
+
 def mean_vector(spark: SparkSession, sf_dir: str) -> np.ndarray:
     """Per-dimension mean of all embeddings (d_in values: a parameter)."""
     e = read_table(spark, sf_dir, "embeddings")

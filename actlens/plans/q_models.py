@@ -192,10 +192,22 @@ def fn6_fn7(spark, sf):
 SELECT vec_id, feature, round(value, 6) AS value, {C.PATH_SQL} AS path FROM ({C.latents_sql()})
 """)
 def mod12(spark, sf):
+    """Encode, score, write in parts, read every part back."""
+    import uuid
+
+    from actlens.operators.encoder import at_location, encode_locations
+    from actlens.session import checkpoint_dir
     from actlens.sources.sinks import extract_features
-    d = C.dictionary(spark, sf)
-    act = C.activations(spark, sf).withColumn("path", C.image_path(F.col("vec_id")))
-    lat = extract_features(act, d, "topk", k=C.TOPK, key_cols=["vec_id", "path"])
+
+    def encode(batch, locations):
+        x = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float64)
+        return {(layer, module): C.at_layer(x, layer) for layer, module in locations}
+
+    rows = C.activations(spark, sf).withColumns({"path": C.image_path(F.col("vec_id")), "part": F.expr("batch_id div 2")})
+    vectors = at_location(encode_locations(rows, encode, [(0, "resid")], key_cols=["vec_id", "path", "part"]), (0, "resid"))
+    out = f"{checkpoint_dir(spark).rstrip('/')}/actlens-stage/latents-{uuid.uuid4().hex[:12]}"
+    lat = extract_features(vectors, C.dictionary(spark, sf), "topk", k=C.TOPK, key_cols=["vec_id", "path", "part"],
+                           out_path=out, part_col="part")
     return lat.select("vec_id", "feature", r6("value").alias("value"), "path")
 
 

@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 
 def lookup_join(seq: DataFrame, table: DataFrame, key: str = "token_id", *, check_missing: bool = True) -> DataFrame:
-    """JOI1: replace each id by its vector; a missing id is an error."""
-    if check_missing:
-        missing = seq.select(key).join(table.select(key), on=key, how="left_anti").limit(1).collect()
-        if missing:
-            raise KeyError(f"id {missing[0][0]} has no entry in the lookup table")
-    return seq.join(table, on=key, how="inner")
+    """JOI1: replace each id by its vector; a missing id is an error, raised by the
+    same join that looks the ids up."""
+    if not check_missing:
+        return seq.join(table, on=key, how="inner")
+    found = seq.join(table.withColumn("__found", F.lit(True)), on=key, how="left")
+    lost = F.raise_error(F.concat(F.lit("id "), F.coalesce(F.col(key).cast("string"), F.lit("null")),
+                                  F.lit(" has no entry in the lookup table"))).cast("boolean")
+    return found.where(F.coalesce(F.col("__found"), lost)).drop("__found")
 
 
 def lookup_augment(recon: DataFrame, table: DataFrame, *, key: str = "token_id", recon_col: str = "recon",

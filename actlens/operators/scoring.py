@@ -460,36 +460,6 @@ def expert_share(routes: DataFrame, n_experts: int, *, group_cols: Sequence[str]
                       F.col("mean_p_max"))
 
 
-def sparse_dense_matmul(sp: DataFrame, dense: DataFrame, *, row_col: str = "a",
-                        index_col: str = "index", value_col: str = "value",
-                        dense_row: str = "row", dim_col: str = "dim", x_col: str = "x") -> DataFrame:
-    """JOI7: out[a, dim] = sum_k value * dense[index, dim]; zero values skipped."""
-    j = sp.where(F.col(value_col) != 0).join(
-        dense.withColumnRenamed(dense_row, index_col), on=index_col, how="inner")
-    return j.groupBy(row_col, dim_col).agg(F.sum(F.col(value_col) * F.col(x_col)).alias("out"))
-
-
-def sparse_t_dense_matmul(sp: DataFrame, dense: DataFrame, n_rows: int, *, row_col: str = "a",
-                          index_col: str = "index", value_col: str = "value",
-                          dense_row: str = "row", dim_col: str = "dim", x_col: str = "x") -> DataFrame:
-    """JOI8: (sparse.T @ dense) with n_rows output rows; absent rows are zero."""
-    j = sp.join(dense.withColumnRenamed(dense_row, row_col), on=row_col, how="inner")
-    s = j.groupBy(index_col, dim_col).agg(F.sum(F.col(value_col) * F.col(x_col)).alias("out"))
-    dims = dense.select(dim_col).distinct()
-    grid = dims.withColumn(index_col, F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    return grid.join(s, on=[index_col, dim_col], how="left") \
-               .select(index_col, dim_col, F.coalesce(F.col("out"), F.lit(0.0)).alias("out"))
-
-
-def sampled_matmul(left: DataFrame, right: DataFrame, at: DataFrame, *, i_col: str = "i",
-                   j_col: str = "j", vec_col: str = "vec") -> DataFrame:
-    """JOI9: (dense1 @ dense2.T) only at the given (i, j) pairs."""
-    l_ = left.select(F.col(i_col), F.col(vec_col).alias("_l"))
-    r_ = right.select(F.col(j_col), F.col(vec_col).alias("_r"))
-    j = at.join(l_, on=i_col, how="inner").join(r_, on=j_col, how="inner")
-    return j.select(i_col, j_col, dot(F.col("_l"), F.col("_r")).alias("value"))
-
-
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, z: acc + z)

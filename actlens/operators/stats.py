@@ -1,4 +1,4 @@
-"""Aggregations and statistics (AGG1-AGG25, TOP1)."""
+"""Aggregations and statistics (AGG1-AGG25, TOP1); those of vectors by group are in ``moments``."""
 
 from __future__ import annotations
 
@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def topk_dims(long: DataFrame, k: int, *, largest: bool = True, key_cols: Sequence[str] = ("vec_id",),
-              dim_col: str = "dim", value_col: str = "x") -> DataFrame:
-    """TOP1: k largest / smallest dimensions of each vector with their positions."""
-    order = F.col(value_col).desc() if largest else F.col(value_col).asc()
-    w = Window.partitionBy(*key_cols).orderBy(order, F.col(dim_col))
-    return long.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+def topk_dims(df: DataFrame, k: int, *, largest: bool = True, key_cols: Sequence[str] = ("vec_id",),
+              vec_col: str = "vec", dim_col: str = "dim", value_col: str = "x") -> DataFrame:
+    """TOP1: k largest / smallest dimensions of each vector with their positions
+    (equal values by position). Sorted inside the row: no shuffle."""
+    sign = -1.0 if largest else 1.0
+    pairs = F.transform(vec_col, lambda x, i: F.struct((F.lit(sign) * x.cast("double")).alias("v"), i.alias("i")))
+    best = F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s, r: F.struct(
+        (r + 1).cast("bigint").alias("rank"), s["i"].alias(dim_col), (F.lit(sign) * s["v"]).alias(value_col)))
+    return df.select(*key_cols, F.inline(best))
 
 
 def batch_stats(long: DataFrame, group_cols: Sequence[str] = ("batch_id",), value_col: str = "x") -> DataFrame:
@@ -80,14 +83,6 @@ def histogram_event(hist: DataFrame, group_cols: Sequence[str] = ()) -> DataFram
     return agg.select(*g, F.struct(counts.alias("counts"), edges.alias("edges")).alias("hist"))
 
 
-def batch_norm(long: DataFrame, *, group_cols: Sequence[str] = ("batch_id",), dim_col: str = "dim",
-               value_col: str = "x", eps: float = 1e-6) -> DataFrame:
-    """AGG5: per batch and dimension (x - mean) / (std_{n-1} + eps)."""
-    w = Window.partitionBy(*group_cols, dim_col)
-    v = F.col(value_col)
-    return long.withColumn("z", (v - F.avg(v).over(w)) / (F.stddev_samp(v).over(w) + F.lit(eps)))
-
-
 def unit_norm(df: DataFrame, vec_col: str = "vec", eps: float = 1e-5) -> DataFrame:
     """AGG6: per row centre and divide by std_{n-1} + eps; carries mu and sd."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -106,27 +101,6 @@ def unit_norm_undo(df: DataFrame, normed_col: str = "normed") -> DataFrame:
     return df.withColumn("restored", F.transform(normed_col, lambda y: y * F.col("sd") + F.col("mu")))
 
 
-def mean_std_over_batches(long: DataFrame, *, batch_col: str = "batch_id", dim_col: str = "dim",
-                          value_col: str = "x") -> DataFrame:
-    """AGG7: average over batches of the per-batch mean and std vectors."""
-    per = long.groupBy(batch_col, dim_col).agg(F.avg(value_col).alias("_m"),
-                                                F.stddev_samp(value_col).alias("_s"))
-    return per.groupBy(dim_col).agg(F.avg("_m").alias("mean"), F.avg("_s").alias("std"))
-
-
-def spread_by_position(long: DataFrame, *, sample_col: str = "sample_id", pos_col: str = "pos",
-                       dim_col: str = "dim", value_col: str = "x", skip_first: bool = False) -> DataFrame:
-    """AGG8: per position (a) std over dims averaged over samples, (b) std over
-    samples averaged over dims, (c) mean over samples and dims."""
-    x = long.where(F.col(pos_col) > 0) if skip_first else long
-    a = x.groupBy(sample_col, pos_col).agg(F.stddev_samp(value_col).alias("_s")) \
-         .groupBy(pos_col).agg(F.avg("_s").alias("std_over_dims"))
-    b = x.groupBy(pos_col, dim_col).agg(F.stddev_samp(value_col).alias("_s")) \
-         .groupBy(pos_col).agg(F.avg("_s").alias("std_over_samples"))
-    c = x.groupBy(pos_col).agg(F.avg(value_col).alias("mean"))
-    return a.join(b, on=pos_col).join(c, on=pos_col)
-
-
 def weighted_average(long: DataFrame, weight_col: str, *, dim_col: str = "dim", value_col: str = "x",
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """AGG10: sum(w x) / sum(w) per dimension."""

@@ -9,6 +9,7 @@ from actlens.functions import columns as FN
 from actlens.operators import joins as J
 from actlens.operators import metrics as M
 from actlens.operators import scoring as S
+from actlens.operators import tiles as TI
 from actlens.operators import windows as W
 from actlens.plans import canonical as C
 from actlens.plans.registry import query
@@ -297,10 +298,7 @@ FROM rc LEFT JOIN tok ON tok.token_id = rc.vec_id % 50 AND tok.dim = rc.dim
 def joi2(spark, sf):
     d = C.dictionary(spark, sf)
     d.dec = d.dec * (1 - 0.5)
-    lat = C.latents(spark, sf)
-    rec = S.decode(lat, d, key_cols=["vec_id"])
-    rows = rec.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "recon"))),
-                                                 lambda s: s["recon"]).alias("recon"))
+    rows = S.reconstruct(C.activations(spark, sf), d, "topk", k=C.TOPK, key_cols=["vec_id"]).select("vec_id", "recon")
     rows = rows.withColumn("token_id", F.when(F.col("vec_id") % 2 == 0, F.col("vec_id") % 50))
     table = read_table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("token_id"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
@@ -316,10 +314,9 @@ JOIN ({DICT_LONG}) d USING (feature) WHERE l.value <> 0 GROUP BY l.vec_id, d.dim
 def joi7(spark, sf):
     lat = C.latents(spark, sf).select(F.col("vec_id").alias("a"), F.col("feature").alias("index"), "value")
     e = read_table(spark, sf, "embeddings").where(F.col("vec_id") < C.N_FEATURES)
-    dense = e.select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("dim", "x")) \
-             .withColumn("x", F.col("x").cast("double"))
-    out = S.sparse_dense_matmul(lat, dense)
-    return out.select(F.col("a").alias("vec_id"), "dim", r6("out").alias("out"))
+    out = TI.sparse_dense_product(lat, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("vec")))
+    return out.select(F.col("row").alias("vec_id"), F.posexplode("out").alias("dim", "out")) \
+              .select("vec_id", "dim", r6("out").alias("out"))
 
 
 @query("joi8_sparse_t_dense_matmul", f"""
@@ -330,9 +327,10 @@ SELECT g.feature, g.dim, round(coalesce(s.out, 0), 6) AS out FROM g LEFT JOIN s
 """)
 def joi8(spark, sf):
     lat = C.latents(spark, sf).select(F.col("vec_id").alias("a"), F.col("feature").alias("index"), "value")
-    dense = C.activations_long(spark, sf).select(F.col("vec_id").alias("row"), "dim", "x")
-    out = S.sparse_t_dense_matmul(lat, dense, C.N_FEATURES)
-    return out.select(F.col("index").cast("int").alias("feature"), "dim", r6("out").alias("out"))
+    dense = C.activations(spark, sf).select(F.col("vec_id").alias("row"), "vec")
+    out = TI.sparse_t_dense_product(lat, dense, C.N_FEATURES)
+    return out.select(F.col("row").cast("int").alias("feature"), F.posexplode("out").alias("dim", "out")) \
+              .select("feature", "dim", r6("out").alias("out"))
 
 
 @query("joi9_sampled_matmul", f"""
@@ -345,8 +343,8 @@ def joi9(spark, sf):
     left = e.select(F.col("vec_id").alias("i"), F.col("embedding").alias("vec"))
     right = e.where(F.col("vec_id") < C.N_FEATURES).select(F.col("vec_id").cast("int").alias("j"),
                                                           F.col("embedding").alias("vec"))
-    out = S.sampled_matmul(left, right, at)
-    return out.select("i", "j", r6("value").alias("value"))
+    out = TI.sampled_product(left, right, at)
+    return out.select("i", F.col("j").cast("int").alias("j"), r6("value").alias("value"))
 
 
 # ---------------------------------------------------------------- metrics

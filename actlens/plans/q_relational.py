@@ -287,9 +287,9 @@ SELECT vec_id, which, CAST(rank AS BIGINT) AS rank, dim, round(x, 6) AS x FROM l
 """)
 def top1(spark, sf):
     from actlens.operators.stats import topk_dims
-    long = C.activations_long(spark, sf)
-    hi = topk_dims(long, 3, largest=True, key_cols=["vec_id"]).withColumn("which", F.lit("largest"))
-    lo = topk_dims(long, 3, largest=False, key_cols=["vec_id"]).withColumn("which", F.lit("smallest"))
+    rows = C.activations(spark, sf)
+    hi = topk_dims(rows, 3, largest=True, key_cols=["vec_id"]).withColumn("which", F.lit("largest"))
+    lo = topk_dims(rows, 3, largest=False, key_cols=["vec_id"]).withColumn("which", F.lit("smallest"))
     return hi.unionByName(lo).select("vec_id", "which", "rank", "dim", F.round("x", 6).alias("x"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from actlens.functions import columns as FN
 from actlens.operators import ordering as O
+from actlens.operators import moments as MO
 from actlens.operators import stats as A
 from actlens.operators import windows as W
 from actlens.plans import canonical as C
@@ -25,7 +26,7 @@ SELECT batch_id, round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x)
        round(stddev_samp(x), 6) AS std, count(*) AS n_values FROM ({ALONG}) GROUP BY batch_id
 """)
 def agg1(spark, sf):
-    s = A.batch_stats(C.activations_long(spark, sf))
+    s = MO.batch_value_stats(C.activations(spark, sf))
     return s.select("batch_id", *[r6(c).alias(c) for c in ("mean", "min", "max", "std")], "n_values")
 
 
@@ -98,8 +99,8 @@ SELECT vec_id, dim, round((x - avg(x) OVER w) / (stddev_samp(x) OVER w + 1e-6),
 FROM ({ALONG}) WINDOW w AS (PARTITION BY batch_id, dim)
 """)
 def agg5(spark, sf):
-    z = A.batch_norm(C.activations_long(spark, sf))
-    return z.select("vec_id", "dim", r6("z").alias("z"))
+    z = MO.batch_norm_vectors(C.activations(spark, sf))
+    return z.select("vec_id", F.posexplode("normed").alias("dim", "z")).select("vec_id", "dim", r6("z").alias("z"))
 
 
 @query("agg6_unit_norm", f"""
@@ -124,7 +125,7 @@ SELECT dim, round(avg(m), 6) AS mean, round(avg(s), 6) AS std FROM (
  SELECT batch_id, dim, avg(x) AS m, stddev_samp(x) AS s FROM ({ALONG}) GROUP BY batch_id, dim) GROUP BY dim
 """)
 def agg7(spark, sf):
-    s = A.mean_std_over_batches(C.activations_long(spark, sf))
+    s = MO.mean_std_vectors(C.activations(spark, sf))
     return s.select("dim", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
@@ -136,7 +137,7 @@ SELECT pos, round(std_over_dims, 6) AS std_over_dims, round(std_over_samples, 6)
        round(mean, 6) AS mean FROM a JOIN b USING (pos) JOIN c USING (pos)
 """)
 def agg8(spark, sf):
-    s = A.spread_by_position(C.activations_long(spark, sf))
+    s = MO.spread_vectors(C.activations(spark, sf))
     return s.select("pos", *[r6(c).alias(c) for c in ("std_over_dims", "std_over_samples", "mean")])
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from actlens.session import materialize
 
 # bytes of query vectors held by one task of a dense search
 QUERY_BLOCK_BYTES = 64 << 20
+# largest vocabulary that every task gets whole
+VOCABULARY_BYTES = 64 << 20
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -32,6 +35,58 @@ def whitespace_tokens(text: Column) -> Column:
 
 # ----------------------------------------------------------------------- TXT1
 
+def encode_words(docs: DataFrame, vocabulary: DataFrame, *, doc_col: str = "doc_id", words_col: str = "words",
+                 ids_col: str = "tokens", broadcast_bytes: int = VOCABULARY_BYTES) -> DataFrame:
+    """(doc, tokens): every word of a document's array replaced by its id, in place.
+
+    A vocabulary (token, token_id) of at most ``broadcast_bytes``, as measured, goes
+    to every task. A larger one is joined with the distinct words of every document,
+    and each document's array is mapped by its own part of the vocabulary. Words
+    that the vocabulary lacks are left out; a null array stays null. Either way no
+    row is made per word occurrence."""
+    src = docs.select(doc_col, words_col)
+    schema = T.StructType([docs.schema[doc_col], T.StructField(ids_col, T.ArrayType(T.LongType()))])
+    size = vocabulary.agg(F.sum(F.octet_length("token") + F.lit(16))).first()[0] or 0
+
+    def mapped(words: pa.Array, known: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words of a column, and which of them the vocabulary has."""
+        at = pc.index_in(words, value_set=known)
+        has = at.is_valid().to_numpy(zero_copy_only=False)
+        return ids[pc.fill_null(at, 0).to_numpy(zero_copy_only=False)] if len(ids) else np.zeros(len(at), np.int64), has
+
+    if size <= broadcast_bytes:
+        rows = vocabulary.select("token", F.col("token_id").cast("bigint")).collect()
+        shared = docs.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in rows], pa.string()),
+                                                           np.array([r[1] for r in rows], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, ids = shared.value
+            for b in batches:
+                words = b.column(1)
+                n = pc.fill_null(words.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                found, has = mapped(words.flatten(), known, ids)
+                left = np.concatenate([[0], np.cumsum(has)])[np.concatenate([[0], np.cumsum(n)])]
+                out = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), pa.array(found[has]), mask=words.is_null())
+                yield pa.RecordBatch.from_arrays([b.column(0), out], names=[doc_col, ids_col])
+        return src.mapInArrow(run, schema)
+
+    # the row number keeps documents apart that share an id; written once, so that both readers see the same
+    src = materialize(src.withColumn("_row", F.monotonically_increasing_id()), "encode-words")
+    pairs = src.select("_row", F.explode(F.array_distinct(words_col)).alias("token")).join(vocabulary, "token")
+    own = pairs.groupBy("_row").agg(F.collect_list(F.struct("token", F.col("token_id").cast("bigint").alias("id"))).alias("_own"))
+
+    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i in range(b.num_rows):
+                words, part = b.column(1).slice(i, 1), b.column(2).slice(i, 1).flatten()
+                found, has = mapped(words.flatten(), part.field("token"), part.field("id").to_numpy(zero_copy_only=False))
+                out.append(None if words.null_count else found[has])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=[doc_col, ids_col])
+
+    return src.join(own, "_row", "left").select(doc_col, words_col, "_own").mapInArrow(run_own, schema)
+
+
 def chunk_tokens(doc_tokens: DataFrame, docs: DataFrame, chunk_len: int, *, eos_id: int | None,
                  batch_docs: int = 2048, return_final: bool = False, doc_col: str = "doc_id",
                  pos_col: str = "pos", token_col: str = "token_id",

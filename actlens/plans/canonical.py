@@ -235,7 +235,9 @@ def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(token, token_id): token_id = 0-based rank in the sorted vocabulary."""
     from actlens.session import materialize
-    toks = materialize(doc_tokens(spark, sf_dir).select("token").distinct())   # counted and numbered
+    d = read_table(spark, sf_dir, "documents").select(F.array_distinct(F.split("text", WHITESPACE)).alias("words"))
+    # a word leaves each document once; counted and numbered below
+    toks = materialize(d.select(F.explode_outer("words").alias("token")).where(F.col("token") != "").distinct())
     return materialize(ordering.running_index(toks, ["token"], name="token_id"))
 
 

@@ -10,8 +10,9 @@ cut into several by the order of the codes, so machines grow with the number of
 languages, not with its square.
 
 The machines are fitted on a bounded sample of different labelled rows: of each
-language the first ``PER_LANGUAGE`` by a hash of id and text, or an equal share
-of ``FIT_ROWS`` where there are many languages, but every language is learned.
+language the first ``PER_LANGUAGE`` by a hash of id and text (of ``SALTS`` parts of
+them twice an equal share each, before they meet), or an equal share of
+``FIT_ROWS`` where there are many languages, but every language is learned.
 They are collected as trigram counts. Prediction is one pass over whole texts.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; if
@@ -39,6 +40,7 @@ DIMS = 1 << 13
 PER_LANGUAGE = 400
 FIT_ROWS = 12_000
 MOST_IN_FAMILY = 16
+SALTS = 64
 MAX_BROADCAST_ROWS = 500_000
 UNDETERMINED = "und"
 
@@ -182,9 +184,13 @@ def fit_languages(docs: DataFrame, learn_from: Column, per_language: int = PER_L
     usable = (docs.filter(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()
                           & F.col("doc_id").isNotNull())
               .select(F.col("lang").cast("string").alias("lang"), "text", key.alias("key")))
-    keys = usable.groupBy("lang", "key").agg(F.count("*").alias("n"))
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
-    chosen = materialize(ranked.filter(F.col("rank") <= per_language).drop("n"), "language-sample")
+    keys = usable.groupBy("lang", "key").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.col("key"), F.lit(SALTS)))
+
+    def first(rows: DataFrame, n: int, *groups: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("key"))).filter(F.col("rank") <= n)
+    # a frequent language is cut down in SALTS parts before its rows meet
+    few = first(keys, 2 * -(-per_language // SALTS), "lang", "salt").drop("rank")
+    chosen = materialize(first(few, per_language, "lang").drop("n", "salt"), "language-sample")
     n_langs = chosen.select("lang").distinct().count()
     if not n_langs:
         return None

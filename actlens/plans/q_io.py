@@ -11,6 +11,7 @@ from actlens.operators import stats as A
 from actlens.operators import windows as W
 from actlens.plans import canonical as C
 from actlens.plans.registry import query
+from actlens.sources import block_source as BS
 from actlens.sources import blocks as B
 from actlens.sources import checkpoints as K
 from actlens.sources import logs as L
@@ -25,13 +26,18 @@ ALONG = C.ACT_LONG_SQL
 LOG = C.RUN_LOG_SQL
 
 
-def _write_run(spark, sf, name, rows_per_block=100):
-    a = C.activations(spark, sf)
-    run = io_dir(spark, name)
+def _run_meta(a, rows_per_block=100):
     meta = B.metadata_of(a)
     meta["batch_size"] = rows_per_block // meta["shape"][1]
     meta["shape"] = [meta["batch_size"], meta["shape"][1], meta["shape"][2]]
     meta["bytes_per_file"] = 4 * meta["batch_size"] * meta["shape"][1] * meta["shape"][2]
+    return meta
+
+
+def _write_run(spark, sf, name, rows_per_block=100):
+    a = C.activations(spark, sf)
+    run = io_dir(spark, name)
+    meta = _run_meta(a, rows_per_block)
     B.write_metadata(spark, run, meta)
     B.write_blocks(a, run, rows_per_block, order_cols=["sample_id", "pos"])
     return run, meta
@@ -79,6 +85,34 @@ def src16(spark, sf):
                .select("sample_id", "pos", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
+def _write_run_as_source(spark, sf, name):
+    """The run of ``_write_run``, written through the block data source."""
+    a = C.activations(spark, sf)
+    run = io_dir(spark, name)
+    BS.write_run(a, run, 100, _run_meta(a), order_cols=["sample_id", "pos"])
+    return run
+
+
+@query("src1_block_source", f"SELECT sample_id, pos, dim, round(x, 6) AS x FROM ({ALONG})")
+def src1_block_source(spark, sf):
+    rows = BS.read_run(spark, _write_run_as_source(spark, sf, "src1s"))
+    return rows.select("sample_id", "pos", F.posexplode("vec").alias("dim", "x")) \
+               .select("sample_id", "pos", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("src16_block_source", f"""
+SELECT sample_id, pos, dim, round(x, 6) AS x FROM ({ALONG})
+WHERE batch_id >= (SELECT max(batch_id) // 2 FROM ({ACT}))
+""")
+def src16_block_source(spark, sf):
+    """Blocks from the middle one on; the source opens no other."""
+    run = _write_run_as_source(spark, sf, "src16s")
+    middle = C.activations(spark, sf).agg(F.max("batch_id")).first()[0] // 2
+    rows = BS.read_run(spark, run).where(F.col("block_index") >= F.lit(middle).cast("bigint"))
+    return rows.select("sample_id", "pos", F.posexplode("vec").alias("dim", "x")) \
+               .select("sample_id", "pos", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 @query("src17_block_count", """
 SELECT CAST(label AS VARCHAR) AS layer, CAST(ceil(count(*) / 64.0) AS BIGINT) AS n_blocks FROM embeddings GROUP BY label
 """)

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from actlens.plans import canonical as C
 from actlens.plans.registry import query
+from actlens.sources import block_source as BS
+from actlens.sources import blocks as B
 from actlens.sources.files import io_dir
 from actlens.sources.tables import read_table
 from actlens.streaming import logs as SL
 from actlens.streaming import state as SS
+from actlens.streaming.keyed_table import KeyedTable
 
 ACT = C.ACT_SQL
 
@@ -63,8 +66,8 @@ def str2(spark, sf):
     ev = read_table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "value") \
          .withColumn("week", F.floor(F.unix_date(F.to_date("ts")) / 7))
     base = _drive(spark, ev, "week", "str2", lambda s: SL.usage_windows(s, "ts", ["value"]),
-                  sink=lambda b: SL.upsert_sink(f"{b}/sink"), mode="update")
-    w = SL.latest_versions(spark, f"{base}/sink", ["window"])
+                  sink=lambda b: KeyedTable(spark, f"{b}/sink", ["window"]), mode="update")
+    w = KeyedTable(spark, f"{base}/sink", ["window"]).read()
     return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                     F.round("avg_value", 6).alias("avg_value"), F.round("max_value", 6).alias("max_value"), "n")
 
@@ -96,6 +99,25 @@ def str3(spark, sf):
     return u.select("vec_id", F.col("unit_id").cast("bigint"), "row_in_unit")
 
 
+@query("str3_block_stream", f"SELECT sample_id, pos, dim, round(x, 6) AS x FROM ({C.ACT_LONG_SQL})")
+def str3_block_stream(spark, sf):
+    """Blocks written in two arrivals through the block source and streamed from it after each."""
+    a = C.activations(spark, sf)
+    base = io_dir(spark, "str3s")
+    meta = {**B.metadata_of(a), "batch_size": 10}
+    lo, hi = a.agg(F.min("sample_id"), F.max("sample_id")).first()
+    cut = lo + (hi - lo + 1) // 20 * 10                       # whole blocks of ten samples before it
+    first = a.where(F.col("sample_id") < cut)
+    for rows, block in [(first, 0), (a.where(F.col("sample_id") >= cut), (cut - lo) // 10)]:
+        BS.write_run(rows, f"{base}/run", 10 * meta["shape"][1], meta, order_cols=["sample_id", "pos"],
+                     first_block=block)
+        SL.run_available(BS.stream_run(spark, f"{base}/run"), f"{base}/_checkpoint", path=f"{base}/rows",
+                         name=f"str3s-{base[-6:]}")
+    return spark.read.parquet(f"{base}/rows") \
+                .select("sample_id", "pos", F.posexplode("vec").alias("dim", "x")) \
+                .select("sample_id", "pos", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 @query("str7_stream_rebatch", _UNITS_SQL.format(n=48, act=ACT))
 def str7(spark, sf):
     u = _recut(spark, sf, "str7", 48)
@@ -121,12 +143,8 @@ SELECT feature, CAST(rank AS BIGINT) AS rank, vec_id AS sample_id, round(value,
 def str4(spark, sf):
     lat = _latent_rounds(spark, sf)
     base = _drive(spark, lat, "batch_id", "str4", lambda s: SS.stream_topk(s, 9),
-                  sink=lambda b: SL.upsert_sink(f"{b}/sink"), mode="update")
-    df = spark.read.parquet(f"{base}/sink")
-    from pyspark.sql import Window
-    last = df.groupBy("feature").agg(F.max("_batch").alias("_batch"))
-    top = df.join(last, on=["feature", "_batch"], how="inner")
-    return top.select("feature", "rank", "sample_id", F.round("value", 6).alias("value"))
+                  sink=lambda b: KeyedTable(spark, f"{b}/sink", ["feature"]), mode="update")
+    return KeyedTable(spark, f"{base}/sink", ["feature"]).read().select("feature", "rank", "sample_id", F.round("value", 6).alias("value"))
 
 
 @query("str5_stream_dead", f"""
@@ -135,5 +153,5 @@ SELECT feature, max(batch_id) AS last_active FROM ({C.latents_sql()}) WHERE valu
 def str5(spark, sf):
     lat = _latent_rounds(spark, sf)
     base = _drive(spark, lat, "batch_id", "str5", lambda s: SS.stream_last_active(s),
-                  sink=lambda b: SL.upsert_sink(f"{b}/sink"), mode="update")
-    return SL.latest_versions(spark, f"{base}/sink", ["feature"]).select("feature", "last_active")
+                  sink=lambda b: KeyedTable(spark, f"{b}/sink", ["feature"]), mode="update")
+    return KeyedTable(spark, f"{base}/sink", ["feature"]).read().select("feature", "last_active")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -170,6 +171,52 @@ def list_blocks(spark: SparkSession, run_path: str) -> DataFrame:
     return O.running_index(files, ["path"], name="block_index")
 
 
+class BlockLayout(NamedTuple):
+    """How the bytes of a run's blocks are rows."""
+    np_dtype: str
+    row_bytes: int
+    d: int
+    seq: int
+    samples_per_file: int
+
+    @classmethod
+    def of(cls, meta: dict) -> BlockLayout:
+        if meta["dtype"] not in DTYPES:
+            raise ValueError(f"unsupported dtype {meta['dtype']!r}")
+        np_dtype, size = DTYPES[meta["dtype"]]
+        shape = list(meta["shape"])
+        seq = int(meta.get("sequence_length") or 1) if len(shape) == 3 else 1
+        d = int(shape[-1])
+        return cls(np_dtype, size * d, d, seq, int(meta["batches_per_file"]) * int(meta["batch_size"]))
+
+    def files_before(self, token: int) -> int:
+        """Files to skip when a reader starts at a token: ceil(token / tokens per file)."""
+        return math.ceil(token / (self.samples_per_file * self.seq)) if token else 0
+
+
+ROW_SCHEMA = T.StructType([T.StructField("block_index", T.LongType()), T.StructField("path", T.StringType()),
+                           T.StructField("sample_id", T.LongType()), T.StructField("pos", T.IntegerType()),
+                           T.StructField("vec", T.ArrayType(T.FloatType(), False))])
+_ARROW_SCHEMA = pa.schema([pa.field("block_index", pa.int64()), pa.field("path", pa.string()),
+                           pa.field("sample_id", pa.int64()), pa.field("pos", pa.int32()),
+                           pa.field("vec", pa.list_(pa.field("element", pa.float32(), False)))])
+
+
+def decode_range(layout: BlockLayout, uri: str, block_index: int, first_row: int, n: int) -> pa.RecordBatch:
+    """``n`` rows of a block, from ``first_row``; only their bytes are read."""
+    fsys, path = filesystem(uri)
+    with fsys.open_input_file(path) as f:
+        data = f.read_at(n * layout.row_bytes, first_row * layout.row_bytes)
+    arr = np.frombuffer(data, dtype=layout.np_dtype).astype(np.float32)
+    row = first_row + np.arange(n)
+    offsets = pa.array(np.arange(0, (n + 1) * layout.d, layout.d, dtype=np.int32))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, block_index, dtype=np.int64)), pa.array([uri] * n, pa.string()),
+         pa.array(block_index * layout.samples_per_file + row // layout.seq),
+         pa.array((row % layout.seq).astype(np.int32)),
+         pa.ListArray.from_arrays(offsets, pa.array(arr))], schema=_ARROW_SCHEMA)
+
+
 def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | None = None,
                            start_at_token: int = 0, block_ids: Sequence[int] | None = None,
                            range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -184,18 +231,10 @@ def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | N
     """
     if meta is None:
         meta = read_run_metadata(spark, run_path).first().asDict()
-    dtype = meta["dtype"]
-    if dtype not in DTYPES:
-        raise ValueError(f"unsupported dtype {dtype!r}")
-    np_dtype, size = DTYPES[dtype]
-    shape = list(meta["shape"])
-    seq = int(meta.get("sequence_length") or 1) if len(shape) == 3 else 1
-    d = int(shape[-1])
-    row_bytes = size * d
-    per_file = int(meta["batches_per_file"]) * int(meta["batch_size"])
+    layout = BlockLayout.of(meta)
+    row_bytes = layout.row_bytes
     cat = list_blocks(spark, run_path)
-    skip = math.ceil(start_at_token / (per_file * seq)) if start_at_token else 0
-    cat = cat.where(F.col("block_index") >= skip)
+    cat = cat.where(F.col("block_index") >= layout.files_before(start_at_token))
     if block_ids is not None:
         cat = cat.where(F.col("block_index").isin(list(block_ids)))
     step = max(1, range_bytes // row_bytes)
@@ -205,31 +244,16 @@ def read_activation_blocks(spark: SparkSession, run_path: str, *, meta: dict | N
                              F.lit(step).cast("bigint"))).alias("first_row"))
     total = cat.agg(F.sum("length")).first()[0] or 0
     tasks = max(-(-total // TASK_BYTES), min(default_parallelism(spark), -(-total // (1 << 20))), 1)
-    schema = T.StructType([T.StructField("block_index", T.LongType()), T.StructField("path", T.StringType()),
-                           T.StructField("sample_id", T.LongType()), T.StructField("pos", T.IntegerType()),
-                           T.StructField("vec", T.ArrayType(T.FloatType(), False))])
-    out_schema = pa.schema([pa.field("block_index", pa.int64()), pa.field("path", pa.string()),
-                            pa.field("sample_id", pa.int64()), pa.field("pos", pa.int32()),
-                            pa.field("vec", pa.list_(pa.field("element", pa.float32(), False)))])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 if r["length"] % row_bytes:
                     raise ValueError(f"{r['path']}: {r['length']} bytes are no whole rows of {row_bytes} bytes")
-                fsys, path = filesystem(r["path"])
                 n = min(step, r["length"] // row_bytes - r["first_row"])
-                with fsys.open_input_file(path) as f:
-                    data = f.read_at(n * row_bytes, r["first_row"] * row_bytes)
-                arr = np.frombuffer(data, dtype=np_dtype).astype(np.float32)
-                row = r["first_row"] + np.arange(n)
-                offsets = pa.array(np.arange(0, (n + 1) * d, d, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, r["block_index"], dtype=np.int64)), pa.array([r["path"]] * n),
-                     pa.array(r["block_index"] * per_file + row // seq), pa.array((row % seq).astype(np.int32)),
-                     pa.ListArray.from_arrays(offsets, pa.array(arr))], schema=out_schema)
-
-    return ranges.repartition(int(tasks)).mapInArrow(decode, schema)
+                yield decode_range(layout, r["path"], r["block_index"], r["first_row"], n)
+
+    return ranges.repartition(int(tasks)).mapInArrow(decode, ROW_SCHEMA)
 
 
 def block_count(blocks: DataFrame, group_cols: Sequence[str] = ("run", "layer", "module"),

@@ -61,20 +61,3 @@ def usage_windows(stream: DataFrame, ts_col: str, value_cols: list[str], *, widt
     for c in value_cols:
         aggs += [F.avg(c).alias(f"avg_{c}"), F.max(c).alias(f"max_{c}")]
     return s.groupBy(F.window(ts_col, width)).agg(*aggs, F.count(F.lit(1)).alias("n"))
-
-
-def upsert_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for update-mode streams: each micro-batch is written
-    under its batch id (overwrite: a replayed batch rewrites the same files);
-    readers keep the latest version of each key."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
-    return sink
-
-
-def latest_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Read an upsert sink: the row of each key from its highest batch."""
-    from pyspark.sql import Window
-    df = spark.read.parquet(path)
-    w = Window.partitionBy(*keys).orderBy(F.col("_batch").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_batch")

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from actlens.streaming import logs as SL
 from actlens.streaming import state as SS
+from actlens.streaming.keyed_table import KeyedTable
 
 
 def test_stream_topk_and_recut(spark, tmp_path):
@@ -14,10 +15,9 @@ def test_stream_topk_and_recut(spark, tmp_path):
         df.where(F.col("batch_id") == b).write.parquet(f"{base}/src/round_{b:04d}")
         if stream is None:
             stream = SS.stream_topk(SL.stream_files(spark, f"{base}/src/*", df.schema, max_files_per_trigger=None), 3)
-        SL.run_available(stream, f"{base}/ck", sink=SL.upsert_sink(f"{base}/sink"), output_mode="update")
-    out = spark.read.parquet(f"{base}/sink")
-    last = out.groupBy("feature").agg(F.max("_batch").alias("_batch"))
-    got = sorted(tuple(r) for r in out.join(last, ["feature", "_batch"]).select("feature", "rank", "sample_id").collect())
+        SL.run_available(stream, f"{base}/ck", sink=KeyedTable(spark, f"{base}/sink", ["feature"]), output_mode="update")
+    out = KeyedTable(spark, f"{base}/sink", ["feature"]).read()
+    got = sorted(tuple(r) for r in out.select("feature", "rank", "sample_id").collect())
     expect = []
     for f in range(3):
         cand = sorted([(-v, s) for s, _, ff, v in rows if ff == f and v > 0])[:3]

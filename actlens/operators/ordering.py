@@ -85,10 +85,14 @@ def rebatch(df: DataFrame, n: int, order_cols: Sequence[ColLike], *,
     if n < 1:
         raise ValueError("batch size must be positive")
     total = None if keep_tail else df.count()
-    x = global_index(df, order_cols, bucket=bucket, name="_gi")
+    return _cut(global_index(df, order_cols, bucket=bucket, name="_gi"), n, total)
+
+
+def _cut(x: DataFrame, n: int, total: int | None) -> DataFrame:
+    """Batches of ``n`` along the index ``_gi``; with a ``total`` only the full ones."""
     x = x.withColumn("batch_id", F.floor(F.col("_gi") / F.lit(n)).cast("bigint")) \
          .withColumn("row_in_batch", (F.col("_gi") % F.lit(n)).cast("bigint"))
-    if not keep_tail:
+    if total is not None:
         x = x.where(F.col("batch_id") < F.lit(total // n))
     return x.drop("_gi")
 
@@ -145,17 +149,19 @@ def shuffle_batches(df: DataFrame, key_cols: Sequence[ColLike], seed: int, batch
     """SHF1/SHF2: shuffle then cut exact batches; short tail dropped unless asked.
 
     With ``buffer_rows`` the permutation stays inside consecutive windows of
-    ``buffer_rows`` rows of the source order (bounded variant).
+    ``buffer_rows`` rows of the source order (bounded variant). All windows but the
+    last are full, so a row's place is its window's first place plus its rank inside
+    the window: the source order is the only index over the table.
     """
     if buffer_rows is not None:
         if buffer_rows < 2 * batch_rows:
             raise ValueError("buffer must hold at least 2 batches")
         src = global_index(df, index_cols or list(key_cols), name="_src")
-        src = src.withColumn("_win", F.floor(F.col("_src") / F.lit(buffer_rows)).cast("bigint"))
-        keyed = src.withColumn("shuffle_key", seeded_key(key_cols, seed)).drop("_src")
-        order = ["_win", "shuffle_key", *key_cols]
-        out = rebatch(keyed, batch_rows, order, keep_tail=keep_tail, bucket=F.col("_win"))
-        return out.drop("_win")
+        keyed = src.withColumn("_win", F.floor(F.col("_src") / F.lit(buffer_rows)).cast("bigint")) \
+                   .withColumn("shuffle_key", seeded_key(key_cols, seed)).drop("_src")
+        inside = Window.partitionBy("_win").orderBy("shuffle_key", *[_c(c) for c in key_cols])
+        placed = keyed.withColumn("_gi", F.col("_win") * F.lit(buffer_rows) + F.row_number().over(inside) - F.lit(1))
+        return _cut(placed.drop("_win"), batch_rows, None if keep_tail else df.count())
     keyed = df.withColumn("shuffle_key", seeded_key(key_cols, seed))
     # the hash is uniform: its 4-hex-digit prefix gives 65,536 balanced buckets
     bucket = F.substring("shuffle_key", 1, 4)

@@ -115,10 +115,11 @@ def pad_or_cut(df: DataFrame, max_len: int, tokens_col: str = "tokens") -> DataF
                                                F.lit(f"sequence shorter than {max_len}"))).drop("_ok")
 
 
-def sample_slice(df: DataFrame, n_rows: int, n_dims: int, index_col: str,
+def sample_slice(df: DataFrame, n_rows: int, n_dims: int, order_cols: Sequence[str],
                  vec_col: str = "vec") -> DataFrame:
-    """PRJ14: first n rows (by a global index) and first n dims, for diagnostics."""
-    return df.where(F.col(index_col) < n_rows).withColumn(vec_col, F.slice(vec_col, 1, n_dims))
+    """PRJ14: first n rows in order and first n dims, for diagnostics. The vectors are
+    cut first and every task keeps its n first rows: no index over the table."""
+    return df.withColumn(vec_col, F.slice(vec_col, 1, n_dims)).orderBy(*order_cols).limit(n_rows)
 
 
 def position_profile(df: DataFrame, group_cols: Sequence[str], pos_col: str, value_col: str,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actlens.session import materialize
+
 
 def topk_dims(df: DataFrame, k: int, *, largest: bool = True, key_cols: Sequence[str] = ("vec_id",),
               vec_col: str = "vec", dim_col: str = "dim", value_col: str = "x") -> DataFrame:
@@ -40,8 +42,9 @@ def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[
 
     Bin b (1-based) covers [lo + (b-1)w, lo + b w); empty bins report 0.
     With lo = hi every value falls in the middle bin of [lo-0.5, hi+0.5]
-    (the convention of numpy.histogram). Bounds are one row per group, so
-    the join to them is a broadcast of a group-sized table.
+    (the convention of numpy.histogram). The bounds, one row per group, are
+    written first: while their files are below the session's broadcast threshold
+    the values join them in place, beyond it by a shuffle that AQE splits.
     """
     g = list(group_cols)
     spark = df.sparkSession
@@ -51,8 +54,7 @@ def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("lo"),
                            F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("hi"))
     # without groups the bounds are two scalars (one small job, then literals);
-    # with groups they are one row per group, joined by key (AQE broadcasts them
-    # only if their measured size is small)
+    # with groups they are a written table of known size, joined by key
     keys = g if g else ["_one"]
     if not g:
         b = bounds.first()
@@ -60,6 +62,7 @@ def histogram(df: DataFrame, value_col: str, bins: int, *, group_cols: Sequence[
         x = df.select(v.alias("_v")).select(F.lit(0).alias("_one"), "_v", F.lit(b["lo"]).alias("lo"),
                                             F.lit(b["hi"]).alias("hi"))
     else:
+        bounds = materialize(bounds, "histogram-bounds")
         vals = df.select(*g, v.alias("_v"))
         x = vals.join(bounds, on=keys, how="inner")
     raw = F.floor((F.col("_v") - F.col("lo")) * (F.lit(float(bins)) / (F.col("hi") - F.col("lo"))))

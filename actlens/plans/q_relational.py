@@ -130,8 +130,7 @@ def prj13(spark, sf):
 SELECT vec_id, dim, round(x, 6) AS x FROM ({ALONG}) WHERE vec_id < 64 AND dim < 8
 """)
 def prj14(spark, sf):
-    a = O.global_index(C.activations(spark, sf), ["sample_id", "pos"], name="gi")
-    s = P.sample_slice(a, 64, 8, "gi")
+    s = P.sample_slice(C.activations(spark, sf), 64, 8, ["sample_id", "pos"])
     return s.select("vec_id", F.posexplode("vec").alias("dim", "x")) \
             .select("vec_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 

@@ -18,8 +18,9 @@ def write_feature_reports(top: DataFrame, path: str, *, activated: DataFrame | N
                           sample_col: str = "sample_index", path_col: str = "path") -> None:
     """SNK8: one JSON record per feature: indices, values, file_paths of its top-k
     (k entries each). The activated samples (indices_gt_zero) are written next to
-    it as a long table partitioned by feature - a frequent feature never becomes
-    one unbounded list."""
+    it as a long table in ranges of (feature, sample): a reader of one feature skips
+    files by their statistics, no feature has a folder of its own, and a frequent
+    one fills several files."""
     rep = top.groupBy("feature").agg(F.array_sort(F.collect_list(
         F.struct("rank", F.col(sample_col).alias("i"), F.col("value").alias("v"), F.col(path_col).alias("p")))).alias("_s"))
     rep = rep.select("feature", F.transform("_s", lambda s: s["i"]).alias("indices"),
@@ -27,7 +28,9 @@ def write_feature_reports(top: DataFrame, path: str, *, activated: DataFrame | N
                      F.transform("_s", lambda s: s["p"]).alias("file_paths"))
     rep.write.mode("overwrite").json(f"{path}/reports")
     if activated is not None:
-        activated.write.mode("overwrite").partitionBy("feature").parquet(f"{path}/indices_gt_zero")
+        order = ["feature", *[c for c in activated.columns if c != "feature"]]
+        activated.repartitionByRange(*order).sortWithinPartitions(*order) \
+                 .write.mode("overwrite").parquet(f"{path}/indices_gt_zero")
 
 
 def read_feature_reports(spark: SparkSession, path: str, *, k: int = 9, features: DataFrame | None = None,

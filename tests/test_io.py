@@ -106,3 +106,22 @@ def test_legacy_cosine_table(spark, tmp_path):
     p.write_text(json.dumps({"own": [[0.5, 0.25], [1.0]], "next": [[0.1]]}))
     got = sorted(tuple(r) for r in read_legacy_cosine_table(spark, str(p), 3).collect())
     assert got == [(3, "next", 0, 0, 0.1), (3, "own", 0, 0, 0.5), (3, "own", 0, 1, 0.25), (3, "own", 1, 0, 1.0)]
+
+
+def test_activated_samples_in_ranges(spark, tmp_path):
+    from actlens.sources import reports as R
+    top = spark.createDataFrame([(1, 1, 5, 0.5, "p")], "feature INT, rank INT, sample_index LONG, value DOUBLE, path STRING")
+    act = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise((F.col("id") % 50).cast("int")).alias("feature"),
+                                   F.col("id").alias("sample_index"))
+    R.write_feature_reports(top, str(tmp_path), activated=act)
+    folder = tmp_path / "indices_gt_zero"
+    assert not [n for n in os.listdir(folder) if "=" in n]    # no folder per feature
+    back = spark.read.parquet(str(folder))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, act.collect()))
+
+
+def test_sample_slice_keeps_first_rows(spark):
+    from actlens.operators import shape as P
+    df = spark.range(500).select((499 - F.col("id")).alias("k"), F.array(*[F.col("id") + j for j in range(4)]).alias("vec"))
+    got = [(r.k, list(r.vec)) for r in P.sample_slice(df, 3, 2, ["k"]).collect()]
+    assert got == [(0, [499, 500]), (1, [498, 499]), (2, [497, 498])]

@@ -157,3 +157,15 @@ def test_one_slice_needs_no_join(spark):
     from actlens.operators import ordering as O
     out = O.running_index(spark.range(10), ["id"], name="i")
     assert "Join" not in out._jdf.queryExecution().toString() and out.filter("i <> id").count() == 0
+
+
+def test_bounded_shuffle_needs_one_index(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(1000).select(F.col("id").alias("k")).repartition(7)
+    kept = O.shuffle_batches(df, ["k"], 3, 30, buffer_rows=64, keep_tail=True).toPandas()
+    kept["place"] = kept.batch_id * 30 + kept.row_in_batch
+    assert sorted(kept.place) == list(range(1000)) and sorted(kept.k) == list(range(1000))
+    assert all(kept.k // 64 == kept.place // 64)              # the permutation stays inside its window
+    assert any(kept.k != kept.place)
+    full = O.shuffle_batches(df, ["k"], 3, 30, buffer_rows=64).toPandas()
+    assert len(full) == 990 and set(full.batch_id) == set(range(33))

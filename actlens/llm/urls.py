@@ -5,11 +5,16 @@ tokens that every match must contain whole. Each rule is stored under the one
 of its tokens that the fewest URLs contain; the tokens of a URL fetch the rules
 stored under them, and only those rules run their expression on that URL. A
 rule without a literal token is stored under the empty token, which every URL
-has. All of it is DataFrame code.
+has. All of it is DataFrame code. Rules are a table (``site_rules`` and
+``word_rules`` make one from a list of sites or words of any length); a short
+list may also be given as a tuple of ``Rule``.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path
 and fits no rule; repeated URLs are judged once and joined back; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns are ignored. Of the rules, one without
+name or expression fits nothing, null tokens are skipped, a null kind is
+``pattern``, names and whole rules may repeat (of two actions under one site name
+``block`` wins), and an empty table allows everything.
 """
 
 from __future__ import annotations
@@ -78,28 +83,63 @@ def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
+def _escaped(literal: Column) -> Column:
+    return F.regexp_replace(literal, r"([^A-Za-z0-9])", r"\\$1")
+
+
+def site_rules(sites: DataFrame) -> DataFrame:
+    """The rule table of (host, path, action) rows; the same rules as ``site_rule``."""
+    host, path = F.col("host"), F.coalesce("path", F.lit("/"))
+    tokens = F.concat(F.filter(F.split(host, r"\."), lambda t: t.rlike("^[A-Za-z0-9]+$")),
+                      F.regexp_extract_all(path, F.lit("(?<![A-Za-z0-9])([A-Za-z0-9]+)(?=[^A-Za-z0-9])"), F.lit(1)))
+    return sites.select(F.concat(host, path).alias("rule"),
+                        F.concat(F.lit(r"^(?:[^/]*\.)?"), _escaped(host), _escaped(path)).alias("regex"),
+                        tokens.alias("tokens"), "action", F.lit("site").alias("kind"))
+
+
+def word_rules(words: DataFrame) -> DataFrame:
+    """The rule table of (word, action) rows; the same rules as ``word_rule``."""
+    word = F.col("word")
+    return words.select(F.concat(F.lit("word:"), word).alias("rule"),
+                        F.concat(F.lit("(?:^|[^A-Za-z0-9])"), _escaped(word), F.lit("(?:[^A-Za-z0-9]|$)")).alias("regex"),
+                        F.regexp_extract_all(word, F.lit("([A-Za-z0-9]+)"), F.lit(1)).alias("tokens"),
+                        "action", F.lit("pattern").alias("kind"))
+
+
+def _usable(rules: DataFrame) -> DataFrame:
+    """Distinct usable rules; a rule without a literal token has the empty one."""
+    literal = F.array_sort(F.array_distinct(F.filter(F.coalesce("tokens", F.array().cast("array<string>")),
+                                                     lambda t: t.isNotNull())))
+    return (rules.filter("rule is not null and regex is not null")
+            .select("rule", "regex", F.when(F.size(literal) > 0, literal).otherwise(F.array(F.lit(""))).alias("tokens"),
+                    "action", F.coalesce("kind", F.lit("pattern")).alias("kind")).distinct())
+
+
 def rarest_tokens(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule with the token that the fewest URLs hold (ties: the smaller)."""
-    listed = rules.select("rule", F.explode(F.array_distinct("tokens")).alias("token"))
+    listed = rules.select("rule", "regex", "tokens", F.explode("tokens").alias("token")).distinct()
     wanted = listed.select("token").distinct()
     seen = (urls.select(F.explode("tokens").alias("token"))
             .join(small_or_none(wanted, MAX_BROADCAST_RULES), "token")
             .groupBy("token").agg(F.count("*").alias("n")))
-    best = Window.partitionBy("rule").orderBy("n", "token")
+    best = Window.partitionBy("rule", "regex", "tokens").orderBy("n", "token")
     picked = (listed.join(seen, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-              .withColumn("at", F.row_number().over(best)).filter("at = 1").select("rule", "token"))
-    return rules.drop("tokens").join(picked, "rule")
+              .withColumn("at", F.row_number().over(best)).filter("at = 1")
+              .select("rule", "regex", "tokens", "token"))
+    return rules.join(picked, ["rule", "regex", "tokens"]).drop("tokens")
+
 
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = DEFAULT_RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, pattern (the pattern rule that decided, else null).
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, pattern (the pattern rule that decided, else null)."""
-    spark = pages.sparkSession
+    ``rules``: a tuple, or a table (rule, regex, tokens, action, kind)."""
+    rules = _usable(rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules))
     text = F.concat("host", "path")
     urls = (pages.groupBy("url").agg(F.lit(1).alias("one"))
             .select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
             .withColumn("tokens", F.array_distinct(F.concat(
                 F.split(text, "[^A-Za-z0-9]+"), F.array(F.lit(""))))))
-    index = rarest_tokens(urls, rule_table(spark, rules))
+    index = rarest_tokens(urls, rules)
     fits = (urls.select("url", "host", "path", F.explode("tokens").alias("token"))
             .join(small_or_none(index, MAX_BROADCAST_RULES), "token")
             .filter(F.rlike(text, F.col("regex"))))

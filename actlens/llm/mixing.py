@@ -8,9 +8,10 @@ of tokens that is cut into blocks of equal token count; the slot of rank ``r``
 takes block ``r`` of the line, and starts over when the line is used up.
 
 Everything is DataFrame code. No step works on a whole source at once: ranks
-and token offsets are prefix sums in two levels (a total per bucket, then a
-window inside a bucket), so a source with a third of all rows is spread over
-many tasks.
+and token offsets are prefix sums in two levels (a total per bucket or slice,
+then a window inside it), so a source with a third of all rows is spread over
+many tasks. Slices of documents are ranges of all order columns down to the
+row, so rows without an id, or with one and the same, are spread too.
 
 Defined cases: a null text has size 0; a null source is a source of its own
 (last in order); repeated rows are documents of their own; a document of size 0
@@ -23,11 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actlens.llm.common import count_words, materialize
+from actlens.operators.ordering import slice_rows
 
 GOLDEN = 0.6180339887498949
 BLOCK_TOKENS = 1024
 MAX_REPEATS = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_SLICE = 20_000
 GRID = 4096
 
 
@@ -123,20 +125,21 @@ def schedule(plan: DataFrame, n_slots: int, slots_per_bucket: int = 1 << 16) ->
 
 def place_documents(docs: DataFrame, n_docs: int, seed: str) -> DataFrame:
     """Adds ``begin``: the document's place on the token line of its source,
-    in the order of a hash of its id (ties by id and size)."""
-    digits = 1
-    while 16 ** digits * ROWS_PER_BUCKET < n_docs and digits < 12:
-        digits += 1
-    shuffled = (docs.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(
-                    F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-                .withColumn("bucket", F.substring("key", 1, digits)))
-    offsets = _bucket_offsets(shuffled.groupBy("sid", "bucket").agg(F.sum("size").alias("total")),
-                              ["sid"], "bucket", "total", "offset")
-    inside = (Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size")
+    in the order of a hash of its id (ties by id and size; what is left are rows
+    of one id and size, whose order among each other changes no result).
+
+    ``docs`` has a number ``row`` that is the same whenever it is read."""
+    order = ["sid", "key", "doc_id", "size", "row"]
+    shuffled = docs.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(
+        F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+    sliced = slice_rows(shuffled, [F.col(c) for c in order], max(1, -(-n_docs // ROWS_PER_SLICE)), "slice")
+    offsets = _bucket_offsets(sliced.groupBy("sid", "slice").agg(F.sum("size").alias("total")),
+                              ["sid"], "slice", "total", "offset")
+    inside = (Window.partitionBy("sid", "slice").orderBy(*order[1:])
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (shuffled.join(offsets.select("sid", "bucket", "offset"), ["sid", "bucket"])
+    return (sliced.join(offsets.select("sid", "slice", "offset"), ["sid", "slice"])
             .withColumn("begin", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-            .drop("key", "bucket", "offset"))
+            .drop("key", "slice", "offset"))
 
 
 def _overlap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
@@ -145,14 +148,14 @@ def _overlap(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
 
 def mix_sources(docs: DataFrame, seed: str = "mix-1:", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, n_slots_used."""
-    slim = materialize(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "mix-size")
+    slim = materialize(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+                       .withColumn("row", F.monotonically_increasing_id()), "mix-size")
     plan = materialize(source_plan(slim, block_tokens), "mix-plan")
     total = plan.agg(F.coalesce(F.sum("n_slots"), F.lit(0)).alias("n")).first()["n"]
     n_docs = slim.count()
     keyed = slim.join(plan.select("source", "sid", "source_size", "target"),
                       slim["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = materialize(place_documents(keyed, n_docs, seed)
-                         .withColumn("row", F.monotonically_increasing_id()), "mix-placed")
+    placed = materialize(place_documents(keyed, n_docs, seed), "mix-placed")
 
     slots = schedule(plan, int(total))
     per = plan.select("sid", "source_size", "n_blocks", "quota")

@@ -183,12 +183,9 @@ class _Postings:
         node, size = np.array(self.nodes, np.int64), np.array(self.sizes, np.uint32)
         high = ((token >> np.uint64(32)) * np.uint64(self.n_ranges) >> np.uint64(32)).astype(np.int32)
         order = np.argsort(high, kind="stable")
-        edges = np.searchsorted(high[order], np.arange(self.n_ranges + 1))
+        present, first = np.unique(high[order], return_index=True)
         rows = []
-        for r in range(self.n_ranges):
-            at = order[edges[r]:edges[r + 1]]
-            if not len(at):
-                continue
+        for r, at in zip(present.tolist(), np.split(order, first[1:])):
             mine, local = np.unique(who[at], return_inverse=True)
             # 40 other bits of the hash tell the shingles of a range apart
             low = (mix64(token[at]) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]

@@ -176,6 +176,28 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mix_sources(odd.limit(0)).count() == 0
 
 
+def test_mix_without_ids_fills_no_slice(spark, monkeypatch):
+    """Rows with a null or repeated id are spread over slices, and the mix stays the one of its SQL order."""
+    import hashlib
+    monkeypatch.setattr(mixing, "ROWS_PER_SLICE", 50)
+    rows = [(None if i % 3 else (7 if i % 2 else i), "w " * (i % 11), "s") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select("doc_id", F.lit(1).alias("sid"), mixing.count_words(F.col("text")).alias("size")) \
+                .withColumn("row", F.monotonically_increasing_id())
+    seen = []
+    cut = mixing.slice_rows
+    monkeypatch.setattr(mixing, "slice_rows", lambda *a: seen.append(cut(*a)) or seen[-1])
+    placed = mixing.place_documents(mixing.materialize(sized, "test"), 600, "mix-1:").collect()
+    counts = [r["count"] for r in seen[0].groupBy("slice").count().collect()]
+    assert len(counts) > 6 and max(counts) < 200
+    want, at = [], 0
+    for d, size in sorted(((d, len(t.split())) for d, t, _ in rows),
+                          key=lambda x: (hashlib.md5(f"mix-1:{'' if x[0] is None else x[0]}".encode()).hexdigest(), x[1])):
+        want.append((d, size, at))
+        at += size
+    assert sorted(((r["doc_id"], r["size"], r["begin"]) for r in placed), key=str) == sorted(want, key=str)
+
+
 def test_schedule_is_even(spark):
     sizes = spark.createDataFrame([("a", 6000), ("b", 3000), ("c", 9000)], "source string, size long")
     plan = mixing.source_plan(sizes, 10)
@@ -310,6 +332,44 @@ def test_url_rules(spark):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_rules_as_a_table(spark):
+    """10,000 sites and some words as tables against a plain reading of the rules."""
+    import random
+    import re
+    rng = random.Random(5)
+    names = [f"site{i}" for i in range(9_990)]
+    sites = [(f"{n}.{'com' if i % 2 else 'org'}", "/" if i % 3 else "/a-b/", "block" if i % 4 else "allow")
+             for i, n in enumerate(names)]
+    sites += [("com", "/", "allow"), ("site3.com", "/a.b+c/", "block"), ("x_y.com", "/", "block"), ("site5.com", "/", "allow"),
+              (None, "/", "block")]
+    words = [("free-bets", "block"), ("c++", "block"), ("++", "block"), (None, "block")]
+    urls_ = [f"https://{rng.choice(['', 'www.', 'not'])}{rng.choice(names)}.{rng.choice(['com', 'org', 'net'])}"
+             f"{rng.choice(['/', '/a-b/x', '/a-b', '/a.b+c/', '/axb+c/', '', '/free-bets', '/c++/q'])}" for _ in range(600)]
+    urls_ += ["http://x_y.com/", "http://a.x_y.com/", "http://site5.com/", "http://e.net/freebets", "http://e.net/a++b"]
+    table = urls.site_rules(spark.createDataFrame(sites, "host string, path string, action string")).unionByName(
+        urls.word_rules(spark.createDataFrame(words, "word string, action string")))
+    pages_ = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages_, table).collect()}
+    for i, u in enumerate(urls_):
+        host, path = re.match("https?://([^/]*)(.*)", u).groups()
+        fit = max(((len(h + p), h + p, a) for h, p, a in sites if h and path.startswith(p)
+                   and (host == h or host.endswith("." + h))), default=None)
+        bad = any(re.search("(?:^|[^A-Za-z0-9])" + re.escape(w) + "(?:[^A-Za-z0-9]|$)", host + path) for w, _ in words if w)
+        assert got[i] == ((fit[1], fit[2]) if fit else (None, "block" if bad else "allow")), u
+
+
+def test_url_rules_odd_tables(spark):
+    pages_ = spark.createDataFrame([(1, "http://a.com/x"), (2, None)], "page_id long, url string")
+    schema = "rule string, regex string, tokens array<string>, action string, kind string"
+    # no tokens, null tokens, one name for two expressions, repeats, no expression
+    rules = [("r", "a.com", None, "block", None), ("r", "zzz", ["zzz", None], "block", "pattern"), ("n", None, ["a"], "block", None),
+             (None, "a", [], "block", None), ("r", "a.com", None, "block", None)]
+    got = {r["page_id"]: (r["verdict"], r["pattern"]) for r in urls.judge_urls(pages_, spark.createDataFrame(rules, schema)).collect()}
+    assert got == {1: ("block", "r"), 2: ("allow", None)}
+    none = urls.judge_urls(pages_, spark.createDataFrame([], schema)).collect()
+    assert [r["verdict"] for r in none] == ["allow", "allow"]
+
+
 # -- pieces
 
 @pytest.fixture(scope="module")

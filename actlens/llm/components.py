@@ -10,6 +10,8 @@ holds its neighbourhood.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +32,16 @@ def _star(arcs: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, component_id): the smallest node reachable, for
     every node that has a link to another node."""
     arcs = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                        .distinct(), "cc-0")
     state = None
-    for i in range(max_rounds):
-        arcs = materialize(_star(_star(arcs, True), False), f"cc-{i + 1}")
+    for i in count(1):
+        arcs = materialize(_star(_star(arcs, True), False), f"cc-{i}")
         now = tuple(arcs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return arcs.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(
                 arcs.select(F.col("v").alias("node"), F.col("v").alias("component_id"))).distinct()
         state = now
-    raise RuntimeError("components did not settle")

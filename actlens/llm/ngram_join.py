@@ -54,6 +54,7 @@ POSTINGS_PER_RANGE = 500_000
 GROUP_MEMBERS = 256
 HELD_SHINGLES = 3_000_000
 BLOCK_ROWS = 8_000
+PAIRS_PER_BATCH = 100_000
 MAIN_ROUNDS = 2
 MAX_BROADCAST_IDS = 500_000
 
@@ -297,8 +298,11 @@ def _named(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (main, block, run), the nodes of a block (null run) first."""
-    def flush() -> pa.RecordBatch:
+    """Rows sorted by (main, block, minor_block, run), the nodes of a group (null run) first."""
+    def packed(out) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "nx", "y", "ny"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
         out = ([], [], [], [])
         ids = list(nodes)
         place = {v: i for i, v in enumerate(ids)}
@@ -316,15 +320,19 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b = sorted(((int(n), x), (int(size[j]), ids[j])))
                     for col, v in zip(out, (a[1], a[0], b[1], b[0])):
                         col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["x", "nx", "y", "ny"])
+            if len(out[0]) >= PAIRS_PER_BATCH:
+                yield packed(out)
+                out = ([], [], [], [])
+        if out[0]:
+            yield packed(out)
 
     key, nodes, members, minors = None, {}, {}, {}
     for batch in batches:
-        for main, block, run, node, minor, n, part, bits in zip(*(c.to_pylist() for c in batch.columns)):
-            if key != (main, block):
+        for *group, run, node, minor, n, part, bits in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != group:
                 if minors:
-                    yield flush()
-                key, nodes, members, minors = (main, block), {}, {}, {}
+                    yield from flush()
+                key, nodes, members, minors = group, {}, {}, {}
             if run is None:
                 nodes[node] = (n, part, bits)
             elif minor:
@@ -332,36 +340,52 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 members.setdefault(run, []).append(node)
     if minors:
-        yield flush()
+        yield from flush()
 
 
 def open_candidates(shared: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """All pairs of a run that are in different components, of fitting size and
     close bitmaps.
 
-    The runs are gathered by their largest component, whose members are dealt
-    over blocks; every other node of its runs meets each block. So a pair that
-    shares many runs is looked at once, and rows grow with nodes and blocks."""
+    The runs are gathered by their largest component. Its members are dealt over
+    blocks, and the nodes outside it over blocks of their own; a task gets one
+    block of each (a node's rows stay together). So a pair that shares many runs
+    is looked at once, and no group grows with the data. Only components of more
+    than one block have their number of blocks looked up: one row for each
+    ``BLOCK_ROWS`` rows at most."""
     named = _named(shared, labels)
     parts = named.groupBy("run", "part").agg(F.count("*").alias("held"))
     main = (parts.groupBy("run").agg(F.max(F.struct("held", "part")).alias("m"), F.count("*").alias("parts"))
             .filter("parts > 1").select("run", F.col("m.part").alias("main")))
     live = materialize(named.join(main, "run").select("main", "run", "node", "part"), "ngram-live")
-    blocks = (live.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
-    dealt = live.join(blocks, "main")
-    member = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    minor = (dealt.filter("part <> main")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    several = materialize(
+        live.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"),
+                                 F.ceil(F.count_if(F.col("part") != F.col("main")) / BLOCK_ROWS).cast("int")
+                                 .alias("minor_blocks")).filter("blocks > 1"), "ngram-several")
+    dealt = (live.join(small_or_none(several, MAX_BROADCAST_IDS), "main", "left")
+             .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+             .withColumn("minor_blocks", F.greatest(F.coalesce("minor_blocks", F.lit(1)), F.lit(1))))
+
+    def place(blocks: str, salt: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(blocks)).cast("int")
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    group = ["main", "block", "minor_block"]
+    member = dealt.withColumn("block", place("blocks", 0)).withColumn("minor_block", every("minor_blocks"))
+    minor = (dealt.filter("part <> main").withColumn("minor_block", place("minor_blocks", 1))
+             .withColumn("block", every("blocks")))
     none = F.lit(None)
-    met = (member.select("main", "block", "run", "node", F.lit(False).alias("minor"))
-           .union(minor.select("main", "block", "run", "node", F.lit(True)))
+    met = (member.select(*group, "run", "node", F.lit(False).alias("minor"))
+           .union(minor.select(*group, "run", "node", F.lit(True)))
            .select("*", none.cast("long").alias("n"), none.cast("long").alias("part"), none.cast("binary").alias("bits")))
-    present = member.union(minor).select("main", "block", "node", "part").distinct()
+    present = member.select(*group, "node", "part").union(minor.select(*group, "node", "part")).distinct()
     known = (present.join(nodes.select("node", "n", "bits"), "node")
-             .select("main", "block", none.cast("long").alias("run"), "node", F.lit(False).alias("minor"), "n", "part", "bits"))
+             .select(*group, none.cast("long").alias("run"), "node", F.lit(False).alias("minor"), "n", "part", "bits"))
     tasks = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (met.unionByName(known).repartition(tasks, "main", "block")
-            .sortWithinPartitions("main", "block", F.asc_nulls_first("run"))
+    return (met.unionByName(known).repartition(tasks, *group)
+            .sortWithinPartitions(*group, F.asc_nulls_first("run"))
             .mapInArrow(released(_open_pairs), "x long, nx long, y long, ny long").distinct())
 
 

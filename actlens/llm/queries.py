@@ -182,7 +182,23 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search_vectors(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-@_query("op3_ngram_join")
+_OP3_SQL = r"""
+with recursive w as (select row_number() over () as u, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select u, doc_id, case when len(ws) between 1 and 4 then [array_to_string(ws, ' ')]
+             else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh
+      from w),
+n as (select u, doc_id, len(sh)::bigint as n from s),
+e as (select u, unnest(sh) as shingle from s),
+i as (select a.u as a, b.u as b, count(*) as shared from e a join e b on a.shingle = b.shingle and a.u < b.u group by a.u, b.u),
+l as (select a, b from i join n x on x.u = a join n y on y.u = b where 100 * shared >= 75 * (x.n + y.n - shared)),
+k as (select a, b from l union all select b, a from l),
+r as (select u as node, u as root from n union select k.b, r.root from r join k on k.a = r.node),
+c as (select node, min(n.doc_id) as component_id from r join n on n.u = r.root group by node)
+select doc_id, n as n_shingles, component_id from n join c on c.node = n.u"""
+
+
+@_query("op3_ngram_join", _OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.75 or more."""
     return ngram_join.ngram_components(read_table(spark, sf_dir, "documents"))

@@ -92,6 +92,45 @@ def test_ngram_components_match_brute_force(spark, seed):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("ids_broadcast", [0, 500_000])
+def test_ngram_small_ranges_and_blocks(spark, monkeypatch, ids_broadcast):
+    """Postings over many ranges, and every group of runs dealt over blocks of both sides."""
+    monkeypatch.setattr(ngram_join, "POSTINGS_PER_RANGE", 100)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST_IDS", ids_broadcast)
+    monkeypatch.setattr(ngram_join, "MAIN_ROUNDS", 0)       # leave the open pairs more to do
+    rows = near_copies(3, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_components(df).collect()), key=repr) == brute_components(rows)
+
+
+def test_open_pairs_are_the_same_for_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 62, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[:30], rng.choice(base[30:], 5), rng.integers(1, 1 << 62, 2).astype(np.uint64)]))
+            for _ in range(40)]
+    nodes = spark.createDataFrame([(i, len(s), bytearray(ngram_join.parity_bits(s))) for i, s in enumerate(sets)],
+                                  "node long, n long, bits binary")
+    shared = spark.createDataFrame([(r, i, len(sets[i]), 0) for r in range(6) for i in range(40) if (i + r) % 3 < 2],
+                                   "run long, node long, n long, pos long")
+    labels = spark.createDataFrame([(i, 0 if i < 24 else 30) for i in range(40) if not 24 <= i < 30],
+                                   "node long, component_id long")
+    part = [0 if i < 24 else i if i < 30 else 30 for i in range(40)]
+    run = {(r.run, r.node) for r in shared.collect()}
+    want = set()
+    for i in range(40):
+        for j in range(i):
+            a, b = sorted(((len(sets[i]), i), (len(sets[j]), j)))
+            if part[i] != part[j] and any((r, i) in run and (r, j) in run for r in range(6)) and ngram_join.may_link(
+                    a[0], b[0], ngram_join.parity_bits(sets[a[1]]), ngram_join.parity_bits(sets[b[1]])):
+                want.add((a[1], a[0], b[1], b[0]))
+    assert want
+    for block_rows in (3, 20, 8_000):
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+        got = [tuple(p) for p in ngram_join.open_candidates(shared, labels, nodes).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_ngram_odd_rows(spark, odd):
     got = sorted(map(tuple, ngram_join.ngram_components(odd).collect()), key=repr)
     assert got == brute_components([(r.doc_id, r.text) for r in odd.collect()])

@@ -7,9 +7,11 @@ coordinates. The sorted sequence is cut into blocks with bounding boxes. Pairs
 of intervals of the sequence are joined recursively, level by level: a pair
 splits into the pairs of its children, and a pair whose boxes are farther apart
 than eps in the leading coordinates is skipped. The pairs of blocks that are
-left are compared in double precision, again skipping distant sub-blocks.
+left are compared in double precision, again skipping distant sub-blocks. The
+sequence is cut into tiles of many blocks; a task compares the pairs of two tiles
+and gets each of their blocks once, however many pairs it is in.
 
-A block pair returns its rows' link counts and a spanning forest of its links,
+A pair of tiles returns its rows' link counts and a spanning forest of its links,
 never the links themselves, so a group of near copies with a third of all rows
 costs comparisons, not rows. Components join the forests.
 
@@ -38,6 +40,7 @@ SAMPLE_ROWS = 5_000
 GRID_DIMS, BOX_DIMS = 8, 16
 BLOCK_ROWS, SUB_ROWS = 512, 64
 FAN_BITS = 3
+TILE_BYTES, MIN_TILES = 16 << 20, 8     # a tile's vectors as doubles; tiles, if there are as many ranges
 
 
 def unit_vectors(x: np.ndarray) -> np.ndarray:
@@ -81,6 +84,18 @@ def grid_order(rows: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     return rows.mapInArrow(run, "uid long, embedding array<double>, key binary")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """As single precision where that is exact (vectors given so), else double."""
+    with np.errstate(over="ignore"):
+        single = x.astype(np.float32)
+    return (single if (single == x).all() else x).tobytes()
+
+
+def _unpacked(x: bytes, rows: int, dim: int) -> np.ndarray:
+    kind = np.float64 if len(x) == 8 * rows * dim else np.float32
+    return np.frombuffer(x, kind).reshape(rows, dim).astype(np.float64)
+
+
 def cut_blocks(ordered: DataFrame, axes: np.ndarray, n_parts: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per block: part and idx (its place in the sequence), dim, its box,
     and its rows as packed arrays."""
@@ -96,7 +111,7 @@ def cut_blocks(ordered: DataFrame, axes: np.ndarray, n_parts: int, block_rows: i
             y = _leading(x, axes)
             idx += 1
             row = {"part": part, "idx": idx - 1, "dim": dim, "lo": y.min(axis=0).tolist(), "hi": y.max(axis=0).tolist(),
-                   "uids": uids.tobytes(), "x": x.tobytes()}
+                   "uids": uids.tobytes(), "x": _packed(x)}
             return pa.RecordBatch.from_pylist([row], pa.schema([
                 ("part", pa.int32()), ("idx", pa.int32()), ("dim", pa.int32()), ("lo", pa.list_(pa.float64())),
                 ("hi", pa.list_(pa.float64())), ("uids", pa.binary()), ("x", pa.binary())]))
@@ -209,24 +224,53 @@ def compare_blocks(xa: np.ndarray, xb: np.ndarray, same: bool, ya: np.ndarray, y
     return deg_a, deg_b, links
 
 
-def _compare_rows(axes: np.ndarray, cosine: float, eps: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b, dim, ua, xa, ub, xb = (batch.column(j)[i].as_py() for j in range(7))
-                ua, ub = np.frombuffer(ua, np.int64), np.frombuffer(ub, np.int64)
-                xa = np.frombuffer(xa, np.float64).reshape(-1, dim)
-                xb = np.frombuffer(xb, np.float64).reshape(-1, dim)
-                same = a == b
-                deg_a, deg_b, links = compare_blocks(xa, xb, same, _leading(xa, axes), _leading(xb, axes), cosine, eps)
-                every = ua if same else np.concatenate([ua, ub])
-                at = np.array(links, np.int64).reshape(-1, 2)
-                ia, ib = np.flatnonzero(deg_a), np.flatnonzero(deg_b)
-                uid = np.concatenate([ua[ia], ub[ib], every[at[:, 0]]])
-                n = np.concatenate([deg_a[ia], deg_b[ib], np.zeros(len(at), np.int64)])
-                other = pa.array(np.concatenate([np.zeros(len(ia) + len(ib), np.int64), every[at[:, 1]]]),
-                                 mask=n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n), other], names=["uid", "n", "other"])
+def tile_rows(pairs: DataFrame, blocks: DataFrame, in_part: int, tile_parts: int) -> DataFrame:
+    """(dim, ta, tb, seq, mates, uids, x): the blocks that a pair of tiles needs, each
+    once, with the blocks ``mates`` it is compared with there as the smaller side."""
+    tile = lambda c: F.floor(F.shiftright(c, in_part) / F.lit(tile_parts)).cast("long")
+    sides = F.array(F.struct(F.col("a").alias("seq"), F.col("b").alias("mate")),
+                    F.struct(F.col("b").alias("seq"), F.lit(None).cast("long").alias("mate")))
+    need = (pairs.select("dim", tile("a").alias("ta"), tile("b").alias("tb"), F.explode(sides).alias("s"))
+            .groupBy("dim", "ta", "tb", "s.seq").agg(F.collect_list("s.mate").alias("mates")))
+    return need.join(blocks.select("dim", "seq", "uids", "x"), ["dim", "seq"]) \
+        .select("dim", "ta", "tb", "seq", "mates", "uids", "x")
+
+
+def _compare_tile(axes: np.ndarray, cosine: float, eps: float):
+    """(uid, n, other): link counts (other null) and spanning links (n 0) of a pair of tiles."""
+    def run(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        seqs = table.column("seq").to_pylist()
+        ids = [np.frombuffer(u, np.int64) for u in table.column("uids").to_pylist()]
+        xs = [_unpacked(x, len(u), dim) for x, u in zip(table.column("x").to_pylist(), ids)]
+        ys = [_leading(x, axes) for x in xs]
+        at = {seq: i for i, seq in enumerate(seqs)}
+        first = np.cumsum([0, *map(len, ids)]).tolist()
+        uid, n = np.concatenate(ids), np.zeros(first[-1], np.int64)
+        parent = list(range(first[-1]))
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, mates in enumerate(table.column("mates").to_pylist()):
+            for j in (at[m] for m in mates):
+                deg_a, deg_b, links = compare_blocks(xs[i], xs[j], i == j, ys[i], ys[j], cosine, eps)
+                n[first[i]:first[i + 1]] += deg_a
+                n[first[j]:first[j + 1]] += deg_b
+                rows = len(ids[i])
+                for u, v in links:
+                    u, v = (find(first[i] + p if p < rows else first[j] + p - rows) for p in (u, v))
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+        linked = np.flatnonzero(n)
+        roots = np.array([find(i) for i in linked.tolist()], np.int64)
+        member, root = linked[roots != linked], roots[roots != linked]
+        count = np.concatenate([n[linked], np.zeros(len(member), np.int64)])
+        other = pa.array(np.concatenate([np.zeros(len(linked), np.int64), uid[root]]), mask=count > 0)
+        return pa.table({"uid": np.concatenate([uid[linked], uid[member]]), "n": count, "other": other})
     return run
 
 
@@ -250,15 +294,13 @@ def near_duplicate_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame
     numbered = blocks.withColumn("seq", F.shiftleft(F.col("part").cast("long"), in_part) + F.col("idx"))
     pairs = materialize(block_pairs(numbered.select("seq", "dim", "lo", "hi"), bits, eps), "ego-pairs")
 
-    side_a = numbered.select(F.col("dim").alias("dim_a"), F.col("seq").alias("a"), F.col("uids").alias("ua"),
-                             F.col("x").alias("xa"))
-    side_b = numbered.select(F.col("dim").alias("dim_b"), F.col("seq").alias("b"), F.col("uids").alias("ub"),
-                             F.col("x").alias("xb"))
-    found = (pairs.repartition(max(1, min(4 * n_parts, 2000)), "a", "b")
-             .join(side_a, (F.col("dim") == F.col("dim_a")) & (pairs["a"] == side_a["a"])).drop(side_a["a"])
-             .join(side_b, (F.col("dim") == F.col("dim_b")) & (pairs["b"] == side_b["b"])).drop(side_b["b"])
-             .select("a", "b", "dim", "ua", "xa", "ub", "xb")
-             .mapInArrow(_compare_rows(axes, cosine, eps), "uid long, n long, other long"))
+    dim = blocks.agg(F.max("dim")).first()[0] or 1
+    tile_parts = max(1, min(n_parts // MIN_TILES, TILE_BYTES // (8 * dim * per_part)))
+    tiles = -(-n_parts // tile_parts)
+    found = (tile_rows(pairs, numbered, in_part, tile_parts)
+             .repartition(max(1, min(tiles * (tiles + 1), 2000)), "dim", "ta", "tb")
+             .groupBy("dim", "ta", "tb")
+             .applyInArrow(_compare_tile(axes, cosine, eps), "uid long, n long, other long"))
     found = materialize(found, "ego-found")
     degrees = found.filter("n > 0").groupBy("uid").agg(F.sum("n").alias("n_links"))
     labels = connected_components(found.filter("n = 0").select(F.col("uid").alias("a"), F.col("other").alias("b")))

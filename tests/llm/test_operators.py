@@ -466,6 +466,20 @@ def vector_rows(seed=1, n=300, dim=12):
     return rows, x
 
 
+def test_near_duplicate_tiles_need_each_block_once(spark):
+    """All pairs of 64 blocks in 8 ranges: a block goes once to each pair of tiles, not to each pair of blocks."""
+    seqs = range(64)
+    pairs = spark.createDataFrame([(4, a, b) for a in seqs for b in seqs if a <= b], "dim int, a long, b long")
+    blocks = spark.createDataFrame([(4, s, b"", b"") for s in seqs], "dim int, seq long, uids binary, x binary")
+    rows = neardup_vectors.tile_rows(pairs, blocks, 3, 2).collect()          # four tiles of two ranges
+    assert len(rows) == 64 * 4
+    assert sorted((r["seq"], m) for r in rows for m in r["mates"]) == [(a, b) for a in seqs for b in seqs if a <= b]
+    x = np.array([[0.1, 2.0], [3.0, 4.0]])
+    for v in (x, x.astype(np.float32).astype(float), x * 1e300):
+        assert (neardup_vectors._unpacked(neardup_vectors._packed(v), 2, 2) == v).all()
+    assert len(neardup_vectors._packed(x.astype(np.float32).astype(float))) == x.nbytes // 2
+
+
 def test_near_duplicate_vectors_match_brute_force(spark, monkeypatch):
     monkeypatch.setattr(neardup_vectors, "BLOCK_ROWS", 32)
     monkeypatch.setattr(neardup_vectors, "SUB_ROWS", 8)

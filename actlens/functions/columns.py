@@ -83,12 +83,20 @@ def utc_string(epoch_seconds) -> Column:
 
 
 # FN6 / FN7 / FN8 / FN9 / FN10 -------------------------------------------
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: an expression inside a
+    lambda is computed again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(vec) -> Column:
-    v = _c(vec)
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    def shares(e: Column) -> Column:
+        return _bound(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(e, lambda x: x / s))
+
+    def scaled(v: Column) -> Column:
+        return _bound(F.array_max(v), lambda m: _bound(F.transform(v, lambda x: F.exp(x - m)), shares))
+
+    return _bound(_c(vec), scaled)
 
 
 def argmax(vec) -> Column:

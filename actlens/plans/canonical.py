@@ -22,7 +22,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actlens.operators import ordering, scoring
+from actlens import session
+from actlens.operators import ordering, scoring, text
 from actlens.sources.tables import read_table
 
 # Fixed values of the fixture model (must match on both sides).
@@ -292,33 +293,53 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(e, on="vec_id", how="inner").drop("vec_id")
 
 
+def _texts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(doc_id, tokens, at): a text's tokens as embedding numbers. Rows that share a
+    doc_id are one text, its tokens ordered by position (``at``)."""
+    words = text.whitespace_tokens(F.col("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    vid = lambda t: t % F.lit(n)
+    ids = text.encode_words(docs, vocabulary(spark, sf_dir)).where(F.col("tokens").isNotNull()) \
+        .select("doc_id", F.transform("tokens", vid).alias("tokens"))
+    repeated = read_table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")) \
+        .where(F.col("n") > 1).select("doc_id")
+    no_places = F.lit(None).cast("array<int>").alias("at")
+    if not repeated.limit(1).count():
+        return ids.select("doc_id", "tokens", no_places)
+    ids, repeated = session.materialize(ids, "text-ids"), session.materialize(repeated, "repeated-ids")
+    same = ids["doc_id"].eqNullSafe(repeated["doc_id"])
+    merged = ids.join(repeated, same, "left_semi").select("doc_id", F.posexplode("tokens").alias("p", "t")) \
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", "t"))).alias("s"))
+    return ids.join(repeated, same, "left_anti").select("doc_id", "tokens", no_places).unionByName(
+        merged.select("doc_id", F.col("s")["t"].alias("tokens"), F.col("s")["p"].alias("at")))
+
+
+def _successor_cosines(spark: SparkSession, sf_dir: str, per_text: bool) -> DataFrame:
+    # token vector = embedding[token_id % n]
+    n = n_embeddings(spark, sf_dir)
+    e = read_table(spark, sf_dir, "embeddings")
+    e0 = e.where(F.col("vec_id") == 0).select("embedding").first()
+    vectors = e.select(F.col("vec_id").alias("vid"), F.col("label").alias("layer"), F.col("embedding").alias("vec"))
+    return text.successor_cosines(_texts(spark, sf_dir, n), vectors, np.asarray(e0["embedding"], dtype=np.float64),
+                                  per_text=per_text)
+
+
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, layer, strategy, cos) for every token that has a successor.
 
     Context vector at a position = own + next token vector; it is compared
     with three unigram vectors: own, next and the constant vec of id 0.
     """
-    # token vector = embedding[token_id % n]: pair consecutive tokens on ids first,
-    # then look both vectors up in the embeddings table (n rows, not vocabulary-sized)
-    n = n_embeddings(spark, sf_dir)
-    toks = token_ids(spark, sf_dir).select("doc_id", "pos", (F.col("token_id") % n).alias("vid"))
-    # the successor lies in the same document (a group no larger than one text)
-    nxt = F.lead("vid").over(Window.partitionBy("doc_id").orderBy("pos"))
-    pairs = toks.withColumn("vid_next", nxt).where(F.col("vid_next").isNotNull())
-    e = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("vid"), F.col("label").alias("layer"),
-        F.transform("embedding", lambda x: x.cast("double")).alias("own"))
-    en = e.select(F.col("vid").alias("vid_next"), F.col("own").alias("nxt"))
-    j = pairs.join(e, on="vid", how="inner").join(en, on="vid_next", how="inner")
-    e0 = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == 0).select("embedding").first()
-    j = j.select("doc_id", F.col("pos").cast("int").alias("pos"), "layer", "own", "nxt")
-    e0v = np.asarray(e0["embedding"], dtype=np.float64)
-    ctx = ("own", "nxt")   # context vector = own + next, summed inside the Arrow batch
-    c = scoring.row_cosines(j, {"own": (ctx, "own"), "next": (ctx, "nxt"), "const": (ctx, e0v)},
-                            keep=["doc_id", "pos", "layer"])
+    c = _successor_cosines(spark, sf_dir, False)
     return c.unpivot(["doc_id", "pos", "layer"], ["own", "next", "const"], "strategy", "cos")
 
 
+def similarity_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``similarity`` with one row per text and layer: (doc_id, layer, pos, own, next,
+    const), arrays in token order."""
+    return _successor_cosines(spark, sf_dir, True)
+
+
 TOKEN_VEC_SQL = (
     f"SELECT v.token_id, e.label AS layer, e.embedding::DOUBLE[] AS vec FROM ({VOCAB_SQL}) v "
     "JOIN embeddings e ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings)")

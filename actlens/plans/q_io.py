@@ -365,11 +365,10 @@ def src11(spark, sf):
 SELECT layer, strategy, count(*) AS n, round(sum(cos), 4) AS cos_sum FROM ({C.SIMILARITY_SQL}) GROUP BY layer, strategy
 """)
 def src15(spark, sf):
-    sim = C.similarity(spark, sf)
+    sim = C.similarity_series(spark, sf)
     # one line per (layer, text): {layer, text, cos: {strategy: [cos by position]}}; a line is one document
-    per = sim.groupBy("layer", F.col("doc_id").alias("text"), "strategy").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "cos"))), lambda s: s["cos"]).alias("series"))
-    lines = per.groupBy("layer", "text").agg(F.map_from_entries(F.collect_list(F.struct("strategy", "series"))).alias("cos"))
+    lines = sim.select("layer", F.col("doc_id").alias("text"), F.create_map(
+        F.lit("own"), F.col("own"), F.lit("next"), F.col("next"), F.lit("const"), F.col("const")).alias("cos"))
     path = io_dir(spark, "src15")
     lines.write.json(path)
     t = R.read_cosine_tables(spark, path)

@@ -193,7 +193,7 @@ def snk13(spark, sf):
 def _write_logs(spark, sf, name):
     path = io_dir(spark, name)
     lg = C.run_log(spark, sf).select("run", "step", "event", "value", "k", "timestamp")
-    lg.repartition("run").write.partitionBy("run").json(path)
+    L.run_writer(lg).json(path)
     write_bytes(f"{path}/run=-1/broken.json", b'{"event": "x", "value": \n')
     return path
 
@@ -213,7 +213,7 @@ def src7_rejects(spark, sf):
     # every third row of the log once more, cut off before its end
     cut = C.run_log(spark, sf).where("step % 3 = 0").select("run", F.concat(
         F.lit('{"step": '), F.col("step").cast("string"), F.lit(', "event": "')).alias("value"))
-    cut.repartition("run").write.mode("append").partitionBy("run").text(path)
+    L.run_writer(cut).text(path)
     _, bad = L.read_run_logs(spark, path)
     return bad.groupBy("run").agg(F.count(F.lit(1)).alias("n_bad"))
 
@@ -370,7 +370,7 @@ def src15(spark, sf):
     lines = sim.select("layer", F.col("doc_id").alias("text"), F.create_map(
         F.lit("own"), F.col("own"), F.lit("next"), F.col("next"), F.lit("const"), F.col("const")).alias("cos"))
     path = io_dir(spark, "src15")
-    lines.write.json(path)
+    lines.write.json(path, compression="gzip")
     t = R.read_cosine_tables(spark, path)
     return t.groupBy("layer", "strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cos"), 4).alias("cos_sum"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,9 +82,15 @@ def fill_timestamps(df: DataFrame, now: float | None = None) -> DataFrame:
     return out.withColumn("hr_timestamp", F.coalesce(F.col("hr_timestamp"), utc_string("timestamp")))
 
 
+def run_writer(df: DataFrame, partition_col: str = "run") -> DataFrameWriter:
+    """Appends a folder per run. A run's rows meet in one task, so that a session adds
+    one file to a run and not one per task (a run larger than a task's share is
+    split); the tasks move their files into place, not the driver one by one."""
+    return df.hint("rebalance", F.col(partition_col)).write.mode("append").partitionBy(partition_col) \
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def append_log(df: DataFrame, path: str, now: float | None = None, partition_col: str | None = "run") -> None:
     """SNK6: append JSON lines; re-opening a run's log continues it (append mode)."""
-    w = fill_timestamps(df, now).write.mode("append")
-    if partition_col:
-        w = w.partitionBy(partition_col)
-    w.json(path)
+    out = fill_timestamps(df, now)
+    (run_writer(out, partition_col) if partition_col else out.write.mode("append")).json(path)

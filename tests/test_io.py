@@ -1,10 +1,12 @@
 import json
+import math
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from actlens.functions import columns as FN
 from actlens.sources import checkpoints as K
 from actlens.sources import logs as L
 
@@ -125,3 +127,23 @@ def test_sample_slice_keeps_first_rows(spark):
     df = spark.range(500).select((499 - F.col("id")).alias("k"), F.array(*[F.col("id") + j for j in range(4)]).alias("vec"))
     got = [(r.k, list(r.vec)) for r in P.sample_slice(df, 3, 2, ["k"]).collect()]
     assert got == [(0, [499, 500]), (1, [498, 499]), (2, [497, 498])]
+
+
+def test_append_log_adds_one_file_to_a_run(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(f"r{i % 3}", i, "train") for i in range(90)]
+    df = spark.createDataFrame(rows, "run string, step long, event string").withColumn("timestamp", F.lit(1.0)) \
+        .withColumn("hr_timestamp", F.lit(None).cast("string")).repartition(8)
+    for session in (1, 2):
+        L.append_log(df, path)
+        assert [len(list((tmp_path / "log" / f"run=r{i}").glob("*.json"))) for i in range(3)] == [session] * 3
+    good, bad = L.read_run_logs(spark, path)
+    assert (good.count(), bad.count()) == (180, 0)
+
+
+def test_softmax_computes_its_argument_once(spark):
+    assert str(FN.softmax(F.col("logits"))).count("logits") == 1
+    df = spark.createDataFrame([([1.0, 3.0, 2.0],), ([],), (None,)], "logits array<double>")
+    got = [r[0] for r in df.select(FN.softmax("logits")).collect()]
+    e = [math.exp(x) for x in (-2.0, 0.0, -1.0)]
+    assert got[0] == [x / sum([e[0], e[1], e[2]]) for x in e] and got[1:] == [[], None]

@@ -193,7 +193,7 @@ def snk13(spark, sf):
 def _write_logs(spark, sf, name):
     path = io_dir(spark, name)
     lg = C.run_log(spark, sf).select("run", "step", "event", "value", "k", "timestamp")
-    L.run_writer(lg).json(path)
+    L.append_lines(lg, L.json_line(lg), path)
     write_bytes(f"{path}/run=-1/broken.json", b'{"event": "x", "value": \n')
     return path
 
@@ -211,9 +211,8 @@ UNION ALL SELECT '-1', 1
 def src7_rejects(spark, sf):
     path = _write_logs(spark, sf, "src7r")
     # every third row of the log once more, cut off before its end
-    cut = C.run_log(spark, sf).where("step % 3 = 0").select("run", F.concat(
-        F.lit('{"step": '), F.col("step").cast("string"), F.lit(', "event": "')).alias("value"))
-    L.run_writer(cut).text(path)
+    cut = C.run_log(spark, sf).where("step % 3 = 0")
+    L.append_lines(cut, F.concat(F.lit('{"step": '), F.col("step").cast("string"), F.lit(', "event": "')), path, suffix="txt")
     _, bad = L.read_run_logs(spark, path)
     return bad.groupBy("run").agg(F.count(F.lit(1)).alias("n_bad"))
 

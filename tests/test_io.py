@@ -147,3 +147,57 @@ def test_softmax_computes_its_argument_once(spark):
     got = [r[0] for r in df.select(FN.softmax("logits")).collect()]
     e = [math.exp(x) for x in (-2.0, 0.0, -1.0)]
     assert got[0] == [x / sum([e[0], e[1], e[2]]) for x in e] and got[1:] == [[], None]
+
+
+ODD_RUNS = ["7", None, "a b", "x/y:z", "50%", "q=1", "[é]", "it's", "#{^}"]
+
+
+def test_log_folders_are_named_as_by_spark(spark, tmp_path):
+    rows = [(r, i, f"line {i}") for i, r in enumerate(ODD_RUNS * 3)]
+    df = spark.createDataFrame(rows, "run string, step long, event string")
+    df.write.partitionBy("run").json(str(tmp_path / "spark"))
+    L.append_lines(df.repartition(5), L.json_line(df), str(tmp_path / "own"))
+    assert sorted(os.listdir(tmp_path / "own")) == sorted(n for n in os.listdir(tmp_path / "spark") if "=" in n)
+    for folder in (tmp_path / "own").iterdir():
+        assert len(os.listdir(folder)) == 1          # one file, no side file or leftover
+    want = spark.read.text(str(tmp_path / "spark")).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1).alias("run"), "value")
+    for made in ("own", "spark"):
+        got = L.run_lines(spark, str(tmp_path / made), r"run=([^/]+)/")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_run_lines_reads_what_sparks_reader_reads(spark, tmp_path, monkeypatch):
+    import gzip
+    base = tmp_path / "log"
+    for run, name, data in [("1", "a.json", b"x\ny\r\n\nz"), ("1", "b.json", b"p\rq\n"), ("2", "c.json", b""), ("3", "_tmp", b"no\n"),
+                            ("3", ".d.json", b"no\n"), ("3", "e [1].json", "é {\n".encode() * 50), ("4", "f.json.gz", gzip.compress(b"g\nh\n"))]:
+        (base / f"run={run}").mkdir(parents=True, exist_ok=True)
+        (base / f"run={run}" / name).write_bytes(data)
+    monkeypatch.setattr(L, "HELD_BYTES", 16)
+    for run in (1, 2):
+        (tmp_path / "deep" / f"run={run}" / "day=1").mkdir(parents=True)
+        (tmp_path / "deep" / f"run={run}" / "day=1" / "k.json").write_bytes(b"deep\n")
+    (tmp_path / "flat" / "other").mkdir(parents=True)
+    (tmp_path / "flat" / "other" / "n.json").write_bytes(b"no\n")
+    (tmp_path / "flat" / "m.json").write_bytes(b"yes\n")
+    places = [str(base), str(tmp_path / "flat"), str(tmp_path / "deep"), str(base / "run=1" / "a.json"), [str(base / "run=1"), str(base / "run=3")], str(base / "run=[13]")]
+    for large in (L.LARGE_FILE, 100):
+        monkeypatch.setattr(L, "LARGE_FILE", large)
+        for place in places:
+            want = spark.read.text(place).select(F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1).alias("run"), "value")
+            got = L.run_lines(spark, place, r"run=([^/]+)/")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), place
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        L.run_lines(spark, str(tmp_path / "missing"), "x")
+
+
+def test_many_runs_make_no_scan_of_files_on_the_driver(spark, tmp_path):
+    df = spark.range(1200).select((F.col("id") % 400).cast("string").alias("run"), F.col("id").alias("step"), F.lit("e").alias("event"),
+                                  F.lit(1.0).alias("timestamp"), F.lit(None).cast("string").alias("hr_timestamp")).repartition(7)
+    for _ in range(2):
+        L.append_log(df, str(tmp_path / "log"))
+    assert [len(os.listdir(f)) for f in (tmp_path / "log").iterdir()] == [2] * 400
+    good, bad = L.read_run_logs(spark, str(tmp_path / "log"))
+    assert "FileScan text" not in good._jdf.queryExecution().toString()
+    assert (good.count(), bad.count(), good.select("run").distinct().count()) == (2400, 0, 400)

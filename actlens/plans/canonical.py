@@ -314,14 +314,13 @@ def _texts(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         merged.select("doc_id", F.col("s")["t"].alias("tokens"), F.col("s")["p"].alias("at")))
 
 
-def _successor_cosines(spark: SparkSession, sf_dir: str, per_text: bool) -> DataFrame:
+def _cosine_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
     # token vector = embedding[token_id % n]
     n = n_embeddings(spark, sf_dir)
     e = read_table(spark, sf_dir, "embeddings")
     e0 = e.where(F.col("vec_id") == 0).select("embedding").first()
     vectors = e.select(F.col("vec_id").alias("vid"), F.col("label").alias("layer"), F.col("embedding").alias("vec"))
-    return text.successor_cosines(_texts(spark, sf_dir, n), vectors, np.asarray(e0["embedding"], dtype=np.float64),
-                                  per_text=per_text)
+    return _texts(spark, sf_dir, n), vectors, np.asarray(e0["embedding"], dtype=np.float64)
 
 
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,14 +329,15 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Context vector at a position = own + next token vector; it is compared
     with three unigram vectors: own, next and the constant vec of id 0.
     """
-    c = _successor_cosines(spark, sf_dir, False)
+    c = text.successor_cosines(*_cosine_inputs(spark, sf_dir))
     return c.unpivot(["doc_id", "pos", "layer"], ["own", "next", "const"], "strategy", "cos")
 
 
-def similarity_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similarity_series(spark: SparkSession, sf_dir: str, part_tokens: int, most: int) -> list[DataFrame]:
     """``similarity`` with one row per text and layer: (doc_id, layer, pos, own, next,
-    const), arrays in token order."""
-    return _successor_cosines(spark, sf_dir, True)
+    const), arrays in token order; in parts of whole texts, of about ``part_tokens``
+    tokens but at most ``most``."""
+    return text.successor_cosine_parts(*_cosine_inputs(spark, sf_dir), per_text=True, part_tokens=part_tokens, most=most)
 
 
 TOKEN_VEC_SQL = (

@@ -3,6 +3,9 @@ checkpoint folder with a sink and reads it back with the matching source."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actlens.functions import columns as FN
@@ -18,13 +21,17 @@ from actlens.sources import logs as L
 from actlens.sources import media as MD
 from actlens.sources import reports as R
 from actlens.sources import sinks as SK
-from actlens.sources.files import io_dir, write_bytes
+from actlens.session import materialize
+from actlens.sources.files import io_dir, remove_folder, write_bytes
 from actlens.sources.tables import read_table
 
 ACT = C.ACT_SQL
 ALONG = C.ACT_LONG_SQL
 LOG = C.RUN_LOG_SQL
 
+# similarity tables on disk at a time: texts of so many tokens, or one of so many parts
+SIMILARITY_PART_TOKENS, SIMILARITY_PARTS = 8_000_000, 12
+
 
 def _run_meta(a, rows_per_block=100):
     meta = B.metadata_of(a)
@@ -364,14 +371,25 @@ def src11(spark, sf):
 SELECT layer, strategy, count(*) AS n, round(sum(cos), 4) AS cos_sum FROM ({C.SIMILARITY_SQL}) GROUP BY layer, strategy
 """)
 def src15(spark, sf):
-    sim = C.similarity_series(spark, sf)
-    # one line per (layer, text): {layer, text, cos: {strategy: [cos by position]}}; a line is one document
-    lines = sim.select("layer", F.col("doc_id").alias("text"), F.create_map(
-        F.lit("own"), F.col("own"), F.lit("next"), F.col("next"), F.lit("const"), F.col("const")).alias("cos"))
-    path = io_dir(spark, "src15")
-    lines.write.json(path, compression="gzip")
-    t = R.read_cosine_tables(spark, path)
-    return t.groupBy("layer", "strategy").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cos"), 4).alias("cos_sum"))
+    # the tables of all texts take several times the input (three cosines a token and strategy), so
+    # they are written and read in parts, and those of a part removed when its sums are stored
+    parts = C.similarity_series(spark, sf, SIMILARITY_PART_TOKENS, SIMILARITY_PARTS)
+    sums = []
+    for sim in parts:
+        # one line per (layer, text): {layer, text, cos: {strategy: [cos by position]}}; a line is one document
+        lines = sim.select("layer", F.col("doc_id").alias("text"), F.create_map(
+            F.lit("own"), F.col("own"), F.lit("next"), F.col("next"), F.lit("const"), F.col("const")).alias("cos"))
+        path = io_dir(spark, "src15")
+        lines.write.json(path, compression="gzip")
+        t = R.read_cosine_tables(spark, path).groupBy("layer", "strategy") \
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("cos").alias("cos_sum"))
+        if len(parts) > 1:
+            t = materialize(t, "cosine-sums")
+            remove_folder(spark, path)
+        sums.append(t)
+    t = sums[0] if len(parts) == 1 else reduce(DataFrame.unionByName, sums).groupBy("layer", "strategy") \
+        .agg(F.sum("n").alias("n"), F.sum("cos_sum").alias("cos_sum"))
+    return t.select("layer", "strategy", "n", F.round("cos_sum", 4).alias("cos_sum"))
 
 
 # ---------------------------------------------------------------- media

@@ -99,17 +99,21 @@ def ensure_utc(spark: SparkSession) -> None:
             spark.conf.set(key, BASE_CONF[key])
 
 
+def stored(df, name: str = "stage") -> str:
+    """Writes an intermediate as Parquet into a fresh folder under the shared checkpoint folder."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/actlens-stage/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df, name: str = "stage"):
     """Compute an intermediate once and cut its lineage: it is written as Parquet
     into a fresh folder under the shared checkpoint folder and read back. Every
     later consumer scans the written files, and a lost executor re-reads them
     instead of recomputing the upstream plan. (``DataFrame.checkpoint`` would run
     the plan twice: once to count, once to write.)"""
-    import uuid
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/actlens-stage/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(stored(df, name))
 
 
 def is_local(spark: SparkSession) -> bool:

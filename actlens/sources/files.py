@@ -9,7 +9,10 @@ and object-store paths alike.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
@@ -58,3 +61,18 @@ def write_bytes(uri: str, data) -> None:
 def exists(uri: str) -> bool:
     fsys, path = filesystem(uri)
     return fsys.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def stored_batches(uri: str, columns: Sequence[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows of a Parquet folder, read by a task that needs a table beside its own rows."""
+    fsys, path = filesystem(uri)
+    for x in sorted(fsys.get_file_info(pafs.FileSelector(path)), key=lambda x: x.path):
+        if x.path.endswith(".parquet") and not x.base_name.startswith((".", "_")):
+            with fsys.open_input_file(x.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(batch_size=rows, columns=list(columns))
+
+
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Removes a folder of intermediate files that a query wrote and has read."""
+    fsys, path = filesystem(qualified(spark, uri))
+    fsys.delete_dir(path)

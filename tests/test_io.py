@@ -201,3 +201,19 @@ def test_many_runs_make_no_scan_of_files_on_the_driver(spark, tmp_path):
     good, bad = L.read_run_logs(spark, str(tmp_path / "log"))
     assert "FileScan text" not in good._jdf.queryExecution().toString()
     assert (good.count(), bad.count(), good.select("run").distinct().count()) == (2400, 0, 400)
+
+
+def test_similarity_tables_are_removed_part_by_part(spark, monkeypatch):
+    from actlens.plans import q_io, registry
+    registry.load_all()
+    places = []
+    io_dir = q_io.io_dir
+    monkeypatch.setattr(q_io, "io_dir", lambda *a: places.append(io_dir(*a)) or places[-1])
+    data = os.path.join(os.path.dirname(__file__), "..")
+    sims = spark.createDataFrame([(1, 0, [0, 1], [0.5, 0.25], [0.1, 0.2], [0.3, 0.3]), (2, 1, [0], [1.0], [0.5], [0.25])],
+                                 "doc_id long, layer int, pos array<int>, own array<double>, next array<double>, const array<double>")
+    parts = [sims.where("doc_id = 1"), sims.where("doc_id = 2"), sims.where("doc_id = 1")]
+    monkeypatch.setattr(q_io.C, "similarity_series", lambda *a: parts)
+    got = sorted(map(tuple, registry.QUERIES["src15_read_cosine_tables"](spark, data).collect()))
+    assert got == [(0, "const", 4, 1.2), (0, "next", 4, 0.6), (0, "own", 4, 1.5), (1, "const", 1, 0.25), (1, "next", 1, 0.5), (1, "own", 1, 1.0)]
+    assert len(places) == 3 and not any(os.path.exists(p.removeprefix("file:")) for p in places)
